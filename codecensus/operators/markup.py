@@ -81,29 +81,28 @@ def image_ref_counts(refs: DataFrame, by=("repo_id",)) -> DataFrame:
 
 # ---------------------------------------------------------------- linked assets
 
-def asset_refs(artifacts: DataFrame, by=RUN) -> DataFrame:
-    """Stylesheet links and script sources of pages: (…, html, ref_ord, kind, ref, tag)."""
-    text = F.col("content")
+ASSET_TAG = "(?i)" + rules.STYLESHEET_LINK + "|" + rules.SCRIPT_LINK
 
-    def refs(pattern, kind, groups):
-        full = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(0))
-        parts = [F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(g)) for g in groups]
 
-        def row(tag, i):
-            ref = F.get(parts[0], i)
-            if len(parts) > 1:
-                ref = F.when(ref != "", ref).otherwise(F.get(parts[1], i))
-            return F.struct(F.lit(kind).alias("kind"), ref.alias("ref"), tag.alias("tag"))
-        return F.transform(full, row)
+def asset_refs(artifacts: DataFrame, by=RUN) -> DataFrame:
+    """Stylesheet links and script sources of pages in page order: (…, html, ref_ord, kind, ref, tag)."""
+    text, pattern = F.col("content"), F.lit(ASSET_TAG)
+    groups = [F.regexp_extract_all(text, pattern, F.lit(g)) for g in (1, 2, 3)]
+
+    def row(tag, i):
+        return F.struct(
+            F.when(F.lower(tag).startswith("<link"), "css").otherwise("js").alias("kind"),
+            F.concat(*[F.get(g, i) for g in groups]).alias("ref"),  # all but one are empty
+            tag.alias("tag"),
+        )
 
     low = F.lower("filename")
     return (
         artifacts.where(low.endswith(".html") | low.endswith(".htm"))
         .select(
             *by, F.col("filename").alias("html"),
-            F.posexplode(F.concat(
-                refs(rules.STYLESHEET_LINK, "css", (1, 2)), refs(rules.SCRIPT_LINK, "js", (1,))
-            )).alias("ref_ord", "_r"),
+            F.posexplode(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), row))
+            .alias("ref_ord", "_r"),
         )
         .select(*by, "html", "ref_ord", "_r.kind", "_r.ref", "_r.tag")
     )
@@ -126,8 +125,10 @@ def asset_links(artifacts: DataFrame, by=RUN) -> DataFrame:
             F.explode(F.array_distinct(F.array(F.col("filename"), basename(F.col("filename"))))).alias("_key"),
         )
         .groupBy(*by, "kind", "_key")
-        .agg(F.max_by(F.struct("filename", "_full"), "file_ord").alias("_t"))
-        .where("_t._full").select(*by, "kind", "_key", F.col("_t.filename").alias("target"))
+        .agg(F.max_by(F.struct("filename", "file_ord", "_full"), "file_ord").alias("_t"))
+        .where("_t._full").select(
+            *by, "kind", "_key", F.struct("_t.filename", "_t.file_ord").alias("target")
+        )
     )
     refs = asset_refs(artifacts, by).withColumn("_id", F.struct("html", "ref_ord"))
     tries = refs.select(
@@ -141,7 +142,9 @@ def asset_links(artifacts: DataFrame, by=RUN) -> DataFrame:
         .groupBy(*by, "html", "ref_ord", "kind", "ref", "tag")
         .agg(F.min(F.when(F.col("target").isNotNull(), F.struct("_try", "target"))).alias("_hit"))
         .select(
-            *by, "html", "ref_ord", "kind", "ref", "tag", F.col("_hit.target").alias("target"),
+            *by, "html", "ref_ord", "kind", "ref", "tag",
+            F.col("_hit.target.filename").alias("target"),
+            F.col("_hit.target.file_ord").alias("target_ord"),
             F.col("_hit").isNotNull().alias("resolved"),
         )
     )
@@ -151,19 +154,26 @@ def inline_assets(artifacts: DataFrame, links: DataFrame, by=RUN) -> DataFrame:
     """Pages with resolved stylesheet and script tags replaced by the text they point to."""
     by = list(by)
     bodies = links.where("resolved").join(
-        artifacts.select(*by, F.col("filename").alias("target"), F.col("content").alias("_body")),
-        [*by, "target"],
+        artifacts.select(
+            *by, F.col("filename").alias("target"), F.col("file_ord").alias("target_ord"),
+            F.col("content").alias("_body"),
+        ),
+        [*by, "target", "target_ord"],
     )
     wrapped = F.when(
         F.col("kind") == "css", F.concat(F.lit("<style>\n"), F.col("_body"), F.lit("\n</style>"))
     ).otherwise(F.concat(F.lit("<script>\n"), F.col("_body"), F.lit("\n</script>")))
     per_page = bodies.groupBy(*by, F.col("html").alias("filename")).agg(
-        F.array_sort(F.collect_list(F.struct("ref_ord", "tag", wrapped.alias("body")))).alias("_subs")
-    )
-    text = F.aggregate(
-        F.coalesce("_subs", F.array().cast("array<struct<ref_ord:int,tag:string,body:string>>")),
-        F.col("content"), lambda html, s: F.replace(html, s["tag"], s["body"]),
+        F.map_from_entries(F.collect_list(F.struct("ref_ord", wrapped.alias("body")))).alias("_subs")
     )
+    # texts between tags and tags alternate, so what was put in is never searched again
+    gaps = F.split("content", ASSET_TAG, -1)
+    tags = F.regexp_extract_all("content", F.lit(ASSET_TAG), F.lit(0))
+    text = F.when(F.col("_subs").isNull(), F.col("content")).otherwise(F.array_join(
+        F.transform(gaps, lambda gap, i: F.concat(
+            gap, F.coalesce(F.try_element_at("_subs", i), F.get(tags, i), F.lit(""))
+        )), "",
+    ))
     low = F.lower("filename")
     return (
         artifacts.where(low.endswith(".html") | low.endswith(".htm"))

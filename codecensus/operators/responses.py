@@ -42,8 +42,8 @@ def _broken(text: Column) -> Column:
         start = F.when(strip(rest) != "", rstrip(rest))
         closing = F.instr(body, "</file")
         before = F.substring(body, F.lit(1), closing - 1)
-        whole = F.regexp_extract(before, r"(?s)^(.*\n)?[^\n]*$", 1)
-        partial = F.regexp_extract(before, r"(?s)([^\n]*)$", 1)
+        partial = F.substring_index(before, "\n", -1)
+        whole = F.substring(before, F.lit(1), F.length(before) - F.length(partial))
         closed = F.concat(whole, F.when(strip(partial) != "", rstrip(partial)).otherwise(""))
         is_closed = F.coalesce(closing > 0, F.lit(False))
         lines = F.when(is_closed, closed).otherwise(body)

@@ -85,8 +85,11 @@ def filter_log(log: DataFrame, levels=None, category: str = "ALL", query: str =
 
 
 def log_since(log: DataFrame, since) -> DataFrame:
-    """Entries strictly newer than a cursor; the comparison reaches the file scan."""
-    return log.where(F.col("ts") > F.lit(since))
+    """Entries strictly newer than a cursor.
+
+    The cursor takes the column's own type, so the comparison reaches the file scan.
+    """
+    return log.where(F.col("ts") > F.lit(since).cast(log.schema["ts"].dataType))
 
 
 def is_placeholder(src):

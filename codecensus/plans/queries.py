@@ -245,7 +245,7 @@ def _(spark, d):
 
 
 @query("export_log_text", with_views(
-    """SELECT event_id, '[' || strftime(ts, '%H:%M:%S.') || lpad(CAST(epoch_ms(ts) % 1000 AS VARCHAR), 3, '0') || '] '
+    """SELECT event_id, '[' || strftime(ts, '%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || '] '
          || level || ' [' || category || '] ' || message || chr(10) || '  {' || chr(10) || '  "k": '
          || CAST(json_extract(details, '$.k') AS VARCHAR) || chr(10) || '}' AS line FROM v_debug_log""", "v_debug_log"))
 def _(spark, d):
@@ -905,14 +905,11 @@ def _(spark, d):
 
 
 LINK_CTE = f"""
-rf AS (SELECT repo_id, run_id, filename AS html, i - 1 AS ref_ord, t[i].kind AS kind, t[i].ref AS ref, t[i].tag AS tag FROM (
-         SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (
-           SELECT repo_id, run_id, filename, list_concat(
-             list_transform(range(1, len(c0) + 1), lambda j: {{'kind': 'css', 'ref': CASE WHEN c1[j] <> '' THEN c1[j] ELSE c2[j] END, 'tag': c0[j]}}),
-             list_transform(range(1, len(s0) + 1), lambda j: {{'kind': 'js', 'ref': s1[j], 'tag': s0[j]}})) AS t
-           FROM (SELECT *, {', '.join(f"regexp_extract_all(content, {q('(?i)' + rules.STYLESHEET_LINK)}, {n}) AS c{n}" for n in (0, 1, 2))},
-                   {', '.join(f"regexp_extract_all(content, {q('(?i)' + rules.SCRIPT_LINK)}, {n}) AS s{n}" for n in (0, 1))}
-                 FROM v_linked WHERE ends_with(filename, '.html'))))),
+rf AS (SELECT repo_id, run_id, filename AS html, i - 1 AS ref_ord, CASE WHEN starts_with(c0[i], '<link') THEN 'css' ELSE 'js' END AS kind,
+         coalesce(c1[i], '') || coalesce(c2[i], '') || coalesce(c3[i], '') AS ref, c0[i] AS tag FROM (
+         SELECT *, unnest(range(1, len(c0) + 1)) AS i FROM (
+           SELECT *, {', '.join(f"regexp_extract_all(content, {q('(?i)' + rules.STYLESHEET_LINK + '|' + rules.SCRIPT_LINK)}, {n}) AS c{n}" for n in (0, 1, 2, 3))}
+           FROM v_linked WHERE ends_with(filename, '.html')))),
 ky AS (SELECT repo_id, kind, k, arg_max(filename, file_ord) AS target FROM (
          SELECT repo_id, file_ord, filename, CASE WHEN ends_with(filename, '.css') THEN 'css' ELSE 'js' END AS kind, unnest([filename, {s_base('filename')}]) AS k
          FROM v_linked WHERE ends_with(filename, '.css') OR ends_with(filename, '.js')) GROUP BY 1, 2, 3),
@@ -924,13 +921,13 @@ lk AS (SELECT rf.*, coalesce(a.target, b.target, c.target) AS target FROM rf
 
 @query("asset_links", with_views("SELECT repo_id, html, ref_ord, kind, ref, tag, target, target IS NOT NULL AS resolved FROM lk", "v_linked", more=LINK_CTE))
 def _(spark, d):
-    return markup.asset_links(views.linked_pages(spark, d)).drop("run_id")
+    return markup.asset_links(views.linked_pages(spark, d)).drop("run_id", "target_ord")
 
 
 @query("inline_assets", with_views(
     """SELECT p.repo_id, p.filename, length(p.content) + coalesce(x.d, 0) AS chars FROM v_linked p LEFT JOIN (
          SELECT repo_id, html, sum(n * (length(body) + CASE kind WHEN 'css' THEN 17 ELSE 19 END - length(tag))) AS d FROM (
-           SELECT lk.repo_id, lk.html, lk.kind, lk.tag, count(*) AS n, any_value(t.content) AS body FROM lk JOIN v_linked t ON t.repo_id = lk.repo_id AND t.filename = lk.target
+           SELECT lk.repo_id, lk.html, lk.kind, lk.tag, count(DISTINCT ref_ord) AS n, arg_max(t.content, t.file_ord) AS body FROM lk JOIN v_linked t ON t.repo_id = lk.repo_id AND t.filename = lk.target
            GROUP BY 1, 2, 3, 4) GROUP BY 1, 2) x ON x.repo_id = p.repo_id AND x.html = p.filename WHERE ends_with(p.filename, '.html')""", "v_linked", more=LINK_CTE))
 def _(spark, d):
     arts = views.linked_pages(spark, d)
@@ -976,7 +973,7 @@ def _(spark, d):
     images = docs.select(
         F.col("source").alias("repo_id"), F.substring("text", 1, 40).alias("hint"),
         views.pick(("image/png", "image/jpeg", "image/svg+xml", "image/tiff"), F.col("n_chars") % 4).alias("mime"),
-        F.base64(F.col("text").cast("binary")).alias("image_base64"))
+        F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")).alias("image_base64"))
     return markup.asset_manifest(images)
 
 

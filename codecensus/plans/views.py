@@ -116,7 +116,7 @@ def pages(spark, sf_dir) -> DataFrame:
         site(F.col("url")).alias("repo_id"), F.lit("run0").alias("run_id"),
         F.col("page_id").alias("file_ord"),
         F.concat(F.lit("pages/p"), F.col("page_id").cast("string"), F.lit(".html")).alias("filename"),
-        F.replace("html", F.lit("<a href="), F.lit('<img alt="a" src=')).alias("content"),
+        F.replace("html", F.lit('<a href="'), F.concat(F.lit('<img alt="a" src="'), site(F.col("url")))).alias("content"),
     )
 
 
@@ -291,7 +291,7 @@ _SQL = {
     "v_pages": """
         SELECT regexp_extract(url, '://([^/]+)', 1) AS repo_id, 'run0' AS run_id, page_id AS file_ord,
                'pages/p' || page_id || '.html' AS filename,
-               replace(html, '<a href=', '<img alt="a" src=') AS content
+               replace(html, '<a href="', '<img alt="a" src="' || regexp_extract(url, '://([^/]+)', 1)) AS content
         FROM pages""",
     "v_linked": f"""
         SELECT * FROM (

@@ -131,7 +131,7 @@ def attempt_memory_stream(events: DataFrame) -> DataFrame:
     state, not its events.  Needs the RocksDB state store provider.
     """
     slim = events.select(
-        "repo_id", F.unix_micros("ts").alias("micros"), "event_id", "kind", "error_type",
+        "repo_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "event_id", "kind", "error_type",
         F.substring("error_message", 1, rules.ERROR_MESSAGE_CHARS).alias("error_message"),
         F.substring("context", 1, rules.ERROR_NOTE_CHARS).alias("context"),
         lesson(F.col("error_type")).alias("lesson"), "decision", "patterns", "package", "issue",

@@ -114,6 +114,11 @@ def latest_version(spark, table: str, below: int | None = None) -> DataFrame | N
 
 # ---------------------------------------------------------------- checkpoints
 
+def micros(ts):
+    """Microseconds since the epoch of either timestamp type."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def checkpoint_pairing(
     checkpoints: DataFrame, responses: DataFrame, wait: int = rules.CHECKPOINT_WAIT_SECONDS
 ) -> DataFrame:
@@ -125,7 +130,7 @@ def checkpoint_pairing(
     is a join on equal keys.  No session is ever compared pairwise or held as a whole.
     """
     def slice_of(ts):
-        return F.floor(F.unix_micros(ts) / F.lit(wait * 1_000_000)).cast("bigint")
+        return F.floor(micros(ts) / F.lit(wait * 1_000_000)).cast("bigint")
 
     none = F.lit(None)
     asked = checkpoints.select(
@@ -150,7 +155,7 @@ def checkpoint_pairing(
         F.min(F.struct("ts", "action")).alias("_later")
     )
     near = F.coalesce("_next", F.when(
-        F.unix_micros("_later.ts") - F.unix_micros("ts") <= wait * 1_000_000, F.col("_later")
+        micros(F.col("_later.ts")) - micros(F.col("ts")) <= wait * 1_000_000, F.col("_later")
     ))
     return (
         inside.join(first_of_slice, ["session_id", "_slice"], "left")
@@ -159,7 +164,7 @@ def checkpoint_pairing(
             "session_id", "checkpoint_id", "ts",
             F.coalesce("_hit.action", F.lit("continue")).alias("action"),
             F.col("_hit").isNull().alias("timed_out"),
-            ((F.unix_micros("_hit.ts") - F.unix_micros("ts")) / F.lit(1_000_000)).alias("wait_s"),
+            ((micros(F.col("_hit.ts")) - micros(F.col("ts"))) / F.lit(1_000_000)).alias("wait_s"),
         )
     )
 
@@ -194,6 +199,6 @@ def first_responses(pairs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(F.col("response_ts"), "action", "timed_out")).alias("_f"))
         .select(
             "session_id", "checkpoint_id", "ts", "_f.action", "_f.timed_out",
-            ((F.unix_micros("_f.response_ts") - F.unix_micros("ts")) / F.lit(1_000_000)).alias("wait_s"),
+            ((micros(F.col("_f.response_ts")) - micros(F.col("ts"))) / F.lit(1_000_000)).alias("wait_s"),
         )
     )
