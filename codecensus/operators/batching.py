@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.paths import basename, dirname, extension, language, strip
-from ..functions.scale import BUCKET, positions_by_number, positions_by_range
+from ..functions.scale import BUCKET, durable, positions_by_number, positions_by_range
 from .matching import match_plan_paths, model_budget, remaining_files
 from .profile import analysis_payload
 
@@ -282,25 +282,31 @@ def plan_batches(
     """Planned batches, then leftovers, split at the budget; directory batches where the plan
     of a repository resolves to nothing."""
     meta = files.select("repo_id", "file_ord", "path", "chars")
-    taken = plan_assignments(plans, meta).select(
+    # resolved plan lines feed three joins; they are written once instead of resolved three times
+    taken = durable(plan_assignments(plans, meta).select(
         "repo_id", "batch_ord", "batch_name", "item_ord", "path"
-    )
-    planned_repos = taken.select("repo_id").distinct()
+    ))
+    columns = ("repo_id", "batch_rank", "batch_key", "batch_name", "item_ord", "file_ord", "path", "chars")
     planned = taken.join(meta, ["repo_id", "path"]).select(
         "repo_id", F.lit(1).alias("batch_rank"),
         F.lpad(F.col("batch_ord").cast("string"), 12, "0").alias("batch_key"), "batch_name",
         "item_ord", "file_ord", "path", "chars",
     )
-    left = remaining_files(meta.join(planned_repos, "repo_id", "left_semi"), taken).select(
-        "repo_id", F.lit(LAST_RANK).alias("batch_rank"), F.lit("").alias("batch_key"),
-        "batch_name", F.col("file_ord").alias("item_ord"), "file_ord", "path", "chars",
+    # leftovers of planned repositories and all files of the others
+    has_plan = taken.select("repo_id").distinct().withColumn("_planned", F.lit(True))
+    rest = remaining_files(meta, taken).withColumnRenamed("batch_name", "_left").join(
+        has_plan, "repo_id", "left"
     )
-    other = directory_groups(meta.join(planned_repos, "repo_id", "left_anti")).select(
-        "repo_id", "batch_rank", "batch_key", "batch_name",
-        F.col("file_ord").alias("item_ord"), "file_ord", "path", "chars",
+    on_plan = F.col("_planned").isNotNull()
+    rest = (
+        directory_groups(rest)
+        .withColumn("batch_rank", F.when(on_plan, LAST_RANK).otherwise(F.col("batch_rank")))
+        .withColumn("batch_key", F.when(on_plan, "").otherwise(F.col("batch_key")))
+        .withColumn("batch_name", F.when(on_plan, F.col("_left")).otherwise(F.col("batch_name")))
+        .withColumn("item_ord", F.col("file_ord"))
     )
     return pack_by_budget(
-        planned.unionByName(left).unionByName(other),
+        planned.unionByName(rest.select(*columns)),
         ["repo_id", "batch_rank", "batch_key", "batch_name"], budget, "item_ord", bucket=bucket,
     ).select(*BATCH_COLUMNS).withColumn("batch_name", part_name(F.col("batch_name")))
 

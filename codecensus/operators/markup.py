@@ -16,44 +16,52 @@ def _matches(text: Column, pattern: str, context: int, kind: str) -> Column:
     """All matches with offset and line.
 
     The text between two matches is what ``split`` returns, so running sums over the lengths of
-    gaps and matches give exact offsets without a search per match.
+    gaps and matches give exact offsets without a search per match.  Each regular expression
+    runs once per row: lambdas below touch array elements only.
     """
-    full = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    group = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    gaps = F.split(text, pattern, -1)
+    zero = F.lit(0).cast("bigint")
+    found = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("src"),
+        F.split(text, pattern, -1).alias("gap"),
+    )
 
     def newlines(s):
         return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
-    pieces = F.transform(full, lambda m, i: F.struct(
-        F.length(F.get(gaps, i)).cast("bigint").alias("gap"), F.length(m).cast("bigint").alias("len"),
-        newlines(F.get(gaps, i)).cast("bigint").alias("gap_nl"), newlines(m).cast("bigint").alias("nl"),
-    ))
-    zero = F.lit(0).cast("bigint")
-    # each entry: characters and line breaks before the match, and behind it
-    ends = F.aggregate(
-        pieces,
-        F.array(F.struct(zero.alias("start"), zero.alias("line"), zero.alias("end"), zero.alias("end_nl"))),
-        lambda acc, p: F.array_append(acc, F.struct(
-            (F.element_at(acc, -1)["end"] + p["gap"]).alias("start"),
-            (F.element_at(acc, -1)["end_nl"] + p["gap_nl"]).alias("line"),
-            (F.element_at(acc, -1)["end"] + p["gap"] + p["len"]).alias("end"),
-            (F.element_at(acc, -1)["end_nl"] + p["gap_nl"] + p["nl"]).alias("end_nl"),
-        )),
+    def entry(m, src, start, line, end, end_line):
+        return F.struct(
+            m.alias("m"), src.alias("src"), start.cast("bigint").alias("start"),
+            line.cast("bigint").alias("line"), end.cast("bigint").alias("end"),
+            end_line.cast("bigint").alias("end_line"),
+        )
+
+    def add(acc, x):
+        last = F.element_at(acc, -1)
+        start, line = last["end"] + F.length(x["gap"]), last["end_line"] + newlines(x["gap"])
+        return F.array_append(acc, entry(
+            x["m"], x["src"], start, line, start + F.length(x["m"]), line + newlines(x["m"])
+        ))
+
+    none = F.lit(None).cast("string")
+    placed = F.aggregate(
+        # the text behind the last match has no match of its own
+        F.filter(found, lambda x: x["m"].isNotNull()),
+        F.array(entry(none, none, zero, zero, zero, zero)), add,
+        lambda acc: F.filter(acc, lambda x: x["m"].isNotNull()),
     )
 
-    def row(at, i):
-        m = F.get(full, i)
-        lo = F.greatest(at["start"] - context, zero)
-        around = F.substring(text, (lo + 1).cast("int"), (at["end"] + context - lo).cast("int"))
-        alt = F.regexp_extract(m, "(?i)" + rules.ALT_TEXT, 1) if kind == "img_tag" else F.lit("")
+    def row(x):
+        lo = F.greatest(x["start"] - context, zero)
+        around = F.substring(text, (lo + 1).cast("int"), (x["end"] + context - lo).cast("int"))
+        alt = F.regexp_extract(x["m"], "(?i)" + rules.ALT_TEXT, 1) if kind == "img_tag" else F.lit("")
         return F.struct(
-            F.lit(kind).alias("type"), F.get(group, i).alias("src"), alt.alias("alt"),
-            (at["line"] + 1).cast("int").alias("line"), strip(around).alias("context"),
-            m.alias("full_match"), at["start"].alias("offset"),
+            F.lit(kind).alias("type"), x["src"].alias("src"), alt.alias("alt"),
+            (x["line"] + 1).cast("int").alias("line"), strip(around).alias("context"),
+            x["m"].alias("full_match"), x["start"].alias("offset"),
         )
 
-    return F.transform(F.slice(ends, 2, F.greatest(F.size(full), F.lit(1))), row)
+    return F.transform(placed, row)
 
 
 def image_refs(artifacts: DataFrame, by=("repo_id",)) -> DataFrame:
@@ -86,14 +94,15 @@ ASSET_TAG = "(?i)" + rules.STYLESHEET_LINK + "|" + rules.SCRIPT_LINK
 
 def asset_refs(artifacts: DataFrame, by=RUN) -> DataFrame:
     """Stylesheet links and script sources of pages in page order: (…, html, ref_ord, kind, ref, tag)."""
-    text, pattern = F.col("content"), F.lit(ASSET_TAG)
-    groups = [F.regexp_extract_all(text, pattern, F.lit(g)) for g in (1, 2, 3)]
+    tags = F.arrays_zip(*[
+        F.regexp_extract_all("content", F.lit(ASSET_TAG), F.lit(g)).alias(f"g{g}") for g in range(4)
+    ])
 
-    def row(tag, i):
+    def row(x):
         return F.struct(
-            F.when(F.lower(tag).startswith("<link"), "css").otherwise("js").alias("kind"),
-            F.concat(*[F.get(g, i) for g in groups]).alias("ref"),  # all but one are empty
-            tag.alias("tag"),
+            F.when(F.lower(x["g0"]).startswith("<link"), "css").otherwise("js").alias("kind"),
+            F.concat(x["g1"], x["g2"], x["g3"]).alias("ref"),  # all but one are empty
+            x["g0"].alias("tag"),
         )
 
     low = F.lower("filename")
@@ -101,8 +110,7 @@ def asset_refs(artifacts: DataFrame, by=RUN) -> DataFrame:
         artifacts.where(low.endswith(".html") | low.endswith(".htm"))
         .select(
             *by, F.col("filename").alias("html"),
-            F.posexplode(F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), row))
-            .alias("ref_ord", "_r"),
+            F.posexplode(F.transform(tags, row)).alias("ref_ord", "_r"),
         )
         .select(*by, "html", "ref_ord", "_r.kind", "_r.ref", "_r.tag")
     )
@@ -167,11 +175,13 @@ def inline_assets(artifacts: DataFrame, links: DataFrame, by=RUN) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("ref_ord", wrapped.alias("body")))).alias("_subs")
     )
     # texts between tags and tags alternate, so what was put in is never searched again
-    gaps = F.split("content", ASSET_TAG, -1)
-    tags = F.regexp_extract_all("content", F.lit(ASSET_TAG), F.lit(0))
+    pieces = F.arrays_zip(
+        F.split("content", ASSET_TAG, -1).alias("gap"),
+        F.regexp_extract_all("content", F.lit(ASSET_TAG), F.lit(0)).alias("tag"),
+    )
     text = F.when(F.col("_subs").isNull(), F.col("content")).otherwise(F.array_join(
-        F.transform(gaps, lambda gap, i: F.concat(
-            gap, F.coalesce(F.try_element_at("_subs", i), F.get(tags, i), F.lit(""))
+        F.transform(pieces, lambda x, i: F.concat(
+            x["gap"], F.coalesce(F.try_element_at("_subs", i), x["tag"], F.lit(""))
         )), "",
     ))
     low = F.lower("filename")

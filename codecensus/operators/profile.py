@@ -93,92 +93,86 @@ def repo_findings(files: DataFrame) -> DataFrame:
     marker into a combinable minimum over (repository, endpoint); decorator endpoints are kept
     as they come.
     """
-    path, content = F.col("path"), F.col("content")
+    path, content, low = F.col("path"), F.col("content"), F.col("_low")
     low_path = F.lower(path)
+    none = F.array().cast(ITEMS)
 
-    def item(kind, value, phase=0, pos=0, dedup=False):
+    def item(kind, value, phase=0, pos=None, dedup=False):
         return F.struct(
             F.lit(kind).alias("kind"), value.alias("value"), F.lit(phase).alias("phase"),
-            F.lit(pos).cast("int").alias("pos"), F.lit(dedup).alias("dedup"),
+            (F.lit(0) if pos is None else pos).cast("int").alias("pos"), F.lit(dedup).alias("dedup"),
         )
 
     def one(condition, *items):
-        return F.when(condition, F.array(*items)).otherwise(F.array().cast(ITEMS))
+        return F.when(condition, F.array(*items)).otherwise(none)
 
-    def endpoints(condition, pattern, base, with_plain):
-        methods = F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
-        targets = F.regexp_extract_all(content, F.lit(pattern), F.lit(2))
-        values = F.zip_with(
-            methods, targets, lambda m, t: F.concat(F.upper(m), F.lit(" "), t)
+    def found(pattern):
+        return F.zip_with(
+            F.regexp_extract_all(content, F.lit(pattern), F.lit(1)),
+            F.regexp_extract_all(content, F.lit(pattern), F.lit(2)),
+            lambda m, t: F.concat(F.upper(m), F.lit(" "), t),
         )
 
-        def build(dedup):
-            return F.transform(values, lambda v, i: F.struct(
-                F.lit("endpoint").alias("kind"), v.alias("value"),
-                F.lit(0).alias("phase"),
-                (F.lit(base) + i).cast("int").alias("pos"), F.lit(dedup).alias("dedup"),
-            ))
-        rows = F.concat(build(False), build(True)) if with_plain else build(True)
-        return F.when(condition, rows).otherwise(F.array().cast(ITEMS))
-
-    decorated = contains_any(content, rules.DECORATOR_MARKERS)
-    called = contains_any(content, rules.CALL_MARKERS)
-    call_hit = called & content.rlike(rules.CALL_ENDPOINT)
+    # tests and lists that several findings share, each computed once per file
+    staged = (
+        files.select("repo_id", "file_ord", "path", "content", F.lower("content").alias("_low"))
+        .withColumn("_decorated", contains_any(content, rules.DECORATOR_MARKERS))
+        .withColumn("_called", contains_any(content, rules.CALL_MARKERS))
+        .withColumn("_database", first_match(low, rules.DATABASE_RULES))
+        .withColumn("_decorator", F.when(F.col("_decorated"), found(rules.DECORATOR_ENDPOINT)))
+        .withColumn("_call", F.when(F.col("_called"), found(rules.CALL_ENDPOINT)))
+    )
+
+    def endpoints(values, base, dedup):
+        return F.when(values.isNotNull(), F.transform(
+            values, lambda v, i: item("endpoint", v, 0, F.lit(base) + i, dedup)
+        )).otherwise(none)
+
+    decorated, database = F.col("_decorated"), F.col("_database")
     is_schema = contains_any(low_path, rules.SCHEMA_HINTS)
     is_core = contains_any(low_path, rules.CORE_HINTS)
-    database = first_match(F.lower(content), rules.DATABASE_RULES)
-    prisma = database.isNull() & (
-        F.lower(content).contains("prisma") | path.endswith(".prisma")
-    )
+    prisma = database.isNull() & (low.contains("prisma") | path.endswith(".prisma"))
     env = F.slice(
         F.regexp_extract_all(content, F.lit(rules.ENV_VAR), F.lit(1)),
         1, rules.ENV_VARS_PER_FILE,
     )
+
+    def keep(text, pos, phase=0):
+        return item("must_preserve", F.concat(text if isinstance(text, Column) else F.lit(text), path),
+                    phase, F.lit(pos))
+
     items = F.concat(
-        one(
-            database.isin(*rules.PRESERVED_DATABASES),
-            item("must_preserve", F.concat(database, F.lit(" database connection in "), path), 0, 0),
-        ),
-        one(prisma, item("must_preserve", F.concat(F.lit("Prisma schema in "), path), 0, 0)),
-        one(
-            is_schema,
-            item("schema_file", path),
-            item("must_preserve", F.concat(F.lit("Database schema/model in "), path), 0, 1),
-        ),
-        one(
-            decorated,
-            item("must_preserve", F.concat(F.lit("API endpoints in "), path), 0, 2),
-        ),
-        one(
-            call_hit,
-            item("must_preserve", F.concat(F.lit("Express API endpoints in "), path), 0, 3),
-        ),
-        one(is_core, item("must_preserve", F.concat(F.lit("Core logic in "), path), 1, 0)),
+        one(database.isin(*rules.PRESERVED_DATABASES),
+            keep(F.concat(database, F.lit(" database connection in ")), 0)),
+        one(prisma, keep("Prisma schema in ", 0)),
+        one(is_schema, item("schema_file", path), keep("Database schema/model in ", 1)),
+        one(decorated, keep("API endpoints in ", 2)),
+        one(F.size(F.coalesce("_call", F.array())) > 0, keep("Express API endpoints in ", 3)),
+        one(is_core, keep("Core logic in ", 0, 1)),
         one(~is_core & contains_any(low_path, rules.MODERNIZE_HINTS), item("can_modernize", path, 1)),
-        endpoints(decorated, rules.DECORATOR_ENDPOINT, 0, True),
-        endpoints(called, rules.CALL_ENDPOINT, 1_000_000, False),
+        endpoints(F.col("_decorator"), 0, False),
+        endpoints(F.col("_decorator"), 0, True),
+        endpoints(F.col("_call"), CALL_POSITIONS, True),
         F.when(
             path.contains(".env") | low_path.contains("config"),
-            F.transform(env, lambda v, i: F.struct(
-                F.lit("env_var").alias("kind"), v.alias("value"), F.lit(0).alias("phase"),
-                i.cast("int").alias("pos"), F.lit(False).alias("dedup"),
-            )),
-        ).otherwise(F.array().cast(ITEMS)),
+            F.transform(env, lambda v, i: item("env_var", v, 0, i)),
+        ).otherwise(none),
     )
-    long = files.select("repo_id", "file_ord", "path", F.inline(items))
+    long = staged.select("repo_id", "file_ord", "path", F.inline(items))
     place = F.struct("phase", "file_ord", "pos", "path")
     plain = F.when(~F.col("dedup"), place)
     return (
         long.withColumn("_own", plain)
         .groupBy("repo_id", "kind", "value", "_own")
-        .agg(F.min(F.struct("phase", "file_ord", "pos", "path")).alias("_at"),
-             F.count(F.lit(1)).alias("_n"))
+        .agg(F.min(place).alias("_at"))
         # a marker whose first occurrence is of the decorator form was listed already
-        .where(F.col("_own").isNotNull() | (F.col("_at.pos") >= 1_000_000))
+        .where(F.col("_own").isNotNull() | (F.col("_at.pos") >= CALL_POSITIONS))
         .select("repo_id", "_at.phase", "_at.file_ord", "_at.pos", "_at.path", "kind", "value")
     )
 
 
+# positions of the call form follow those of the decorator form in the same file
+CALL_POSITIONS = 1_000_000
 ITEMS = "array<struct<kind:string,value:string,phase:int,pos:int,dedup:boolean>>"
 
 
@@ -556,7 +550,7 @@ def token_profile(files: DataFrame) -> DataFrame:
     """Tokens per repository, token language and class.
 
     One regular expression per language family cuts each line into tokens; a class is decided
-    from a token's first character, so counting needs no Python.
+    from a token's first character, so counting needs no Python and no further pattern.
     """
     ext = F.lower(F.substring_index("path", ".", -1))
     lang = F.coalesce(lookup(rules.TOKEN_LANGUAGE_BY_EXTENSION, ext), F.lit("other"))
@@ -564,16 +558,29 @@ def token_profile(files: DataFrame) -> DataFrame:
         F.filter(F.split("content", "\n"), lambda line: line != ""),
         lambda line: _line_tokens(line, F.col("token_language")),
     )
-    return (
+    tokens = (
         files.withColumn("token_language", lang)
-        .select("repo_id", "token_language", F.explode(F.flatten(counts)).alias("token"))
-        .select("repo_id", "token_language", F.explode(_token_classes(
-            F.col("token"), F.col("token_language"))).alias("class"))
-        .groupBy("repo_id", "token_language", "class")
-        .agg(F.count(F.lit(1)).alias("tokens"))
+        .select("repo_id", "token_language", F.explode(F.flatten(counts)).alias("_token"))
+        .withColumn("_first", F.substring("_token", 1, 1))
+        # a word that takes its opening bracket along also counts as a bracket
+        .withColumn("_call", F.col("_token").endswith("(") & F.col("_first").isin(*WORD_STARTS)
+                    & (F.length("_token") > 1))
+    )
+    per_class = (
+        tokens.groupBy("repo_id", "token_language", _token_class().alias("class"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("_call").alias("calls"))
+    )
+    return (
+        per_class.select("repo_id", "token_language", F.inline(F.array(
+            F.struct(F.col("class").alias("class"), F.col("n").alias("n")),
+            F.struct(F.lit("bracket").alias("class"), F.col("calls").alias("n")),
+        )))
+        .where(F.col("class").isNotNull() & (F.col("n") > 0))
+        .groupBy("repo_id", "token_language", "class").agg(F.sum("n").alias("tokens"))
     )
 
 
+WORD_STARTS = tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
 TOKEN_COMMENT = {"py": r"#.*", "js": r"//.*", "css": r"//.*", "json": r"//.*",
                  "html": r"<!--.*?-->|<!--.*"}
 TOKEN_STRING = (
@@ -603,27 +610,29 @@ def _line_tokens(line: Column, lang: Column) -> Column:
     return out
 
 
-def _token_classes(token: Column, lang: Column) -> Column:
-    """Classes of a token; a word that takes its opening bracket along gives two."""
-    called = token.rlike(r"^[A-Za-z0-9_$]+\($")
-    word = F.when(called, F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+def _token_class() -> Column:
+    """Class of a token by its first character; plain words and white space have none."""
+    token, first, lang = F.col("_token"), F.col("_first"), F.col("token_language")
+    word = F.when(F.col("_call"), F.substring(token, F.lit(1), F.length(token) - 1)).otherwise(token)
+    comment = (
+        ((first == "#") & (lang == "py"))
+        | ((first == "/") & lang.isin("js", "css", "json") & token.startswith("//"))
+        | ((first == "<") & (lang == "html") & token.startswith("<!--"))
+    )
     keyword = F.when(lang == "py", word.isin(*rules.PYTHON_KEYWORDS)).otherwise(
         word.isin(*rules.SCRIPT_KEYWORDS)
     )
-    comment = (
-        ((lang == "py") & token.startswith("#"))
-        | (lang.isin("js", "css", "json") & token.startswith("//"))
-        | ((lang == "html") & token.startswith("<!--"))
+    word_class = (
+        F.when(keyword, "keyword")
+        .when(first.between("A", "Z") & (F.length(word) > 1), "type")
+        .when(F.col("_call"), "function")
+    )
+    return (
+        F.when(first.isin(*WORD_STARTS), word_class)
+        .when(comment, "comment")
+        .when(first.isin('"', "'", "`"), "string")
+        .when(first.isin(*"0123456789"), "number")
+        .when(first.isin(*"()[]{}"), "bracket")
+        .when(first.isin(*"=><+-*/%!&|^~?:;,."), "operator")
+        .otherwise(F.when(token.contains("@"), "decorator"))
     )
-    kind = (
-        F.when(comment, "comment")
-        .when(token.rlike("""^["'`]"""), "string")
-        .when(token.rlike(r"^\s?@"), "decorator")
-        .when(token.rlike(r"^[0-9]"), "number")
-        .when(token.rlike(r"^[()\[\]{}]"), "bracket")
-        .when(token.rlike(r"^[=><+\-*/%!&|^~?:;,.]"), "operator")
-        .when(keyword, "keyword")
-        .when(word.rlike(r"^[A-Z]") & (F.length(word) > 1), "type")
-        .when(called, "function")
-    )
-    return F.array_compact(F.array(kind, F.when(called, F.lit("bracket"))))

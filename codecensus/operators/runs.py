@@ -27,7 +27,11 @@ def classify_errors(logs: DataFrame, log: str = "log", table=rules.ERROR_RULES)
         rule = F.when(hit, i) if rule is None else rule.when(hit, i)
     patterns = F.array(*[F.lit(FLAGS + p) for p, _ in table])
     types = F.array(*[F.lit(t) for _, t in table])
-    marked = logs.withColumn("_low", F.lower(text)).withColumn("_rule", rule)
+    # a generated column is computed once; a projected one would be computed again inside every
+    # filter and expression above that mentions it
+    marked = logs.withColumn("_low", F.lower(text)).select(
+        *logs.columns, F.explode(F.array(rule)).alias("_rule")
+    )
     pattern = F.get(patterns, F.col("_rule"))
     before = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
     width = F.length(F.regexp_substr(text, pattern))
@@ -38,7 +42,7 @@ def classify_errors(logs: DataFrame, log: str = "log", table=rules.ERROR_RULES)
         .withColumn("error_type", F.coalesce(F.get(types, F.col("_rule")), F.lit("")))
         .withColumn("error_message", F.when(F.col("_rule").isNotNull(), around).otherwise(""))
         .withColumn("early_crash", contains_any(text, rules.CRASH_INDICATORS))
-        .drop("_rule", "_low")
+        .drop("_rule")
     )
 
 

@@ -40,12 +40,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores if the scan has fewer splits than that.
+
+    Only small inputs are meant: a table of many files has more splits than cores and is left
+    as it is, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def pick(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def files(spark, sf_dir) -> DataFrame:
+def files(spark, sf_dir, deal: bool = False) -> DataFrame:
     d = table(spark, sf_dir, "documents")
+    d = spread(d) if deal else d
     i = F.col("doc_id")
     return d.select(
         F.col("source").alias("repo_id"), i.alias("file_ord"),
@@ -59,7 +70,7 @@ def files(spark, sf_dir) -> DataFrame:
 
 
 def code(spark, sf_dir) -> DataFrame:
-    return files(spark, sf_dir).withColumn(
+    return files(spark, sf_dir, deal=True).withColumn(
         "content", F.concat(pick(SNIPPETS, F.floor(F.col("file_ord") / 3) % 8), F.col("content"))
     )
 
@@ -111,7 +122,7 @@ def site(url: Column) -> Column:
 
 def pages(spark, sf_dir) -> DataFrame:
     """Pages whose anchors became image tags."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     return p.select(
         site(F.col("url")).alias("repo_id"), F.lit("run0").alias("run_id"),
         F.col("page_id").alias("file_ord"),
@@ -126,7 +137,7 @@ ANCHOR = r'<a href="/([^"]*)">[^<]*</a>'
 def linked_pages(spark, sf_dir) -> DataFrame:
     """Pages whose anchors became script and stylesheet references, plus one script per word
     of the first page that uses it and one stylesheet per page."""
-    p = table(spark, sf_dir, "pages")
+    p = spread(table(spark, sf_dir, "pages"))
     html = F.regexp_replace(
         F.regexp_replace("html", ANCHOR, '<script src="js/$1.js"></script>'),
         "</title>", '</title><link rel="stylesheet" href="/main.css">',
@@ -200,7 +211,7 @@ def attempts(spark, sf_dir) -> DataFrame:
 
 def run_logs(spark, sf_dir) -> DataFrame:
     """Four attempts per run, one event each."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
     run = F.floor(F.col("event_id") / 4)
     return e.select(
