@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.scale import top_rows
+from ..functions.fifo import push, thin
+from ..functions.scale import BUCKET, durable, positions_by_range, top_rows
 from .runs import lesson
 
 AT = ("ts", "event_id")
@@ -95,18 +97,87 @@ def success_history(events: DataFrame, n: int = rules.KEEP_HISTORY) -> DataFrame
     return top_rows(won, ["repo_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
 
 
-def success_patterns(events: DataFrame, n: int = rules.KEEP_PATTERNS) -> DataFrame:
-    """Distinct patterns of successes in order of first appearance, the last n of them."""
-    firsts = (
-        events.where(F.col("kind") == "success")
-        .select("repo_id", at().alias("_at"), F.posexplode("patterns").alias("_i", "pattern"))
-        .groupBy("repo_id", "pattern").agg(F.min(F.struct("_at", "_i")).alias("_first"))
+def success_patterns(
+    events: DataFrame, n: int = rules.KEEP_PATTERNS, bucket: int = BUCKET
+) -> DataFrame:
+    """Patterns a repository keeps, newest first: distinct ones in order of entry, the last n.
+
+    A repository that never showed more than n distinct patterns never evicts one, so order of
+    first appearance is exact there and is a plain aggregate.  The others are replayed in order
+    by :func:`_replayed`.
+    """
+    rows = events.where(F.col("kind") == "success").select(
+        "repo_id", at().alias("_at"), F.posexplode("patterns").alias("_i", "pattern")
     )
-    return top_rows(firsts, ["repo_id"], [F.col("_first").desc()], n).select(
-        "repo_id", "pattern", F.col("_first._at.ts").alias("first_seen"), "rank"
+    firsts = rows.groupBy("repo_id", "pattern").agg(F.min(F.struct("_at", "_i")).alias("_first"))
+    many = firsts.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > n)
+    few = top_rows(
+        firsts.join(many, "repo_id", "left_anti"), ["repo_id"], [F.col("_first").desc()], n
+    ).select("repo_id", "pattern", F.col("_first._at.ts").alias("first_seen"), "rank")
+    if many.isEmpty():
+        return few
+    return few.unionByName(_replayed(rows.join(many.select("repo_id"), "repo_id", "left_semi"), n, bucket))
+
+
+HELD = "array<struct<ts:timestamp_ntz,pattern:string>>"
+
+
+def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
+    """The kept patterns of repositories that evict, exactly, without one task per repository.
+
+    A repository's pattern sequence is cut into segments of ``bucket`` rows.  All segments are
+    replayed at once, each from the list its predecessor ended with in the round before (the
+    first round guesses an empty one), until no segment starts from a different list than it
+    last did.  That state is the one a single pass would reach.  A repository of one segment
+    needs one round; lists of this kind forget their start quickly, so others need few.
+    """
+    flat = rows.select(
+        "repo_id", F.col("_at.ts").cast("timestamp_ntz").alias("ts"),
+        F.col("_at.event_id").alias("event_id"), "_i", "pattern",
+    )
+    placed = positions_by_range(flat, ["repo_id"], ["ts", "event_id", "_i"])
+    empty = F.array().cast(HELD)
+
+    def run(start: pd.Series, seq: pd.Series) -> pd.Series:
+        return pd.Series([push(a, b, n, _name) for a, b in zip(start, seq)])
+
+    def drop(seq: pd.Series) -> pd.Series:
+        return pd.Series([thin(x, n, _name) for x in seq])
+
+    replay, thinned = F.pandas_udf(run, HELD), F.pandas_udf(drop, HELD)
+    state = durable(
+        placed.withColumn("_seg", F.floor((F.col("position") - 1) / bucket).cast("bigint"))
+        .groupBy("repo_id", "_seg")
+        .agg(F.array_sort(F.collect_list(F.struct("position", "ts", "pattern"))).alias("_rows"))
+        .select("repo_id", "_seg", thinned(
+            F.transform("_rows", lambda x: F.struct(x["ts"].alias("ts"), x["pattern"].alias("pattern")))
+        ).alias("_seq"))
+        .withColumn("_start", empty)
+        .withColumn("_end", replay("_start", "_seq"))
+    )
+    while True:
+        before = state.select("repo_id", (F.col("_seg") + 1).alias("_seg"), F.col("_end").alias("_given"))
+        linked = state.join(before, ["repo_id", "_seg"], "left").withColumn(
+            "_given", F.coalesce("_given", empty)
+        )
+        moved = F.col("_given") != F.col("_start")
+        if linked.where(moved).isEmpty():
+            break
+        again = linked.where(moved).select(
+            "repo_id", "_seg", "_seq", F.col("_given").alias("_start")
+        ).withColumn("_end", replay("_start", "_seq"))
+        state = durable(again.unionByName(linked.where(~moved).drop("_given")))
+    last = state.groupBy("repo_id").agg(F.max_by("_end", "_seg").alias("_end"))
+    return last.select("repo_id", F.posexplode(F.reverse("_end")).alias("_p", "_x")).select(
+        "repo_id", "_x.pattern", F.col("_x.ts").cast(rows.schema["_at"].dataType["ts"].dataType).alias("first_seen"),
+        (F.col("_p") + 1).alias("rank"),
     )
 
 
+def _name(x):
+    return x["pattern"]
+
+
 def dependency_pain_points(events: DataFrame) -> DataFrame:
     """First recorded issue of every package of a repository."""
     return (

@@ -385,7 +385,10 @@ def declared_node_deps(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- layout, roles, paths
 
 def frontend_layout(files: DataFrame, path: str = "filename", by=("repo_id",)) -> DataFrame:
-    """Front-end type (last config file wins), its directories, and page directories."""
+    """Front-end and page directories, long form: (…, dir, role, frontend_type).
+
+    The type is that of the last framework config file.
+    """
     p = F.col(path)
     low, name, folder = F.lower(p), basename(p), dirname(p)
     kind = (
@@ -399,51 +402,24 @@ def frontend_layout(files: DataFrame, path: str = "filename", by=("repo_id",)) -
         .when(name == "gatsby-config.js", "Gatsby")
         .when(name == "svelte.config.js", "SvelteKit")
     )
-    html = p.endswith(".html")
-    listed = html & contains_any(low, rules.STATIC_DIR_HINTS)
-    engine = ends_with_any(
-        p, (".ejs", ".pug", ".jade", ".hbs", ".handlebars", ".jinja2", ".j2", ".php", ".erb")
-    ) | (p.contains("/templates/") & html)
-    # a page in an unlisted directory counts only while no static page or template was seen
-    stray = html & ~listed & ~engine & (folder != "")
+    # every page counts as static: its own suffix is one of the listed hints
+    static = ends_with_any(p, rules.PAGE_EXTENSIONS)
     keys = list(by)
-    marked = files.select(
-        *keys, "file_ord", folder.alias("dir"), kind.alias("kind"),
-        (listed | engine).alias("static"), stray.alias("stray"),
-    )
-    firsts = marked.groupBy(*keys).agg(
-        last_by(F.col("kind"), F.col("file_ord"), F.col("kind").isNotNull()).alias("frontend_type"),
-        F.min(F.when(F.col("static"), F.col("file_ord"))).alias("_first_static"),
-        F.min(F.when(F.col("stray"), F.struct("file_ord", "dir"))).alias("_stray"),
-    )
-    # directories are made distinct before they are gathered, so hot repositories shrink first
+    marked = files.select(*keys, "file_ord", folder.alias("dir"), kind.alias("kind"), static.alias("static"))
+    kinds = marked.groupBy(*keys).agg(F.coalesce(
+        last_by(F.col("kind"), F.col("file_ord"), F.col("kind").isNotNull()), F.lit("unknown")
+    ).alias("frontend_type"))
+    # directories are made distinct as they are aggregated, so hot repositories shrink first
     dirs = (
         marked.where(F.col("kind").isNotNull() | F.col("static"))
         .groupBy(*keys, "dir")
         .agg(F.bool_or(F.col("kind").isNotNull()).alias("is_front"),
              F.bool_or("static").alias("is_static"))
     )
-    return _layout_rows(firsts, dirs, keys)
-
-
-def _layout_rows(firsts: DataFrame, dirs: DataFrame, keys) -> DataFrame:
-    """Long form: one row per (group, role, dir), with the group's front-end type."""
-    stray_counts = F.col("_stray").isNotNull() & (
-        F.col("_first_static").isNull() | (F.col("_stray.file_ord") < F.col("_first_static"))
-    )
-    none = F.array().cast("array<string>")
-    roles = dirs.select(
-        *keys, "dir",
-        F.explode(F.array_compact(F.array(
-            F.when(F.col("is_front"), F.lit("frontend")),
-            F.when(F.col("is_static"), F.lit("static")),
-        ))).alias("role"),
-    )
-    stray = firsts.where(stray_counts).select(
-        *keys, F.col("_stray.dir").alias("dir"), F.lit("static").alias("role")
-    )
-    kinds = firsts.select(*keys, F.coalesce("frontend_type", F.lit("unknown")).alias("frontend_type"))
-    return roles.unionByName(stray).distinct().join(kinds, keys)
+    roles = F.array_compact(F.array(
+        F.when(F.col("is_front"), F.lit("frontend")), F.when(F.col("is_static"), F.lit("static")),
+    ))
+    return dirs.select(*keys, "dir", F.explode(roles).alias("role")).join(kinds, keys)
 
 
 def python_stack_frontend(artifacts: DataFrame, by=("repo_id",)) -> DataFrame:

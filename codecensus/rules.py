@@ -205,6 +205,9 @@ BROWSER_MARKERS = ("document.", "window.", "addEventListener", "getElementById")
 DEFAULT_ENTRYPOINT = "modernized_stack/backend/main.py"
 
 STATIC_DIR_HINTS = ("public", "static", "views", "templates", "www", "html", "pages")
+PAGE_EXTENSIONS = (
+    ".html", ".ejs", ".pug", ".jade", ".hbs", ".handlebars", ".jinja2", ".j2", ".php", ".erb",
+)
 CONFIG_ROLE_NAMES = ("requirements.txt", "package.json", ".env", "Dockerfile")
 
 # --- fixed values: shell-safe paths ----------------------------------------------------------

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import rules
+from ..functions.fifo import push, thin
 from ..operators.runs import lesson
 
 SUMMARY = (
@@ -28,8 +30,12 @@ EMPTY = {
 
 
 def merge(a: dict, b: dict) -> dict:
-    """Combine two summaries.  Lists are ordered by (time, event), so order of arrival and the
-    way events were split into summaries do not matter."""
+    """Combine two summaries.
+
+    Lists are ordered by (time, event), so for them neither order of arrival nor the way events
+    were split into summaries matters.  Patterns are offered in turn: the summary that starts
+    earlier first, as a whole.
+    """
     def firsts(rows, name):
         out = {}
         for r in sorted(rows, key=lambda r: r["at"]):
@@ -53,7 +59,10 @@ def merge(a: dict, b: dict) -> dict:
         "failed": newest("failed", rules.KEEP_FAILURES),
         "decisions": decisions[max(0, cut - rules.KEEP_DECISIONS):cut] + decisions[cut:],
         "history": newest("history", rules.KEEP_HISTORY),
-        "patterns": firsts(a["patterns"] + b["patterns"], "pattern"),
+        "patterns": push(
+            [], chain(*sorted((a["patterns"], b["patterns"]), key=lambda x: x[0]["at"] if x else [])),
+            rules.KEEP_PATTERNS, _pattern,
+        ),
         "issues": firsts(a["issues"] + b["issues"], "package"),
     }
 
@@ -87,7 +96,13 @@ def summarise(rows) -> dict:
                 "at": at, "decision": r["decision"],
                 "outcome": "success" if kind == "success" else "pending",
             })
-    return merge(out, EMPTY)
+    sequence = sorted(out.pop("patterns"), key=lambda r: r["at"])
+    # merging trims the lists; the pattern sequence must stay whole until it meets its state
+    return {**merge({**out, "patterns": []}, EMPTY), "patterns": thin(sequence, rules.KEEP_PATTERNS, _pattern)}
+
+
+def _pattern(x):
+    return x["pattern"]
 
 
 def _partials(batches):
@@ -102,6 +117,10 @@ def _partials(batches):
         yield pd.DataFrame(rows, columns=["repo_id", "summary"])
 
 
+def _begin(summary):
+    return summary["patterns"][0]["at"] if summary["patterns"] else []
+
+
 class AttemptMemory(StatefulProcessor):
     """State of one repository: its summary as text."""
 
@@ -113,8 +132,8 @@ class AttemptMemory(StatefulProcessor):
 
         held = json.loads(self.state.get()[0]) if self.state.exists() else EMPTY
         for pdf in rows:
-            for text in pdf["summary"]:
-                held = merge(held, json.loads(text))
+            for part in sorted(map(json.loads, pdf["summary"]), key=_begin):
+                held = merge(held, part)
         text = json.dumps(held)
         self.state.update((text,))
         yield pd.DataFrame({"repo_id": [key[0]], "summary": [text]})
@@ -143,13 +162,3 @@ def attempt_memory_stream(events: DataFrame) -> DataFrame:
         outputMode="Update", timeMode="None",
     )
     return updated.select("repo_id", F.from_json("summary", SUMMARY).alias("memory"))
-
-
-def kept_patterns(memory: DataFrame, n: int = rules.KEEP_PATTERNS) -> DataFrame:
-    """Patterns a memory shows: the last n by first appearance."""
-    return memory.select(
-        "repo_id", F.explode(F.slice(
-            F.col("memory.patterns"),
-            F.greatest(F.size("memory.patterns") - n + 1, F.lit(1)), n,
-        )["pattern"]).alias("pattern"),
-    )

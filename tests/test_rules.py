@@ -337,9 +337,10 @@ def test_missing_files_cover_expected(spark, rows):
 
 def test_frontend_layout(spark, rows):
     tree = {"a/page.html": "", "b/page.html": "", "app/next.config.js": "", "web/package.json": "", "public/x.html": ""}
-    got = markup_layout = rows(profile.frontend_layout(artifacts_of(spark, tree)), "role", "dir", "frontend_type")
+    got = rows(profile.frontend_layout(artifacts_of(spark, tree)), "role", "dir", "frontend_type")
+    # any page counts as static, because "html" itself is one of the hints
     assert got == [("frontend", "app", "React/NPM"), ("frontend", "web", "React/NPM"), ("static", "a", "React/NPM"),
-                   ("static", "public", "React/NPM")] and markup_layout
+                   ("static", "b", "React/NPM"), ("static", "public", "React/NPM")]
     only = rows(profile.python_stack_frontend(artifacts_of(spark, {"x/index.html": ""})), "has_static", "frontend_dir")
     assert only == [(True, ".")]
 

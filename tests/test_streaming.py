@@ -81,7 +81,7 @@ def test_attempt_memory_equals_batch(spark, tmp_path):
 def test_merge_ignores_order_and_grouping():
     rng = random.Random(9)
     rows = [{"micros": rng.randrange(500), "event_id": i, "kind": rng.choice(["start", "success", "failure", "decision", "dependency"]),
-             "error_type": "E", "error_message": "m", "context": "c", "lesson": "l", "decision": f"d{i}", "patterns": [f"p{i % 9}"],
+             "error_type": "E", "error_message": "m", "context": "c", "lesson": "l", "decision": f"d{i}", "patterns": None,
              "package": f"k{i % 5}", "issue": f"i{i}", "stack": {"backend": str(i), "frontend": None, "database": None}} for i in range(120)]
     whole = attempt_memory.summarise(rows)
     for size in (1, 7, 50):
@@ -92,6 +92,49 @@ def test_merge_ignores_order_and_grouping():
         assert parts[0] == whole
 
 
+def test_thinning_never_changes_the_list():
+    from codecensus.functions.fifo import push, thin
+
+    rng = random.Random(4)
+    same = lambda x: x
+    for _ in range(3000):
+        n, alphabet = rng.randrange(1, 6), rng.randrange(1, 9)
+        seq = [rng.randrange(alphabet) for _ in range(rng.randrange(60))]
+        if rng.random() < 0.5:
+            seq = [0, 1] * 20 + seq
+        held = rng.sample(range(12), rng.randrange(n + 1))
+        assert push(held, thin(seq, n, same), n, same) == push(held, seq, n, same)
+
+
+@pytest.mark.parametrize("bucket", [5, 1000])
+def test_patterns_that_come_back(spark, tmp_path, bucket):
+    """More distinct patterns than are kept, evicted ones returning; batch and stream."""
+    from codecensus.functions.fifo import push
+
+    rng = random.Random(11)
+    base = [(i, "hot" if i % 3 else "few", i * 10, "success") for i in range(150)]
+    df = events_of(spark, base)
+    names = {i: ([f"p{rng.randrange(22)}", f"q{rng.randrange(3)}"] if r == "hot" else [f"p{rng.randrange(4)}"]) for i, r, _, _ in base}
+    table = spark.createDataFrame(list(names.items()), "event_id bigint, patterns array<string>")
+    df = df.drop("patterns").join(table, "event_id").select(*df.columns)
+    want = {repo: push([], [p for i, r, _, _ in base if r == repo for p in names[i]], 15, lambda x: x) for repo in ("hot", "few")}
+    got = {}
+    for r in memory.success_patterns(df, bucket=bucket).orderBy("rank").collect():
+        got.setdefault(r.repo_id, []).insert(0, r.pattern)
+    assert got == want
+    src = str(tmp_path / "in")
+    for lo in (0, 50, 100):
+        df.where(f"event_id >= {lo} AND event_id < {lo + 50}").coalesce(1).orderBy("event_id").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ATTEMPT_EVENTS).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (attempt_memory.attempt_memory_stream(stream).writeStream.outputMode("update").format("memory")
+         .queryName(f"patterns_{bucket}").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    last = {}
+    for r in spark.table(f"patterns_{bucket}").orderBy("memory.successes").collect():
+        last[r.repo_id] = [p.pattern for p in r.memory.patterns]
+    assert last == want
+
+
 LINES = [json.dumps({"type": "log", "content": "a"}), "", "  ", "{broken", json.dumps({"type": "files", "data": ["x", "y"]}),
          json.dumps({"type": "repo_files", "files": ["z"], "session_id": "s"}), "[1]", '"text"', json.dumps({"type": "log", "content": "b"})]
 
