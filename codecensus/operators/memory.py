@@ -119,7 +119,7 @@ def success_patterns(
     return few.unionByName(_replayed(rows.join(many.select("repo_id"), "repo_id", "left_semi"), n, bucket))
 
 
-HELD = "array<struct<ts:timestamp_ntz,pattern:string>>"
+HELD = "array<struct<micros:bigint,pattern:string>>"
 
 
 def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
@@ -132,10 +132,10 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
     needs one round; lists of this kind forget their start quickly, so others need few.
     """
     flat = rows.select(
-        "repo_id", F.col("_at.ts").cast("timestamp_ntz").alias("ts"),
+        "repo_id", F.unix_micros(F.col("_at.ts").cast("timestamp")).alias("micros"),
         F.col("_at.event_id").alias("event_id"), "_i", "pattern",
     )
-    placed = positions_by_range(flat, ["repo_id"], ["ts", "event_id", "_i"])
+    placed = positions_by_range(flat, ["repo_id"], ["micros", "event_id", "_i"])
     empty = F.array().cast(HELD)
 
     def run(start: pd.Series, seq: pd.Series) -> pd.Series:
@@ -148,9 +148,9 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
     state = durable(
         placed.withColumn("_seg", F.floor((F.col("position") - 1) / bucket).cast("bigint"))
         .groupBy("repo_id", "_seg")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "ts", "pattern"))).alias("_rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", "micros", "pattern"))).alias("_rows"))
         .select("repo_id", "_seg", thinned(
-            F.transform("_rows", lambda x: F.struct(x["ts"].alias("ts"), x["pattern"].alias("pattern")))
+            F.transform("_rows", lambda x: F.struct(x["micros"].alias("micros"), x["pattern"].alias("pattern")))
         ).alias("_seq"))
         .withColumn("_start", empty)
         .withColumn("_end", replay("_start", "_seq"))
@@ -169,7 +169,7 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
         state = durable(again.unionByName(linked.where(~moved).drop("_given")))
     last = state.groupBy("repo_id").agg(F.max_by("_end", "_seg").alias("_end"))
     return last.select("repo_id", F.posexplode(F.reverse("_end")).alias("_p", "_x")).select(
-        "repo_id", "_x.pattern", F.col("_x.ts").cast(rows.schema["_at"].dataType["ts"].dataType).alias("first_seen"),
+        "repo_id", "_x.pattern", F.timestamp_micros("_x.micros").cast(rows.schema["_at"].dataType["ts"].dataType).alias("first_seen"),
         (F.col("_p") + 1).alias("rank"),
     )
 
