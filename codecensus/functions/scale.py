@@ -45,7 +45,7 @@ def positions_by_number(
     per group.
     """
     keys = list(keys)
-    cut = df.withColumn("_range", F.floor(F.col(number) / F.lit(bucket)))
+    cut = df.withColumn("_range", bucket_of(number, bucket))
     before = (
         Window.partitionBy(*keys).orderBy("_range")
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -63,6 +63,11 @@ def positions_by_number(
     )
 
 
+def bucket_of(column: str, size: int) -> Column:
+    """Number of the bucket of ``size`` consecutive integers; exact for every bigint."""
+    return F.expr(f"CAST(`{column}` AS BIGINT) div {size}L")
+
+
 def positions_by_range(df: DataFrame, keys, order, out: str = "position") -> DataFrame:
     """1-based position inside each group by any sortable columns (strings included).
 

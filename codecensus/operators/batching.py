@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.paths import basename, dirname, extension, language, strip
-from ..functions.scale import BUCKET, durable, positions_by_number, positions_by_range
+from ..functions.scale import BUCKET, bucket_of, durable, positions_by_number, positions_by_range
 from .matching import match_plan_paths, model_budget, remaining_files
 from .profile import analysis_payload
 
@@ -49,7 +49,7 @@ def pack_by_budget(
     limit = budget if isinstance(budget, Column) else F.lit(budget)
     payload = [c for c in files.columns if c not in keys]
     seg = (
-        files.withColumn("_seg", F.floor(F.col(order) / F.lit(bucket)).cast("bigint"))
+        files.withColumn("_seg", bucket_of(order, bucket))
         .withColumn("_limit", limit.cast("bigint"))
         .withColumn("_item", F.struct(
             F.col(order).cast("bigint").alias("o"),

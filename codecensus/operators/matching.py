@@ -103,8 +103,14 @@ def match_plan_paths(plan_lines: DataFrame, files: DataFrame) -> DataFrame:
     name = basename(F.col("path"))
     by_name = first_file(files.withColumn("_k", name), "_k")
     wanted = slashless.select("repo_id", planned.alias("_k")).distinct()
+    # a repository's names are cut only to the lengths its plan asks for
+    lengths = wanted.groupBy("repo_id").agg(F.collect_set(F.length("_k")).alias("_lengths"))
+    cut = F.transform(
+        F.filter("_lengths", lambda n: n <= F.length(name)), lambda n: F.right(name, n)
+    )
     by_suffix = first_file(
-        files.select("repo_id", "file_ord", "path", F.explode(suffixes(name)).alias("_k"))
+        files.join(lengths, "repo_id")
+        .select("repo_id", "file_ord", "path", F.explode(cut).alias("_k"))
         .join(wanted, ["repo_id", "_k"], "left_semi"),
         "_k",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.fifo import push, thin
-from ..functions.scale import BUCKET, durable, positions_by_range, top_rows
+from ..functions.scale import BUCKET, bucket_of, durable, positions_by_range, top_rows
 from .runs import lesson
 
 AT = ("ts", "event_id")
@@ -146,7 +146,7 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
 
     replay, thinned = F.pandas_udf(run, HELD), F.pandas_udf(drop, HELD)
     state = durable(
-        placed.withColumn("_seg", F.floor((F.col("position") - 1) / bucket).cast("bigint"))
+        placed.withColumn("_seg", bucket_of("position", bucket))
         .groupBy("repo_id", "_seg")
         .agg(F.array_sort(F.collect_list(F.struct("position", "micros", "pattern"))).alias("_rows"))
         .select("repo_id", "_seg", thinned(

@@ -67,16 +67,31 @@ def file_stack(
     )
 
 
-def stack_profile(files: DataFrame, **tables) -> DataFrame:
+def rule_number(text: Column, table, strict: bool = False) -> Column:
+    """Position of the first rule that fires.  Numbers, unlike names, aggregate in place in a
+    hash table, which saves sorting the files by repository."""
+    return first_match(text, [(i, needles) for i, (_, needles) in enumerate(table)], strict)
+
+
+def _last_rule(number: str, table) -> Column:
+    last = F.max_by(number, F.when(F.col(number).isNotNull(), F.col("file_ord")))
+    return F.get(F.array(*[F.lit(value) for value, _ in table]), last)
+
+
+def stack_profile(
+    files: DataFrame,
+    backend=rules.BACKEND_RULES,
+    database=rules.DATABASE_RULES,
+    frontend=rules.FRONTEND_RULES,
+    strict: bool = False,
+) -> DataFrame:
     """Stack per repository: first rule wins in a file, the last matching file wins in a repo."""
-    return (
-        file_stack(files, **tables)
-        .groupBy("repo_id")
-        .agg(*[
-            last_by(F.col(c), F.col("file_ord"), F.col(c).isNotNull()).alias(c)
-            for c in ("backend", "database", "frontend")
-        ])
+    tables = {"backend": backend, "database": database, "frontend": frontend}
+    low = F.col("_low")
+    marked = files.select("repo_id", "file_ord", F.lower("content").alias("_low")).select(
+        "repo_id", "file_ord", *[rule_number(low, t, strict).alias(c) for c, t in tables.items()]
     )
+    return marked.groupBy("repo_id").agg(*[_last_rule(c, t).alias(c) for c, t in tables.items()])
 
 
 # ---------------------------------------------------------------- findings
@@ -189,11 +204,9 @@ def preservation_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
         ]
     )
     stack = (
-        file_stack(files).groupBy("repo_id").agg(
-            last_by(F.col("database"), F.col("file_ord"), F.col("database").isNotNull())
-            .alias("database"),
-            F.count(F.lit(1)).alias("total_files"),
-        )
+        files.select("repo_id", "file_ord", rule_number(F.lower("content"), rules.DATABASE_RULES).alias("_db"))
+        .groupBy("repo_id")
+        .agg(_last_rule("_db", rules.DATABASE_RULES).alias("database"), F.count(F.lit(1)).alias("total_files"))
     )
     zero = F.lit(0).cast("bigint")
     return stack.join(counts, "repo_id", "left").select(

@@ -1126,11 +1126,53 @@ def _(spark, d):
     return memory.dependency_pain_points(views.attempts(spark, d))
 
 
-@query("memory_text")
+@query("memory_text", with_views(
+    """SELECT repo_id, 'ATTEMPTS' || chr(10) || '  - total ' || ta || ', successful ' || sa || ', failed ' || fa || chr(10)
+         || coalesce('FAILURES' || chr(10) || ff || chr(10), '') || coalesce('PATTERNS' || chr(10) || pp || chr(10), '')
+         || coalesce('DEPENDENCIES' || chr(10) || de || chr(10), '') || coalesce('DECISIONS' || chr(10) || cc || chr(10), '')
+         || CASE WHEN be IS NOT NULL THEN 'STACK' || chr(10) || '  - ' || concat_ws(' / ', be, fe) || chr(10) ELSE '' END AS memory_text
+       FROM (SELECT repo_id, count(*) FILTER (kind = 'start') AS ta, count(*) FILTER (kind = 'success') AS sa, count(*) FILTER (kind = 'failure') AS fa,
+               (arg_max({'v': backend}, {'t': ts, 'e': event_id}) FILTER (has_stack)).v AS be, (arg_max({'v': frontend}, {'t': ts, 'e': event_id}) FILTER (has_stack)).v AS fe
+             FROM v_attempts GROUP BY 1)
+       LEFT JOIN (SELECT repo_id, string_agg('  - ' || error_type || ': ' || error_message[1:100] || ' | ' || lesson, chr(10) ORDER BY r DESC) AS ff FROM (
+                    SELECT *, LESSON AS lesson, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, event_id DESC) AS r FROM v_attempts WHERE kind = 'failure') WHERE r <= 5 GROUP BY 1) USING (repo_id)
+       LEFT JOIN (SELECT repo_id, string_agg('  - ' || pattern, chr(10) ORDER BY f) AS pp FROM (
+                    SELECT repo_id, pattern, min({'t': ts, 'e': event_id, 'i': i}) AS f FROM (
+                      SELECT repo_id, ts, event_id, unnest([0, 1]) AS i, unnest(patterns) AS pattern FROM v_attempts WHERE kind = 'success') GROUP BY 1, 2) GROUP BY 1) USING (repo_id)
+       LEFT JOIN (SELECT repo_id, string_agg('  - ' || package || ': ' || issue, chr(10) ORDER BY ts) AS de FROM (
+                    SELECT repo_id, package, arg_min(issue, {'t': ts, 'e': event_id}) AS issue, min(ts) AS ts FROM v_attempts WHERE kind = 'dependency' GROUP BY 1, 2) GROUP BY 1) USING (repo_id)
+       LEFT JOIN (SELECT repo_id, string_agg('  ' || CASE kind WHEN 'success' THEN '✓' ELSE '○' END || ' ' || decision, chr(10) ORDER BY r DESC) AS cc FROM (
+                    SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, event_id DESC) AS r FROM v_attempts WHERE kind IN ('success', 'decision')) WHERE r <= 5 GROUP BY 1) USING (repo_id)
+       WHERE ta > 0""".replace("LESSON", s_lesson("error_type")), "v_attempts"))
 def _(spark, d):
     return memory.memory_text(views.attempts(spark, d))
 
 
+@query("asset_artifacts", """
+    SELECT 'public/assets/' || regexp_replace(source, '[^a-zA-Z0-9_-]', '_', 'g') || '_' || md5(to_base64(encode(text))[1:100])[1:8] || CASE WHEN n_chars % 2 = 0 THEN '.svg' ELSE '.png' END AS filename,
+           md5(CASE WHEN n_chars % 2 = 0 THEN text ELSE 'data:image/png;base64,' || to_base64(encode(text)) END) AS digest FROM documents""")
+def _(spark, d):
+    docs = views.table(spark, d, "documents")
+    images = docs.select(
+        F.col("source").alias("repo_id"), F.col("source").alias("hint"),
+        views.pick(("image/svg+xml", "image/png"), F.col("n_chars") % 2).alias("mime"),
+        F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")).alias("image_base64"))
+    return markup.asset_artifacts(images, ["repo_id"]).select("filename", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query("python_stack_frontend", with_views(
+    """SELECT repo_id, bool_or(contains(f, 'frontend/package.json')) AS has_framework, bool_or(contains(f, 'frontend/index.html') OR f = 'index.html' OR ends_with(f, '/index.html')) AS has_static,
+         CASE WHEN bool_or(contains(f, 'frontend/package.json')) THEN 'modernized_stack/frontend' WHEN bool_or(contains(f, 'frontend/index.html')) THEN 'frontend'
+              WHEN bool_or(f = 'index.html' OR (ends_with(f, '/index.html') AND NOT contains(f, 'frontend'))) THEN '.' END AS frontend_dir
+       FROM (SELECT 'b' || (doc_id // 20) AS repo_id, ['frontend/package.json', 'web/frontend/index.html', 'index.html', 'x/index.html', 'a.py', 'b.py', 'c.py', 'd.py', 'e.py', 'f.py',
+             'g.py', 'h.py', 'i.py', 'j.py', 'k.py', 'l.py', 'm.py', 'n.py', 'o.py', 'p.py', 'q.py', 'r.py', 's.py', 't.py', 'u.py', 'v.py', 'w.py', 'x.py', 'y.py', 'z.py'][n_chars % 30 + 1] AS f FROM documents) GROUP BY 1"""))
+def _(spark, d):
+    names = ["frontend/package.json", "web/frontend/index.html", "index.html", "x/index.html"] + [f"{c}.py" for c in "abcdefghijklmnopqrstuvwxyz"]
+    docs = views.table(spark, d, "documents")
+    return profile.python_stack_frontend(docs.select(
+        F.concat(F.lit("b"), F.floor(F.col("doc_id") / 20).cast("string")).alias("repo_id"), views.pick(names, F.col("n_chars") % 30).alias("filename")))
+
+
 @query("checkpoint_pairing", with_views(
     """SELECT session_id, checkpoint_id, coalesce(a, 'continue') AS action, t IS NULL AS timed_out, (epoch_us(t) - epoch_us(ts)) / 1000000 AS wait_s FROM (
          SELECT c.session_id, c.checkpoint_id, c.ts, (min({'t': r.ts, 'a': r.action})).t AS t, (min({'t': r.ts, 'a': r.action})).a AS a

@@ -88,6 +88,8 @@ def recent_log_buffer(
                 .orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(n)
             )
         newest.write.mode("overwrite").parquet(f"{table}/version={batch_id}")
+        # a replay of this batch needs the version before it, nothing needs older ones
+        drop_versions(spark, table, below=batch_id - 1)
 
     return (
         log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -95,23 +97,32 @@ def recent_log_buffer(
     )
 
 
-def latest_version(spark, table: str, below: int | None = None) -> DataFrame | None:
-    """Newest complete version of a versioned table."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+def _versions(spark, table: str):
+    """(file system, {version: folder}) of the complete versions of a versioned table."""
+    jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(table)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    versions = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            versions.append(int(name.split("=")[1]))
-    versions = [v for v in versions if below is None or v < below]
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for status in fs.listStatus(root) if fs.exists(root) else ():
+        folder = status.getPath()
+        if folder.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            found[int(folder.getName().split("=")[1])] = folder
+    return fs, found
+
+
+def latest_version(spark, table: str, below: int | None = None) -> DataFrame | None:
+    """Newest complete version of a versioned table, or of those before ``below``."""
+    versions = [v for v in _versions(spark, table)[1] if below is None or v < below]
     return spark.read.parquet(f"{table}/version={max(versions)}") if versions else None
 
 
+def drop_versions(spark, table: str, below: int) -> None:
+    fs, found = _versions(spark, table)
+    for version, folder in found.items():
+        if version < below:
+            fs.delete(folder, True)
+
+
 # ---------------------------------------------------------------- checkpoints
 
 def micros(ts):
@@ -130,16 +141,17 @@ def checkpoint_pairing(
     is a join on equal keys.  No session is ever compared pairwise or held as a whole.
     """
     def slice_of(ts):
-        return F.floor(micros(ts) / F.lit(wait * 1_000_000)).cast("bigint")
+        # whole slices before the epoch do not occur in logs, so truncation is floor
+        return F.expr(f"unix_micros(CAST(`{ts}` AS TIMESTAMP)) div {wait * 1_000_000}L")
 
     none = F.lit(None)
     asked = checkpoints.select(
-        "session_id", "checkpoint_id", "ts", slice_of(F.col("ts")).alias("_slice"),
+        "session_id", "checkpoint_id", "ts", slice_of("ts").alias("_slice"),
         F.lit(1).alias("_order"), none.cast("string").alias("action"),
     )
     given = responses.select(
         "session_id", none.cast("string").alias("checkpoint_id"), "ts",
-        slice_of(F.col("ts")).alias("_slice"), F.lit(2).alias("_order"), "action",
+        slice_of("ts").alias("_slice"), F.lit(2).alias("_order"), "action",
     )
     answer = F.when(F.col("_order") == 2, F.struct("ts", "action"))
     ahead = (
