@@ -38,28 +38,32 @@ def pack_by_budget(
     sits alone; order is kept.  ``order`` is an integer that is unique in the group; ``budget``
     is a number or a column that is constant per group.
 
-    A group is cut into segments of ``bucket`` order numbers.  What a segment does to packing
-    is a step function of the characters in the bin that is open before it: how many bins it
-    opens and what it leaves open.  Groups that span several segments get these functions
-    computed per segment in parallel, chained per group (a few numbers per segment), and every
-    segment is then packed by itself from the state it starts in.  The result is that of one
-    sequential pass, but no task ever holds more than one segment of files.
+    A group of more than ``bucket`` files is cut into segments of ``bucket`` order numbers.
+    What a segment does to packing is a step function of the characters in the bin that is open
+    before it: how many bins it opens and what it leaves open.  These functions are computed per
+    segment in parallel and chained per group (a few numbers per segment), and every segment is
+    then packed by itself from the state it starts in.  The result is that of one sequential
+    pass, but no task ever holds more than one segment of files.
     """
     keys = list(keys)
     limit = budget if isinstance(budget, Column) else F.lit(budget)
     payload = [c for c in files.columns if c not in keys]
+    # at most one group in ``bucket`` files can be this large, so the list is short
+    several = (
+        files.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bucket)
+        .select(*keys, F.lit(True).alias("_large"))
+    )
     seg = (
-        files.withColumn("_seg", bucket_of(order, bucket))
-        .withColumn("_limit", limit.cast("bigint"))
+        files.withColumn("_limit", limit.cast("bigint"))
         .withColumn("_item", F.struct(
             F.col(order).cast("bigint").alias("o"),
             F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"),
             F.struct(*payload).alias("row"),
         ))
-    )
-    several = (
-        seg.groupBy(*keys).agg(F.min("_seg").alias("_lo"), F.max("_seg").alias("_hi"))
-        .where(F.col("_lo") < F.col("_hi")).select(*keys)
+        .withColumn("_at", bucket_of(order, bucket))
+        .select(*keys, "_limit", "_item", "_at")
+        .join(several, keys, "left")
+        .withColumn("_seg", F.when(F.col("_large"), F.col("_at")).otherwise(F.lit(0).cast("bigint")))
     )
 
     def segments(rows, item):
@@ -68,7 +72,7 @@ def pack_by_budget(
         )
 
     steps = segments(
-        seg.join(several, keys, "left_semi"), F.struct("_item.o", "_item.n")
+        seg.where("_large"), F.struct("_item.o", "_item.n")
     ).select(*keys, "_seg", F.pandas_udf(_segment_step, STEP)(F.col("_items.n"), F.col("_limit")).alias("_step"))
     key_ddl = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema.fields
@@ -99,19 +103,20 @@ def _segment_step(sizes: pd.Series, limit: pd.Series) -> pd.DataFrame:
         ends = np.cumsum(n)
         before = ends - n
         total = int(ends[-1])
-        after = _next_bin(ends, before, cap)
-        opened = np.ones(len(n), dtype=np.int64)
-        left = total - before
+        after = _next_bin(ends, before, cap).tolist()
+        opened, left = [1] * len(n), (total - before).tolist()
         for i in range(len(n) - 1, -1, -1):
-            if after[i] < len(n):
-                opened[i] += opened[after[i]]
-                left[i] = left[after[i]]
+            j = after[i]
+            if j < len(n):
+                opened[i] += opened[j]
+                left[i] = left[j]
         room = cap - ends  # largest carry that still lets file j in
         keep = np.r_[True, room[1:] != room[:-1]] & np.r_[True, room[:-1] >= 0]
         at = np.flatnonzero(keep)
         return {
-            "bounds": room[at].tolist(), "opened": opened[at].tolist(), "left": left[at].tolist(),
-            "total": total, "fresh_opened": int(opened[0]), "fresh_left": int(left[0]),
+            "bounds": room[at].tolist(), "opened": [opened[j] for j in at],
+            "left": [left[j] for j in at], "total": total, "fresh_opened": opened[0],
+            "fresh_left": left[0],
         }
 
     return pd.DataFrame([one(n, c) for n, c in zip(sizes, limit)])
