@@ -15,14 +15,17 @@ def basename(path: Column) -> Column:
 
 def dirname(path: Column) -> Column:
     """Text before the last slash without trailing slashes; '' if there is no slash."""
-    return F.when(
-        path.rlike(r"^/+[^/]*$"), F.regexp_extract(path, r"^(/+)", 1)
-    ).otherwise(F.regexp_extract(path, r"(?s)^(.*[^/])/+[^/]*$", 1))
+    head = F.left(path, F.length(path) - F.length(basename(path)))
+    bare = F.rtrim(head, F.lit("/"))
+    return F.when(bare == "", head).otherwise(bare)
 
 
 def extension(path: Column) -> Column:
     """Last dot-suffix of the file name; leading dots never start one (``.env`` has none)."""
-    return F.regexp_extract(basename(path), r"(?s)^\.*[^.].*?(\.[^.]*)$", 1)
+    name = F.ltrim(basename(path), F.lit("."))
+    return F.when(
+        name.contains("."), F.concat(F.lit("."), F.substring_index(name, ".", -1))
+    ).otherwise("")
 
 
 def ends_with_any(value: Column, suffixes) -> Column:
