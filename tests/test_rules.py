@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import os
 import re
 
@@ -14,6 +15,9 @@ from codecensus.functions import paths
 from codecensus.operators import batching, markup, matching, memory, profile, responses, runs, selection
 from codecensus.sources import corpus, memory_store
 
+SHOP = "https://github.com/example/shop"
+SHOP_KEY = hashlib.md5(SHOP.encode()).hexdigest()[:16]
+
 LEGACY = {
     "backend/api.py": (
         "\nfrom flask import Flask, jsonify\nfrom flask_cors import CORS\n\napp = Flask(__name__)\n"
@@ -83,9 +87,9 @@ def test_paths_follow_posix_functions(spark):
 
 
 def test_safe_path_and_repo_key(spark):
-    df = spark.createDataFrame([("a  (b)//[c]__d.py", " https://GitHub.com/kirankishoreV-07/vsyk// ")], "p string, u string")
+    df = spark.createDataFrame([("a  (b)//[c]__d.py", " https://GitHub.com/Example/Shop// ")], "p string, u string")
     r = df.select(paths.safe_path(F.col("p")).alias("p"), paths.repo_key(F.col("u")).alias("k")).first()
-    assert r.p == "a_b/c_d.py" and r.k == "2a8928a45f19dacd"
+    assert r.p == "a_b/c_d.py" and r.k == SHOP_KEY
 
 
 def test_eligibility_reasons(spark):
@@ -460,8 +464,6 @@ def test_load_contents_stores(spark, rows):
 
 
 def test_artifacts_round_trip(spark, tmp_path):
-    import hashlib
-
     arts = artifacts_of(spark, {"a b.py": "x = 'é'\n", "n": None})
     got = corpus.write_artifacts(arts, str(tmp_path / "out"), 4).collect()
     body = "x = 'é'\n".encode()
@@ -475,8 +477,8 @@ def test_memory_documents(spark, tmp_path):
     import json
 
     doc = {"repo_url": "https://github.com/a/b", "repo_id": "x", "total_attempts": 3, "failures": [{"error_type": "E"}]}
-    url = "https://github.com/kirankishoreV-07/vsyk"
-    doc["repo_id"] = "2a8928a45f19dacd"
+    url = SHOP
+    doc["repo_id"] = SHOP_KEY
     (tmp_path / "a_memory.json").write_text(json.dumps(doc, indent=2))
     (tmp_path / "b_memory.json").write_text("{broken")
     repos = spark.createDataFrame([(url,), ("https://github.com/o/new",)], "repo_url string")
@@ -490,7 +492,7 @@ def test_memory_documents(spark, tmp_path):
     memory_store.write_memory(mem.where("total_attempts = 3").withColumn("total_attempts", F.lit(4).cast("bigint")), store, 4)
     back = {r.repo_url: r.total_attempts for r in memory_store.read_memory(spark, store).collect()}
     assert back == {url: 4, "https://github.com/o/new": 0}
-    memory_store.forget_repo(spark, store, spark.createDataFrame([("2a8928a45f19dacd",), ("unknown",)], "repo_id string"), 4)
+    memory_store.forget_repo(spark, store, spark.createDataFrame([(SHOP_KEY,), ("unknown",)], "repo_id string"), 4)
     assert [r.repo_url for r in memory_store.read_memory(spark, store).collect()] == ["https://github.com/o/new"]
 
 
