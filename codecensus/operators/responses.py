@@ -104,15 +104,23 @@ def strip_json_fence(text: Column) -> Column:
 
 
 def parse_edit_responses(responses: DataFrame, text: str = "text") -> DataFrame:
-    """JSON-array answers: rows of (pos, filename, content), with the outermost ``[…]`` tried
-    where the whole text is no array.  Elements without both fields are dropped."""
+    """JSON-array answers: rows of (pos, filename, content).
+
+    Where the whole text is no JSON, the outermost ``[…]`` is tried; JSON that is no array gives
+    nothing.  Elements that are not objects with both fields are dropped.
+    """
     keep = [c for c in responses.columns if c != text]
     clean = strip_json_fence(F.col(text))
-    schema = "array<struct<filename:string,content:string>>"
-    whole = F.when(clean.startswith("["), F.from_json(clean, schema))
-    part = F.from_json(F.regexp_extract(clean, r"(\[[\s\S]*\])", 1), schema)
+    array = F.when(F.try_parse_json(clean).isNull(), F.regexp_extract(clean, r"(\[[\s\S]*\])", 1)).when(
+        clean.startswith("["), clean
+    )
+    # elements of any shape are let through and looked into one by one
     files = F.filter(
-        F.coalesce(whole, part), lambda x: x["filename"].isNotNull() & x["content"].isNotNull()
+        F.transform(F.from_json(array, "array<variant>"), lambda x: F.struct(
+            F.try_variant_get(x, "$.filename", "string").alias("filename"),
+            F.try_variant_get(x, "$.content", "string").alias("content"),
+        )),
+        lambda x: x["filename"].isNotNull() & x["content"].isNotNull(),
     )
     return responses.select(*keep, F.posexplode(files).alias("pos", "_x")).select(
         *keep, "pos", "_x.filename", "_x.content"
