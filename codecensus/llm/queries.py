@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 from codecensus.llm import (
+    fingerprints,
     licenses,
     line_dedup,
     mixing,
     ngram_join,
     packing,
+    pii,
     quality,
     urls,
 )
 
 QUERIES = {
+    "op1_personal_data": pii.op1,
     "op3_mixing": mixing.op3,
     "op4_licenses": licenses.op4,
     "op5_quality_rules": quality.op5,
     "op6_line_dedup": line_dedup.op6,
     "op7_packing": packing.op7,
     "op8_url_filter": urls.op8,
+    "op9_fingerprints": fingerprints.op9,
     "op10_ngram_join": ngram_join.op10,
 }
 

@@ -58,7 +58,11 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     names = F.filter(F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0]), lambda x: x != "")
     words = F.filter(F.split(host, r"[.-]"), lambda x: x != "")
     kinds = (("host=", labels), ("word=", words), ("path=", parts), ("query=", names))
-    return F.array_distinct(F.concat(*[F.transform(v, lambda x, k=k: F.concat(F.lit(k), x)) for k, v in kinds]))
+
+    def named(kind: str):
+        return lambda x: F.concat(F.lit(kind), x)
+
+    return F.array_distinct(F.concat(*[F.transform(values, named(kind)) for kind, values in kinds]))
 
 
 def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
@@ -107,7 +111,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, carry=("page_id",),
         tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"), "unwanted")
     fired = matched_rules(different, mined_rules(labelled, **mining))
     rows = pages.select(*carry, F.col("url").alias("_url"))
-    out = rows.join(fired, rows._url == fired.url, "left")
+    out = rows.join(fired.withColumnRenamed("url", "_url"), "_url", "left")
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
     out = out.withColumn("host", host).withColumn("path", path)
     rule, verdict = fixed_rule(F.col("host"), F.col("path"), rules)

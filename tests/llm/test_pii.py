@@ -1,0 +1,60 @@
+"""Personal data against Python's own regular expressions."""
+
+from __future__ import annotations
+
+import re
+
+from codecensus.llm import pii
+from tests.llm.conftest import EDGE
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def passes(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "phone":
+        return 8 <= len(digits) <= 15
+    if kind == "card":
+        total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+        return 16 <= len(digits) <= 19 and total % 10 == 0
+    return True
+
+
+def base(text):
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m[0])]
+
+
+ROWS = [
+    (50, "a@b.co@c.de x.y_z@d.e.f_g@h.i a@b a@b..c @x.y é\U0001f600 q%w+e-r@s-t.u-v.", "a"),
+    (51, "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.255.0 1.2.3 9.9.9.9x 300.1.2.3.4", "a"),
+    (52, "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 12345678901234567890 4111  1111", "a"),
+    (53, "+1 (555) 123-4567 +49 30 1234 +12 +1234567890123456 +1-2-3-4-5-6-7-8- x++44 20 7946 0958", "a"),
+    (54, "7" * 20_000, "a"), (55, "a." * 20_000 + "@", "a"), (56, "+1" + "2 " * 9_000, "a"), (57, "1." * 9_000, "a"),
+    (60, "my IBAN DE89 3704 0044 0532 0130 00 here", "a"), (61, "my IBAN DE88 3704 0044 0532 0130 00 here", "a"),
+    (62, "amex card 378282246310005.", "a"), (63, "order 378282246310005.", "a"),
+    (64, "tel 927 555-7911 or", "a"), (65, "part no 927 555-7911 or", "a"), (66, "SSN 123-45-6789", "a"),
+]
+
+
+def test_spans(frame, small):
+    for docs in (frame([*EDGE, *ROWS]), small):
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        got = pii.found(docs).select("doc_id", pii.joined(pii.BASE).alias("base"), pii.joined([*pii.BASE, *pii.ADDED]).alias("all")).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            want = ",".join(f"{k}:{a}:{b}" for k, a, b in base(texts[r.doc_id]))
+            assert r.base == want, r.doc_id
+            assert r.all.startswith(r.base)
+
+
+def test_added_kinds(frame, spark):
+    got = {r.doc_id: r.spans for r in pii.found(frame(ROWS)).select("doc_id", pii.joined(pii.ADDED).alias("spans")).collect()}
+    assert got[60] == "iban:8:35" and got[61] == "" and got[62] == "short_card:10:25" and got[63] == ""
+    assert got[64] == "local_phone:4:16" and got[65] == "" and got[66] == "identity:4:15"
+    assert pii.found(spark.createDataFrame([], frame(ROWS).schema)).count() == 0
+    rows = pii.span_rows(frame([(1, "x a@b.co y", "s")])).collect()
+    assert [(r.kind, r.start, r.end, r.found) for r in rows] == [("email", 2, 8, "a@b.co")]
