@@ -37,6 +37,7 @@ from codecensus.llm.components import components
 
 WORDS = 5
 PORTION = 3_000_000
+PORTION_ROWS = 50_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -49,7 +50,7 @@ def portions(batches, column: str = "text"):
             text = (values[row].as_py() or "").encode()
             texts.append(text)
             size += len(text)
-            if size >= PORTION:
+            if size >= PORTION or len(texts) >= PORTION_ROWS:
                 yield batch, first, texts
                 texts, size, first = [], 0, row + 1
         if texts:

@@ -11,11 +11,13 @@ from codecensus.llm import (
     packing,
     pii,
     quality,
+    scoring,
     urls,
 )
 
 QUERIES = {
     "op1_personal_data": pii.op1,
+    "op2_lm_scoring": scoring.op2,
     "op3_mixing": mixing.op3,
     "op4_licenses": licenses.op4,
     "op5_quality_rules": quality.op5,
