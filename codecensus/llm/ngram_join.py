@@ -7,8 +7,8 @@ fragments of consecutive values. Documents with equal sets form one class and go
    prefixes are sent to fragments, and a class goes on if a prefix shingle of it occurs in another class.
 2. *Fragments.* The whole sets of those classes are sent to fragments, which keep the shingles of two or more
    classes, class by class. A class of which less than 3/4 of the shingles are shared has no partner and drops out.
-3. *Partial overlaps.* Every fragment counts, per shingle, the pairs of the shingle's leader (smallest hash) with
-   its other classes, so a shingle in m classes makes m - 1 pairs and never all of them. Summed per pair over
+3. *Partial overlaps.* Every fragment counts, per shingle, the pairs of the shingle's ``leaders`` (the first in a
+   pseudo-random order) with its other classes, so a shingle in m classes makes at most leaders * m pairs. Summed per pair over
    fragments the counts are lower bounds of overlaps; pairs that reach 3/4 are links. Links are closed to
    components, and the next of at most ``rounds`` rounds, with other leaders, only looks across components.
 4. *The rest, exactly.* Then all pairs of different components that share a prefix
@@ -37,6 +37,7 @@ from codecensus.llm.components import components
 
 WORDS = 5
 PORTION = 3_000_000
+LEADERS = 16
 PORTION_ROWS = 50_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -236,19 +237,19 @@ def fragment_labels(table: DataFrame) -> DataFrame:
 
 def _postings(row: dict, known: pa.Table):
     """Postings of a fragment that belong to labels in ``known``: group number, place in the fragment's labels,
-    prefix flag; and c and n by place."""
+    prefix flag; and c, n and s by place."""
     label = np.frombuffer(row["label"], np.int64)
     names = known.column("label").to_numpy()
     order = np.argsort(names)
     at = np.searchsorted(names[order], label)
     at = order[np.minimum(at, len(names) - 1)]
     alive = names[at] == label
-    c, n = known.column("c").to_numpy()[at], known.column("n").to_numpy()[at]
+    c, n, s = (known.column(x).to_numpy()[at] for x in ("c", "n", "s"))
     group = np.repeat(np.arange(len(row["groups"]) // 4), np.frombuffer(row["groups"], "<u4"))
     member = np.frombuffer(row["member"], "<u4").astype(np.int64)
     lead = np.frombuffer(row["lead"], bool)
     keep = alive[member]
-    return label, group[keep], member[keep], lead[keep], c, n
+    return label, group[keep], member[keep], lead[keep], c, n, s
 
 
 def _across(group: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -270,28 +271,39 @@ def _pair_table(label, n, x, y, both) -> pa.Table:
     return pa.table([pa.array(v, pa.int64()) for v in (label[a], label[b], n[a], n[b], both)], schema=_NO_PAIRS)
 
 
-def _fits(nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    return 4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)
+def _fits(n: np.ndarray, s: np.ndarray, x, y) -> np.ndarray:
+    """Whether overlaps as large as the shared shingles ``s`` of both allow could reach 3/4 of the union."""
+    return 7 * np.minimum(s[x], s[y]) >= 3 * (n[x] + n[y])
 
 
-def leader_overlaps(salt: int):
-    """Partial overlaps of each shingle's leader with the group's classes of other components."""
+def leader_overlaps(salt: int, leaders: int):
+    """Partial overlaps of each shingle's leaders with the group's classes of other components."""
     def count(fragment: pa.Table, known: pa.Table) -> pa.Table:
         if not fragment.num_rows or not known.num_rows:
             return _NO_PAIRS.empty_table()
-        label, group, member, _, c, n = _postings(fragment.to_pylist()[0], known)
+        label, group, member, _, c, n, s = _postings(fragment.to_pylist()[0], known)
         wide = _across(group, c[member])
         group, member = group[wide], member[wide]
         if not len(group):
             return _NO_PAIRS.empty_table()
         with np.errstate(over="ignore"):
             rank = mixed(label.astype(np.uint64) + np.uint64(salt) * _STEP)
+        # members of each group in the order of their rank: the first few are its leaders
         place = np.argsort(np.argsort(rank, kind="stable"), kind="stable")
+        order = np.lexsort((place[member], group))
+        member, group = member[order], group[order]
         begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        best = np.argsort(place)[np.minimum.reduceat(place[member], begin)]
-        leader = np.repeat(best, np.diff(np.append(begin, len(group))))
-        other = (c[leader] != c[member]) & _fits(n[leader], n[member])
-        pair, both = np.unique(leader[other] * len(label) + member[other], return_counts=True)
+        within = np.arange(len(member)) - np.repeat(begin, np.diff(np.append(begin, len(member))))
+        pair, both = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for k in range(leaders):
+            after = np.flatnonzero(within > k)
+            leader, other = member[after - within[after] + k], member[after]
+            fits = (c[leader] != c[other]) & _fits(n, s, leader, other)
+            leader, other = leader[fits], other[fits]
+            low, high = np.minimum(leader, other), np.maximum(leader, other)
+            found, often = np.unique(low * len(label) + high, return_counts=True)
+            pair, at = np.unique(np.concatenate([pair, found]), return_inverse=True)
+            both = np.bincount(at, weights=np.concatenate([both, often]), minlength=len(pair)).astype(np.int64)
         return _pair_table(label, n, pair // len(label), pair % len(label), both)
     return count
 
@@ -300,24 +312,23 @@ def prefix_pairs(fragment: pa.Table, known: pa.Table) -> pa.Table:
     """Pairs of different components that share a prefix shingle of both, each once per fragment."""
     if not fragment.num_rows or not known.num_rows:
         return _NO_PAIRS.empty_table()
-    label, group, member, lead, c, n = _postings(fragment.to_pylist()[0], known)
+    label, group, member, lead, c, n, s = _postings(fragment.to_pylist()[0], known)
     group, member = group[lead], member[lead]
     wide = _across(group, c[member])
     group, member = group[wide], member[wide]
+    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
+    end = np.append(begin[1:], len(group))
+    number = np.repeat(np.arange(len(begin)), end - begin)
+    order = np.argsort(member, kind="stable")
+    names, first = np.unique(member[order], return_index=True)
     found = [np.zeros(0, np.int64)]
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
-    pending = 0
-    for who in np.split(member, begin[1:]) if len(group) else []:
-        # members of another component, one row of the group at a time
-        for i in range(len(who) - 1):
-            rest = who[i + 1:]
-            rest = rest[(c[rest] != c[who[i]]) & _fits(n[rest], n[who[i]])]
-            if len(rest):
-                found.append(who[i] * len(label) + rest)
-                pending += len(rest)
-                if pending > 1_000_000:
-                    found, pending = [np.unique(np.concatenate(found))], 0
-    pair = np.unique(np.concatenate(found))
+    for x, groups in zip(names, np.split(number[order], first[1:])) if len(names) else []:
+        # all that meet x in a group, each once; the later of two finds the pair
+        met = np.unique(np.concatenate([member[begin[g]:end[g]] for g in groups]))
+        met = met[met < x]
+        met = met[(c[met] != c[x]) & _fits(n, s, met, x)]
+        found.append(met * len(label) + x)
+    pair = np.concatenate(found)
     return _pair_table(label, n, pair // len(label), pair % len(label), np.zeros(len(pair), np.int64))
 
 
@@ -363,7 +374,7 @@ def _links(partial: DataFrame) -> DataFrame:
     )
 
 
-def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, rounds: int = 3) -> DataFrame:
+def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
     """(label, c): component of every class that has links; ``c`` is the smallest label in it."""
     # one class per signature; its first row by key stands for it
     classes = durable(
@@ -376,7 +387,7 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
     fragments = durable(fragment_table(docs, chosen, max(4, -(-kept // per_fragment))))
     reach = durable(fragment_labels(fragments))
     shared = reach.groupBy("label").agg(F.sum("shared").alias("shared"))
-    alive = chosen.join(shared, "label").where("4 * shared >= 3 * n").select("label", "n")
+    alive = chosen.join(shared, "label").where("4 * shared >= 3 * n").select("label", "n", F.col("shared").alias("s"))
     state = durable(alive.withColumn("c", F.col("label")))
 
     def met(function, extra=None):
@@ -388,7 +399,7 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
         return durable(state.drop("c").join(grown.withColumnRenamed("id", "label"), "label"))
 
     for salt in range(rounds):
-        links = durable(_links(met(leader_overlaps(salt))))
+        links = durable(_links(met(leader_overlaps(salt, leaders))))
         if links.isEmpty():
             break
         state = closed(links)
@@ -401,10 +412,10 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
     return state.select("label", "n", "c")
 
 
-def grouped(docs: DataFrame, per_fragment: int = 2_000_000, rounds: int = 3) -> DataFrame:
+def grouped(docs: DataFrame, per_fragment: int = 2_000_000, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
     """(_key, doc_id, n_shingles, component_id) for every row."""
     table = durable(sets(docs))
-    state = class_components(docs, table, per_fragment, rounds)
+    state = class_components(docs, table, per_fragment, rounds, leaders)
     named = table.join(state.select(F.col("label").alias("s1"), "n", "c"), ["s1", "n"], "left").select(
         "_key", "doc_id", "n",
         # a class without links is a component of its own; an empty set is one per row
