@@ -46,9 +46,12 @@ _SCHEMA = pa.schema([("kind", pa.int32()), ("dest", pa.int32()), ("batch", pa.in
 SUMS, HEAD, STATS, WORDS, FOLLOWERS, UNSEEN, HISTORY, MASS, LATE, ASKING = range(10)
 
 
+def _pressed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
 def _row(kind: int, dest: int, batch: int, *arrays) -> tuple:
-    packed = [zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in arrays]
-    return (kind, dest, batch, *packed, *[None] * (5 - len(packed)))
+    return (kind, dest, batch, *map(_pressed, arrays), *[None] * (5 - len(arrays)))
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -161,10 +164,9 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 kinds = _starts(a, b)
                 runs = _starts(a[kinds])
                 rows.append((
-                    bucket[begin], (task << 32) + number, head if not rows else None, np.packbits(~held).tobytes(),
-                    a[kinds][runs].tobytes(), np.diff(np.append(runs, len(kinds))).astype("<u4").tobytes(), b[kinds].tobytes(),
-                    np.diff(np.append(kinds, len(a))).astype("<u4").tobytes(), text[begin:end].astype("<u2").tobytes(),
-                    n[begin:end].astype("<u4").tobytes()))
+                    bucket[begin], (task << 32) + number, head if not rows else None, *map(_pressed, (
+                        np.packbits(~held), a[kinds][runs], np.diff(np.append(runs, len(kinds))).astype("<u4"), b[kinds],
+                        np.diff(np.append(kinds, len(a))).astype("<u4"), text[begin:end].astype("<u2"), n[begin:end].astype("<u4")))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_ARROW.types)], schema=_PACKED_ARROW)
 
     return docs.mapInArrow(emit, _PACKED)
@@ -182,13 +184,13 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
             if r["head"]:
                 out.append((HEAD, 0, r["batch"], r["head"], None, None, None, None))
             batches.append(r["batch"])
-            texts = np.frombuffer(r["texts"], "<u4")
-            v.append(np.repeat(np.repeat(np.frombuffer(r["v"], np.uint64), np.frombuffer(r["types"], "<u4")), texts))
-            w.append(np.repeat(np.frombuffer(r["w"], np.uint64), texts))
-            place = np.frombuffer(r["text"], "<u2").astype(np.int64)
-            train.append(np.unpackbits(np.frombuffer(r["train"], np.uint8)).astype(bool)[place])
+            texts = _read(r["texts"], "<u4")
+            v.append(np.repeat(np.repeat(_read(r["v"], np.uint64), _read(r["types"], "<u4")), texts))
+            w.append(np.repeat(_read(r["w"], np.uint64), texts))
+            place = _read(r["text"], "<u2").astype(np.int64)
+            train.append(np.unpackbits(_read(r["train"], np.uint8)).astype(bool)[place])
             text.append(place + (i << 16))
-            n.append(np.frombuffer(r["n"], "<u4"))
+            n.append(_read(r["n"], "<u4"))
         v, w, text, n, train = map(np.concatenate, (v, w, text, n, train))
         order = np.lexsort((w, v))
         v, w, text, n, train = v[order], w[order], text[order], n[order].astype(np.int64), train[order]
@@ -356,7 +358,7 @@ def _finish(model: dict):
     return finish
 
 
-def scored(docs: DataFrame, held_out, per_bucket: int = 4_000_000) -> DataFrame:
+def scored(docs: DataFrame, held_out, per_bucket: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; the model learns from
     the rows where ``held_out`` (a column) is false. ``per_bucket``: tokens that a bucket is planned for."""
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
