@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from codecensus.functions.scale import durable
 from codecensus.llm.common import documents, hashed_words, mixed, row_key, text_of, unwrapped, wrapped
+from codecensus.llm.common import table as table_of
 from codecensus.llm.components import components
 
 WORDS = 5
@@ -382,9 +383,9 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
         .select(F.col("s1").alias("label"), "n", "_key"))
     total = table.agg(F.sum("n")).first()[0] or 0
     found = candidates(docs, max(4, -(-total // (4 * per_fragment))))
-    chosen = durable(classes.join(found, "label"))
+    chosen = table_of(classes.join(found, "label"))
     kept = chosen.agg(F.sum("n")).first()[0] or 0
-    fragments = durable(fragment_table(docs, chosen, max(4, -(-kept // per_fragment))))
+    fragments = table_of(fragment_table(docs, chosen, max(4, -(-kept // per_fragment))))
     reach = durable(fragment_labels(fragments))
     shared = reach.groupBy("label").agg(F.sum("shared").alias("shared"))
     alive = chosen.join(shared, "label").where("4 * shared >= 3 * n").select("label", "n", F.col("shared").alias("s"))
@@ -414,7 +415,7 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
 
 def grouped(docs: DataFrame, per_fragment: int = 2_000_000, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
     """(_key, doc_id, n_shingles, component_id) for every row."""
-    table = durable(sets(docs))
+    table = table_of(sets(docs))
     state = class_components(docs, table, per_fragment, rounds, leaders)
     named = table.join(state.select(F.col("label").alias("s1"), "n", "c"), ["s1", "n"], "left").select(
         "_key", "doc_id", "n",

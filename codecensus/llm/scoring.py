@@ -33,8 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecensus.functions.scale import durable
-from codecensus.llm.common import documents, hashed_words, mixed, text_of
+from codecensus.llm.common import documents, hashed_words, mixed, table, text_of
 from codecensus.llm.ngram_join import fragment_of, portions
 
 K = 5
@@ -178,9 +177,9 @@ def _count_of_counts(counts: np.ndarray) -> np.ndarray:
 
 def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
     """Step at the history's bucket."""
-    def settle(table: pa.Table) -> pa.Table:
+    def settle(group: pa.Table) -> pa.Table:
         out, v, w, text, n, train, batches = [], [], [], [], [], [], []
-        for i, r in enumerate(table.to_pylist()):
+        for i, r in enumerate(group.to_pylist()):
             if r["head"]:
                 out.append((HEAD, 0, r["batch"], r["head"], None, None, None, None))
             batches.append(r["batch"])
@@ -279,20 +278,20 @@ def _per_text(kind: int, batch: np.ndarray, text: np.ndarray, value: np.ndarray)
 
 
 def _by_word(model: dict):
-    def look(table: pa.Table) -> pa.Table:
-        rows = _rows(table, WORDS)
+    def look(group: pa.Table) -> pa.Table:
+        rows = _rows(group, WORDS)
         names, counts = _joined(rows, "a", np.uint64), _joined(rows, "b", np.int64)
         names, counts = np.concatenate([names, model["hot"]]), np.concatenate([counts, model["hot_counts"]])
         order = np.argsort(names)
         names, counts = names[order], counts[order]
         out = []
-        rows = _rows(table, FOLLOWERS)
+        rows = _rows(group, FOLLOWERS)
         v, w = _joined(rows, "a", np.uint64), _joined(rows, "b", np.uint64)
         histories, at = np.unique(v, return_inverse=True)
         mass = np.bincount(at, weights=_word_probability(_lookup(names, counts, w), model), minlength=len(histories))
         to = bucket_of(histories, None, model["hot"], model["buckets"])
         out += [_row(MASS, d, 0, histories[to == d], mass[to == d]) for d in np.unique(to)]
-        rows = _rows(table, UNSEEN)
+        rows = _rows(group, UNSEEN)
         v, w, batch, text, n = (_joined(rows, k, t) for k, t in zip("abcde", (np.uint64, np.uint64, np.int64, "<u2", "<u4")))
         out += _per_text(LATE, batch, text, n * np.log10(_word_probability(_lookup(names, counts, w), model)))
         asking = v != UNKNOWN
@@ -310,8 +309,8 @@ def backoff(few: np.ndarray, rest: np.ndarray, count: np.ndarray, mass: np.ndarr
 
 
 def _by_history(model: dict):
-    def look(table: pa.Table) -> pa.Table:
-        rows = _rows(table, HISTORY)
+    def look(group: pa.Table) -> pa.Table:
+        rows = _rows(group, HISTORY)
         v, count, rest = _joined(rows, "a", np.uint64), _joined(rows, "b", np.int64), _joined(rows, "d", np.int64)
         few = _joined(rows, "c", np.int64).reshape(-1, K)
         names, at = np.unique(v, return_inverse=True)
@@ -320,12 +319,12 @@ def _by_history(model: dict):
         every = np.zeros(len(names), np.int64)
         every[at] = count
         larger = np.bincount(at, weights=rest, minlength=len(names))
-        rows = _rows(table, MASS)
+        rows = _rows(group, MASS)
         mv, mass = _joined(rows, "a", np.uint64), _joined(rows, "b", np.float64)
         known = np.isin(mv, names)
         covered = np.bincount(np.searchsorted(names, mv[known]), weights=mass[known], minlength=len(names))
         logs = np.log10(backoff(total, larger, every, covered, model))
-        rows = _rows(table, ASKING)
+        rows = _rows(group, ASKING)
         v, batch, text, n = (_joined(rows, k, t) for k, t in zip("abcd", (np.uint64, np.int64, "<u2", "<u4")))
         return _table(_per_text(LATE, batch, text, n * _lookup(names, logs, v)))
 
@@ -336,17 +335,17 @@ _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 
 def _finish(model: dict):
-    def finish(table: pa.Table) -> pa.Table:
-        head = np.frombuffer(_rows(table, HEAD)[0]["a"], np.int64).reshape(4, -1)
+    def finish(group: pa.Table) -> pa.Table:
+        head = np.frombuffer(_rows(group, HEAD)[0]["a"], np.int64).reshape(4, -1)
         size = head.shape[1]
         base, score, known = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
         logs = np.log10(model["pair_discounts"])
-        for r in _rows(table, SUMS):
+        for r in _rows(group, SUMS):
             at = _read(r["a"], "<u2")
             base[at] += _read(r["b"], np.float64)
             score[at] += _read(r["c"], np.float64) + _read(r["e"], "<u4").reshape(-1, K) @ logs
             known[at] += _read(r["d"], "<u4")
-        for r in _rows(table, LATE):
+        for r in _rows(group, LATE):
             score[_read(r["a"], "<u2")] += _read(r["b"], np.float64)
         tokens = head[3] + 1
         base += np.log10(model["texts"] + 1.0) - tokens * np.log10(model["tokens"] + model["types"] + 1.0)
@@ -371,7 +370,7 @@ def scored(docs: DataFrame, held_out, per_bucket: int = 2_000_000) -> DataFrame:
     order = np.argsort(hot)
     hot, hot_counts = hot[order], hot_counts[order]
 
-    first = durable(_bigrams(rows, hot, buckets).groupBy("bucket").applyInArrow(_settle(buckets, hot, hot_counts), _TABLE))
+    first = table(_bigrams(rows, hot, buckets).groupBy("bucket").applyInArrow(_settle(buckets, hot, hot_counts), _TABLE))
     stats = [_read(bytes(r.a), np.int64) for r in first.where(F.col("kind") == STATS).select("a").toLocalIterator()]
     stats = sum(stats, np.zeros(2 * (K + 1) + 1, np.int64))
     special = hot_counts[hot != START]
@@ -384,7 +383,7 @@ def scored(docs: DataFrame, held_out, per_bucket: int = 2_000_000) -> DataFrame:
     left = (word_counts[:K] * np.arange(1, K + 1) * (1 - model["word_discounts"])).sum() + 1
     model["unknown"] = float(left / (model["tokens"] + 1))
 
-    second = durable(first.where(F.col("kind").isin(WORDS, FOLLOWERS, UNSEEN)).groupBy("dest").applyInArrow(_by_word(model), _TABLE))
+    second = table(first.where(F.col("kind").isin(WORDS, FOLLOWERS, UNSEEN)).groupBy("dest").applyInArrow(_by_word(model), _TABLE))
     third = (
         first.where(F.col("kind") == HISTORY).union(second.where(F.col("kind").isin(MASS, ASKING)))
         .groupBy("dest").applyInArrow(_by_history(model), _TABLE))
