@@ -1,46 +1,37 @@
 """A list that keeps the last n distinct values: a value enters only while it is absent.
 
-An evicted value that comes back enters again, so the list depends on the whole sequence, not
-on first appearances.
+Values come in events. All values of an event are offered first and the list is cut once, at the
+end of the event, so a value that stood in the list when its event began does not enter again.
+An evicted value that comes back later does, so the list depends on the whole sequence, not on
+first appearances.
 """
 
 from __future__ import annotations
 
 
-def push(held: list, values, n: int, key) -> list:
-    """``held`` after ``values`` were offered in order."""
+def push(held: list, values, n: int, key, event) -> list:
+    """``held`` after ``values`` were offered in order; ``event`` names the event of a value."""
     held = list(held)
     names = {key(x) for x in held}
-    for x in values:
-        if key(x) in names:
-            continue
-        held.append(x)
-        names.add(key(x))
-        if len(held) > n:
+
+    def cut():
+        while len(held) > n:
             names.discard(key(held.pop(0)))
+
+    last = None
+    for i, x in enumerate(values):
+        if i and event(x) != last:
+            cut()
+        last = event(x)
+        if key(x) not in names:
+            held.append(x)
+            names.add(key(x))
+    cut()
     return held
 
 
-def thin(values, n: int, key) -> list:
-    """Drop values that are certain to be present already, whatever the list held before.
-
-    A value repeated at once is present.  While at most n distinct values were offered, each can
-    enter only once, so among more full rounds over them than there are of them one round lets
-    nothing in; from then on all are present until a new value is offered.
-    """
-    out, seen, waiting, rounds, last = [], set(), set(), 0, None
-    for x in values:
-        k = key(x)
-        if k == last:
-            continue
-        last = k
-        if k not in seen:
-            seen.add(k)
-            rounds, waiting = 0, set(seen)
-        elif len(seen) <= n and rounds > len(seen):
-            continue
-        out.append(x)
-        waiting.discard(k)
-        if not waiting:
-            rounds, waiting = rounds + 1, set(seen)
-    return out
+def thin(values, key, event) -> list:
+    """Drop a value that repeats the one before it in the same event: it is present already."""
+    values = list(values)
+    same = lambda a, b: key(a) == key(b) and event(a) == event(b)
+    return [x for i, x in enumerate(values) if not i or not same(x, values[i - 1])]

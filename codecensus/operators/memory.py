@@ -116,42 +116,44 @@ def success_patterns(
     ).select("repo_id", "pattern", F.col("_first._at.ts").alias("first_seen"), "rank")
     if many.isEmpty():
         return few
-    return few.unionByName(_replayed(rows.join(many.select("repo_id"), "repo_id", "left_semi"), n, bucket))
+    won = events.where((F.col("kind") == "success") & (F.size("patterns") > 0))
+    return few.unionByName(_replayed(won.join(many.select("repo_id"), "repo_id", "left_semi"), n, bucket))
 
 
-HELD = "array<struct<micros:bigint,pattern:string>>"
+HELD = "array<struct<micros:bigint,event_id:bigint,pattern:string>>"
 
 
 def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
     """The kept patterns of repositories that evict, exactly, without one task per repository.
 
-    A repository's pattern sequence is cut into segments of ``bucket`` rows.  All segments are
+    A repository's successes are cut into segments of ``bucket`` events.  All segments are
     replayed at once, each from the list its predecessor ended with in the round before (the
     first round guesses an empty one), until no segment starts from a different list than it
     last did.  That state is the one a single pass would reach.  A repository of one segment
     needs one round; lists of this kind forget their start quickly, so others need few.
     """
     flat = rows.select(
-        "repo_id", F.unix_micros(F.col("_at.ts").cast("timestamp")).alias("micros"),
-        F.col("_at.event_id").alias("event_id"), "_i", "pattern",
+        "repo_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
+        F.col("event_id").cast("bigint").alias("event_id"), "patterns",
     )
-    placed = positions_by_range(flat, ["repo_id"], ["micros", "event_id", "_i"])
+    placed = positions_by_range(flat, ["repo_id"], ["micros", "event_id"])
     empty = F.array().cast(HELD)
 
     def run(start: pd.Series, seq: pd.Series) -> pd.Series:
-        return pd.Series([push(a, b, n, _name) for a, b in zip(start, seq)])
+        return pd.Series([push(a, b, n, _name, _event) for a, b in zip(start, seq)])
 
     def drop(seq: pd.Series) -> pd.Series:
-        return pd.Series([thin(x, n, _name) for x in seq])
+        return pd.Series([
+            thin(({"micros": r["micros"], "event_id": r["event_id"], "pattern": p} for r in x for p in r["patterns"]),
+                 _name, _event) for x in seq
+        ])
 
     replay, thinned = F.pandas_udf(run, HELD), F.pandas_udf(drop, HELD)
     state = durable(
         placed.withColumn("_seg", bucket_of("position", bucket))
         .groupBy("repo_id", "_seg")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "micros", "pattern"))).alias("_rows"))
-        .select("repo_id", "_seg", thinned(
-            F.transform("_rows", lambda x: F.struct(x["micros"].alias("micros"), x["pattern"].alias("pattern")))
-        ).alias("_seq"))
+        .agg(F.array_sort(F.collect_list(F.struct("position", "micros", "event_id", "patterns"))).alias("_rows"))
+        .select("repo_id", "_seg", thinned("_rows").alias("_seq"))
         .withColumn("_start", empty)
         .withColumn("_end", replay("_start", "_seq"))
     )
@@ -169,7 +171,7 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
         state = durable(again.unionByName(linked.where(~moved).drop("_given")))
     last = state.groupBy("repo_id").agg(F.max_by("_end", "_seg").alias("_end"))
     return last.select("repo_id", F.posexplode(F.reverse("_end")).alias("_p", "_x")).select(
-        "repo_id", "_x.pattern", F.timestamp_micros("_x.micros").cast(rows.schema["_at"].dataType["ts"].dataType).alias("first_seen"),
+        "repo_id", "_x.pattern", F.timestamp_micros("_x.micros").cast(rows.schema["ts"].dataType).alias("first_seen"),
         (F.col("_p") + 1).alias("rank"),
     )
 
@@ -178,6 +180,10 @@ def _name(x):
     return x["pattern"]
 
 
+def _event(x):
+    return x["micros"], x["event_id"]
+
+
 def dependency_pain_points(events: DataFrame) -> DataFrame:
     """First recorded issue of every package of a repository."""
     return (
@@ -203,7 +209,7 @@ def memory_text(events: DataFrame, failures: int = 5, decisions: int = 5) -> Dat
     summary = memory_rollup(events).where(F.col("total_attempts") > 0)
     past = joined(
         recent_failures(events, failures).withColumn("o", -F.col("rank")), F.col("o"),
-        F.concat(F.lit("  - "), F.col("error_type"), F.lit(": "), F.substring("error_message", 1, 100),
+        F.concat(F.lit("  - "), F.col("error_type"), F.lit(": "), F.coalesce(F.substring("error_message", 1, 100), F.lit("")),
                  F.lit(" | "), F.col("lesson")),
     ).withColumnRenamed("text", "_f")
     good = joined(

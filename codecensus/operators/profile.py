@@ -260,40 +260,34 @@ IMPORT_ROW = "array<struct<root:string,names:array<string>>>"
 def python_imports(files: DataFrame, exact: bool = False) -> DataFrame:
     """Import roots per Python file: (repo_id, path, root, names).
 
-    The default reads import lines with expressions only.  ``exact`` runs Python's own parser
+    The default reads import statements with expressions only: brackets, continued lines, semicolons.  ``exact`` runs Python's own parser
     on the same rows, which skips files with syntax errors and ignores import lines inside
     strings.
     """
     py = files.where(F.col("path").endswith(".py")).select("repo_id", "path", "content")
     if exact:
         return py.select("repo_id", "path", F.inline(F.pandas_udf(_parse_imports, IMPORT_ROW)(F.col("content"))))
-    lines = F.split("content", "\n")
-    plain = r"^\s*import\s+([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)"
-    frm = r"^\s*from\s+(\w[\w.]*)\s+import\s+\(?([\w\s,*]+)"
-
-    def roots(line):
-        modules = F.split(F.regexp_extract(line, plain, 1), r"\s*,\s*")
-        return F.transform(
-            modules,
-            lambda m: F.struct(
-                F.regexp_extract(m, r"^(\w+)", 1).alias("root"),
-                F.array().cast("array<string>").alias("names"),
-            ),
-        )
-
-    def from_row(line):
-        names = F.transform(
-            F.split(F.regexp_extract(line, frm, 2), ","),
-            lambda n: F.regexp_extract(n, r"^\s*([\w*]+)", 1),
-        )
-        return F.array(F.struct(
-            F.regexp_extract(line, r"^\s*from\s+(\w+)", 1).alias("root"), names.alias("names"),
-        ))
-
-    rows = F.flatten(F.transform(
-        F.filter(lines, lambda x: x.rlike(plain) | x.rlike(frm)),
-        lambda x: F.when(x.rlike(plain), roots(x)).otherwise(from_row(x)),
-    ))
+    # a statement begins a line or follows a semicolon; its names stand in brackets, over any number
+    # of lines, or on the rest of the line
+    rest = r"(?:\\\r?\n|[^;#\n(\\]++|\\)*+"
+    bracket = r"\((?:#[^\n]*+|[^)#]++)*+\)"
+    statement = (
+        rf"(?m)(?:^|;)[ \t]*(?:from[ \t]+(\w[\w.]*)[ \t]+import[ \t]*({bracket}|{rest})|import[ \t]+({rest}))"
+    )
+    source, names, modules = (F.regexp_extract_all("content", F.lit(statement), F.lit(g)) for g in (1, 2, 3))
+
+    def listed(text):
+        return F.split(F.regexp_replace(text, r"#[^\n]*|[()\\]", ""), ",")
+
+    def found(x):
+        plain = F.transform(listed(x["modules"]), lambda m: F.struct(
+            F.regexp_extract(m, r"^\s*(\w+)", 1).alias("root"), F.array().cast("array<string>").alias("names")))
+        given = F.filter(F.transform(listed(x["names"]), lambda n: F.regexp_extract(n, r"^\s*([\w*]+)", 1)), lambda n: n != "")
+        one = F.array(F.struct(F.regexp_extract(x["source"], r"^(\w+)", 1).alias("root"), given.alias("names")))
+        return F.when(x["source"] != "", one).otherwise(plain)
+
+    zipped = F.arrays_zip(source.alias("source"), names.alias("names"), modules.alias("modules"))
+    rows = F.filter(F.flatten(F.transform(zipped, found)), lambda r: r["root"] != "")
     return py.select("repo_id", "path", F.inline(rows))
 
 

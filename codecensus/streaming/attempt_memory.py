@@ -61,7 +61,7 @@ def merge(a: dict, b: dict) -> dict:
         "history": newest("history", rules.KEEP_HISTORY),
         "patterns": push(
             [], chain(*sorted((a["patterns"], b["patterns"]), key=lambda x: x[0]["at"] if x else [])),
-            rules.KEEP_PATTERNS, _pattern,
+            rules.KEEP_PATTERNS, _pattern, _event,
         ),
         "issues": firsts(a["issues"] + b["issues"], "package"),
     }
@@ -98,13 +98,17 @@ def summarise(rows) -> dict:
             })
     sequence = sorted(out.pop("patterns"), key=lambda r: r["at"])
     # merging trims the lists; the pattern sequence must stay whole until it meets its state
-    return {**merge({**out, "patterns": []}, EMPTY), "patterns": thin(sequence, rules.KEEP_PATTERNS, _pattern)}
+    return {**merge({**out, "patterns": []}, EMPTY), "patterns": thin(sequence, _pattern, _event)}
 
 
 def _pattern(x):
     return x["pattern"]
 
 
+def _event(x):
+    return tuple(x["at"][:2])
+
+
 def _partials(batches):
     """Map-side combine: one summary per repository and Arrow batch."""
     import pandas as pd

@@ -503,3 +503,14 @@ def test_decisions_are_cut_only_by_success(spark):
     df = events_of(spark, [(i, "r", i, k) for k, i in ev])
     got = sorted(r.event_id for r in memory.recent_decisions(df).collect())
     assert got == list(range(6, 51))
+
+
+def test_imports_in_brackets_and_on_shared_lines(spark, rows):
+    from pyspark.sql import Row
+
+    text = ("from pydantic import (\n    BaseModel,  # with (a) remark\n    EmailStr as E,\n)\nimport os; import numpy as np\n"
+            "import a.b, c \\\n  , d\nfrom .near import x\nimportant = 1\nif x: pass; from json import loads\nfrom re import *")
+    df = spark.createDataFrame([Row(repo_id="r", path="m.py", content=text)])
+    got = [(r.root, r.names) for r in profile.python_imports(df).collect()]
+    assert got == [("pydantic", ["BaseModel", "EmailStr"]), ("os", []), ("numpy", []), ("a", []), ("c", []), ("d", []),
+                   ("json", ["loads"]), ("re", ["*"])]

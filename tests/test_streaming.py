@@ -92,32 +92,48 @@ def test_merge_ignores_order_and_grouping():
         assert parts[0] == whole
 
 
-def test_thinning_never_changes_the_list():
+def kept_patterns(events, n):
+    """The rule in its plainest form: offer all patterns of a success, then cut to the last n."""
+    held = []
+    for patterns in events:
+        for p in patterns:
+            if p not in held:
+                held.append(p)
+        held = held[-n:]
+    return held
+
+
+def test_a_success_is_cut_once():
     from codecensus.functions.fifo import push, thin
 
     rng = random.Random(4)
-    same = lambda x: x
+    first = lambda x: x[1]
+    event = lambda x: x[0]
     for _ in range(3000):
         n, alphabet = rng.randrange(1, 6), rng.randrange(1, 9)
-        seq = [rng.randrange(alphabet) for _ in range(rng.randrange(60))]
-        if rng.random() < 0.5:
-            seq = [0, 1] * 20 + seq
-        held = rng.sample(range(12), rng.randrange(n + 1))
-        assert push(held, thin(seq, n, same), n, same) == push(held, seq, n, same)
+        events = [[rng.randrange(alphabet) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(30))]
+        flat = [(i, p) for i, ps in enumerate(events) for p in ps]
+        want = kept_patterns(events, n)
+        assert [p for _, p in push([], flat, n, first, event)] == want
+        assert [p for _, p in push([], thin(flat, first, event), n, first, event)] == want
+        if events:  # cut anywhere between events and go on from there
+            k = rng.randrange(len(events))
+            half = push([], [x for x in flat if x[0] < k], n, first, event)
+            assert [p for _, p in push(half, [x for x in flat if x[0] >= k], n, first, event)] == want
+    full = [f"P{i}" for i in range(1, 16)]
+    assert kept_patterns([full, ["X", "P1"]], 15) == full[1:] + ["X"]
 
 
 @pytest.mark.parametrize("bucket", [60, 1000])
 def test_patterns_that_come_back(spark, tmp_path, bucket):
     """More distinct patterns than are kept, evicted ones returning; batch and stream."""
-    from codecensus.functions.fifo import push
-
     rng = random.Random(11)
     base = [(i, "hot" if i % 3 else "few", i * 10, "success") for i in range(150)]
     df = events_of(spark, base)
     names = {i: ([f"p{rng.randrange(22)}", f"q{rng.randrange(3)}"] if r == "hot" else [f"p{rng.randrange(4)}"]) for i, r, _, _ in base}
     table = spark.createDataFrame(list(names.items()), "event_id bigint, patterns array<string>")
     df = df.drop("patterns").join(table, "event_id").select(*df.columns)
-    want = {repo: push([], [p for i, r, _, _ in base if r == repo for p in names[i]], 15, lambda x: x) for repo in ("hot", "few")}
+    want = {repo: kept_patterns([names[i] for i, r, _, _ in base if r == repo], 15) for repo in ("hot", "few")}
     got = {}
     for r in memory.success_patterns(df, bucket=bucket).orderBy("rank").collect():
         got.setdefault(r.repo_id, []).insert(0, r.pattern)
