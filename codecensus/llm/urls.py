@@ -52,12 +52,11 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens: labels and endings of the host, parts of the path, names in the query."""
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    labels = F.filter(F.split(host, r"[.-]"), lambda x: x != "")
     parts = F.filter(F.split(lower_az(path), "[/._-]+"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     names = F.filter(F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0]), lambda x: x != "")
-    words = F.filter(F.split(host, r"[.-]"), lambda x: x != "")
-    kinds = (("host=", labels), ("word=", words), ("path=", parts), ("query=", names))
+    kinds = (("host=", labels), ("path=", parts), ("query=", names))
 
     def named(kind: str):
         return lambda x: F.concat(F.lit(kind), x)
@@ -65,12 +64,15 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(*[F.transform(values, named(kind)) for kind, values in kinds]))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
-    """(rule_id, tokens, confidence, lift, support) from rows of ``tokens`` and ``unwanted``."""
+def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0,
+                min_pages: int = 20) -> DataFrame:
+    """(rule_id, tokens, confidence, lift, support) from rows of ``tokens`` and ``unwanted``. A combination needs
+    ``min_support`` of the labelled pages and at least ``min_pages`` of them."""
     baskets = labelled.select(
         F.when(F.coalesce("unwanted", F.lit(False)), F.concat("tokens", F.array(F.lit(UNWANTED))))
         .otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    share = min(1.0, max(min_support, min_pages / max(baskets.count(), 1)))
+    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
     rules = (
         model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == UNWANTED))
         .where(F.col("lift") >= min_lift)
