@@ -88,24 +88,26 @@ def sampled(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """(_key, _next, _wanted, _before): the next document's key, by ascending id and from the last to the first, and for each
-    document the key of the one before with the number of characters that one wants from it."""
+    """(_key, _before, _before_id, _wanted): for each document the key and id of the one before it, by ascending id and from
+    the first to the last, and the number of characters that one wants from it."""
     rows = docs.select(row_key().alias("_key"), "doc_id", F.length(text_of()).alias("_n")).groupBy("_key").agg(
         F.max("doc_id").alias("doc_id"), F.max("_n").alias("_n"))
     placed = positions_by_range(rows, [], ["doc_id", "_key"])
-    placed = durable(placed.select("_key", "position", F.floor(F.col("_n") / 4).cast("int").alias("_wants")))
+    placed = durable(placed.select("_key", "doc_id", "position", F.floor(F.col("_n") / 4).cast("int").alias("_wants")))
     count = placed.count()
     after = placed.select(
-        (F.col("position") % F.lit(max(count, 1)) + 1).alias("position"), F.col("_key").alias("_before"), F.col("_wants").alias("_wanted"))
-    pairs = placed.select("_key", "position").join(after, "position").select("_key", "_before", "_wanted")
+        (F.col("position") % F.lit(max(count, 1)) + 1).alias("position"), F.col("_key").alias("_before"),
+        F.col("doc_id").alias("_before_id"), F.col("_wants").alias("_wanted"))
+    pairs = placed.select("_key", "position").join(after, "position").select("_key", "_before", "_before_id", "_wanted")
     return durable(pairs)
 
 
 def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """_key, doc_id, n_chars, edited_sha256, and the samples of the text, its edited text and the next document."""
     pairs = neighbours(docs)
+    # no id here: every use of the texts reads the same columns, so that one exchange serves them all
     texts = (
-        docs.select(row_key().alias("_key"), "doc_id", text_of().alias("_text"))
+        docs.select(row_key().alias("_key"), text_of().alias("_text"))
         .repartition("_key").dropDuplicates(["_key"])
     )
     heads = texts.join(pairs, "_key").select(
@@ -116,17 +118,17 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     # words that end inside the common part belong to both texts, a word across the cut to neither form alone
     edge = F.length(F.regexp_extract("_stay", r"^(?s:.*)[\x20\x09-\x0D]", 0))
     whole = whole.withColumn("_edge", edge).select(
-        "_key", "doc_id", length.cast("long").alias("n_chars"), F.sha2(F.concat("_stay", "_head"), 256).alias("edited_sha256"),
+        "_key", length.cast("long").alias("n_chars"), F.sha2(F.concat("_stay", "_head"), 256).alias("edited_sha256"),
         F.substring("_stay", F.lit(1), F.col("_edge")).alias("both"),
         F.substring("_text", F.col("_edge") + 1, length).alias("only_first"),
         F.concat(F.substring("_stay", F.col("_edge") + 1, F.length("_stay")), "_head").alias("only_second"))
     drawn = sampled(whole.select("_key", "both", "only_first", "only_second"), samples)
     none = F.array_repeat(F.lit(-1), samples)
     prints = durable(
-        whole.select("_key", "doc_id", "n_chars", "edited_sha256").join(drawn, "_key", "left")
+        whole.select("_key", "n_chars", "edited_sha256").join(drawn, "_key", "left")
         .withColumn("first", F.coalesce("first", none)).withColumn("second", F.coalesce("second", none)))
-    following = prints.select("_key", F.col("first").alias("next")).join(pairs.select("_key", "_before"), "_key")
-    return prints.join(following.select(F.col("_before").alias("_key"), "next"), "_key")
+    following = prints.select("_key", F.col("first").alias("next")).join(pairs.drop("_wanted"), "_key")
+    return prints.join(following.select(F.col("_before").alias("_key"), F.col("_before_id").alias("doc_id"), "next"), "_key")
 
 
 def likeness(a: str, b: str) -> Column:
