@@ -10,8 +10,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,16 +96,12 @@ def positions_by_range(df: DataFrame, keys, order, out: str = "position") -> Dat
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and continue from the files.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A private folder is
-    made only in local mode, where driver and executors share one disk.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; where none is named, one
+    inside the warehouse, which driver and executors share as well.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="codecensus-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
     return df.checkpoint(eager=True)

@@ -366,17 +366,18 @@ def file_manifest(files: DataFrame) -> DataFrame:
 
 def batch_documents(
     batches: DataFrame, files: DataFrame, findings: DataFrame | None = None,
-    memory: DataFrame | None = None, endpoints=30, preserve=20, modernize=20,
+    memory: DataFrame | None = None, endpoints=None, preserve=None, modernize=None,
 ) -> DataFrame:
-    """One text per batch part: fenced file bodies under the capped finding lists.
+    """One text per batch part: fenced file bodies under the finding lists.
 
-    ``memory`` (repo_id, memory_text) goes only into the first batch of a repository.  The
-    budget of the batch bounds what is collected per row.
+    The lists are whole unless a number caps them; a repository without findings has lists of
+    ``[None]``, a null body is empty.  ``memory`` (repo_id, memory_text) goes only into the first
+    batch of a repository.  The budget of the batch bounds the bodies collected per row.
     """
     keys = ["repo_id", "batch_rank", "batch_key", "batch_name", "part"]
     body = F.concat(
         F.lit("FILE: "), F.col("path"), F.lit("\n```"), language(F.col("path")), F.lit("\n"),
-        F.col("content"), F.lit("\n```\n"),
+        F.coalesce("content", F.lit("")), F.lit("\n```\n"),
     )
     docs = (
         batches.join(files.select("repo_id", "path", "content"), ["repo_id", "path"])
@@ -394,7 +395,7 @@ def batch_documents(
     head = F.lit("")
     if findings is not None:
         lists = analysis_payload(
-            findings, endpoints=endpoints, preserve=preserve, modernize=modernize
+            findings, endpoints=endpoints, preserve=preserve, modernize=modernize, repos=batches
         )
 
         def bullets(title, column):
@@ -419,7 +420,7 @@ def batch_documents(
         )
         docs = docs.join(memory.join(first, "repo_id"), "repo_id", "left")
         is_first = F.struct("batch_rank", "batch_key", "part", "batch_name") == F.col("_first")
-        head = F.concat(head, F.when(is_first, F.col("memory_text")).otherwise(F.lit("")))
+        head = F.concat(head, F.coalesce(F.when(is_first, F.col("memory_text")), F.lit("")))
     text = F.concat(head, F.col("bodies"))
     return docs.select(
         *keys, "files", text.alias("text"), F.length(text).cast("bigint").alias("chars")

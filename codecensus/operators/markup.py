@@ -93,7 +93,10 @@ ASSET_TAG = "(?i)" + rules.STYLESHEET_LINK + "|" + rules.SCRIPT_LINK
 
 
 def asset_refs(artifacts: DataFrame, by=RUN) -> DataFrame:
-    """Stylesheet links and script sources of pages in page order: (…, html, ref_ord, kind, ref, tag)."""
+    """Stylesheet links and script sources of pages in page order: (…, html, html_ord, ref_ord, kind, ref, tag).
+
+    ``html_ord`` tells pages of one name in a run apart.
+    """
     tags = F.arrays_zip(*[
         F.regexp_extract_all("content", F.lit(ASSET_TAG), F.lit(g)).alias(f"g{g}") for g in range(4)
     ])
@@ -109,10 +112,10 @@ def asset_refs(artifacts: DataFrame, by=RUN) -> DataFrame:
     return (
         artifacts.where(low.endswith(".html") | low.endswith(".htm"))
         .select(
-            *by, F.col("filename").alias("html"),
+            *by, F.col("filename").alias("html"), F.col("file_ord").alias("html_ord"),
             F.posexplode(F.transform(tags, row)).alias("ref_ord", "_r"),
         )
-        .select(*by, "html", "ref_ord", "_r.kind", "_r.ref", "_r.tag")
+        .select(*by, "html", "html_ord", "ref_ord", "_r.kind", "_r.ref", "_r.tag")
     )
 
 
@@ -138,19 +141,18 @@ def asset_links(artifacts: DataFrame, by=RUN) -> DataFrame:
             *by, "kind", "_key", F.struct("_t.filename", "_t.file_ord").alias("target")
         )
     )
-    refs = asset_refs(artifacts, by).withColumn("_id", F.struct("html", "ref_ord"))
-    tries = refs.select(
-        *by, "html", "ref_ord", "kind", "ref", "tag",
+    tries = asset_refs(artifacts, by).select(
+        *by, "html", "html_ord", "ref_ord", "kind", "ref", "tag",
         F.posexplode(F.array(
             F.col("ref"), basename(F.col("ref")), F.concat(F.lit("./"), F.col("ref"))
         )).alias("_try", "_key"),
     )
     return (
         tries.join(answers, [*by, "kind", "_key"], "left")
-        .groupBy(*by, "html", "ref_ord", "kind", "ref", "tag")
+        .groupBy(*by, "html", "html_ord", "ref_ord", "kind", "ref", "tag")
         .agg(F.min(F.when(F.col("target").isNotNull(), F.struct("_try", "target"))).alias("_hit"))
         .select(
-            *by, "html", "ref_ord", "kind", "ref", "tag",
+            *by, "html", "html_ord", "ref_ord", "kind", "ref", "tag",
             F.col("_hit.target.filename").alias("target"),
             F.col("_hit.target.file_ord").alias("target_ord"),
             F.col("_hit").isNotNull().alias("resolved"),
@@ -171,7 +173,7 @@ def inline_assets(artifacts: DataFrame, links: DataFrame, by=RUN) -> DataFrame:
     wrapped = F.when(
         F.col("kind") == "css", F.concat(F.lit("<style>\n"), F.col("_body"), F.lit("\n</style>"))
     ).otherwise(F.concat(F.lit("<script>\n"), F.col("_body"), F.lit("\n</script>")))
-    per_page = bodies.groupBy(*by, F.col("html").alias("filename")).agg(
+    per_page = bodies.groupBy(*by, F.col("html").alias("filename"), F.col("html_ord").alias("file_ord")).agg(
         F.map_from_entries(F.collect_list(F.struct("ref_ord", wrapped.alias("body")))).alias("_subs")
     )
     # texts between tags and tags alternate, so what was put in is never searched again
@@ -187,7 +189,7 @@ def inline_assets(artifacts: DataFrame, links: DataFrame, by=RUN) -> DataFrame:
     low = F.lower("filename")
     return (
         artifacts.where(low.endswith(".html") | low.endswith(".htm"))
-        .join(per_page, [*by, "filename"], "left")
+        .join(per_page, [*by, "filename", "file_ord"], "left")
         .select(*by, "file_ord", "filename", text.alias("content"),
                 F.col("_subs").isNotNull().alias("changed"))
     )
@@ -257,34 +259,42 @@ def _changed(df: DataFrame, new: Column) -> DataFrame:
     )
 
 
-def asset_manifest(images: DataFrame) -> DataFrame:
+HINT_CHARS = 30
+
+
+def asset_filename(digest_chars: int | None = None, hint_chars: int = HINT_CHARS) -> Column:
+    """File name of an image by its hint and the digest of its content.
+
+    With ``digest_chars`` only that many base64 characters are digested, so images with a common
+    header share a name; the default takes the whole content.
+    """
+    content = F.col("image_base64")
+    if digest_chars is not None:
+        content = F.substring(content, 1, digest_chars)
+    digest = F.substring(F.md5(content.cast("binary")), 1, 8)
+    ext = F.coalesce(lookup(rules.EXTENSION_BY_MIME, F.col("mime")), F.lit(".png"))
+    hint = F.substring(F.regexp_replace("hint", "[^a-zA-Z0-9_-]", "_"), 1, hint_chars)
+    return F.concat(F.lit("public/assets/"), hint, F.lit("_"), digest, ext)
+
+
+def asset_manifest(images: DataFrame, digest_chars: int | None = None) -> DataFrame:
     """Content-addressed file name of each image, and how many images share it.
 
     ``images`` holds (repo_id, hint, mime, image_base64).
     """
-    digest = F.substring(F.md5(F.substring("image_base64", 1, 100).cast("binary")), 1, 8)
-    ext = F.coalesce(lookup(rules.EXTENSION_BY_MIME, F.col("mime")), F.lit(".png"))
-    hint = F.substring(F.regexp_replace("hint", "[^a-zA-Z0-9_-]", "_"), 1, 30)
-    named = images.select(
-        "repo_id", "mime",
-        F.concat(F.lit("public/assets/"), hint, F.lit("_"), digest, ext).alias("filename"),
-    )
+    named = images.select("repo_id", "mime", asset_filename(digest_chars).alias("filename"))
     return named.groupBy("repo_id", "mime", "filename").agg(F.count(F.lit(1)).alias("images")).withColumn(
         "asset_path", F.regexp_replace("filename", "^public", "")
     )
 
 
-def asset_artifacts(images: DataFrame, by=RUN) -> DataFrame:
+def asset_artifacts(images: DataFrame, by=RUN, digest_chars: int | None = None) -> DataFrame:
     """Artifact rows for images: SVG as text, the others as a data URI."""
-    digest = F.substring(F.md5(F.substring("image_base64", 1, 100).cast("binary")), 1, 8)
-    ext = F.coalesce(lookup(rules.EXTENSION_BY_MIME, F.col("mime")), F.lit(".png"))
-    hint = F.substring(F.regexp_replace("hint", "[^a-zA-Z0-9_-]", "_"), 1, 30)
     content = F.when(
         F.col("mime") == "image/svg+xml", F.decode(F.unbase64("image_base64"), "UTF-8")
     ).otherwise(F.concat(F.lit("data:"), F.col("mime"), F.lit(";base64,"), F.col("image_base64")))
     return images.select(
-        *by, F.concat(F.lit("public/assets/"), hint, F.lit("_"), digest, ext).alias("filename"),
-        content.alias("content"),
+        *by, asset_filename(digest_chars).alias("filename"), content.alias("content"),
     )
 
 

@@ -219,11 +219,13 @@ def preservation_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def analysis_payload(
-    findings: DataFrame, endpoints=20, env_vars=15, schemas=10, preserve=15, modernize=15
+    findings: DataFrame, endpoints=20, env_vars=15, schemas=10, preserve=15, modernize=15,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
-    """Capped lists per repository, one array column per kind, in listing order.
+    """Capped lists per repository, one array column per kind, in listing order; a cap of None lists all.
 
-    Environment names are distinct, ordered by first appearance.
+    Environment names are distinct, ordered by first appearance.  With ``repos`` (repo_id) every
+    repository has a row, those without findings one of empty lists.
     """
     caps = {
         "endpoint": endpoints, "env_var": env_vars, "schema_file": schemas,
@@ -235,20 +237,30 @@ def analysis_payload(
         findings.withColumn("_own", F.when(F.col("kind") != "env_var", place))
         .groupBy("repo_id", "kind", "value", "_own").agg(F.min(place).alias("_at"))
     )
-    ranked = top_rows(once, ["repo_id", "kind"], [F.col("_at"), F.col("value")], max(caps.values()))
-    cap = lookup(caps, F.col("kind"))
-    kept = ranked.where(F.col("rank") <= cap)
+    once = once.select("repo_id", "kind", "value", "_at")
+    bounded = {kind: n for kind, n in caps.items() if n is not None}
+    kept = once.where(~F.col("kind").isin(*bounded))
+    if bounded:
+        ranked = top_rows(
+            once.where(F.col("kind").isin(*bounded)), ["repo_id", "kind"], [F.col("_at"), F.col("value")],
+            max(bounded.values()),
+        ).where(F.col("rank") <= lookup(bounded, F.col("kind"))).drop("rank")
+        kept = ranked if len(bounded) == len(caps) else kept.unionByName(ranked)
 
     def capped(kind):
-        rows = F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "value")))
+        rows = F.collect_list(F.when(F.col("kind") == kind, F.struct("_at", "value")))
         return F.transform(F.array_sort(rows), lambda r: r["value"])
 
-    return kept.groupBy("repo_id").agg(
-        capped("endpoint").alias("api_endpoints"),
-        capped("env_var").alias("env_vars"),
-        capped("schema_file").alias("database_schemas"),
-        capped("must_preserve").alias("must_preserve"),
-        capped("can_modernize").alias("can_modernize"),
+    lists = {
+        "api_endpoints": "endpoint", "env_vars": "env_var", "database_schemas": "schema_file",
+        "must_preserve": "must_preserve", "can_modernize": "can_modernize",
+    }
+    out = kept.groupBy("repo_id").agg(*[capped(kind).alias(name) for name, kind in lists.items()])
+    if repos is None:
+        return out
+    none = F.array().cast("array<string>")
+    return repos.select("repo_id").distinct().join(out, "repo_id", "left").select(
+        "repo_id", *[F.coalesce(F.col(name), none).alias(name) for name in lists]
     )
 
 

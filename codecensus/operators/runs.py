@@ -84,8 +84,18 @@ def run_outcomes(run_logs: DataFrame) -> DataFrame:
 
     A run has at most ``MAX_ATTEMPTS`` attempts.
     """
-    marked = classify_errors(run_logs)
-    last = F.max_by("log", "attempt")
+    # what the last log says is read in every row, so that no log travels through the shuffle
+    text = F.coalesce("log", F.lit(""))
+    marked = classify_errors(run_logs).select(
+        "repo_id", "run_id", "attempt", "is_error", "error_type",
+        F.struct(
+            F.regexp_extract(text, r"\[PREVIEW_URL\] (https://[^\s]+)", 1).alias("preview_url"),
+            F.regexp_extract(text, r"\[BACKEND_URL\] (https://[^\s]+)", 1).alias("backend_url"),
+            F.when(contains_any(text, rules.FALLBACK_MARKERS), rules.STATUS_FALLBACK)
+            .otherwise(rules.STATUS_OK).alias("status"),
+        ).alias("_says"),
+    )
+    last = F.max_by("_says", "attempt")
     return (
         marked.groupBy("repo_id", "run_id")
         .agg(
@@ -98,14 +108,7 @@ def run_outcomes(run_logs: DataFrame) -> DataFrame:
             last.alias("_last"),
         )
         .withColumn("retries", F.least(F.col("errors"), F.lit(rules.MAX_ATTEMPTS - 1).cast("bigint")))
-        .withColumn("preview_url", F.regexp_extract("_last", r"\[PREVIEW_URL\] (https://[^\s]+)", 1))
-        .withColumn("backend_url", F.regexp_extract("_last", r"\[BACKEND_URL\] (https://[^\s]+)", 1))
-        .withColumn(
-            "status",
-            F.when(contains_any(F.col("_last"), rules.FALLBACK_MARKERS), rules.STATUS_FALLBACK)
-            .otherwise(rules.STATUS_OK),
-        )
-        .drop("_last")
+        .select("*", "_last.*").drop("_last")
     )
 
 

@@ -350,13 +350,14 @@ def s_top(kind, k, name):
     f"""SELECT repo_id, {s_top('endpoint', 20, 'api_endpoints')}, {s_top('env_var', 15, 'env_vars')},
           {s_top('schema_file', 10, 'database_schemas')}, {s_top('must_preserve', 15, 'must_preserve')},
           {s_top('can_modernize', 15, 'can_modernize')}
-        FROM (SELECT DISTINCT repo_id FROM fnd) r0""", "v_code", more=FIND_CTE + """,
+        FROM (SELECT DISTINCT repo_id FROM v_files) r0""", "v_code", more=FIND_CTE + """,
     once AS (SELECT repo_id, kind, value, phase, file_ord, pos FROM fnd WHERE kind <> 'env_var'
              UNION ALL SELECT repo_id, kind, value, p.phase, p.file_ord, p.pos FROM (
                SELECT repo_id, kind, value, min({'phase': phase, 'file_ord': file_ord, 'pos': pos}) AS p FROM fnd WHERE kind = 'env_var' GROUP BY ALL)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, kind ORDER BY phase, file_ord, pos, value) AS r FROM once)"""))
 def _(spark, d):
-    payload = profile.analysis_payload(profile.repo_findings(views.code(spark, d)))
+    code = views.code(spark, d)
+    payload = profile.analysis_payload(profile.repo_findings(code), repos=code)
     return payload.select("repo_id", *[
         F.array_join(c, "|").alias(c)
         for c in ("api_endpoints", "env_vars", "database_schemas", "must_preserve", "can_modernize")])
@@ -574,11 +575,13 @@ def _(spark, d):
 
 @query("missing_files", with_views(
     f"""SELECT repo_id, path, count(*) OVER (PARTITION BY repo_id) <= 15 AS recoverable FROM v_files f
-        WHERE NOT EXISTS (SELECT 1 FROM v_artifacts a WHERE a.repo_id = f.repo_id AND a.filename = f.path)
-          AND NOT EXISTS (SELECT 1 FROM v_artifacts a WHERE a.repo_id = f.repo_id AND {s_base('a.filename')} = {s_base('f.path')})""",
-    "v_files", "v_artifacts"))
+        WHERE NOT EXISTS (SELECT 1 FROM made a WHERE a.repo_id = f.repo_id AND a.filename = f.path)
+          AND NOT EXISTS (SELECT 1 FROM made a WHERE a.repo_id = f.repo_id AND {s_base('a.filename')} = {s_base('f.path')})""",
+    "v_files", "v_artifacts", more="made AS (SELECT * FROM v_artifacts WHERE file_ord IN (SELECT doc_id FROM labels))"))
 def _(spark, d):
-    return matching.missing_files(views.files(spark, d), views.artifacts(spark, d))
+    # every file is asked for, but a run made only the labelled ones
+    labels = views.table(spark, d, "labels").select(F.col("doc_id").alias("file_ord"))
+    return matching.missing_files(views.files(spark, d), views.artifacts(spark, d).join(labels, "file_ord", "left_semi"))
 
 
 @query("remaining_files", with_views(
@@ -767,8 +770,8 @@ def _(spark, d):
               FROM (SELECT {BATCH_OUT} FROM pd) b JOIN v_code c USING (repo_id, path)) x
         JOIN (SELECT repo_id, 'ENDPOINTS:' || chr(10) || {{}} || 'PRESERVE:' || chr(10) || {{}} || 'MODERNIZE:' || chr(10) || {{}} AS head FROM (SELECT DISTINCT repo_id FROM v_meta) r0) h USING (repo_id)
         GROUP BY 1, 2, 3, 4, 5""".format(*[
-        f"coalesce((SELECT string_agg('  - ' || value, chr(10) ORDER BY r) FROM ranked x WHERE x.repo_id = r0.repo_id AND x.kind = '{k}' AND r <= {n}), '  [None]') || chr(10) || chr(10)"
-        for k, n in (("endpoint", 30), ("must_preserve", 20), ("can_modernize", 20))]),
+        f"coalesce((SELECT string_agg('  - ' || value, chr(10) ORDER BY r) FROM ranked x WHERE x.repo_id = r0.repo_id AND x.kind = '{k}'), '  [None]') || chr(10) || chr(10)"
+        for k in ("endpoint", "must_preserve", "can_modernize")]),
     "v_meta", "v_code", recursive=True, more=DIR_CTE + "," + FIND_CTE + """,
     ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_id, kind ORDER BY phase, file_ord, pos, value) AS r FROM fnd)"""))
 def _(spark, d):
@@ -921,7 +924,7 @@ lk AS (SELECT rf.*, coalesce(a.target, b.target, c.target) AS target FROM rf
 
 @query("asset_links", with_views("SELECT repo_id, html, ref_ord, kind, ref, tag, target, target IS NOT NULL AS resolved FROM lk", "v_linked", more=LINK_CTE))
 def _(spark, d):
-    return markup.asset_links(views.linked_pages(spark, d)).drop("run_id", "target_ord")
+    return markup.asset_links(views.linked_pages(spark, d)).drop("run_id", "html_ord", "target_ord")
 
 
 @query("inline_assets", with_views(
@@ -966,7 +969,7 @@ def _(spark, d):
 
 @query("asset_manifest", """
     SELECT repo_id, mime, filename, count(*) AS images, regexp_replace(filename, '^public', '') AS asset_path FROM (
-      SELECT source AS repo_id, m.mime, 'public/assets/' || regexp_replace(text[1:40], '[^a-zA-Z0-9_-]', '_', 'g')[1:30] || '_' || md5(to_base64(encode(text))[1:100])[1:8] || m.ext AS filename
+      SELECT source AS repo_id, m.mime, 'public/assets/' || regexp_replace(text[1:40], '[^a-zA-Z0-9_-]', '_', 'g')[1:30] || '_' || md5(to_base64(encode(text)))[1:8] || m.ext AS filename
       FROM documents, LATERAL (SELECT ['image/png', 'image/jpeg', 'image/svg+xml', 'image/tiff'][n_chars % 4 + 1] AS mime, ['.png', '.jpg', '.svg', '.png'][n_chars % 4 + 1] AS ext) m) GROUP BY 1, 2, 3""")
 def _(spark, d):
     docs = views.table(spark, d, "documents")
@@ -1149,7 +1152,7 @@ def _(spark, d):
 
 
 @query("asset_artifacts", """
-    SELECT 'public/assets/' || regexp_replace(source, '[^a-zA-Z0-9_-]', '_', 'g') || '_' || md5(to_base64(encode(text))[1:100])[1:8] || CASE WHEN n_chars % 2 = 0 THEN '.svg' ELSE '.png' END AS filename,
+    SELECT 'public/assets/' || regexp_replace(source, '[^a-zA-Z0-9_-]', '_', 'g') || '_' || md5(to_base64(encode(text)))[1:8] || CASE WHEN n_chars % 2 = 0 THEN '.svg' ELSE '.png' END AS filename,
            md5(CASE WHEN n_chars % 2 = 0 THEN text ELSE 'data:image/png;base64,' || to_base64(encode(text)) END) AS digest FROM documents""")
 def _(spark, d):
     docs = views.table(spark, d, "documents")

@@ -40,23 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out to all cores if the scan has fewer splits than that.
-
-    Only small inputs are meant: a table of many files has more splits than cores and is left
-    as it is, so nothing is shuffled at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def pick(values, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def files(spark, sf_dir, deal: bool = False) -> DataFrame:
+def files(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    d = spread(d) if deal else d
     i = F.col("doc_id")
     return d.select(
         F.col("source").alias("repo_id"), i.alias("file_ord"),
@@ -70,7 +59,7 @@ def files(spark, sf_dir, deal: bool = False) -> DataFrame:
 
 
 def code(spark, sf_dir) -> DataFrame:
-    return files(spark, sf_dir, deal=True).withColumn(
+    return files(spark, sf_dir).withColumn(
         "content", F.concat(pick(SNIPPETS, F.floor(F.col("file_ord") / 3) % 8), F.col("content"))
     )
 
@@ -80,11 +69,14 @@ def meta(spark, sf_dir) -> DataFrame:
 
 
 def artifacts(spark, sf_dir) -> DataFrame:
-    """Generated files: the labelled documents; those of low quality land in another folder."""
+    """Generated files: every document; those of low quality land in another folder.
+
+    Documents without a label belong to the first run; every other one of them counts as of low quality.
+    """
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "file_ord")
-    return code(spark, sf_dir).join(labels, "file_ord").select(
-        "repo_id", F.concat(F.lit("run"), F.col("toxic").cast("string")).alias("run_id"), "file_ord",
-        F.when(F.col("quality") == 1, F.col("path")).otherwise(
+    return code(spark, sf_dir).join(labels, "file_ord", "left").select(
+        "repo_id", F.concat(F.lit("run"), F.coalesce("toxic", F.lit(0)).cast("string")).alias("run_id"), "file_ord",
+        F.when(F.coalesce("quality", F.col("file_ord") % 2) == 1, F.col("path")).otherwise(
             F.concat(F.lit("gen/"), F.substring_index("path", "/", -1))
         ).alias("filename"),
         "content",
@@ -122,7 +114,7 @@ def site(url: Column) -> Column:
 
 def pages(spark, sf_dir) -> DataFrame:
     """Pages whose anchors became image tags."""
-    p = spread(table(spark, sf_dir, "pages"))
+    p = table(spark, sf_dir, "pages")
     return p.select(
         site(F.col("url")).alias("repo_id"), F.lit("run0").alias("run_id"),
         F.col("page_id").alias("file_ord"),
@@ -137,7 +129,7 @@ ANCHOR = r'<a href="/([^"]*)">[^<]*</a>'
 def linked_pages(spark, sf_dir) -> DataFrame:
     """Pages whose anchors became script and stylesheet references, plus one script per word
     of the first page that uses it and one stylesheet per page."""
-    p = spread(table(spark, sf_dir, "pages"))
+    p = table(spark, sf_dir, "pages")
     html = F.regexp_replace(
         F.regexp_replace("html", ANCHOR, '<script src="js/$1.js"></script>'),
         "</title>", '</title><link rel="stylesheet" href="/main.css">',
@@ -211,7 +203,7 @@ def attempts(spark, sf_dir) -> DataFrame:
 
 def run_logs(spark, sf_dir) -> DataFrame:
     """Four attempts per run, one event each."""
-    e = spread(table(spark, sf_dir, "events"))
+    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     run = F.floor(F.col("event_id") / 4)
     return e.select(
@@ -285,11 +277,11 @@ _SQL = {
         FROM v_files""",
     "v_meta": "SELECT repo_id, file_ord, path, size AS chars FROM v_files",
     "v_artifacts": """
-        SELECT c.repo_id, 'run' || l.toxic AS run_id, c.file_ord,
-               CASE WHEN l.quality = 1 THEN c.path
+        SELECT c.repo_id, 'run' || coalesce(l.toxic, 0) AS run_id, c.file_ord,
+               CASE WHEN coalesce(l.quality, c.file_ord % 2) = 1 THEN c.path
                     ELSE 'gen/' || regexp_extract(c.path, '[^/]*$') END AS filename,
                c.content
-        FROM v_code c JOIN labels l ON l.doc_id = c.file_ord""",
+        FROM v_code c LEFT JOIN labels l ON l.doc_id = c.file_ord""",
     "v_blocks": "SELECT * REPLACE ('b' || (file_ord // 20) AS repo_id) FROM v_files",
     "v_plans": """
         SELECT b.repo_id, '# Plan' || chr(10) || string_agg(

@@ -514,3 +514,20 @@ def test_imports_in_brackets_and_on_shared_lines(spark, rows):
     got = [(r.root, r.names) for r in profile.python_imports(df).collect()]
     assert got == [("pydantic", ["BaseModel", "EmailStr"]), ("os", []), ("numpy", []), ("a", []), ("c", []), ("d", []),
                    ("json", ["loads"]), ("re", ["*"])]
+
+
+def test_pages_of_one_name_keep_their_own_assets(spark):
+    rows = [("r", "x", 1, "p.html", '<script src="a.js"></script>'), ("r", "x", 2, "p.html", '<script src="b.js"></script>'),
+            ("r", "x", 3, "a.js", "A"), ("r", "x", 4, "b.js", "B")]
+    arts = spark.createDataFrame(rows, "repo_id string, run_id string, file_ord long, filename string, content string")
+    out = markup.inline_assets(arts, markup.asset_links(arts)).orderBy("file_ord").collect()
+    assert [r.content for r in out] == ["<script>\nA\n</script>", "<script>\nB\n</script>"]
+
+
+def test_payload_keeps_repositories_without_findings_and_lists_all_without_a_cap(spark):
+    rows = [("r", 0, i, 0, "f.py", "endpoint", f"GET /{i}") for i in range(31)]
+    found = spark.createDataFrame(rows, "repo_id string, phase int, file_ord long, pos int, path string, kind string, value string")
+    repos = spark.createDataFrame([("r",), ("empty",)], "repo_id string")
+    got = {r.repo_id: r for r in profile.analysis_payload(found, endpoints=None, repos=repos).collect()}
+    assert got["r"].api_endpoints == [f"GET /{i}" for i in range(31)]
+    assert got["empty"].api_endpoints == [] and got["empty"].env_vars == []
