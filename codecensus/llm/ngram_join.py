@@ -7,16 +7,19 @@ fragments of consecutive values. Documents with equal sets form one class and go
    prefixes are sent to fragments, and a class goes on if a prefix shingle of it occurs in another class.
 2. *Fragments.* The whole sets of those classes are sent to fragments, which keep the shingles of two or more
    classes, class by class. A class of which less than 3/4 of the shingles are shared has no partner and drops out.
-3. *Partial overlaps.* Every fragment counts, per shingle, the pairs of the shingle's ``leaders`` (the first in a
-   pseudo-random order) with its other classes, so a shingle in m classes makes at most leaders * m pairs. Summed per pair over
-   fragments the counts are lower bounds of overlaps; pairs that reach 3/4 are links. Links are closed to
-   components, and the next of at most ``rounds`` rounds, with other leaders, only looks across components.
-4. *The rest, exactly.* Then all pairs of different components that share a prefix
-   shingle and fit in length are counted fragment by fragment, summed, and linked if they reach 3/4. Pairs inside a
+3. *Segments.* The order of the shared shingles is then refined: by anchor, the holder that shares most of its set. The
+   shingles of one anchor are a segment (several consecutive ones where they have more postings than a fragment), so
+   that the common part of a group of similar texts is counted in few places.
+4. *Partial overlaps.* Every segment counts the overlaps of its ``leaders`` with the classes of other components. A pair is only
+   sent on if its overlap there, and all that both hold in other segments, could reach 3/4; a pair that does not
+   pass somewhere is no link. Sums per pair are thus exact for links and never too large. Links are
+   closed to components, and the next of at most ``rounds`` rounds, with other leaders, looks across components only.
+5. *The rest, exactly.* Then every segment counts all pairs of different components, with the same test. Pairs inside a
    component need no count: they can change nothing.
 
-Every link between different texts thus acts on the result. Work of steps 1-3 is linear in the shingles; step 4 is as
-large as the number of near misses. Postings of a shingle that many documents of a task hold are merged
+Every link between different texts thus acts on the result. Work of steps 1-4 is linear in the postings. Step 5 compares the
+classes outside a segment's largest component with its others by matrix products in blocks: time grows with that product,
+rows only with the pairs that pass. Postings of a shingle that many documents of a task hold are merged
 before the shuffle of step 1, and equal sets before the others.
 
 Defined cases: null or wordless text -- empty set, linked with nothing; fewer than five words -- one shingle of
@@ -38,7 +41,9 @@ from codecensus.llm.components import components
 
 WORDS = 5
 PORTION = 3_000_000
-LEADERS = 16
+LEADERS = 8
+# segments of more classes than this are counted by matrix products
+SMALL = 64
 PORTION_ROWS = 50_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -188,12 +193,21 @@ def candidates(docs: DataFrame, fragments: int) -> DataFrame:
     return rows.groupBy("frag").applyInArrow(meet, "label long").distinct()
 
 
-_GROUPS = "frag int, label binary, groups binary, member binary, lead binary, shared binary"
+_GROUPS = "frag int, label binary, groups binary, member binary, segment binary, shared binary"
+
+
+def _group_row(frag: int, label, shingle, size, segment=None) -> pa.Table:
+    """The row of a fragment: its labels, the sizes of the groups of labels that share a shingle, the members of the
+    groups as places in ``label``, the groups' segments and each label's number of shared shingles."""
+    names, member = np.unique(label, return_inverse=True)
+    return pa.table({
+        "frag": pa.array([frag], pa.int32()), "label": [names.astype(np.int64).tobytes()], "groups": [size.astype("<u4").tobytes()],
+        "member": [member.astype("<u4").tobytes()], "segment": [b"" if segment is None else segment.astype(np.uint64).tobytes()],
+        "shared": [np.bincount(member, minlength=len(names)).astype("<u4").tobytes()]})
 
 
 def fragment_table(docs: DataFrame, chosen: DataFrame, fragments: int) -> DataFrame:
-    """One row per fragment: its labels, the sizes of the groups of labels that share a shingle, the members of
-    the groups as places in ``label`` and whether the shingle is in their prefix, and each label's shared shingles."""
+    """One row per fragment of the hash order, as by :func:`_group_row`, of the shingles that chosen classes share."""
     rows = wrapped(docs).withColumn("_key", row_key()).join(
         chosen.select("_key", "label").hint("shuffle_hash"), "_key").select("label", text_of().alias("text"))
 
@@ -201,30 +215,29 @@ def fragment_table(docs: DataFrame, chosen: DataFrame, fragments: int) -> DataFr
         for batch, first, texts in portions(batches):
             labels = batch.column("label").slice(first, len(texts)).to_pylist()
             own = dict(zip(labels, shingle_sets(texts)))
-            yield from _packed(fragments, list(own), list(own.values()), [prefix_length(len(s)) for s in own.values()])
+            yield from _packed(fragments, list(own), list(own.values()), [0] * len(own))
 
     def group(table: pa.Table) -> pa.Table:
-        label, shingle, lead = _unpacked(table)
+        label, shingle, _ = _unpacked(table)
         order = np.lexsort((label, shingle))
-        label, shingle, lead = label[order], shingle[order], lead[order]
+        label, shingle = label[order], shingle[order]
         # a repeated row of a chosen document gives its postings twice
         fresh = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (label[1:] != label[:-1])])
-        label, shingle, lead = label[fresh], shingle[fresh], lead[fresh]
-        begin = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-        size = np.diff(np.append(begin, len(shingle)))
+        label, shingle = label[fresh], shingle[fresh]
+        size = np.diff(np.append(_begins(shingle), len(shingle)))
         many = np.repeat(size > 1, size)
-        names, member = np.unique(label[many], return_inverse=True)
-        return pa.table({
-            "frag": pa.array([table.column("frag")[0].as_py()], pa.int32()),
-            "label": [names.astype(np.int64).tobytes()], "groups": [size[size > 1].astype("<u4").tobytes()],
-            "member": [member.astype("<u4").tobytes()], "lead": [lead[many].tobytes()],
-            "shared": [np.bincount(member, minlength=len(names)).astype("<u4").tobytes()]})
+        return _group_row(table.column("frag")[0].as_py(), label[many], shingle[many], size[size > 1])
 
     return rows.mapInArrow(emit, _PACKED).groupBy("frag").applyInArrow(group, _GROUPS)
 
 
+def _begins(key: np.ndarray) -> np.ndarray:
+    """Places where a run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+
+
 def fragment_labels(table: DataFrame) -> DataFrame:
-    """(frag, label, shared) rows of the fragment table."""
+    """(frag, label, shared) rows of a fragment or segment table."""
     def spread(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -237,8 +250,8 @@ def fragment_labels(table: DataFrame) -> DataFrame:
 
 
 def _postings(row: dict, known: pa.Table):
-    """Postings of a fragment that belong to labels in ``known``: group number, place in the fragment's labels,
-    prefix flag; and c, n and s by place."""
+    """Postings of a fragment that belong to labels in ``known``: group number and place in the fragment's labels;
+    and c, n and s by place."""
     label = np.frombuffer(row["label"], np.int64)
     names = known.column("label").to_numpy()
     order = np.argsort(names)
@@ -248,20 +261,67 @@ def _postings(row: dict, known: pa.Table):
     c, n, s = (known.column(x).to_numpy()[at] for x in ("c", "n", "s"))
     group = np.repeat(np.arange(len(row["groups"]) // 4), np.frombuffer(row["groups"], "<u4"))
     member = np.frombuffer(row["member"], "<u4").astype(np.int64)
-    lead = np.frombuffer(row["lead"], bool)
     keep = alive[member]
-    return label, group[keep], member[keep], lead[keep], c, n, s
+    return label, group[keep], member[keep], c, n, s
 
 
 def _across(group: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Postings in groups that hold more than one component."""
     if not len(group):
         return np.zeros(0, bool)
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    begin = _begins(group)
     low, high = np.minimum.reduceat(c, begin), np.maximum.reduceat(c, begin)
     return np.repeat(low != high, np.diff(np.append(begin, len(group))))
 
 
+_SENT = "frag int, segment binary, groups binary, label binary"
+_SENT_ARROW = pa.schema([("frag", pa.int32()), *[(x, pa.binary()) for x in ("segment", "groups", "label")]])
+
+
+def to_segments(fragments: int, per_fragment: int):
+    """Shared shingles of a fragment of the hash order, sent to the fragments of the refined one."""
+    def send(fragment: pa.Table, known: pa.Table) -> pa.Table:
+        if not fragment.num_rows or not known.num_rows:
+            return _SENT_ARROW.empty_table()
+        row = fragment.to_pylist()[0]
+        label, group, member, c, n, s = _postings(row, known)
+        wide = _across(group, member)
+        group, member = group[wide], member[wide]
+        if not len(group):
+            return _SENT_ARROW.empty_table()
+        with np.errstate(over="ignore"):
+            tie = mixed(label.astype(np.uint64))
+        order = np.lexsort((tie, -(32 * s // np.maximum(n, 1))))
+        place = np.empty(len(label), np.int64)
+        place[order] = np.arange(len(label))
+        begin = _begins(group)
+        size = np.diff(np.append(begin, len(group)))
+        anchor = np.minimum.reduceat(place[member], begin)
+        # the hash order spreads an anchor's shingles evenly, so its part here tells its whole size; tasks that
+        # cut an anchor differently only make more segments
+        part = np.bincount(anchor, weights=size, minlength=len(label)) * fragments / per_fragment
+        pieces = (2 ** np.ceil(np.log2(np.maximum(part, 1)))).astype(np.int64)[anchor]
+        with np.errstate(over="ignore"):
+            piece = (row["frag"] * pieces // fragments + pieces).astype(np.uint64)
+            segment = mixed(label[order[anchor]].astype(np.uint64) + piece * _STEP)
+        to = fragment_of(mixed(segment + _STEP), fragments)
+        rows = []
+        for f in np.unique(to):
+            at = to == f
+            rows.append((f, segment[at].tobytes(), size[at].astype("<u4").tobytes(), label[member[np.repeat(at, size)]].tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), _SENT_ARROW.types)], schema=_SENT_ARROW)
+
+    return send
+
+
+def segment_row(table: pa.Table) -> pa.Table:
+    """The row of a fragment of the refined order."""
+    segment, size, label = (
+        np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
+        for c, t in (("segment", np.uint64), ("groups", "<u4"), ("label", np.int64)))
+    return _group_row(table.column("frag")[0].as_py(), label, None, size, segment)
+
+
 _PAIRS = "a long, b long, na long, nb long, both long"
 _NO_PAIRS = pa.schema([(x, pa.int64()) for x in ("a", "b", "na", "nb", "both")])
 
@@ -277,94 +337,98 @@ def _fits(n: np.ndarray, s: np.ndarray, x, y) -> np.ndarray:
     return 7 * np.minimum(s[x], s[y]) >= 3 * (n[x] + n[y])
 
 
-def leader_overlaps(salt: int, leaders: int):
-    """Partial overlaps of each shingle's leaders with the group's classes of other components."""
+def _small(group, loc, place, member, c, n, s, leaders):
+    """(pair of locs, overlap) of the leaders with later classes; shingle by shingle."""
+    count = len(place)
+    order = np.lexsort((place[loc], group))
+    group, loc = group[order], loc[order]
+    begin = _begins(group)
+    within = np.arange(len(group)) - np.repeat(begin, np.diff(np.append(begin, len(group))))
+    pair, both = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for k in range(min(leaders, int(within.max(initial=0)))):
+        after = np.flatnonzero(within > k)
+        x, y = loc[after - within[after] + k], loc[after]
+        u, v = member[x], member[y]
+        fits = (place[x] < leaders) & (c[u] != c[v]) & _fits(n, s, u, v)
+        found, often = np.unique(x[fits] * count + y[fits], return_counts=True)
+        pair, at = np.unique(np.concatenate([pair, found]), return_inverse=True)
+        both = np.bincount(at, weights=np.concatenate([both, often]), minlength=len(pair)).astype(np.int64)
+    return pair // count, pair % count, both
+
+
+def _large(group, loc, members, place, member, c, n, s, rest, leaders, block=1024):
+    """The same for one segment of many classes (``members``, by place), by products of blocks of its 0/1 matrix."""
+    columns, column = np.unique(group, return_inverse=True)
+    order = np.argsort(place[loc], kind="stable")
+    column, cuts = column[order], np.searchsorted(place[loc][order], np.arange(len(members) + 1))
+
+    def dense(places):
+        out = np.zeros((len(places), len(columns)), np.float32)
+        for i, p in enumerate(places):
+            out[i, column[cuts[p]:cuts[p + 1]]] = 1
+        return out
+
+    of = member[members]
+    if leaders < len(members):
+        rows = np.arange(leaders)
+    else:
+        # a pair inside the largest component need not be looked at
+        names, often = np.unique(c[of], return_counts=True)
+        rows = np.flatnonzero(c[of] != names[often.argmax()])
+    is_row = np.zeros(len(members), bool)
+    is_row[rows] = True
+    found = []
+    for j in range(0, len(members), 4 * block):
+        cols = np.arange(j, min(j + 4 * block, len(members)))
+        right = dense(cols).T
+        for i in range(0, len(rows), block):
+            part = rows[i:i + block]
+            both = dense(part) @ right
+            x, y = of[part][:, None], of[cols][None]
+            other = np.minimum(rest[members[part]][:, None], rest[members[cols]][None])
+            pick = (c[x] != c[y]) & (both > 0) & (7 * (both + other) >= 3 * (n[x] + n[y])) & (~is_row[cols][None] | (part[:, None] < cols[None]))
+            u, v = np.nonzero(pick)
+            found.append((members[part[u]], members[cols[v]], both[u, v].astype(np.int64)))
+    return [np.concatenate(f) if found else np.zeros(0, np.int64) for f in (zip(*found) if found else [()] * 3)]
+
+
+def overlaps(salt: int, leaders: int | None):
+    """Partial overlaps, segment by segment, of pairs of different components that may reach 3/4: those of each
+    segment's leaders, or all (``leaders`` None)."""
     def count(fragment: pa.Table, known: pa.Table) -> pa.Table:
         if not fragment.num_rows or not known.num_rows:
             return _NO_PAIRS.empty_table()
-        label, group, member, _, c, n, s = _postings(fragment.to_pylist()[0], known)
-        wide = _across(group, c[member])
-        group, member = group[wide], member[wide]
-        if not len(group):
-            return _NO_PAIRS.empty_table()
+        row = fragment.to_pylist()[0]
+        label, group, member, c, n, s = _postings(row, known)
+        segment = np.unique(np.frombuffer(row["segment"], np.uint64), return_inverse=True)[1][group]
+        # a loc is a class in a segment
+        names, loc, size = np.unique(segment * len(label) + member, return_inverse=True, return_counts=True)
+        at, of = names // max(len(label), 1), names % max(len(label), 1)
+        rest = s[of] - size
         with np.errstate(over="ignore"):
-            rank = mixed(label.astype(np.uint64) + np.uint64(salt) * _STEP)
-        # members of each group in the order of their rank: the first few are its leaders
-        place = np.argsort(np.argsort(rank, kind="stable"), kind="stable")
-        order = np.lexsort((place[member], group))
-        member, group = member[order], group[order]
-        begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        within = np.arange(len(member)) - np.repeat(begin, np.diff(np.append(begin, len(member))))
-        pair, both = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k in range(leaders):
-            after = np.flatnonzero(within > k)
-            leader, other = member[after - within[after] + k], member[after]
-            fits = (c[leader] != c[other]) & _fits(n, s, leader, other)
-            leader, other = leader[fits], other[fits]
-            low, high = np.minimum(leader, other), np.maximum(leader, other)
-            found, often = np.unique(low * len(label) + high, return_counts=True)
-            pair, at = np.unique(np.concatenate([pair, found]), return_inverse=True)
-            both = np.bincount(at, weights=np.concatenate([both, often]), minlength=len(pair)).astype(np.int64)
-        return _pair_table(label, n, pair // len(label), pair % len(label), both)
-    return count
-
+            tie = mixed(label.astype(np.uint64) + np.uint64(salt) * _STEP)[of]
+        order = np.lexsort((tie, tie if salt else -size / np.maximum(n[of], 1), at))
+        begin = _begins(at)
+        many = np.diff(np.append(begin, len(at)))
+        place = np.empty(len(at), np.int64)
+        place[order] = np.arange(len(at)) - np.repeat(begin, many)
+        wide = _across(group, c[member])
+        group, loc = group[wide], loc[wide]
+        top = len(at) if leaders is None else leaders
+        large = many[at[loc]] > SMALL if len(loc) else np.zeros(0, bool)
+        x, y, both = _small(group[~large], loc[~large], place, of, c, n, s, min(top, SMALL))
+        pass_ = 7 * (both + np.minimum(rest[x], rest[y])) >= 3 * (n[of[x]] + n[of[y]])
+        found = [(x[pass_], y[pass_], both[pass_])]
+        for k in np.unique(at[loc[large]]):
+            here = large & (at[loc] == k)
+            found.append(_large(group[here], loc[here], order[begin[k]:begin[k] + many[k]], place, of, c, n, s, rest, top))
+        x, y, both = (np.concatenate(f) for f in zip(*found))
+        x, y = of[x], of[y]
+        pair, at = np.unique(np.minimum(x, y) * len(label) + np.maximum(x, y), return_inverse=True)
+        both = np.bincount(at, weights=both, minlength=len(pair)).astype(np.int64)
+        return _pair_table(label, n, pair // max(len(label), 1), pair % max(len(label), 1), both)
 
-def prefix_pairs(fragment: pa.Table, known: pa.Table) -> pa.Table:
-    """Pairs of different components that share a prefix shingle of both, each once per fragment."""
-    if not fragment.num_rows or not known.num_rows:
-        return _NO_PAIRS.empty_table()
-    label, group, member, lead, c, n, s = _postings(fragment.to_pylist()[0], known)
-    group, member = group[lead], member[lead]
-    wide = _across(group, c[member])
-    group, member = group[wide], member[wide]
-    begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
-    end = np.append(begin[1:], len(group))
-    number = np.repeat(np.arange(len(begin)), end - begin)
-    order = np.argsort(member, kind="stable")
-    names, first = np.unique(member[order], return_index=True)
-    found = [np.zeros(0, np.int64)]
-    for x, groups in zip(names, np.split(number[order], first[1:])) if len(names) else []:
-        # all that meet x in a group, each once; the later of two finds the pair
-        met = np.unique(np.concatenate([member[begin[g]:end[g]] for g in groups]))
-        met = met[met < x]
-        met = met[(c[met] != c[x]) & _fits(n, s, met, x)]
-        found.append(met * len(label) + x)
-    pair = np.concatenate(found)
-    return _pair_table(label, n, pair // len(label), pair % len(label), np.zeros(len(pair), np.int64))
-
-
-def pair_overlaps(fragment: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Partial overlaps of given pairs."""
-    if not fragment.num_rows or not pairs.num_rows:
-        return _NO_PAIRS.empty_table()
-    row = fragment.to_pylist()[0]
-    label = np.frombuffer(row["label"], np.int64)
-    member = np.frombuffer(row["member"], "<u4").astype(np.int64)
-    group = np.repeat(np.arange(len(row["groups"]) // 4), np.frombuffer(row["groups"], "<u4"))
-    order = np.argsort(member, kind="stable")
-    group = group[order]
-    cuts = np.searchsorted(member[order], np.arange(len(label) + 1))
-    lists = {}
-
-    def of(name):
-        at = np.searchsorted(label, name)
-        if at == len(label) or label[at] != name:
-            return group[:0]
-        return group[cuts[at]:cuts[at + 1]]
-
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    both = np.zeros(len(a), np.int64)
-    for i in np.argsort(a, kind="stable"):
-        x = lists.get(a[i])
-        if x is None:
-            lists = {a[i]: of(a[i])}
-            x = lists[a[i]]
-        y = of(b[i])
-        if len(x) and len(y):
-            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-            both[i] = np.count_nonzero(x[at] == y)
-    some = pa.array(both > 0)
-    return pa.table([pairs.column(k) for k in ("a", "b", "na", "nb")] + [pa.array(both)], schema=_NO_PAIRS).filter(some)
+    return count
 
 
 def _links(partial: DataFrame) -> DataFrame:
@@ -385,31 +449,30 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
     found = candidates(docs, max(4, -(-total // (4 * per_fragment))))
     chosen = table_of(classes.join(found, "label"))
     kept = chosen.agg(F.sum("n")).first()[0] or 0
-    fragments = table_of(fragment_table(docs, chosen, max(4, -(-kept // per_fragment))))
-    reach = durable(fragment_labels(fragments))
-    shared = reach.groupBy("label").agg(F.sum("shared").alias("shared"))
-    alive = chosen.join(shared, "label").where("4 * shared >= 3 * n").select("label", "n", F.col("shared").alias("s"))
-    state = durable(alive.withColumn("c", F.col("label")))
-
-    def met(function, extra=None):
-        known = extra if extra is not None else reach.select("frag", "label").join(state, "label")
-        return fragments.groupBy("frag").cogroup(known.groupBy("frag")).applyInArrow(function, _PAIRS)
-
-    def closed(links):
-        grown = components(state.select(F.col("label").alias("id"), "c"), links)
-        return durable(state.drop("c").join(grown.withColumnRenamed("id", "label"), "label"))
-
-    for salt in range(rounds):
-        links = durable(_links(met(leader_overlaps(salt, leaders))))
+    fragments = max(4, -(-kept // per_fragment))
+    hashed = table_of(fragment_table(docs, chosen, fragments))
+
+    def sharing(table, classes):
+        """Labels by fragment, and the classes that share enough of their shingles."""
+        reach = durable(fragment_labels(table))
+        shared = reach.groupBy("label").agg(F.sum("shared").alias("s"))
+        alive = classes.select("label", "n").join(shared, "label").where("4 * s >= 3 * n")
+        return reach, durable(alive.withColumn("c", F.col("label")))
+
+    def met(table, reach, function, schema):
+        known = reach.select("frag", "label").join(state, "label")
+        return table.groupBy("frag").cogroup(known.groupBy("frag")).applyInArrow(function, schema)
+
+    reach, state = sharing(hashed, chosen)
+    sent = met(hashed, reach, to_segments(fragments, per_fragment), _SENT)
+    segments = table_of(sent.groupBy("frag").applyInArrow(segment_row, _GROUPS))
+    reach, state = sharing(segments, state)
+    for salt, most in [*((r, leaders) for r in range(rounds)), (rounds, None)]:
+        links = durable(_links(met(segments, reach, overlaps(salt, most), _PAIRS)))
         if links.isEmpty():
-            break
-        state = closed(links)
-    pairs = durable(met(prefix_pairs).drop("both").distinct())
-    if not pairs.isEmpty():
-        everywhere = pairs.join(reach.select("frag", F.col("label").alias("a")), "a")
-        links = durable(_links(met(pair_overlaps, everywhere)))
-        if not links.isEmpty():
-            state = closed(links)
+            continue
+        grown = components(state.select(F.col("label").alias("id"), "c"), links)
+        state = durable(state.drop("c").join(grown.withColumnRenamed("id", "label"), "label"))
     return state.select("label", "n", "c")
 
 
