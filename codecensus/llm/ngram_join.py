@@ -403,7 +403,8 @@ def overlaps(salt: int, leaders: int | None):
         segment = np.unique(np.frombuffer(row["segment"], np.uint64), return_inverse=True)[1][group]
         # a loc is a class in a segment
         names, loc, size = np.unique(segment * len(label) + member, return_inverse=True, return_counts=True)
-        at, of = names // max(len(label), 1), names % max(len(label), 1)
+        # segments without a living posting leave no gap in the numbers
+        at, of = np.unique(names // max(len(label), 1), return_inverse=True)[1], names % max(len(label), 1)
         rest = s[of] - size
         with np.errstate(over="ignore"):
             tie = mixed(label.astype(np.uint64) + np.uint64(salt) * _STEP)[of]

@@ -101,3 +101,21 @@ def test_one_of_each(edge, frame, spark):
     got = sorted((r.doc_id, r["_key"]) for r in ngram_join.one_of_each(edge).collect() if r.doc_id is not None)
     assert got == [(i, "x") for i in (1, 2, 3, 5, 6, 7, 8, 9, 10)]
     assert ngram_join.one_of_each(spark.createDataFrame([], edge.schema)).count() == 0
+
+
+def test_dense_segments_with_near_misses(spark):
+    """Groups counted by matrix products, with members around the bound that no leader reaches."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for i in range(90):
+            text = list(base)
+            for k in rng.sample(range(60), rng.choice((0, 1, 1, 2, 2, 3, 3, 4))):
+                text[k] = f"g{g}own{i}x{k}"
+            rows.append((len(rows), " ".join(text), "s"))
+    got = ngram_join.grouped(
+        spark.createDataFrame(rows, "doc_id long, text string, source string"), per_fragment=2000, rounds=1, leaders=2
+    ).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+    assert len({r.component_id for r in got}) > 10
