@@ -49,8 +49,25 @@ def _pressed(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
 
 
+def _coded(x: np.ndarray) -> bytes:
+    """64-bit values as their distinct ones and a place for each, for arrays with many repeats."""
+    names, place = np.unique(x, return_inverse=True)
+    place = place.astype("<u2" if len(names) <= 1 << 16 else "<u4")
+    head = np.array([len(names), place.itemsize], "<u4").tobytes()
+    return zstandard.compress(head + names.tobytes() + place.tobytes(), 3)
+
+
+def _uncoded(value: bytes, dtype) -> np.ndarray:
+    raw = zstandard.decompress(value)
+    count, width = np.frombuffer(raw, "<u4", 2)
+    names = np.frombuffer(raw, dtype, count, 8)
+    return names[np.frombuffer(raw, f"<u{width}", -1, 8 + 8 * int(count))] if count else names
+
+
 def _row(kind: int, dest: int, batch: int, *arrays) -> tuple:
-    return (kind, dest, batch, *map(_pressed, arrays), *[None] * (5 - len(arrays)))
+    """Arrays are packed; values that are packed already stay."""
+    packed = [x if isinstance(x, bytes) else _pressed(x) for x in arrays]
+    return (kind, dest, batch, *packed, *[None] * (5 - len(arrays)))
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -70,6 +87,10 @@ def _joined(rows: list[dict], column: str, dtype) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype), *[_read(r[column], dtype) for r in rows]])
 
 
+def _joined_coded(rows: list[dict], column: str, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *[_uncoded(r[column], dtype) for r in rows]])
+
+
 def _starts(*keys: np.ndarray) -> np.ndarray:
     """Places where a run of equal keys begins."""
     if not len(keys[0]):
@@ -163,8 +184,8 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 kinds = _starts(a, b)
                 runs = _starts(a[kinds])
                 rows.append((
-                    bucket[begin], (task << 32) + number, head if not rows else None, *map(_pressed, (
-                        np.packbits(~held), a[kinds][runs], np.diff(np.append(runs, len(kinds))).astype("<u4"), b[kinds],
+                    bucket[begin], (task << 32) + number, head if not rows else None, _pressed(np.packbits(~held)), _pressed(a[kinds][runs]),
+                    _pressed(np.diff(np.append(runs, len(kinds))).astype("<u4")), _coded(b[kinds]), *map(_pressed, (
                         np.diff(np.append(kinds, len(a))).astype("<u4"), text[begin:end].astype("<u2"), n[begin:end].astype("<u4")))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_ARROW.types)], schema=_PACKED_ARROW)
 
@@ -185,7 +206,7 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
             batches.append(r["batch"])
             texts = _read(r["texts"], "<u4")
             v.append(np.repeat(np.repeat(_read(r["v"], np.uint64), _read(r["types"], "<u4")), texts))
-            w.append(np.repeat(_read(r["w"], np.uint64), texts))
+            w.append(np.repeat(_uncoded(r["w"], np.uint64), texts))
             place = _read(r["text"], "<u2").astype(np.int64)
             train.append(np.unpackbits(_read(r["train"], np.uint8)).astype(bool)[place])
             text.append(place + (i << 16))
@@ -229,12 +250,13 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         some = np.repeat(active, followers) & (both > 0)
         to = bucket_of(tw[some], tv[some], hot, buckets)
         for d in np.unique(to):
-            out.append(_row(FOLLOWERS, d, 0, tv[some][to == d], tw[some][to == d]))
+            out.append(_row(FOLLOWERS, d, 0, _coded(tv[some][to == d]), _coded(tw[some][to == d])))
         lv, lw, lt, ln = np.where(c[late] > 0, v[late], UNKNOWN), w[late], text[late], n[late]
         to = bucket_of(lw, lv, hot, buckets)
         for d in np.unique(to):
             at = to == d
-            out.append(_row(UNSEEN, d, 0, lv[at], lw[at], np.array(batches)[lt[at] >> 16], (lt[at] & 0xFFFF).astype("<u2"), ln[at].astype("<u4")))
+            out.append(_row(UNSEEN, d, 0, _coded(lv[at]), _coded(lw[at]), _coded(np.array(batches)[lt[at] >> 16]),
+                            (lt[at] & 0xFFFF).astype("<u2"), ln[at].astype("<u4")))
         few = np.stack([np.add.reduceat((both == k).astype(np.int64), runs) for k in range(1, K + 1)], axis=1)
         rest = np.add.reduceat(np.where(both > K, both, 0), runs)
         to = bucket_of(names[active], None, hot, buckets)
@@ -286,17 +308,18 @@ def _by_word(model: dict):
         names, counts = names[order], counts[order]
         out = []
         rows = _rows(group, FOLLOWERS)
-        v, w = _joined(rows, "a", np.uint64), _joined(rows, "b", np.uint64)
+        v, w = _joined_coded(rows, "a", np.uint64), _joined_coded(rows, "b", np.uint64)
         histories, at = np.unique(v, return_inverse=True)
         mass = np.bincount(at, weights=_word_probability(_lookup(names, counts, w), model), minlength=len(histories))
         to = bucket_of(histories, None, model["hot"], model["buckets"])
         out += [_row(MASS, d, 0, histories[to == d], mass[to == d]) for d in np.unique(to)]
         rows = _rows(group, UNSEEN)
-        v, w, batch, text, n = (_joined(rows, k, t) for k, t in zip("abcde", (np.uint64, np.uint64, np.int64, "<u2", "<u4")))
+        v, w, batch = (_joined_coded(rows, k, t) for k, t in zip("abc", (np.uint64, np.uint64, np.int64)))
+        text, n = (_joined(rows, k, t) for k, t in zip("de", ("<u2", "<u4")))
         out += _per_text(LATE, batch, text, n * np.log10(_word_probability(_lookup(names, counts, w), model)))
         asking = v != UNKNOWN
         to = np.where(asking, bucket_of(v, None, model["hot"], model["buckets"]), -1)
-        out += [_row(ASKING, d, 0, v[to == d], batch[to == d], text[to == d], n[to == d]) for d in np.unique(to[asking])]
+        out += [_row(ASKING, d, 0, _coded(v[to == d]), _coded(batch[to == d]), text[to == d], n[to == d]) for d in np.unique(to[asking])]
         return _table(out)
 
     return look
@@ -325,7 +348,8 @@ def _by_history(model: dict):
         covered = np.bincount(np.searchsorted(names, mv[known]), weights=mass[known], minlength=len(names))
         logs = np.log10(backoff(total, larger, every, covered, model))
         rows = _rows(group, ASKING)
-        v, batch, text, n = (_joined(rows, k, t) for k, t in zip("abcd", (np.uint64, np.int64, "<u2", "<u4")))
+        v, batch = (_joined_coded(rows, k, t) for k, t in zip("ab", (np.uint64, np.int64)))
+        text, n = (_joined(rows, k, t) for k, t in zip("cd", ("<u2", "<u4")))
         return _table(_per_text(LATE, batch, text, n * _lookup(names, logs, v)))
 
     return look
