@@ -1,8 +1,10 @@
 """Language-model scores under a Katz backoff model.
 
 Tokens are words (A-Z lower-cased) and one end per text; the history of a token is the word before it, or the start.
-Bigram and unigram counts of the training texts are discounted after Good and Turing (Katz's form, counts up to ``K``);
-what a history keeps back is spread over the words not seen after it in proportion to their unigram probabilities,
+Bigram and unigram counts of the training texts are discounted after Good and Turing (Katz's form, counts up to ``K``, counts
+of counts smoothed by a log-linear fit); a level without any type seen once or without any seen twice has no such estimate and
+keeps back half a count per type instead. What a history keeps back is spread over the words not seen after it in proportion
+to their unigram probabilities,
 
     p(w | v) = d(c(v,w)) c(v,w) / (c(v) + 1)      if the bigram was seen
              = backoff(v) p(w)                    otherwise; p(w) alone after an unknown history
@@ -269,17 +271,26 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d(1..K) from the numbers n of types seen 1..K+1 times; d of larger counts is 1."""
+    """d(1..K) from the numbers n of types seen 1..K+1 times; d of larger counts is 1.
+
+    Katz's d with the numbers smoothed first, as in simple Good-Turing: each non-zero number is averaged over the gap around
+    it and a line is fitted to its logarithm over log r. With n(r) ~ r ** slope, (r + 1) n(r+1) / (r n(r)) is
+    (1 + 1/r) ** (slope + 1) and Katz's share (K + 1) ** (slope + 1), so every d lies in (0, 1) whatever the slope is.
+    """
     n = np.asarray(n, float)
     r = np.arange(1, K + 1)
-    with np.errstate(all="ignore"):
-        share = (K + 1) * n[K] / n[0]
-        katz = ((r + 1) * n[1:] / n[:-1] / r - share) / (1 - share)
-    if np.isfinite(katz).all() and (katz > 0).all() and (katz <= 1).all():
-        return katz
-    # too few types for Good and Turing: an absolute discount estimated from the same numbers
-    step = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    return (r - step) / r
+    if not n[0] or not n[1]:
+        # no line without types seen once and twice: half a count is kept back
+        return (r - 0.5) / r
+    seen = np.flatnonzero(n) + 1
+    before, after = np.append(0, seen[:-1]), np.append(seen[1:], 2 * seen[-1] - seen[-2])
+    x, y = np.log(seen), np.log(2 * n[seen - 1] / (after - before))
+    x -= x.mean()
+    power = (x * y).sum() / (x * x).sum() + 1
+    top, step = np.log(K + 1), np.log1p(1 / r)
+    if abs(power) < 1e-9:
+        return 1 - step / top
+    return (np.expm1(power * top) - np.expm1(power * step)) / np.expm1(power * top)
 
 
 def _word_probability(counts: np.ndarray, model: dict) -> np.ndarray:

@@ -79,3 +79,25 @@ def test_nothing(spark, edge):
     assert scoring.scored(spark.createDataFrame([], edge.schema), F.lit(False)).count() == 0
     all_held = scoring.scored(edge, F.lit(True)).collect()
     assert len(all_held) == edge.count() and {r.n_known for r in all_held} == {0}
+
+
+def test_discounts_stay_good_turing():
+    # bigrams of the training texts of sf0.1: n4 and n5 are close, which made the ratio of the plain counts exceed 1
+    n = [1579638, 246704, 51653, 21705, 18939, 7580]
+    xs, ys = [math.log(r) for r in range(1, 7)], [math.log(x) for x in n]
+    mx, my = sum(xs) / 6, sum(ys) / 6
+    slope = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / sum((x - mx) ** 2 for x in xs)
+    smooth = {r: r ** slope for r in range(1, 7)}
+    share = 6 * smooth[6] / smooth[1]
+    want = [((r + 1) * smooth[r + 1] / (r * smooth[r]) - share) / (1 - share) for r in range(1, 6)]
+    assert scoring.discounts(n) == pytest.approx(want)
+    assert scoring.discounts(n) == pytest.approx([0.2353, 0.4361, 0.5569, 0.6359, 0.6912], abs=1e-4)
+    # numbers that follow a power of r are their own smoothed form
+    assert scoring.discounts([3600, 900, 400, 225, 144, 100]) == pytest.approx([0.4, 0.6, 0.7, 0.76, 0.8])
+    # falling, flat, rising and with a gap: always a discount, less of it for larger counts
+    for n in ([900, 450, 300, 225, 180, 150], [7] * 6, [3, 5, 8, 20, 40, 90], [50, 9, 0, 4, 0, 1], [5, 1, 0, 0, 0, 0]):
+        d = scoring.discounts(n)
+        assert (d > 0).all() and (d < 1).all() and (d[1:] > d[:-1]).all()
+    # only without types seen once or twice is there no estimate
+    for n in ([0, 4, 1, 1, 1, 1], [4, 0, 1, 1, 1, 1], [0] * 6):
+        assert scoring.discounts(n) == pytest.approx([0.5, 0.75, 5 / 6, 0.875, 0.9])
