@@ -3,8 +3,8 @@
 A URL becomes a set of tokens (host labels, host endings, path parts, query names). FP-growth over
 the token sets of labelled pages, each with an item for its label, finds combinations; those that
 imply the unwanted label with enough support, confidence and lift become rules, and a rule that a more general
-rule of at least its confidence contains is pruned. Rules are matched by inverted index: URL tokens meet rule tokens, and a rule whose tokens all meet
-fires. Mining reads every labelled page; the number of rules is bounded by ``min_support``, not by the input.
+rule of at least its confidence contains is pruned. Rules are matched by inverted index: different sets of URL tokens meet
+each rule at its rarest token, and a rule whose tokens are all there fires. Mining reads every labelled page; the number of rules is bounded by ``min_support``, not by the input.
 
 DataFrame functions and Spark's own FP-growth only.
 
@@ -52,11 +52,12 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 def tokens(host: Column, path: Column, url: Column) -> Column:
     """Distinct tokens: labels and endings of the host, parts of the path, names in the query."""
-    labels = F.filter(F.split(host, r"[.-]"), lambda x: x != "")
+    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
     parts = F.filter(F.split(lower_az(path), "[/._-]+"), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     names = F.filter(F.transform(F.split(query, "&"), lambda x: F.split(x, "=")[0]), lambda x: x != "")
-    kinds = (("host=", labels), ("path=", parts), ("query=", names))
+    words = F.filter(F.split(host, r"[.-]"), lambda x: x != "")
+    kinds = (("host=", labels), ("word=", words), ("path=", parts), ("query=", names))
 
     def named(kind: str):
         return lambda x: F.concat(F.lit(kind), x)
@@ -64,42 +65,85 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_distinct(F.concat(*[F.transform(values, named(kind)) for kind, values in kinds]))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0,
-                min_pages: int = 20) -> DataFrame:
-    """(rule_id, tokens, confidence, lift, support) from rows of ``tokens`` and ``unwanted``. A combination needs
-    ``min_support`` of the labelled pages and at least ``min_pages`` of them."""
-    baskets = labelled.select(
-        F.when(F.coalesce("unwanted", F.lit(False)), F.concat("tokens", F.array(F.lit(UNWANTED))))
-        .otherwise(F.col("tokens")).alias("items"))
-    share = min(1.0, max(min_support, min_pages / max(baskets.count(), 1)))
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
-    rules = (
+def same_pages(baskets: DataFrame) -> DataFrame:
+    """(token, name): tokens that stand in exactly the same baskets share a name, one of them. Tokens of all baskets are left
+    out: a rule says the same without them. The baskets are different token sets."""
+    h = F.xxhash64("tokens")
+    each = baskets.select(h.alias("_a"), F.xxhash64(h, F.lit(1)).alias("_b"), F.explode("tokens").alias("token"))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.bit_xor("_a").alias("_a"), F.bit_xor("_b").alias("_b"))
+    marks = durable(marks.where(F.col("_n") < baskets.count()))
+    names = marks.groupBy("_n", "_a", "_b").agg(F.min("token").alias("name"))
+    return durable(marks.join(names, ["_n", "_a", "_b"]).select("token", "name"))
+
+
+def contained(sets: DataFrame, rules: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Rows of ``sets`` (with ``tokens``) with each of ``rules`` (``_tokens`` and the token ``_rare`` of them) they hold."""
+    fits = (F.col("_token") == F.col("_rare")) & (F.size(F.array_except("_tokens", "tokens")) == 0)
+    return sets.withColumn("_token", F.explode("tokens")).join(rules, fits if extra is None else fits & extra)
+
+
+def with_rarest(rules: DataFrame, keys) -> DataFrame:
+    """``rules`` with ``_rare``, the token of each that the fewest rules hold (of equal ones the first)."""
+    each = rules.select(*keys, F.explode("tokens").alias("_rare"))
+    often = each.groupBy("_rare").agg(F.count(F.lit(1)).alias("_often"))
+    rarest = each.join(often, "_rare").groupBy(*keys).agg(F.min(F.struct("_often", "_rare"))["_rare"].alias("_rare"))
+    return rules.join(rarest, list(keys))
+
+
+def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
+    """(rule_id, tokens, confidence, lift, support) from rows of ``tokens`` and ``unwanted``.
+
+    A rule must raise the share of unwanted pages ``min_lift`` times, or lower that of the others as many times; the first
+    alone is out of reach where more than 1 / ``min_lift`` of the pages are unwanted. Tokens of the same pages are mined
+    as one and put in for each other afterwards, which gives the rules that mining all of them and pruning gives."""
+    rows = labelled.select(F.array_sort("tokens").alias("tokens"), F.coalesce("unwanted", F.lit(False)).alias("unwanted"))
+    rows = durable(rows.groupBy("tokens", "unwanted").agg(F.count(F.lit(1)).alias("_pages")))
+    names = same_pages(rows.select("tokens").distinct())
+    short = (
+        rows.select("tokens", F.explode("tokens").alias("token")).distinct().join(names, "token")
+        .groupBy("tokens").agg(F.collect_set("name").alias("items")))
+    empty = F.array().cast("array<string>")
+    baskets = durable(
+        rows.join(short, "tokens", "left").withColumn("items", F.coalesce("items", empty))
+        .select(F.when(F.col("unwanted"), F.concat("items", F.array(F.lit(UNWANTED)))).otherwise(F.col("items")).alias("items"),
+                F.explode(F.sequence(F.lit(1), F.col("_pages"))).alias("_copy")).select("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    base = F.col("confidence") / F.col("lift")
+    rules = durable(
         model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == UNWANTED))
-        .where(F.col("lift") >= min_lift)
+        .where((F.col("lift") >= min_lift) | ((F.col("lift") > 1) & ((1 - F.col("confidence")) * min_lift <= 1 - base)))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
-    )
-    rules = durable(rules.withColumn("rule_id", F.xxhash64("tokens")))
-    # pruning by the same inverted index: a more general rule has all its tokens inside the longer one
-    general = rules.select(
-        F.col("rule_id").alias("_id"), F.col("confidence").alias("_confidence"), F.size("tokens").alias("_size"),
-        F.explode("tokens").alias("_token"))
-    special = rules.select("rule_id", "confidence", F.size("tokens").alias("_n"), F.explode("tokens").alias("_token"))
-    covered = (
-        special.join(general, "_token").where("_size < _n AND _confidence >= confidence")
-        .groupBy("rule_id", "_id", "_size").count().where(F.col("count") == F.col("_size"))
-        .select("rule_id").distinct()
-    )
-    return rules.join(covered, "rule_id", "left_anti")
+        .withColumn("rule_id", F.xxhash64("tokens")))
+    # most rules have a rule of one token less that covers them; the rest is compared by its rarest token
+    less = F.filter(F.transform("tokens", lambda t: F.array_remove("tokens", t)), lambda x: F.size(x) > 0)
+    shorter = rules.select("rule_id", "confidence", F.explode(less).alias("_tokens"))
+    general = rules.select(F.col("tokens").alias("_tokens"), F.col("confidence").alias("_confidence"))
+    near = shorter.join(general, "_tokens").where("_confidence >= confidence").select("rule_id").distinct()
+    rules = durable(rules.join(near, "rule_id", "left_anti"))
+    general = with_rarest(rules, ["rule_id"]).select(
+        F.col("tokens").alias("_tokens"), F.col("confidence").alias("_confidence"), "_rare")
+    wider = (F.size("_tokens") < F.size("tokens")) & (F.col("_confidence") >= F.col("confidence"))
+    covered = contained(rules, general, wider).select("rule_id").distinct()
+    rules = durable(rules.join(covered, "rule_id", "left_anti"))
+    # every token in place of its name, in all combinations
+    members = names.groupBy("name").agg(F.array_sort(F.collect_list("token")).alias("_members"))
+    ways = rules.select("rule_id", F.explode("tokens").alias("name")).join(members, "name").groupBy("rule_id").agg(
+        F.collect_list("_members").alias("_ways"))
+    first = F.array(empty)
+    every = F.aggregate("_ways", first, lambda done, choice: F.flatten(
+        F.transform(done, lambda x: F.transform(choice, lambda t: F.concat(x, F.array(t))))))
+    out = rules.drop("tokens").join(ways, "rule_id").select(F.explode(every).alias("tokens"), "confidence", "lift", "support")
+    out = out.withColumn("tokens", F.array_sort("tokens"))
+    return out.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "lift", "support")
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
-    """(key, rules): for each different URL the mined rules whose tokens it holds."""
-    index = rules.select("rule_id", F.size("tokens").alias("_n"), F.explode("tokens").alias("_token"))
-    found = (
-        urls.select(key, F.explode("tokens").alias("_token")).join(index, "_token")
-        .groupBy(key, "rule_id", "_n").count().where(F.col("count") == F.col("_n"))
-    )
-    return found.groupBy(key).agg(F.count(F.lit(1)).alias("rules"))
+    """(key, rules): for each different URL the number of mined rules whose tokens it holds. URLs of equal tokens are
+    matched once."""
+    index = with_rarest(durable(rules), ["rule_id"]).select(F.col("tokens").alias("_tokens"), "_rare")
+    urls = urls.select(key, F.array_sort("tokens").alias("tokens"))
+    found = contained(urls.select("tokens").distinct(), index).groupBy("tokens").agg(F.count(F.lit(1)).alias("rules"))
+    return urls.join(found, "tokens").select(key, "rules")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, carry=("page_id",), **mining) -> DataFrame:

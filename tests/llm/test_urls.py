@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import pytest
 
@@ -53,3 +54,42 @@ def test_mined_combination(tables, spark):
     none = spark.createDataFrame([], labels.schema)
     assert {r.verdict for r in urls.judged(pages, none).collect() if r.rule is None} == {"allow"}
     assert urls.judged(spark.createDataFrame([], pages.schema), labels).count() == 0
+
+
+def plain_rules(rows, min_support=0.002, min_confidence=0.5, min_lift=2.0):
+    """Every combination of tokens of a page, with the confidence of those that pass and have no shorter one as good."""
+    base = sum(bad for _, bad in rows) / len(rows)
+    sets = {frozenset(c) for t, _ in rows for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    passing = {}
+    for s in sets:
+        hits = [bad for t, bad in rows if s <= set(t)]
+        c = sum(hits) / len(hits)
+        if sum(hits) >= min_support * len(rows) and c >= min_confidence and (
+                c >= min_lift * base or c > base and (1 - c) * min_lift <= 1 - base):
+            passing[s] = c
+    return {tuple(sorted(s)): c for s, c in passing.items() if not any(g < s and d >= c for g, d in passing.items())}
+
+
+@pytest.mark.parametrize("bad_share", [4, 10])  # of twelve
+def test_rules_of_few_pages(spark, bad_share):
+    """Combinations in a few pages count, also where most pages are unwanted; tokens of the same pages stay apart."""
+    rows = [(["h", f"a{i % 5}", f"b{i % 5}", f"c{i % 7}", f"d{i % 2}"], (i * 5) % 12 < bad_share) for i in range(120)]
+    rows += [(["h", "x", "y", "z"], True)] * 2 + [(["x"], False), ([], False), (["h"], None)]
+    want = plain_rules([(t, bool(bad)) for t, bad in rows])
+    assert len(want) > 5 and any("y" in rule for rule in want)
+    got = urls.mined_rules(spark.createDataFrame(rows, "tokens array<string>, unwanted boolean")).collect()
+    assert {tuple(r.tokens): r.confidence for r in got} == pytest.approx(want) and len(got) == len(want)
+
+
+def test_matched_rules(spark):
+    rules = [(1, ["a"]), (2, ["a", "b"]), (3, ["b", "c"]), (4, ["d"])]
+    pages = [("u1", ["a", "b"]), ("u2", ["b", "a"]), ("u3", ["c", "b", "a"]), ("u4", ["c"]), ("u5", [])]
+    found = urls.matched_rules(spark.createDataFrame(pages, "url string, tokens array<string>"),
+                               spark.createDataFrame(rules, "rule_id long, tokens array<string>")).collect()
+    assert {r.url: r.rules for r in found} == {"u1": 2, "u2": 2, "u3": 3}
+
+
+def test_whole_host_labels_are_tokens(spark):
+    row = spark.createDataFrame([("http://bad-pills.org/",)], "url string")
+    got = row.select(urls.tokens(urls.host_of(row.url), urls.path_of(row.url), row.url)).first()[0]
+    assert set(got) == {"host=bad-pills", "host=org", "word=bad", "word=pills", "word=org"}
