@@ -3,8 +3,9 @@
 Templates are short licence notices with mandatory key phrases. The corpus gives every template word its
 inverse document frequency; the index holds each template's ``rare`` highest-IDF words with their places.
 A text looks up its own words in the index; each hit votes for (template, text place - template place),
-votes of neighbouring offsets (``slack``) are joined, and a template whose aligned votes carry at least ``share``
-of its indexed weight, and whose key phrases all stand near the alignment, gives its label.
+votes of neighbouring offsets (``slack``) are joined, and every alignment whose votes carry at least ``share`` of the
+template's indexed weight, and near which all its key phrases stand, gives its label and a place. Alignments within
+``slack`` of a better one that passed are the same notice.
 
 Corpus work is one count of template words over all documents (partial counts per task, as many rows as
 templates have words) and one scan; texts are never shuffled. The index is as large as the templates are.
@@ -109,25 +110,29 @@ def _stands(words: list[bytes], phrase: tuple[bytes, ...], begin: int, end: int)
 
 
 def find_templates(words: list[bytes], index: Index) -> list[tuple[str, int, float]]:
-    """(label, start, score) of the best alignment of every template that is found."""
+    """(label, start, score) of every notice that is found; of alignments within ``slack`` the best that passes."""
     votes: dict[str, dict[int, dict[int, float]]] = defaultdict(lambda: defaultdict(dict))
     for at, word in enumerate(words):
         for label, place, weight in index.postings.get(word, ()):
             votes[label][at - place][place] = weight
     found = []
     for label, offsets in votes.items():
-        best = (0.0, 0)
+        likely = []
         for offset in offsets:
             joined: dict[int, float] = {}
             for near in range(offset - index.slack, offset + index.slack + 1):
                 joined.update(offsets.get(near, {}))
-            best = max(best, (sum(joined.values()) / index.weight[label], -offset))
-        score, start = min(best[0], 1.0), -best[1]
-        end = start + index.length[label] + index.slack
-        if score >= index.share and all(
-            _stands(words, phrase, start - index.slack, end) for phrase in index.phrases[label]
-        ):
-            found.append((label, start, score))
+            score = min(sum(joined.values()) / index.weight[label], 1.0)
+            if score >= index.share:
+                likely.append((-score, offset))
+        taken: set[int] = set()
+        for score, start in sorted(likely):
+            end = start + index.length[label] + index.slack
+            if taken.isdisjoint(range(start - index.slack, start + index.slack + 1)) and all(
+                _stands(words, phrase, start - index.slack, end) for phrase in index.phrases[label]
+            ):
+                taken.add(start)
+                found.append((label, start, -score))
     return sorted(found)
 
 

@@ -130,3 +130,20 @@ def test_licence_templates(frame, spark):
     assert (got[5].base_labels, got[5].n_base, got[5].first_word, got[5].last_word) == ("cc-by,gpl,reserved", 4, 0, 7)
     assert got[6].n_words == 0 and got[6].score == 0 and got[7].labels == "" and got[8].labels == "bsd"
     assert licenses.scanned(spark.createDataFrame([], frame(rows).schema)).count() == 0
+
+
+def test_every_notice_is_tried():
+    text = "this work is licensed under the gnu general public license version"
+    # "3" is in most documents, so that it is not indexed
+    index = licenses.build_index({b"3": 90, b"this": 80, b"is": 80}, 100)
+    assert b"3" not in index.postings
+    words = licenses.words_of(f"{text} 2 {'and so on ' * 20} {text} 3 {'and so on ' * 20} {text} 3")
+    starts = [start for label, start, _ in licenses.find_templates(words, index) if label == "gpl-3.0"]
+    assert starts == [12 + 60, 12 + 60 + 12 + 60]
+    bsd = licenses.TEMPLATES["bsd"][0]
+    common = {w: 50 for w in licenses.words_of(bsd)} | {
+        w: 1 for w in licenses.words_of("redistribution source binary forms with without")}
+    index = licenses.build_index(common, 100)
+    words = licenses.words_of(bsd.replace("without modification", "without any modification") + " x" * 30 + " " + bsd)
+    assert [label for label, _, _ in licenses.find_templates(words, index)] == ["bsd"]
+    assert licenses.find_templates(words, index)[0][1] == len(licenses.words_of(bsd)) + 31
