@@ -61,3 +61,14 @@ def test_nothing_and_repeats(spark, frame, edge):
     one = fingerprints.fingerprinted(frame([(1, "a b c d", "s"), (1, "a b c d", "s")])).collect()
     assert len(one) == 1 and one[0]["first"] == one[0]["next"]
     assert fingerprints.fingerprinted(edge).select(F.countDistinct("_key")).first()[0] == 11
+
+
+def test_error_of_the_query(spark, small):
+    got = {r.doc_id: r for r in fingerprints.op9(spark, "/root/testdata/sf0.001").collect()}
+    want = edited([(r.doc_id, r.text, r.source) for r in small.collect()])
+    assert all(len(r.fingerprint) == len(r.edited_fingerprint) == 8 * 128 for r in got.values())
+    off = [near - similarity(want[i][0], other) for i, r in got.items() for near, other in (
+        (r.near_edited, want[i][1]), (r.near_next, want[i][2]))]
+    deviation = (sum(x * x for x in off) / len(off)) ** 0.5
+    print(f"{len(off)} pairs: deviation {deviation:.4f}, largest {max(map(abs, off)):.4f}")
+    assert deviation < 0.045 and max(map(abs, off)) < 0.21
