@@ -5,7 +5,9 @@ pieces and a rest. Pieces are dealt by hash into groups of about ``group_rows``;
 vector best fit: pieces in descending order of length go, among the open sequences that have room in every
 dimension (tokens, documents, attention cost = sum of squared lengths), to the one with the smallest
 weighted norm of what remains (or the largest weighted dot product of demand and remaining room). Groups are
-random parts of the same mixture, so only a group's last few sequences have avoidable room.
+random parts of the same mixture, so only a group's last few sequences have avoidable room. With the default limits, as in op7 and the
+pipeline, tokens alone decide what fits: each piece has at least one token, and the sum of squares never exceeds the squared sum,
+so 4096 documents and a cost of 4096 * 4096 cannot bind. The contract's aim is few sequences; tighter limits are for the caller.
 
 Tokens are made in the scan, word by word with a bounded memo per task, and shuffled only if ``keep_ids``
 asks for them; what is grouped are rows of a few numbers.
