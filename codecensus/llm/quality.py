@@ -2,7 +2,8 @@
 
 A line's normal form is lower-cased with single blanks. A line is boilerplate of its host (the
 ``source`` column) when more than ``max_share`` of the host's different texts and at least
-``min_docs`` of them hold it; exact copies count once. Boilerplate lines are removed, and a document
+``min_docs`` of them hold it, or, however large the host is, when ``many_docs`` of them hold it and it has at least
+``many_words`` words: short lines of clean prose recur by chance in a large host. Exact copies count once. Boilerplate lines are removed, and a document
 of which fewer than ``min_left`` words or less than ``min_left_share`` of its words then remain is
 rejected as depleted. The base rules look at each text alone.
 
@@ -77,23 +78,26 @@ def host_lines(docs: DataFrame) -> DataFrame:
         "_key", "_host", "_text", "_at", F.xxhash64(normal).alias("_line"), n_words(F.col("_raw")).alias("_words"))
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, min_docs: int, max_share: float, many_docs: int, many_words: int) -> DataFrame:
     """(_host, _line) of the lines above the limits."""
     texts = docs.select(
         F.xxhash64(F.coalesce("source", F.lit("\x00"))).alias("_host"), F.xxhash64(text_of()).alias("_text")
     ).distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_texts"))
     lines = (
-        host_lines(docs).select("_host", "_line", "_text").distinct()
-        .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
-        .where(F.col("_docs") >= min_docs)
+        host_lines(docs).select("_host", "_line", "_text", "_words").distinct()
+        # equal lines have equally many words
+        .groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"), F.max("_words").alias("_words"))
+        .where(F.col("_docs") >= min(min_docs, many_docs))
     )
-    return lines.join(texts, "_host").where(F.col("_docs") > max_share * F.col("_texts")).select("_host", "_line")
+    in_share = (F.col("_docs") >= min_docs) & (F.col("_docs") > max_share * F.col("_texts"))
+    in_number = (F.col("_docs") >= many_docs) & (F.col("_words") >= many_words)
+    return lines.join(texts, "_host").where(in_share | in_number).select("_host", "_line")
 
 
-def removed_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def removed_lines(docs: DataFrame, *limits) -> DataFrame:
     """(_key, _removed, _at): per document the words and positions of its boilerplate lines."""
     marked = host_lines(docs).select("_key", "_host", "_line", "_at", "_words").join(
-        frequent_lines(docs, min_docs, max_share), ["_host", "_line"], "left_semi")
+        frequent_lines(docs, *limits), ["_host", "_line"], "left_semi")
     return (
         # repeated rows share a key: each of their lines counts once
         marked.groupBy("_key", "_at").agg(F.max("_words").alias("_words"))
@@ -103,12 +107,12 @@ def removed_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame
 
 def judged(
     docs: DataFrame, min_docs: int = 20, max_share: float = 0.1, min_left: int = 10,
-    min_left_share: float = 0.2, carry=("doc_id",),
+    min_left_share: float = 0.2, carry=("doc_id",), many_docs: int = 200, many_words: int = 5,
 ) -> DataFrame:
     """Metrics, removed_words, base_failed and kept for every document, with the columns in ``carry``
     and ``removed_at``, the positions of removed lines (lines split at \\n, from 0)."""
     metrics = base_metrics(docs.withColumn("_key", row_key()))
-    gone = removed_lines(docs, min_docs, max_share)
+    gone = removed_lines(docs, min_docs, max_share, many_docs, many_words)
     rows = metrics.select("_key", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rows = rows.join(gone, "_key", "left").withColumn("removed_words", F.coalesce("_removed", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed_words")

@@ -147,3 +147,15 @@ def test_every_notice_is_tried():
     words = licenses.words_of(bsd.replace("without modification", "without any modification") + " x" * 30 + " " + bsd)
     assert [label for label, _, _ in licenses.find_templates(words, index)] == ["bsd"]
     assert licenses.find_templates(words, index)[0][1] == len(licenses.words_of(bsd)) + 31
+
+
+def test_frequent_lines_of_a_growing_host(frame):
+    other = "w{0} x{0} y{0} z{0} a{0} b{0} c{0} d{0} e{0} f{0} g{0} h{0}"
+    for size in (60, 600):  # the line is in 40 texts: first in two thirds, then in fewer than 10 %
+        rows = [(i, (LINE + "\nHe said no.\n" if i < 40 else "") + other.format(i), "hot") for i in range(size)]
+        got = {r.doc_id: r for r in quality.judged(frame(rows), many_docs=30).collect()}
+        # the short line goes with the share only
+        assert {got[i].removed_words for i in range(40)} == {13 if size == 60 else 10}
+        assert not any(got[i].removed_words for i in range(40, size))
+    got = quality.judged(frame(rows)).collect()
+    assert not any(r.removed_words for r in got)
