@@ -70,3 +70,17 @@ def test_run(spark):
 def test_nothing_and_odd_rows(spark, edge, stage):
     assert stage(spark, spark.createDataFrame([], edge.schema), SMALL).count() == 0
     assert stage(spark, edge, SMALL).count() >= 0
+
+
+def test_stages_are_handed_on_as_parquet(spark, monkeypatch):
+    read = []
+
+    def seen(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, seen) for name, _ in corpus_pipeline.STAGES])
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert sorted(corpus_pipeline.run(spark, SMALL).collect()) == sorted(docs.collect())
+    for number, (name, files) in enumerate(zip([n for n, _ in corpus_pipeline.STAGES], read[1:]), 1):
+        assert files and all(f"/{number}_{name}/" in f and f.endswith(".parquet") for f in files)
