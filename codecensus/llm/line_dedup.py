@@ -71,8 +71,10 @@ def _without(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """_row (the document), text (what remains), n_lines (with a word), n_removed."""
-    joined = wrapped(docs).withColumn("_key", row_key()).join(later_occurrences(docs), "_key", "left")
-    out = joined.withColumn("_new", _without("text", "_starts"))
+    # the text travels once, inside the row
+    rows = wrapped(docs).select("_row", row_key().alias("_key"))
+    joined = rows.join(later_occurrences(docs), "_key", "left")
+    out = joined.withColumn("_new", _without("_row.text", "_starts"))
     return out.select("_row", "_new.text", "_new.n_lines", "_new.n_removed")
 
 
@@ -93,10 +95,10 @@ OP6_SQL = r"""
 WITH lines AS (
   SELECT doc_id, source, coalesce(text, '') AS body,
          unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS at
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
   FROM documents
 ), solid AS (
-  SELECT doc_id, at, line, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS n,
+  SELECT doc_id, place, line, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS n,
          lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), windows AS (
@@ -109,14 +111,14 @@ WITH lines AS (
     SELECT doc_id, n, row_number() OVER (PARTITION BY win ORDER BY doc_id, n) AS r FROM windows
   ) WHERE r > 1
 ), gone AS (
-  SELECT DISTINCT s.doc_id, s.at FROM solid s JOIN later l
+  SELECT DISTINCT s.doc_id, s.place FROM solid s JOIN later l
   ON s.doc_id = l.doc_id AND s.n BETWEEN l.n AND l.n + 2
 ), counted AS (
   SELECT l.doc_id,
          count(*) FILTER (WHERE regexp_matches(l.line, '[^\x20\x09-\x0D]')) AS n_lines,
-         count(g.at) AS n_removed,
-         coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (WHERE g.at IS NULL), '') AS text
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.at = g.at GROUP BY l.doc_id
+         count(g.place) AS n_removed,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS text
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id
 )
 SELECT doc_id, n_lines, n_removed, text FROM counted
 """

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecensus.functions.scale import durable
 from codecensus.llm.common import SPACE, WORD, documents, n_words, row_key, text_of, unwrapped, wrapped
 
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -125,9 +126,23 @@ def judged(
     )
 
 
+def verdicts(docs: DataFrame, **limits) -> DataFrame:
+    """(_key, kept, removed_at) of every distinct (id, source, text): a narrow table in the shared folder.
+
+    It is written before anything filters on ``kept``. That column is a conjunction over computed arrays; a filter
+    pushed below the projections would extract a text's words again for each of them, even once per word.
+    """
+    rows = docs.select(row_key().alias("_id"), "doc_id", "source", "text")
+    found = judged(rows, carry=("_id",), **limits).select(F.col("_id").alias("_key"), "kept", "removed_at")
+    return durable(found.dropDuplicates(["_key"]))
+
+
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     """The documents that pass, without their boilerplate lines; columns as in ``docs``."""
-    carried = judged(wrapped(docs), carry=("_row", "text"), **limits).where("kept")
+    passing = verdicts(docs, **limits).where("kept").select("_key", "removed_at")
+    # the text travels once, inside the row
+    rows = wrapped(docs).select("_row", row_key().alias("_key"))
+    carried = rows.join(passing, "_key").withColumn("text", F.col("_row.text"))
     lines = F.split(text_of(), "\n")
     cleaned = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed_at", i)), "\n")
     text = F.when(F.col("removed_at").isNull(), F.col("text")).otherwise(cleaned)
@@ -138,3 +153,46 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "removed_words", "base_failed", "kept")
+
+
+#: the same rows in DuckDB's SQL; lines and windows are compared as texts
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), lines AS (
+  SELECT doc_id, host, body, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS normal,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, host, body, unnest(string_split(body, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), repeats AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, place, list_slice(words, place, place + 4) AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS place FROM docs)
+), covered AS (
+  SELECT doc_id, count(DISTINCT place + k) AS n_repeat_words
+  FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows) CROSS JOIN range(5) AS ks(k)
+  WHERE n > 1 GROUP BY doc_id
+), hosts AS (
+  SELECT host, count(DISTINCT body) AS texts FROM docs GROUP BY host
+), frequent AS (
+  SELECT host, normal FROM lines JOIN hosts USING (host) GROUP BY host, normal, texts
+  HAVING (count(DISTINCT body) >= 20 AND count(DISTINCT body) > 0.1 * texts)
+      OR (count(DISTINCT body) >= 200 AND max(words) >= 5)
+), removed AS (
+  SELECT doc_id, sum(words) AS removed_words FROM lines JOIN frequent USING (host, normal) GROUP BY doc_id
+), figures AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+         length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM docs LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN removed USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures
+)
+SELECT *, NOT base_failed AND NOT (removed_words > 0 AND (
+         n_words - removed_words < 10 OR n_words - removed_words < 0.2 * n_words)) AS kept
+FROM judged
+"""

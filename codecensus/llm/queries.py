@@ -29,5 +29,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_quality_rules": quality.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }
