@@ -92,12 +92,31 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
 
 
+#: bytes of text that are hashed at once, so that the arrays behind them stay small
+HASHED_AT_ONCE = 400_000
+
+
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and each text's number of words.
 
-    A-Z are lower-cased (``bytes.lower`` leaves every other byte alone). All words are hashed at
-    once: prefix sums of byte values times powers of an odd number, taken apart at the word ends.
+    A-Z are lower-cased (``bytes.lower`` leaves every other byte alone). Texts are hashed in blocks of about
+    ``HASHED_AT_ONCE`` bytes; a longer text is a block of its own.
     """
+    values, counts, block, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+    for number, text in enumerate(texts):
+        block.append(text)
+        size += len(text)
+        if size >= HASHED_AT_ONCE or number + 1 == len(texts):
+            value, count = _hashed_block(block)
+            values.append(value)
+            counts.append(count)
+            block, size = [], 0
+    return np.concatenate(values), np.concatenate(counts)
+
+
+def _hashed_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All words of a block at once: prefix sums of byte values times powers of an odd number, taken apart at the
+    word ends."""
     joined = b"\n".join(texts).lower()
     if not joined:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)

@@ -133,15 +133,16 @@ def _packed(fragments: int, labels: list[int], shingles: list[np.ndarray], leads
     ahead = rank < np.repeat(np.array(leads, np.int64), lengths)
     where = fragment_of(flat, fragments)
     order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(fragments + 1))
+    # only fragments that occur: there may be many more of them than shingles here
+    reached, cuts = np.unique(where[order], return_index=True)
     names = np.array(labels, np.int64)
     rows = []
-    for f in range(fragments):
-        part = order[cuts[f]:cuts[f + 1]]
-        if len(part):
-            who, size = np.unique(owner[part], return_counts=True)
-            lead = np.bincount(owner[part], weights=ahead[part], minlength=len(labels))[who]
-            rows.append((f, names[who].tobytes(), size.astype("<u4").tobytes(), lead.astype("<u4").tobytes(), flat[part].tobytes()))
+    for f, part in zip(reached.tolist(), np.split(order, cuts[1:])):
+        begin = _begins(owner[part])
+        who = owner[part][begin]
+        size = np.diff(np.append(begin, len(part)))
+        lead = np.add.reduceat(ahead[part].astype(np.int64), begin)
+        rows.append((f, names[who].tobytes(), size.astype("<u4").tobytes(), lead.astype("<u4").tobytes(), flat[part].tobytes()))
     yield pa.RecordBatch.from_arrays(
         [pa.array(c, t) for c, t in zip(zip(*rows), _PACKED_ARROW.types)], schema=_PACKED_ARROW)
 
@@ -477,7 +478,7 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
     return state.select("label", "n", "c")
 
 
-def grouped(docs: DataFrame, per_fragment: int = 2_000_000, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
+def grouped(docs: DataFrame, per_fragment: int = 500_000, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
     """(_key, doc_id, n_shingles, component_id) for every row."""
     table = table_of(sets(docs))
     state = class_components(docs, table, per_fragment, rounds, leaders)

@@ -31,7 +31,9 @@ from codecensus.functions.scale import durable
 from codecensus.llm.common import documents
 
 CAPACITY = 4096
-MEMO = 400_000
+MEMO = 250_000
+#: characters whose words are looked up at once
+PORTION = 1_000_000
 
 
 @lru_cache(maxsize=2)
@@ -55,8 +57,8 @@ class WordIds:
             return
         if len(self.known) + len(new) > MEMO:
             self.known = {w: self.known[w] for w in words if w in self.known}
-        for at in range(0, len(new), 20_000):
-            part = [w.decode() for w in new[at:at + 20_000]]
+        for at in range(0, len(new), 5_000):
+            part = [w.decode() for w in new[at:at + 5_000]]
             # one encoding for many words: white space separates them and leaves no token
             encoded = self.encoder.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4")
@@ -67,17 +69,16 @@ class WordIds:
             for i, word in enumerate(part):
                 self.known[word.encode()] = raw[4 * cuts[i]:4 * cuts[i + 1]]
 
-    def batch(self, texts: list[str | None]):
+    def batch(self, texts: pa.Array):
         """Ids of each text as bytes; texts are taken in portions of bounded size."""
         at = 0
         while at < len(texts):
             portion, size = [], 0
-            while at < len(texts) and (not portion or size < 4_000_000):
-                words = (texts[at] or "").encode()
+            while at < len(texts) and (not portion or size < PORTION):
+                text = (texts[at].as_py() or "").encode()
                 # the vocabulary lower-cases; doing so here for A-Z halves the different words
-                words = words.split() if b"<|" in words else words.lower().split()
-                portion.append(words)
-                size += len(texts[at] or "")
+                portion.append(text.split() if b"<|" in text else text.lower().split())
+                size += len(text)
                 at += 1
             self.learn({w for words in portion for w in words})
             for words in portion:
@@ -96,7 +97,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         encoder = WordIds(vocabulary)
         for batch in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, raw in enumerate(encoder.batch(batch.column("_text").to_pylist())):
+            for row, raw in enumerate(encoder.batch(batch.column("_text"))):
                 raw += end
                 for number, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at:at + 4 * capacity]
