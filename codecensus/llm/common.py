@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,12 @@ def table(df: DataFrame) -> DataFrame:
     return out
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one in ``spark.checkpoint.dir``, or in the warehouse where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def text_of(column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -114,15 +121,8 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(counts)
 
 
-def _hashed_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All words of a block at once: prefix sums of byte values times powers of an odd number, taken apart at the
-    word ends."""
-    joined = b"\n".join(texts).lower()
-    if not joined:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    raw = np.frombuffer(joined, dtype=np.uint8)
-    edge = np.flatnonzero(np.diff(_IS_SPACE[raw].astype(np.int8), prepend=1, append=1))
-    start, end = edge[0::2], edge[1::2]
+def _word_values(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of all words at once: prefix sums of byte values times powers of an odd number, taken apart at the word ends."""
     steps = np.ones(len(raw) + 1, np.uint64)
     steps[1:] = _MULTIPLIER
     power = np.multiply.accumulate(steps)
@@ -132,7 +132,45 @@ def _hashed_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     del total
     steps[1:] = _INVERSE
     back = np.multiply.accumulate(steps)
-    value = value * back[start] + (end - start).astype(np.uint64)
+    return mixed(value * back[start] + (end - start).astype(np.uint64))
+
+
+def _hashed_block(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    joined = b"\n".join(texts).lower()
+    if not joined:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(_IS_SPACE[raw].astype(np.int8), prepend=1, append=1))
+    start, end = edge[0::2], edge[1::2]
     begins = np.cumsum([0] + [len(t) + 1 for t in texts])
     counts = np.diff(np.searchsorted(start, begins))
-    return mixed(value), counts.astype(np.int64)
+    return _word_values(raw, start, end), counts.astype(np.int64)
+
+
+def hashed_spans(texts: list[bytes], breaks: bytes, blanks: bytes) -> tuple[np.ndarray, ...]:
+    """Hash, piece, text, start and end of every word. Bytes in ``breaks`` end a piece and bytes in ``blanks`` a word; a text
+    ends both. Starts and ends count in the texts joined by one byte."""
+    ends_word, ends_piece = np.zeros(256, bool), np.zeros(256, bool)
+    ends_piece[list(breaks)] = True
+    ends_word[list(breaks + blanks)] = True
+    found, block, size, offset, pieces, first = [], [], 0, 0, 0, 0
+    for number, text in enumerate(texts):
+        block.append(text)
+        size += len(text) + 1
+        if size < HASHED_AT_ONCE and number + 1 < len(texts):
+            continue
+        raw = np.frombuffer(b"\n".join([*block, b""]).lower(), dtype=np.uint8)
+        edge = np.flatnonzero(np.diff(ends_word[raw].astype(np.int8), prepend=1, append=1))
+        start, end = edge[0::2], edge[1::2]
+        begins = np.cumsum([0] + [len(t) + 1 for t in block])
+        text_of_word = np.searchsorted(begins, start, side="right") - 1
+        # a text's end is a break of its own, whatever ``breaks`` holds
+        before = np.cumsum(ends_piece[raw])[start] + text_of_word if len(start) else np.zeros(0, np.int64)
+        found.append((_word_values(raw, start, end), before + pieces, text_of_word + first, start + offset, end + offset))
+        offset += size
+        pieces += int(ends_piece[raw].sum()) + len(block)
+        first += len(block)
+        block, size = [], 0
+    if not found:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4
+    return tuple(np.concatenate(x) for x in zip(*found))
