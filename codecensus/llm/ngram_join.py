@@ -3,8 +3,9 @@
 A document is the set of its five-word shingles, as 64-bit hashes; the hash order is the global order, cut into
 fragments of consecutive values. Documents with equal sets form one class and go on as one.
 
-1. *Candidates.* Two sets with Jaccard >= 3/4 share a shingle among the first n - ceil(3n/4) + 1 of each. Only these
-   prefixes are sent to fragments, and a class goes on if a prefix shingle of it occurs in another class.
+1. *Candidates.* Two sets with Jaccard >= 3/4 share at least k shingles among the first n - ceil(3n/4) + k of each. Only these
+   prefixes, with k an eighth of the set, are sent to fragments, and a class goes on if that many prefix shingles of it occur in
+   other classes (k of the smallest partner it may have). One shared passage of a long text is thus not enough.
 2. *Fragments.* The whole sets of those classes are sent to fragments, which keep the shingles of two or more
    classes, class by class. A class of which less than 3/4 of the shingles are shared has no partner and drops out.
 3. *Segments.* The order of the shared shingles is then refined: by anchor, the holder that shares most of its set. The
@@ -31,7 +32,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecensus.functions.scale import durable
@@ -95,8 +97,17 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
     return int(first.astype(np.int64)), int(second.astype(np.int64))
 
 
+def _eighth(n):
+    return np.maximum(1, n // 8)
+
+
 def prefix_length(n: int) -> int:
-    return n - -(-3 * n // 4) + 1 if n else 0
+    return min(n, n - -(-3 * n // 4) + int(_eighth(n)))
+
+
+def least_shared() -> Column:
+    """Prefix shingles that a set of n shares with any partner; the smallest partner has 3n/4."""
+    return F.greatest(F.lit(1), F.expr("((3 * n + 3) div 4) div 8"))
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -121,18 +132,16 @@ _PACKED = "frag int, label binary, size binary, lead binary, shingle binary"
 _PACKED_ARROW = pa.schema([("frag", pa.int32()), *[(x, pa.binary()) for x in ("label", "size", "lead", "shingle")]])
 
 
-def _packed(fragments: int, labels: list[int], shingles: list[np.ndarray], leads):
-    """One row per fragment: the labels that reach it, each one's number of shingles there, how many of those
-    belong to its prefix, and the shingles."""
-    lengths = np.array([len(s) for s in shingles], np.int64)
-    if not lengths.sum():
+def _packed(fragments: int, labels: list[int], flat: np.ndarray, owner: np.ndarray, ahead: np.ndarray | None = None):
+    """One row per fragment: the labels that reach it, each one's number of shingles there, how many of those are marked
+    ``ahead``, and the shingles. ``owner`` is the place in ``labels``, ascending."""
+    if not len(flat):
         return
-    flat = np.concatenate(shingles)
-    owner = np.repeat(np.arange(len(labels)), lengths)
-    rank = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ahead = rank < np.repeat(np.array(leads, np.int64), lengths)
     where = fragment_of(flat, fragments)
-    order = np.argsort(where, kind="stable")
+    if ahead is None:
+        ahead, order = np.zeros(len(flat), bool), np.argsort(where, kind="stable")
+    else:
+        order = np.lexsort((~ahead, owner, where))
     # only fragments that occur: there may be many more of them than shingles here
     reached, cuts = np.unique(where[order], return_index=True)
     names = np.array(labels, np.int64)
@@ -148,7 +157,7 @@ def _packed(fragments: int, labels: list[int], shingles: list[np.ndarray], leads
 
 
 def _unpacked(table: pa.Table):
-    """label, shingle and whether in the prefix, of every posting of a fragment."""
+    """label, shingle and whether marked, of every posting of a fragment."""
     label, size, lead, shingle = (
         np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(c)])
         for c, t in (("label", np.int64), ("size", "<u4"), ("lead", "<u4"), ("shingle", np.uint64)))
@@ -157,7 +166,8 @@ def _unpacked(table: pa.Table):
 
 
 def candidates(docs: DataFrame, fragments: int) -> DataFrame:
-    """(label,): signatures of the sets that share a prefix shingle with another set; ``label`` is s1."""
+    """(label, shared): prefix shingles that a set shares with other sets (at least that many are counted, copies of a set in
+    several tasks may count more); ``label`` is s1."""
     def emit(batches):
         for _, _, texts in portions(batches):
             own = {}
@@ -169,29 +179,42 @@ def candidates(docs: DataFrame, fragments: int) -> DataFrame:
                 continue
             flat = np.concatenate(list(own.values()))
             owner = np.repeat(np.arange(len(labels)), lengths)
-            value, first, inverse, often = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
-            met = np.zeros(len(labels), bool)
-            met[owner[often[inverse] > 1]] = True
-            # one posting per shingle leaves the task: with it every other task learns that it is shared;
-            # the holders here are marked at their first posting, which always leaves
-            start = np.cumsum(lengths) - lengths
-            keep = np.union1d(first, start[met])
-            chosen = [flat[k] for k in np.split(keep, np.searchsorted(keep, start[1:]))]
-            yield from _packed(fragments, labels, chosen, met.astype(int))
+            _, first, inverse, often = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+            # one posting per shingle leaves the task: with it every other task learns that it is shared. What is shared
+            # here is counted here, and marked on its way
+            here = often[inverse] > 1
+            keep = np.sort(first)
+            yield from _packed(fragments, labels, flat[keep], owner[keep], here[keep])
+            known = np.bincount(owner[here], minlength=len(labels))
+            some = np.flatnonzero(known)
+            if len(some):
+                names = np.array(labels, np.int64)[some]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((
+                    int(fragment_of(mixed(names[:1].astype(np.uint64)), fragments)[0]), names.tobytes(),
+                    np.zeros(len(some), "<u4").tobytes(), known[some].astype("<u4").tobytes(), b""), _PACKED_ARROW.types)],
+                    schema=_PACKED_ARROW)
 
     def meet(table: pa.Table) -> pa.Table:
-        label, shingle, marked = _unpacked(table)
-        order = np.argsort(shingle, kind="stable")
-        label, shingle, marked = label[order], shingle[order], marked[order]
-        same = shingle[1:] == shingle[:-1]
-        # sets that stand in several tasks meet themselves: only different labels count
-        begin = np.flatnonzero(np.concatenate([[True], ~same]))
-        low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
-        marked |= np.repeat(low != high, np.diff(np.append(begin, len(label))))
-        return pa.table({"label": pa.array(np.unique(label[marked]), pa.int64())})
+        counted = pc.equal(pc.binary_length(table.column("shingle")), 0)
+        ready = table.filter(counted)
+        names, counts = (np.concatenate([np.zeros(0, t), *[np.frombuffer(x.as_py(), t) for x in ready.column(c)]])
+                         for c, t in (("label", np.int64), ("lead", "<u4")))
+        table = table.filter(pc.invert(counted))
+        if table.num_rows:
+            label, shingle, marked = _unpacked(table)
+            order = np.argsort(shingle, kind="stable")
+            label, shingle, marked = label[order], shingle[order], marked[order]
+            # sets that stand in several tasks meet themselves: only different labels count
+            begin = _begins(shingle)
+            low, high = np.minimum.reduceat(label, begin), np.maximum.reduceat(label, begin)
+            met = np.repeat(low != high, np.diff(np.append(begin, len(label)))) & ~marked
+            found, shared = np.unique(label[met], return_counts=True)
+            names, counts = np.concatenate([names, found]), np.concatenate([counts, shared])
+        return pa.table({"label": pa.array(names, pa.int64()), "shared": pa.array(counts.astype(np.int64))})
 
     rows = docs.select(text_of().alias("text")).mapInArrow(emit, _PACKED)
-    return rows.groupBy("frag").applyInArrow(meet, "label long").distinct()
+    met = rows.groupBy("frag").applyInArrow(meet, "label long, shared long")
+    return met.groupBy("label").agg(F.sum("shared").alias("shared"))
 
 
 _GROUPS = "frag int, label binary, groups binary, member binary, segment binary, shared binary"
@@ -216,7 +239,9 @@ def fragment_table(docs: DataFrame, chosen: DataFrame, fragments: int) -> DataFr
         for batch, first, texts in portions(batches):
             labels = batch.column("label").slice(first, len(texts)).to_pylist()
             own = dict(zip(labels, shingle_sets(texts)))
-            yield from _packed(fragments, list(own), list(own.values()), [0] * len(own))
+            lengths = [len(x) for x in own.values()]
+            yield from _packed(fragments, list(own), np.concatenate([np.zeros(0, np.uint64), *own.values()]),
+                               np.repeat(np.arange(len(own)), lengths))
 
     def group(table: pa.Table) -> pa.Table:
         label, shingle, _ = _unpacked(table)
@@ -448,8 +473,9 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
         table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("_key").alias("_key"))
         .select(F.col("s1").alias("label"), "n", "_key"))
     total = table.agg(F.sum("n")).first()[0] or 0
-    found = candidates(docs, max(4, -(-total // (4 * per_fragment))))
-    chosen = table_of(classes.join(found, "label"))
+    # a prefix has three eighths of a set
+    found = candidates(docs, max(4, -(-3 * total // (8 * per_fragment))))
+    chosen = table_of(classes.join(found, "label").where(F.col("shared") >= least_shared()).drop("shared"))
     kept = chosen.agg(F.sum("n")).first()[0] or 0
     fragments = max(4, -(-kept // per_fragment))
     hashed = table_of(fragment_table(docs, chosen, fragments))
@@ -478,7 +504,7 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
     return state.select("label", "n", "c")
 
 
-def grouped(docs: DataFrame, per_fragment: int = 500_000, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
+def grouped(docs: DataFrame, per_fragment: int = 1_000_000, rounds: int = 3, leaders: int = LEADERS) -> DataFrame:
     """(_key, doc_id, n_shingles, component_id) for every row."""
     table = table_of(sets(docs))
     state = class_components(docs, table, per_fragment, rounds, leaders)
