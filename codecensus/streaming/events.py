@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import rules
 from ..schemas import STREAM_EVENT
@@ -181,31 +183,96 @@ def checkpoint_pairing(
     )
 
 
+class FirstResponse(StatefulProcessor):
+    """State of one session: checkpoints that have no outcome yet, and responses that may still answer one.
+
+    Nothing is decided before the watermark has passed it: a response is final once no earlier one can arrive, and a
+    checkpoint has timed out once no response within its time can. A checkpoint leaves the state with its outcome, so later
+    responses find nothing to answer; a response leaves once the watermark has passed it, since open checkpoints before
+    it have then been answered and new ones are later. An event-time timer wakes the session for its next outcome.
+    """
+
+    def __init__(self, wait: int):
+        self.wait = wait * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "micros bigint, checkpoint_id string")
+        self.given = handle.getListState("given", "micros bigint, action string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        asked, given = [], []
+        for pdf in rows:
+            for micros, is_answer, checkpoint, action in zip(pdf["micros"], pdf["is_answer"], pdf["checkpoint_id"], pdf["action"]):
+                (given if is_answer else asked).append((int(micros), action if is_answer else checkpoint))
+        if asked:
+            self.open.appendList(asked)
+        if given:
+            self.given.appendList(given)
+        yield from self._outcomes(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._outcomes(key, timerValues)
+
+    def _outcomes(self, key, timerValues):
+        import pandas as pd
+
+        final = timerValues.getCurrentWatermarkInMs() * 1000
+        given = sorted(((t, a) for t, a in self.given.get()), key=lambda x: (x[0], x[1] is not None, x[1]))
+        times = [t for t, _ in given]
+        out, still = [], []
+        for asked, checkpoint in self.open.get():
+            at = bisect_left(times, asked)
+            answered = at < len(times) and times[at] - asked <= self.wait
+            if answered and times[at] < final:
+                out.append((key[0], checkpoint, asked, times[at], given[at][1], False))
+            elif not answered and asked + self.wait < final:
+                out.append((key[0], checkpoint, asked, None, None, True))
+            else:
+                still.append((asked, checkpoint))
+        later = [x for x in given if x[0] >= final]
+        for state, held in ((self.open, still), (self.given, later)):
+            state.put(held) if held else state.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        ahead = [t for t, _ in later] + [t + self.wait for t, _ in still]
+        if ahead:
+            self.handle.registerTimer(max(min(ahead), final) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "checkpoint_id", "asked", "response", "action", "timed_out"]).astype(
+                {"response": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
 def checkpoint_pairing_stream(
     checkpoints: DataFrame, responses: DataFrame, wait: int = rules.CHECKPOINT_WAIT_SECONDS,
     delay: str = "1 minute",
 ) -> DataFrame:
-    """Streaming form: a left outer interval join on both event times.
+    """Streaming form: one row per checkpoint, whatever the order of arrival within ``delay`` is.
 
-    It emits one row per response in the interval; :func:`first_responses` keeps the first one
-    in each micro-batch's output.  Unanswered checkpoints appear once the watermark has passed
-    their interval.
+    It appears once the watermark (the smaller one of the two inputs) has passed its first response, or the end of its time.
+    Sessions are keys of their own; what a session holds are its open checkpoints and the responses of the last
+    ``delay``. Rows that arrive later than that are dropped. Needs the RocksDB state store provider.
     """
-    c = checkpoints.withWatermark("ts", delay).alias("c")
-    r = responses.withColumnRenamed("ts", "response_ts").withWatermark("response_ts", delay).alias("r")
-    on = F.expr(
-        "c.session_id = r.session_id AND response_ts >= c.ts "
-        f"AND response_ts <= c.ts + interval {wait} seconds"
-    )
-    return c.join(r, on, "leftOuter").select(
-        F.col("c.session_id").alias("session_id"), "checkpoint_id", "ts", "response_ts",
-        F.coalesce("action", F.lit("continue")).alias("action"),
-        F.col("response_ts").isNull().alias("timed_out"),
+    none = F.lit(None).cast("string")
+    asked = checkpoints.withWatermark("ts", delay).select(
+        "session_id", "ts", micros(F.col("ts")).alias("micros"), F.lit(False).alias("is_answer"), "checkpoint_id", none.alias("action"))
+    given = responses.withWatermark("ts", delay).select(
+        "session_id", "ts", micros(F.col("ts")).alias("micros"), F.lit(True).alias("is_answer"), none.alias("checkpoint_id"), "action")
+    out = asked.unionByName(given).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=FirstResponse(wait),
+        outputStructType="session_id string, checkpoint_id string, asked bigint, response bigint, action string, timed_out boolean",
+        outputMode="Append", timeMode="EventTime",
     )
+    return out.select(
+        "session_id", "checkpoint_id", F.timestamp_micros("asked").alias("ts"), F.timestamp_micros("response").alias("response_ts"),
+        F.when(F.col("timed_out"), F.lit("continue")).otherwise(F.col("action")).alias("action"), "timed_out")
 
 
 def first_responses(pairs: DataFrame) -> DataFrame:
-    """First response per checkpoint of the rows given by the streaming join."""
+    """Rows of :func:`checkpoint_pairing_stream` with the waiting time; the first response of rows that repeat a checkpoint."""
     return (
         pairs.groupBy("session_id", "checkpoint_id", "ts")
         .agg(F.min(F.struct(F.col("response_ts"), "action", "timed_out")).alias("_f"))

@@ -219,6 +219,33 @@ def test_checkpoint_pairing(spark, tmp_path):
     assert {(x.session_id, x.checkpoint_id): (x.action, x.timed_out, x.wait_s) for x in out} == PAIRED
 
 
+def test_checkpoints_have_one_outcome_across_batches(spark, tmp_path):
+    c_ddl, r_ddl = "session_id string, checkpoint_id string, ts timestamp", "session_id string, action string, feedback string, ts timestamp"
+    # per batch: checkpoints and responses; the last rows of each move the watermark
+    batches = [
+        ([("a", "k1", 100), ("b", "k1", 100), ("z", "w", 400)], [("z", "w", 400)]),
+        ([("a", "k2", 390), ("z", "w", 500)], [("a", "stop", 450), ("a", "late second", 460), ("z", "w", 500)]),
+        # one that was under way for long arrives before the answer it precedes is final
+        ([("z", "w", 560)], [("a", "first", 441), ("a", "third", 530), ("z", "w", 560)]),
+        ([("a", "k3", 560), ("z", "w", 1300)], [("a", "fourth", 700), ("z", "w", 1300)]),
+        ([("z", "w", 5000)], [("b", "too late", 4000), ("z", "w", 5000)]),
+        ([("z", "w", 9000)], [("a", "fifth", 5100), ("z", "w", 9000)]),
+    ]
+    for n, (asked, given) in enumerate(batches):
+        spark.createDataFrame([(s, k, at(t)) for s, k, t in asked], c_ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+        spark.createDataFrame([(s, x, "", at(t)) for s, x, t in given], r_ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "r"))
+        streams = [spark.readStream.schema(d).parquet(str(tmp_path / x)) for x, d in (("c", c_ddl), ("r", r_ddl))]
+        # every start goes on from the state the last one left
+        q = (events.checkpoint_pairing_stream(*streams).writeStream.outputMode("append").format("parquet")
+             .option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start())
+        q.awaitTermination(300)
+    out = spark.read.parquet(str(tmp_path / "out")).where("session_id <> 'z'").collect()
+    assert sorted((r.session_id, r.checkpoint_id, r.action, r.timed_out) for r in out) == [
+        ("a", "k1", "first", False), ("a", "k2", "first", False), ("a", "k3", "fourth", False), ("b", "k1", "continue", True)]
+    state = spark.read.format("statestore").option("stateVarName", "open").load(str(tmp_path / "cp"))
+    assert not {"a", "b"} & {r.key[0] for r in state.collect()}
+
+
 @pytest.mark.parametrize("since", ["2024-01-01 00:00:05"])
 def test_log_cursor_reaches_the_scan(spark, tmp_path, since):
     from codecensus.operators.selection import log_since
