@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.grams import occurrences
 from ..functions.paths import basename, lookup
 
 RUN = ("repo_id", "run_id")
@@ -136,21 +137,19 @@ def match_plan_paths(plan_lines: DataFrame, files: DataFrame) -> DataFrame:
     return exact.unionByName(fuzzy)
 
 
-NEEDLES_PER_ROW = 256
-
-
 def locate_content(selections: DataFrame, artifacts: DataFrame, first_src_only: bool = False) -> DataFrame:
     """Artifacts that contain a selected element: (repo_id, sel_id, filename).
 
     ``selections`` carries (repo_id, sel_id, text, element_id, src).  Texts of 3 to 199
     characters are searched by their first 30 characters, which every longer match contains;
     ids in three spellings; sources as they are.  Python and PowerShell files never match.
-    Selections travel to the contents in arrays of at most ``NEEDLES_PER_ROW`` needles, so an
-    artifact meets one row per array, not one per selection.
+    Contents stay where they are: they give the positions of those byte grams that some needle
+    needs, and a needle is found where all its grams stand in line (``functions.grams``).  Rows
+    are dealt by gram, so a repository with most of the files is spread.
 
     ``first_src_only`` gives the first artifact by order that contains the source instead.
     """
-    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     length = F.length(text)
     ident, src = F.col("element_id"), F.col("src")
     if first_src_only:
@@ -163,40 +162,21 @@ def locate_content(selections: DataFrame, artifacts: DataFrame, first_src_only:
             F.when(ident != "", F.concat(F.lit("id: '"), ident, F.lit("'"))),
             F.when(src != "", src),
         )
-    wanted = (
-        selections.select(
-            "repo_id", "sel_id",
-            F.explode(F.filter(needles, lambda n: n.isNotNull() & (n != ""))).alias("needle"),
-        )
-        # equal needles of one repository are searched once
-        .groupBy("repo_id", "needle").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    slots = F.greatest(F.lit(1), F.ceil(F.col("_total") / F.lit(NEEDLES_PER_ROW)))
-    totals = wanted.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_total"))
-    packed = (
-        wanted.join(totals, "repo_id")
-        .withColumn("_slot", F.pmod(F.xxhash64("needle"), slots))
-        .groupBy("repo_id", "_slot").agg(F.collect_list("needle").alias("_needles"))
-    )
-    hits = (
-        artifacts.where(~(F.col("filename").endswith(".py") | F.col("filename").endswith(".ps1")))
-        if not first_src_only else artifacts
-    ).join(packed, "repo_id").select(
-        "repo_id", "filename", "file_ord",
-        F.explode(F.filter("_needles", lambda n: F.contains(F.col("content"), n))).alias("needle"),
-    )
-    found = selections.select(
+    wanted = selections.select(
         "repo_id", "sel_id",
         F.explode(F.filter(needles, lambda n: n.isNotNull() & (n != ""))).alias("needle"),
     )
+    searched = artifacts if first_src_only else artifacts.where(
+        ~(F.col("filename").endswith(".py") | F.col("filename").endswith(".ps1")))
+    hits = occurrences(wanted, searched, ["repo_id"], carry=("filename", "file_ord"))
     if first_src_only:
         firsts = hits.groupBy("repo_id", "needle").agg(
             F.min(F.struct("file_ord", "filename")).alias("_hit")
         )
-        return found.join(firsts, ["repo_id", "needle"]).select(
+        return wanted.join(firsts, ["repo_id", "needle"]).select(
             "repo_id", "sel_id", "_hit.filename"
         )
-    return found.join(hits, ["repo_id", "needle"]).select(
+    return wanted.join(hits, ["repo_id", "needle"]).select(
         "repo_id", "sel_id", "filename"
     ).distinct()
 
