@@ -31,7 +31,8 @@ from codecensus.functions.scale import durable
 from codecensus.llm.common import documents
 
 CAPACITY = 4096
-MEMO = 250_000
+#: words whose ids a worker remembers, half of them since the last change of generation
+MEMO = 300_000
 #: characters whose words are looked up at once
 PORTION = 1_000_000
 
@@ -45,18 +46,26 @@ def _encoder(vocabulary: str):
 
 class WordIds:
     """Ids (little-endian 32 bit) of texts under a vocabulary that drops white space, so that words between
-    white space are encoded alone; the words seen last are remembered, ``MEMO`` at most."""
+    white space are encoded alone; the words seen last are remembered in two generations, ``MEMO`` at most."""
 
     def __init__(self, vocabulary: str):
         self.encoder = _encoder(vocabulary)
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
+        new = []
+        for word in words:
+            if word not in self.known:
+                ids = self.before.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self.known[word] = ids
         if not new:
             return
-        if len(self.known) + len(new) > MEMO:
-            self.known = {w: self.known[w] for w in words if w in self.known}
+        if len(self.known) + len(new) > MEMO // 2:
+            self.before, self.known = self.known, {w: self.known[w] for w in words if w in self.known}
         for at in range(0, len(new), 5_000):
             part = [w.decode() for w in new[at:at + 5_000]]
             # one encoding for many words: white space separates them and leaves no token
@@ -85,6 +94,12 @@ class WordIds:
                 yield b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=2)
+def _word_ids(vocabulary: str) -> WordIds:
+    """One memo per worker process, whatever the number of tasks it runs."""
+    return WordIds(vocabulary)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1, carry=("doc_id",),
            keep_ids: bool = False) -> DataFrame:
     """(carry..., piece, start, length, ids_crc32[, ids]) of every piece of every document."""
@@ -94,7 +109,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = WordIds(vocabulary)
+        encoder = _word_ids(vocabulary)
         for batch in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, raw in enumerate(encoder.batch(batch.column("_text"))):
