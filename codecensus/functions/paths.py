@@ -73,10 +73,14 @@ def repo_key(url: Column) -> Column:
     return F.substring(F.md5(normal.cast("binary")), 1, 16)
 
 
+# white space of Unicode and the four separators U+001C to U+001F
+WHITE = r"[\s\x1C-\x1F]+"
+
+
 def strip(value: Column) -> Column:
     """Remove white space of every kind at both ends."""
-    return F.regexp_replace(value, r"^\s+|\s+$", "")
+    return F.regexp_replace(value, rf"(?U)\A{WHITE}|{WHITE}\z", "")
 
 
 def rstrip(value: Column) -> Column:
-    return F.regexp_replace(value, r"\s+$", "")
+    return F.regexp_replace(value, rf"(?U){WHITE}\z", "")

@@ -269,33 +269,47 @@ def analysis_payload(
 IMPORT_ROW = "array<struct<root:string,names:array<string>>>"
 
 
+# string literals and comments, whichever begins first; a literal that is never closed ends with its line, or with the
+# text if it may span lines
+LITERALS = "|".join([
+    r'"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+(?:"""|\z)', r"'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+(?:'''|\z)",
+    r'"(?:[^"\\\n]++|\\[\s\S])*+"?', r"'(?:[^'\\\n]++|\\[\s\S])*+'?", r"#[^\n]*+",
+])
+
+
+def without_literals(source: Column) -> Column:
+    """Source text without its strings and comments."""
+    return F.regexp_replace(source, LITERALS, "")
+
+
 def python_imports(files: DataFrame, exact: bool = False) -> DataFrame:
     """Import roots per Python file: (repo_id, path, root, names).
 
-    The default reads import statements with expressions only: brackets, continued lines, semicolons.  ``exact`` runs Python's own parser
-    on the same rows, which skips files with syntax errors and ignores import lines inside
-    strings.
+    The default takes strings, docstrings and comments out first and then reads import statements with expressions: at the
+    beginning of a line, behind a semicolon or behind a colon, with brackets and continued lines.  ``exact`` runs Python's own
+    parser on the same rows, which skips files with syntax errors.
     """
     py = files.where(F.col("path").endswith(".py")).select("repo_id", "path", "content")
     if exact:
         return py.select("repo_id", "path", F.inline(F.pandas_udf(_parse_imports, IMPORT_ROW)(F.col("content"))))
-    # a statement begins a line or follows a semicolon; its names stand in brackets, over any number
-    # of lines, or on the rest of the line
-    rest = r"(?:\\\r?\n|[^;#\n(\\]++|\\)*+"
-    bracket = r"\((?:#[^\n]*+|[^)#]++)*+\)"
+    # the names stand in brackets, over any number of lines, or on the rest of the line
+    rest = r"(?:\\\r?\n|[^;\n(\\]++|\\)*+"
+    bracket = r"\([^)]*+\)"
     statement = (
-        rf"(?m)(?:^|;)[ \t]*(?:from[ \t]+(\w[\w.]*)[ \t]+import[ \t]*({bracket}|{rest})|import[ \t]+({rest}))"
+        r"(?mU)(?:^|[;:])[ \t\f]*(?:from(?:[ \t]+|(?=\.))[. \t]*(\w[\w.]*)[ \t]+import[ \t]*"
+        rf"({bracket}|{rest})|import[ \t]+({rest}))"
     )
-    source, names, modules = (F.regexp_extract_all("content", F.lit(statement), F.lit(g)) for g in (1, 2, 3))
+    code = without_literals(F.col("content"))
+    source, names, modules = (F.regexp_extract_all(code, F.lit(statement), F.lit(g)) for g in (1, 2, 3))
 
     def listed(text):
-        return F.split(F.regexp_replace(text, r"#[^\n]*|[()\\]", ""), ",")
+        return F.split(F.regexp_replace(text, r"[()\\]", ""), ",")
 
     def found(x):
         plain = F.transform(listed(x["modules"]), lambda m: F.struct(
-            F.regexp_extract(m, r"^\s*(\w+)", 1).alias("root"), F.array().cast("array<string>").alias("names")))
-        given = F.filter(F.transform(listed(x["names"]), lambda n: F.regexp_extract(n, r"^\s*([\w*]+)", 1)), lambda n: n != "")
-        one = F.array(F.struct(F.regexp_extract(x["source"], r"^(\w+)", 1).alias("root"), given.alias("names")))
+            F.regexp_extract(m, r"(?U)^\s*(\w+)", 1).alias("root"), F.array().cast("array<string>").alias("names")))
+        given = F.filter(F.transform(listed(x["names"]), lambda n: F.regexp_extract(n, r"(?U)^\s*([\w*]+)", 1)), lambda n: n != "")
+        one = F.array(F.struct(F.regexp_extract(x["source"], r"(?U)^(\w+)", 1).alias("root"), given.alias("names")))
         return F.when(x["source"] != "", one).otherwise(plain)
 
     zipped = F.arrays_zip(source.alias("source"), names.alias("names"), modules.alias("modules"))

@@ -63,6 +63,15 @@ def _broken(text: Column) -> Column:
     )
 
 
+def fenced_code(text: Column) -> Column:
+    """Body of the first fenced block that names one of the known languages or none, else the whole text; both
+    without white space around.  The block ends at the next fence, so a fence inside it cuts it, and a fence that is never
+    closed is no block; a closing fence of a block in another language opens one of its own."""
+    fence = r"(?s)```(?:" + "|".join(rules.FENCE_LANGUAGES) + r")?\n(.*?)```"
+    # an empty block is a block, so the match is looked for, not its body
+    return strip(F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text))
+
+
 def parse_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     """File rows of each answer: (…answer columns…, pos, filename, content, strategy).
 

@@ -236,6 +236,52 @@ def _(spark, d):
         "repo_id", "total_attempts", "user_preferences.keep_original_paths")
 
 
+@query("scan_tree", """
+    SELECT 'repo=' || (item_id % 7) AS repo_id, 'item=' || item_id AS folder, strlen(text) + 1 AS size, md5(text || chr(10)) AS digest
+    FROM benchmark""")
+def _(spark, d):
+    """Texts written as files, one folder each, then listed and read back."""
+    root = new_folder(spark, "tree")
+    views.table(spark, d, "benchmark").select(
+        (F.col("item_id") % 7).alias("repo"), F.col("item_id").alias("item"), "text").write.partitionBy("repo", "item").text(root)
+    tree = corpus.scan_tree(spark, root).where(F.col("path").endswith(".txt"))
+    read = corpus.read_contents(spark, root, tree)
+    return tree.join(read, ["repo_id", "path"]).select(
+        "repo_id", F.substring_index("path", "/", 1).alias("folder"), "size", F.md5("bytes").alias("digest"))
+
+
+@query("write_memory", """
+    SELECT substring(md5(key), 1, 16) AS repo_id, count(*) + max(CASE WHEN again THEN 1000 ELSE 0 END) AS total_attempts FROM (
+      SELECT regexp_replace(trim(lower(url)), '/+$', '') AS key, page_id % 3 = 0 AS again FROM pages) GROUP BY key""")
+def _(spark, d):
+    """Memory of every page's address, written, replaced for those of every third page, and read back."""
+    path = new_folder(spark, "memory")
+    from ..functions.paths import repo_key
+    pages = views.table(spark, d, "pages").select("url", (F.col("page_id") % 3 == 0).alias("again"))
+    stored = pages.groupBy(repo_key(F.col("url")).alias("repo_id")).agg(
+        F.min("url").alias("repo_url"), F.count(F.lit(1)).alias("total_attempts"), F.max("again").alias("again"))
+    memory_store.write_memory(memory_store.with_defaults(
+        stored.select("repo_url"), memory_rows(stored, F.col("total_attempts"))), path)
+    replaced = stored.where("again")
+    memory_store.write_memory(memory_store.with_defaults(
+        replaced.select("repo_url"), memory_rows(replaced, F.col("total_attempts") + 1000)), path)
+    return memory_store.read_memory(spark, path).select("repo_id", "total_attempts")
+
+
+def memory_rows(rows, attempts):
+    """Stored memory documents with nothing but their counts."""
+    from ..schemas import MEMORY, struct
+    given = {"repo_id": F.col("repo_id"), "repo_url": F.col("repo_url"), "total_attempts": attempts.cast("bigint")}
+    return rows.select(*[
+        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in struct(MEMORY).fields])
+
+
+def new_folder(spark, name):
+    import uuid
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 @query("artifact_manifest", with_views(
     """SELECT repo_id, run_id, replace(filename, ' ', '_') AS path, '100644' AS mode, 'blob' AS type,
          sha1(encode('blob ' || strlen(content)) || '\\x00'::BLOB || encode(content)) AS sha, strlen(content) AS bytes
@@ -363,24 +409,57 @@ def _(spark, d):
         for c in ("api_endpoints", "env_vars", "database_schemas", "must_preserve", "can_modernize")])
 
 
-# document text behind import lines, so that only the listed imports are importable code
+# Sources built from each document's own words, in a layout that follows from its id: the whole text stands in a docstring,
+# and strings and comments hold import lines that are none.
 
+WORDS = "[a-z]{4,9}"
+ROOTS = tuple(k for k in rules.PACKAGE_BY_IMPORT if "." not in k)
 
 
 def python_files(spark, d):
     docs = views.table(spark, d, "documents")
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORDS), F.lit(0))
+    w = [F.coalesce(F.get(found, F.lit(i)), F.lit("none")) for i in range(6)]
+    m, n = ([F.concat(F.lit(x), word) for word in w] for x in ("m_", "n_"))
+    # module names of the list the library knows, two per document
+    known = F.array(*map(F.lit, ROOTS))
+    k0, k1 = (F.element_at(known, (F.expr(e) % len(ROOTS) + 1).cast("int")) for e in ("doc_id", "doc_id div 3"))
+    body = F.translate(F.coalesce("text", F.lit("")), "\"\\", "'/")
+    lit = F.lit
+    head = F.concat(lit('"""Notes\nimport hidden_a\n'), body, lit('\n"""\n# import hidden_b\nt = \'it\\\'s; import hidden_c\'  # from x import y\n'))
+    layouts = [
+        F.concat(lit("import "), m[0], lit(", "), m[1], lit(".sub as q\nfrom "), m[2], lit(".part import ("), n[3], lit(",  # one, two\n    "),
+                 n[4], lit(" as z,\n)\nimport "), k0, lit("\n")),
+        F.concat(lit("if t: import "), m[0], lit("; from "), m[2], lit(" import "), n[3], lit(", \\\n    "), n[4], lit("\nimport "), k0,
+                 lit(", "), k1, lit("\n")),
+        F.concat(lit("try:\n    import "), m[0], lit("\nexcept ImportError: import "), k1, lit('\nx = """\nimport hidden_d\n"""; from '), m[2],
+                 lit(" import *\nfrom pydantic import EmailStr, BaseModel\n")),
+        F.concat(lit("from ."), m[0], lit(" import "), n[1], lit("\nfrom . import "), n[2], lit("\nfrom "), k0, lit(" import "), n[4], lit(" as a, "),
+                 n[5], lit("\ny = [\n    'import hidden_e',\n]\n")),
+    ]
+    layout = layouts[-1]
+    for i in range(len(layouts) - 1):
+        layout = F.when(F.col("doc_id") % 4 == i, layouts[i]).otherwise(layout)
     return docs.select(
         F.col("source").alias("repo_id"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
-        F.concat(
-            F.lit("import numpy, pandas.core as pc\nfrom "), "lang", F.lit(".x import "), "source",
-            F.lit(" as s\nfrom pydantic import EmailStr\n# "), F.regexp_replace("text", r"[\r\n\f]", " "),
-        ).alias("content"))
-
-
-IMPORT_SQL = """SELECT source AS repo_id, 'm' || doc_id || '.py' AS path, r.root AS root, r.names AS names
-    FROM documents, (SELECT unnest([1, 2, 3, 4]) AS i) t,
-         LATERAL (SELECT [{'root': 'numpy', 'names': ''}, {'root': 'pandas', 'names': ''}, {'root': lang, 'names': source},
-                          {'root': 'pydantic', 'names': 'EmailStr'}][i] AS r) u"""
+        F.concat(head, layout).alias("content"))
+
+
+IMPORT_CTE = f"""src AS (
+      SELECT source, doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws, {sql_list(ROOTS)} AS ks FROM documents),
+    named AS (SELECT source, doc_id, list_transform(range(1, 7), lambda i: 'm_' || coalesce(ws[i], 'none')) AS m,
+                     list_transform(range(1, 7), lambda i: 'n_' || coalesce(ws[i], 'none')) AS n,
+                     ks[doc_id % {len(ROOTS)} + 1] AS k0, ks[(doc_id // 3) % {len(ROOTS)} + 1] AS k1 FROM src),
+    imported AS (SELECT source AS repo_id, doc_id, unnest(CASE doc_id % 4
+      WHEN 0 THEN [{{'root': m[1], 'names': ''}}, {{'root': m[2], 'names': ''}}, {{'root': m[3], 'names': n[4] || ',' || n[5]}}, {{'root': k0, 'names': ''}}]
+      WHEN 1 THEN [{{'root': m[1], 'names': ''}}, {{'root': m[3], 'names': n[4] || ',' || n[5]}}, {{'root': k0, 'names': ''}}, {{'root': k1, 'names': ''}}]
+      WHEN 2 THEN [{{'root': m[1], 'names': ''}}, {{'root': k1, 'names': ''}}, {{'root': m[3], 'names': '*'}}, {{'root': 'pydantic', 'names': 'EmailStr,BaseModel'}}]
+      ELSE [{{'root': m[1], 'names': n[2]}}, {{'root': k0, 'names': n[5] || ',' || n[6]}}] END, recursive := true) FROM named)"""
+IMPORT_SQL = f"WITH {IMPORT_CTE} SELECT repo_id, 'm' || doc_id || '.py' AS path, root, names FROM imported"
+PACKAGE_CTE = IMPORT_CTE + f""",
+    known(root, package) AS (VALUES {', '.join(f"({q(k)}, {q(v)})" for k, v in rules.PACKAGE_BY_IMPORT.items())}),
+    needed AS (SELECT DISTINCT repo_id, package FROM imported JOIN known USING (root)
+               UNION SELECT repo_id, unnest({sql_list(rules.EMAIL_FIELD_PACKAGES)}) FROM imported WHERE root = 'pydantic' AND contains(names, 'EmailStr'))"""
 
 
 def import_rows(df):
@@ -397,28 +476,31 @@ def _(spark, d):
     return import_rows(profile.python_imports(python_files(spark, d), exact=True))
 
 
-@query("package_lookup", """
-    SELECT DISTINCT source AS repo_id, unnest(['numpy', 'pandas', 'pydantic', 'pydantic[email]', 'email-validator']) AS package FROM documents""")
+@query("package_lookup", f"WITH {PACKAGE_CTE} SELECT repo_id, package FROM needed")
 def _(spark, d):
     return profile.package_lookup(profile.python_imports(python_files(spark, d)))
 
 
 def requirement_files(spark, d):
     docs = views.table(spark, d, "documents")
+    known = F.array(*map(F.lit, ROOTS))
+    own = F.element_at(known, (F.expr("doc_id div 3") % len(ROOTS) + 1).cast("int"))
     return docs.select(
         F.col("source").alias("repo_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/requirements.txt")).alias("path"),
-        F.concat(F.lit("# deps\nflask==2.0.1\n\nlib-"), "lang", F.lit(">=1 # note\nbcrypt==3.0\n")).alias("content"))
+        F.concat(F.lit("# deps\n"), own, F.lit("==2."), (F.col("n_chars") % 3).cast("string"), F.lit("\n\nlib-"), "lang",
+                 F.lit(">=1 # note\nbcrypt==3.0\n  \n")).alias("content"))
 
 
-@query("merge_dependencies", """
-    SELECT DISTINCT repo_id, package, spec, source FROM (
-      SELECT source AS repo_id, unnest([
-        {'package': 'flask', 'spec': 'flask==2.0.1', 'source': 'declared'}, {'package': 'lib-' || lang, 'spec': 'lib-' || lang || '>=1', 'source': 'declared'},
-        {'package': 'bcrypt', 'spec': 'bcrypt==4.0.1', 'source': 'pinned'}, {'package': 'uvicorn', 'spec': 'uvicorn', 'source': 'always'},
-        {'package': 'fastapi', 'spec': 'fastapi', 'source': 'always'}, {'package': 'python-multipart', 'spec': 'python-multipart', 'source': 'always'},
-        {'package': 'numpy', 'spec': 'numpy', 'source': 'inferred'}, {'package': 'pandas', 'spec': 'pandas', 'source': 'inferred'},
-        {'package': 'pydantic', 'spec': 'pydantic', 'source': 'inferred'}, {'package': 'email-validator', 'spec': 'email-validator', 'source': 'inferred'}],
-        recursive := true) FROM documents)""")
+@query("merge_dependencies", f"""
+    WITH {PACKAGE_CTE}, parts AS (
+      SELECT DISTINCT source AS repo_id, 0 AS prec, {q(rules.PINNED_PACKAGE)} AS spec, 'pinned' AS source FROM documents
+      UNION ALL SELECT DISTINCT source, 3, unnest({sql_list(rules.ALWAYS_ON_PACKAGES)}), 'always' FROM documents
+      UNION ALL SELECT repo_id, 2, package, 'inferred' FROM needed
+      UNION ALL SELECT source, 1, unnest([k1 || '==2.' || (n_chars % 3), 'lib-' || lang || '>=1', 'bcrypt==3.0']), 'declared'
+                FROM named JOIN documents USING (source, doc_id))
+    SELECT repo_id, package, spec, source FROM (
+      SELECT *, row_number() OVER (PARTITION BY repo_id, package ORDER BY prec, spec) AS r
+      FROM (SELECT *, lower(regexp_extract(spec, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1)) AS package FROM parts)) WHERE r = 1""")
 def _(spark, d):
     inferred = profile.package_lookup(profile.python_imports(python_files(spark, d)))
     declared = profile.declared_python_deps(requirement_files(spark, d))
@@ -474,14 +556,14 @@ def _(spark, d):
 
 @query("path_hygiene", r"""
     WITH p AS (SELECT source AS repo_id, path, regexp_replace(regexp_replace(replace(regexp_replace(path, '[()\[\]{}@#$&*?!|;<>`''"]', '', 'g'), ' ', '_'), '_{2,}', '_', 'g'), '/{2,}', '/', 'g') AS safe_path
-               FROM (SELECT source, 'd' || (n_chars % 50) || '//' || replace(text[1:12], chr(10), ' ') || '$x' AS path FROM documents))
+               FROM (SELECT source, 'd' || (n_chars % 50) || '//' || replace(text, chr(10), ' ') || '$x' AS path FROM documents))
     SELECT repo_id, path, safe_path, count(*) OVER (PARTITION BY repo_id, safe_path) AS sharing, safe_path <> path AS changed,
            count(*) OVER (PARTITION BY repo_id, safe_path) > 1 AS collides FROM p""")
 def _(spark, d):
     docs = views.table(spark, d, "documents")
     files = docs.select(F.col("source").alias("repo_id"), F.concat(
         F.lit("d"), (F.col("n_chars") % 50).cast("string"), F.lit("//"),
-        F.replace(F.substring("text", 1, 12), F.lit("\n"), F.lit(" ")), F.lit("$x")).alias("path"))
+        F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("$x")).alias("path"))
     return profile.path_hygiene(files).select("repo_id", "path", "safe_path", "sharing", "changed", "collides")
 
 
@@ -623,10 +705,12 @@ def _(spark, d):
 
 
 
+# every line of every document is an element's text; those of 3 to 199 characters are searched for
 @query("locate_content", with_views(
     """SELECT DISTINCT s.repo_id, s.sel_id, a.filename FROM (
-         SELECT 'b' || (doc_id // 20) AS repo_id, doc_id AS sel_id, regexp_replace(text[1:60], '^\\s+|\\s+$', '', 'g')[1:30] AS needle, doc_id AS own
-         FROM documents WHERE length(regexp_replace(text[1:60], '^\\s+|\\s+$', '', 'g')) > 2) s
+         SELECT repo_id, sel_id, line[1:30] AS needle FROM (
+           SELECT 'b' || (doc_id // 20) AS repo_id, doc_id AS sel_id, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') AS line
+           FROM documents) WHERE length(line) > 2 AND length(line) < 200) s
        JOIN (SELECT repo_id, path AS filename, content FROM v_blocks) a ON a.repo_id = s.repo_id
        WHERE NOT ends_with(a.filename, '.py') AND contains(a.content, s.needle)""", "v_blocks"))
 def _(spark, d):
@@ -634,23 +718,25 @@ def _(spark, d):
     none = F.lit("")
     picks = docs.select(
         F.concat(F.lit("b"), F.floor(F.col("doc_id") / 20).cast("string")).alias("repo_id"), F.col("doc_id").alias("sel_id"),
-        F.substring("text", 1, 60).alias("text"), none.alias("element_id"), none.alias("src"))
+        F.explode(F.split("text", "\n")).alias("text"), none.alias("element_id"), none.alias("src"))
     arts = views.blocks(spark, d).withColumnRenamed("path", "filename")
     return matching.locate_content(picks, arts)
 
 
+# a document's last line is the source that is looked for
 @query("locate_first_source", with_views(
     """SELECT repo_id, sel_id, filename FROM (
          SELECT s.repo_id, s.sel_id, a.filename, row_number() OVER (PARTITION BY s.repo_id, s.sel_id ORDER BY a.file_ord) AS rn
-         FROM (SELECT 'b' || (doc_id // 20) AS repo_id, doc_id AS sel_id, text[1:5] AS needle FROM documents WHERE text <> '') s
+         FROM (SELECT 'b' || (doc_id // 20) AS repo_id, doc_id AS sel_id, string_split(text, chr(10))[-1] AS needle FROM documents) s
          JOIN v_blocks b ON b.repo_id = s.repo_id AND contains(b.content, s.needle)
-         JOIN (SELECT repo_id, file_ord, path AS filename FROM v_blocks) a ON a.repo_id = b.repo_id AND a.file_ord = b.file_ord) WHERE rn = 1""", "v_blocks"))
+         JOIN (SELECT repo_id, file_ord, path AS filename FROM v_blocks) a ON a.repo_id = b.repo_id AND a.file_ord = b.file_ord
+         WHERE needle <> '') WHERE rn = 1""", "v_blocks"))
 def _(spark, d):
     docs = views.table(spark, d, "documents")
     none = F.lit("")
     picks = docs.select(
         F.concat(F.lit("b"), F.floor(F.col("doc_id") / 20).cast("string")).alias("repo_id"), F.col("doc_id").alias("sel_id"),
-        none.alias("text"), none.alias("element_id"), F.substring("text", 1, 5).alias("src"))
+        none.alias("text"), none.alias("element_id"), F.substring_index("text", "\n", -1).alias("src"))
     arts = views.blocks(spark, d).withColumnRenamed("path", "filename")
     return matching.locate_content(picks, arts, first_src_only=True)
 
@@ -672,6 +758,30 @@ def _(spark, d):
         "repo_id", "run_id", "file_ord", "filename", F.md5(F.col("content").cast("binary")).alias("digest"), "edited")
 
 
+# documents as answers: a fenced block, one never closed, one inside another, one in a language that is none, no fence
+FENCED = {
+    0: ("Here:\n```python\n", "\n```\nDone."), 1: ("```bash\n", "\n and so on"), 2: ("```javascript\na\n```python\n", "\n```\nb\n```\n"),
+    3: ("```rust\n", "\n```\nbetween\n```\n last \n```"), 4: (" \t", "\n\n"),
+}
+
+
+def fenced_sql():
+    cases = " ".join(f"WHEN {k} THEN {q(a)} || text || {q(b)}" for k, (a, b) in FENCED.items())
+    fence = "'(?s)```(?:" + "|".join(rules.FENCE_LANGUAGES) + ")?\n(.*?)```'"
+    body = f"CASE WHEN regexp_matches(answer, {fence}) THEN regexp_extract(answer, {fence}, 1) ELSE answer END"
+    return f"SELECT doc_id, md5(code) AS digest, length(code) AS chars FROM (SELECT doc_id, {s_strip(body)} AS code FROM (SELECT doc_id, CASE doc_id % 5 {cases} END AS answer FROM documents))"
+
+
+@query("fenced_code", fenced_sql())
+def _(spark, d):
+    docs = views.table(spark, d, "documents")
+    answer = F.lit(None)
+    for k, (before, after) in FENCED.items():
+        answer = F.when(F.col("doc_id") % 5 == k, F.concat(F.lit(before), "text", F.lit(after))).otherwise(answer)
+    code = responses.fenced_code(answer)
+    return docs.select("doc_id", F.md5(code.cast("binary")).alias("digest"), F.length(code).cast("bigint").alias("chars"))
+
+
 # ---------------------------------------------------------------- batching
 
 def s_pack(groups, order="item_ord"):
@@ -969,12 +1079,12 @@ def _(spark, d):
 
 @query("asset_manifest", """
     SELECT repo_id, mime, filename, count(*) AS images, regexp_replace(filename, '^public', '') AS asset_path FROM (
-      SELECT source AS repo_id, m.mime, 'public/assets/' || regexp_replace(text[1:40], '[^a-zA-Z0-9_-]', '_', 'g')[1:30] || '_' || md5(to_base64(encode(text)))[1:8] || m.ext AS filename
+      SELECT source AS repo_id, m.mime, 'public/assets/' || regexp_replace(text, '[^a-zA-Z0-9_-]', '_', 'g')[1:30] || '_' || md5(to_base64(encode(text)))[1:8] || m.ext AS filename
       FROM documents, LATERAL (SELECT ['image/png', 'image/jpeg', 'image/svg+xml', 'image/tiff'][n_chars % 4 + 1] AS mime, ['.png', '.jpg', '.svg', '.png'][n_chars % 4 + 1] AS ext) m) GROUP BY 1, 2, 3""")
 def _(spark, d):
     docs = views.table(spark, d, "documents")
     images = docs.select(
-        F.col("source").alias("repo_id"), F.substring("text", 1, 40).alias("hint"),
+        F.col("source").alias("repo_id"), F.col("text").alias("hint"),
         views.pick(("image/png", "image/jpeg", "image/svg+xml", "image/tiff"), F.col("n_chars") % 4).alias("mime"),
         F.replace(F.base64(F.col("text").cast("binary")), F.lit("\r\n"), F.lit("")).alias("image_base64"))
     return markup.asset_manifest(images)
@@ -1123,6 +1233,51 @@ def _(spark, d):
     return memory.success_patterns(views.attempts(spark, d))
 
 
+PATTERN_NUMBERS = ("event_id * 7 % 23", "user_id * 5 % 29", "event_id div 3 % 31")
+
+
+@query("success_patterns_evicting", f"""
+    WITH RECURSIVE won AS (
+      SELECT 'r' || (user_id % 12) AS repo_id, event_id, ts, row_number() OVER (PARTITION BY user_id % 12 ORDER BY ts, event_id) AS n,
+             list_transform([{', '.join(x.replace(' div ', ' // ') for x in PATTERN_NUMBERS)}], lambda x: 'p' || x) AS patterns FROM events),
+    held AS (
+      SELECT repo_id, 0::BIGINT AS n, []::STRUCT(p VARCHAR, t TIMESTAMP)[] AS list FROM won WHERE n = 1
+      UNION ALL
+      SELECT repo_id, n, list_slice(list, greatest(len(list) - 14, 1), len(list)) FROM (
+        SELECT w.repo_id, w.n, list_reduce(w.patterns, lambda acc, x: CASE
+                 WHEN list_contains(list_transform(acc, lambda y: y.p), x) THEN acc ELSE list_append(acc, {{'p': x, 't': w.ts::TIMESTAMP}}) END, h.list) AS list
+        FROM held h JOIN won w ON w.repo_id = h.repo_id AND w.n = h.n + 1))
+    SELECT repo_id, e.p AS pattern, e.t AS first_seen, len - place + 1 AS rank FROM (
+      SELECT repo_id, unnest(list) AS e, unnest(range(1, len(list) + 1)) AS place, len(list) AS len
+      FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC) AS r FROM held) WHERE r = 1)""")
+def _(spark, d):
+    """Three patterns an event of more than fifteen in turn, so that most are evicted and come back."""
+    numbers = F.array(*[F.expr(x).cast("string") for x in PATTERN_NUMBERS])
+    won = views.table(spark, d, "events").select(
+        F.concat(F.lit("r"), (F.col("user_id") % 12).cast("string")).alias("repo_id"), "event_id", "ts", F.lit("success").alias("kind"),
+        F.transform(numbers, lambda x: F.concat(F.lit("p"), x)).alias("patterns"))
+    return memory.success_patterns(won)
+
+
+@query("attempt_memory", with_views(
+    """SELECT repo_id, count(*) FILTER (kind = 'start') AS starts, count(*) FILTER (kind = 'success') AS successes,
+              count(*) FILTER (kind = 'failure') AS failures, count(DISTINCT package) FILTER (kind = 'dependency') AS issues,
+              least(count(*) FILTER (kind = 'failure'), KEEP) AS failed,
+              (arg_max({'v': backend}, {'t': ts, 'e': event_id}) FILTER (has_stack)).v AS backend FROM v_attempts GROUP BY 1""".replace(
+        "KEEP", str(rules.KEEP_FAILURES)), "v_attempts"))
+def _(spark, d):
+    """The keyed state fed with all events at once."""
+    from ..streaming.attempt_memory import attempt_memory_stream
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # state stores report to an endpoint that the session's stream manager starts
+    spark.streams.active
+    out = attempt_memory_stream(views.attempts(spark, d))
+    return out.select(
+        "repo_id", "memory.starts", "memory.successes", "memory.failures", F.size("memory.issues").cast("bigint").alias("issues"),
+        F.size("memory.failed").cast("bigint").alias("failed"), "memory.stack.value.backend")
+
+
 @query("dependency_pain_points", with_views(
     "SELECT repo_id, package, arg_min(issue, {'t': ts, 'e': event_id}) AS issue, min(ts) AS ts FROM v_attempts WHERE kind = 'dependency' GROUP BY 1, 2", "v_attempts"))
 def _(spark, d):

@@ -197,6 +197,10 @@ EMAIL_FIELD_PACKAGES = ("pydantic[email]", "email-validator")
 ALWAYS_ON_PACKAGES = ("uvicorn", "fastapi", "python-multipart")
 PINNED_PACKAGE = "bcrypt==4.0.1"
 
+# --- fixed values: languages that a fenced block of an answer may name
+
+FENCE_LANGUAGES = ("javascript", "python", "bash")
+
 # --- fixed values: entrypoints and pages -----------------------------------------------------
 
 PYTHON_ENTRYPOINTS = ("main.py", "app.py", "server.py", "run.py", "api.py")

@@ -8,43 +8,33 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.paths import basename, safe_path, strip
 from ..functions.scale import positions_by_range
+from .tree import FolderTree, file_bytes
 
 # fixed values: branches in the order they are tried; the repository's own default comes last
 BRANCHES = ("main", "master")
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, partitions: int = 64) -> DataFrame:
     """List a folder of repositories (``root/<repository>/<path>``) as file metadata.
 
-    Only names, sizes and times are selected, so file contents are never read.  ``file_ord`` is
-    the position of a path in its repository's sorted listing.
+    Folders are walked in tasks (``sources.tree``), the driver knows the repositories' names only, and no file is
+    opened.  ``file_ord`` is the position of a path in its repository's sorted listing.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", "length", "modificationTime")
-    )
-    base = root.rstrip("/") + "/"
-    # listed paths carry a scheme; cut at the root wherever it starts
-    inside = F.regexp_extract("path", r"\Q" + base + r"\E(.*)$", 1)
+    spark.dataSource.register(FolderTree)
+    listing = spark.read.format("folder_tree").option("partitions", partitions).load(root)
     named = listing.select(
-        F.substring_index(inside, "/", 1).alias("repo_id"),
-        F.regexp_extract(inside, r"^[^/]+/(.*)$", 1).alias("path"),
-        F.lit("blob").alias("type"), F.lit(None).cast("string").alias("sha"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        F.col("path").alias("location"),
-    ).where(F.col("path") != "")
+        "repo_id", "path", F.lit("blob").alias("type"), F.lit(None).cast("string").alias("sha"),
+        "size", "modified", "location",
+    )
     return positions_by_range(named, ["repo_id"], ["path"], "file_ord").withColumn(
         "file_ord", F.col("file_ord") - 1
     )
 
 
 def read_contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Raw bytes of selected files of a scanned folder: (repo_id, path, bytes)."""
-    raw = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(F.col("path").alias("location"), F.col("content").alias("bytes"))
-    )
-    return files.select("repo_id", "path", "location").join(raw, "location").drop("location")
+    """Raw bytes of the given files below ``root``, and of no others: (repo_id, path, bytes)."""
+    location = F.concat_ws("/", F.lit(root.rstrip("/")), "repo_id", "path").alias("location")
+    return files.select("repo_id", "path", location).mapInArrow(file_bytes, "repo_id string, path string, bytes binary")
 
 
 def scan_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -86,27 +76,41 @@ def load_contents(
     * ``contents`` (repo_id, path, base64): read leniently;
     * ``raw`` (repo_id, path, bytes): only valid UTF-8 with at most 10 % NUL characters;
     * ``blobs`` (sha, base64): read leniently.
+
+    Which store serves a file is settled on keys alone; then the bodies of all stores meet the
+    files in one join.  A key that a store holds several times gives its smallest text, once.
     """
-    out, found = files, []
+    stores = []
     if contents is not None:
-        side = contents.select("repo_id", "path", lenient_text(F.unbase64("base64")).alias("_c1"))
-        out = out.join(side.where(F.col("_c1") != ""), ["repo_id", "path"], "left")
-        found.append("_c1")
+        side = contents.select(
+            F.lit(1).alias("_store"), F.col("repo_id").alias("_k1"), F.col("path").alias("_k2"),
+            lenient_text(F.unbase64("base64")).alias("content"))
+        stores.append((1, ("repo_id", "path"), side.where(F.col("content") != "")))
     if raw is not None:
         text = F.col("bytes").cast("string")
         nul = F.length(text) - F.length(F.replace(text, F.lit("\0"), F.lit("")))
         ok = F.is_valid_utf8(text) & (nul <= F.length(text) * F.lit(rules.MAX_NUL_SHARE))
-        side = raw.where(ok).select("repo_id", "path", text.alias("_c2"))
-        out = out.join(side, ["repo_id", "path"], "left")
-        found.append("_c2")
+        stores.append((2, ("repo_id", "path"), raw.where(ok).select(
+            F.lit(2).alias("_store"), F.col("repo_id").alias("_k1"), F.col("path").alias("_k2"), text.alias("content"))))
     if blobs is not None:
-        side = blobs.select("sha", lenient_text(F.unbase64("base64")).alias("_c3"))
-        out = out.join(side, "sha", "left")
-        found.append("_c3")
-    return (
-        out.withColumn("content", F.coalesce(*found)).drop(*found)
-        .where(F.col("content").isNotNull())
-    )
+        side = blobs.select(
+            F.lit(3).alias("_store"), F.col("sha").alias("_k1"), F.lit("").alias("_k2"),
+            lenient_text(F.unbase64("base64")).alias("content"))
+        stores.append((3, ("sha", None), side.where(F.col("content").isNotNull())))
+    picked, bodies = files, None
+    serves = F.lit(None).cast("struct<_store:int,_k1:string,_k2:string>")
+    for store, keys, side in reversed(stores):
+        flag = f"_has{store}"
+        own = [F.col(k) if k else F.lit("") for k in keys]
+        held = side.select(F.col("_k1").alias("_h1"), F.col("_k2").alias("_h2"), F.lit(True).alias(flag)).distinct()
+        picked = picked.join(held, (own[0] == F.col("_h1")) & (own[1] == F.col("_h2")), "left").drop("_h1", "_h2")
+        serves = F.when(F.col(flag), F.struct(
+            F.lit(store).alias("_store"), own[0].cast("string").alias("_k1"), own[1].cast("string").alias("_k2"))).otherwise(serves)
+        bodies = side if bodies is None else side.unionByName(bodies)
+    single = bodies.groupBy("_store", "_k1", "_k2").agg(F.min("content").alias("content"))
+    # the aggregate deals the bodies by key, and so the join needs no other exchange of them
+    return picked.withColumn("_from", serves).select(*[F.col(f"`{c}`") for c in files.columns], "_from.*").join(
+        single, ["_store", "_k1", "_k2"]).drop("_store", "_k1", "_k2")
 
 
 def read_env_pairs(files: DataFrame) -> DataFrame:
