@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling.
 
 A text is its words with their counts as weights. Sample i gives every word two Gamma(2, 1) numbers r, c and a
-uniform b, all drawn from a hash of (word, i); a word of weight w gets t = floor(ln w / r + b) and the rank
+uniform b, all cut from one hash of (word, i), the Gammas from products of two uniforms of 4096 steps; a word of weight w gets t = floor(ln w / r + b) and the rank
 ln a = ln c - r (t - b + 1), and the smallest rank of a text is its sample i. Two texts share a sample with the
 probability of their generalised Jaccard similarity, sum of min over sum of max of the weights. A rank names its word
 and t, so a fingerprint keeps 32 bits of the rank's hash per sample, and the likeness of two fingerprints is the share
@@ -18,6 +18,8 @@ result; other columns do not matter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,25 +30,25 @@ SAMPLES = 32
 #: samples of the query
 QUERY_SAMPLES = 128
 #: samples drawn side by side in one row; more rows instead keep the generated code small
-SIDE = 8
-_UNIT = 2.0**-32
+SIDE = 4
+#: bits per uniform number
+BITS = 12
+STEPS = 1 << BITS
 
 
-def _uniforms(word: Column, number: Column, salt: int) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from the halves of one hash."""
-    h = F.xxhash64(word, number, F.lit(salt))
-    low = (h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * _UNIT
-    high = (F.shiftrightunsigned(h, 32) + F.lit(0.5)) * _UNIT
-    return low, high
+def draws(word: Column, number: Column) -> tuple[Column, Column, Column]:
+    """r and ln c (r, c: Gamma(2, 1), as sums of two exponentials) and b (uniform) for a word and a sample, from one hash."""
+    h = F.xxhash64(word, number)
 
+    def odd(i: int) -> Column:
+        """An odd number below 2 * STEPS: the middle of one of STEPS steps."""
+        return (F.shiftrightunsigned(h, BITS * i).bitwiseAND(F.lit(STEPS - 1)) * 2 + 1).cast("double")
 
-def rank(word: Column, number: Column, log_weight: Column) -> Column:
-    u1, u2 = _uniforms(word, number, 1)
-    u3, u4 = _uniforms(word, number, 2)
-    b, _ = _uniforms(word, number, 3)
-    r, c = -F.ln(u1 * u2), -F.ln(u3 * u4)
-    t = F.floor(log_weight / r + b).cast("double")
-    return F.ln(c) - r * (t - b + 1)
+    # the logarithm of a product of two uniforms
+    top = 2 * math.log(2 * STEPS)
+    r, c = F.lit(top) - F.ln(odd(0) * odd(1)), F.lit(top) - F.ln(odd(2) * odd(3))
+    b = (F.shiftrightunsigned(h, 4 * BITS).cast("double") + 0.5) * 2.0**-(64 - 4 * BITS)
+    return r, F.ln(c), b
 
 
 def _short(sample: Column) -> Column:
@@ -72,12 +74,20 @@ def sampled(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 F.when(F.col("second") > 0, F.ln("second")).alias("s"),
                 F.explode(F.sequence(F.lit(0), F.lit(samples // SIDE - 1))).alias("_part"))
     )
-    minima = []
+    # what does not depend on the weight is drawn once for both texts
+    drawn = {}
     for i in range(SIDE):
-        number = F.col("_part") * SIDE + i
-        minima += [F.min(rank(F.col("word"), number, F.col("f"))).alias(f"f{i}"),
-                   F.min(rank(F.col("word"), number, F.col("s"))).alias(f"s{i}")]
-    parts = weights.groupBy("_key", "_part").agg(*minima)
+        r, c, b = draws(F.col("word"), F.col("_part") * SIDE + i)
+        drawn |= {f"r{i}": r, f"c{i}": c, f"b{i}": b}
+    rows = weights.select("_key", "_part", "f", "s", *[v.alias(k) for k, v in drawn.items()])
+
+    def rank(i: int, log_weight: str) -> Column:
+        r, b = F.col(f"r{i}"), F.col(f"b{i}")
+        t = F.floor(F.col(log_weight) / r + b).cast("double")
+        return F.col(f"c{i}") - r * (t - b + 1)
+
+    parts = rows.groupBy("_key", "_part").agg(*[
+        F.min(rank(i, name)).alias(f"{name}{i}") for i in range(SIDE) for name in ("f", "s")])
 
     def side(name: str) -> Column:
         return F.array(*[_short(F.col(f"{name}{i}")) for i in range(SIDE)])
