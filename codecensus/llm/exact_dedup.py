@@ -34,6 +34,8 @@ STATE = {
     # all stores of an executor share one bounded cache
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # no disk set aside for stores that stay small
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 

@@ -7,7 +7,8 @@ Every level is a self-join by sibling shift: a node meets the node at its comput
 tree; otherwise one join per slot offset, modulo ``arity``), after which a row knows its whole run, and the rows in slot zero
 emit the parents. A level has 1/``arity`` of the rows of the one below, so all of them together cost about twice the
 leaves; the keys (group, index) are unique, so a group that holds most rows is spread like any other. Levels are written
-to the shared folder; those of at most ``FEW`` nodes, whose number is counted beforehand, stay in one partition and need no exchange. Proofs are made from the top down: a node's path is its siblings and then its parent's path. A path is the
+to the shared folder; those of at most ``FEW`` nodes, whose number is counted beforehand, stay in one partition and need no
+exchange. Proofs are made from the top down: a node's path is its siblings and then its parent's path. A path is the
 raw siblings from bottom to top; index and size of a level tell on which side they stand.
 
 Digests are SHA-256, inputs concatenated, digests as lowercase hex text. A field is ``-`` if null, else its number of
@@ -32,6 +33,8 @@ from codecensus.llm.common import documents
 FEW = 8192
 #: no more groups than this (some 150 bytes each) are broadcast
 FEW_GROUPS = 100_000
+#: levels whose paths are made in one job
+STEP = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -143,6 +146,9 @@ def paths(made: list[DataFrame], tops: DataFrame, above: DataFrame, arity: int,
         inner = keyed.join(parents, ["group", "_up"]).withColumn("path", F.concat("path", "above")).drop("_up", "above")
         out.insert(0, inner)
         upper = ending(level).unionByName(inner.select("group", "index", "path"))
+        if level and level % STEP == 0:
+            # a plan over all levels would grow with the logarithm of the rows
+            upper = durable(upper)
     return [*out, ending(0)]
 
 
@@ -186,11 +192,10 @@ def manifest(
         leaf(columns).alias("node"), F.when(differs, leaf(columns, changed)).alias("other"))
     leaves = durable(placed(rows, "group", ["order", "node"]).drop("order"))
     made, tops = levels(leaves, arity)
-    tops = durable(tops)
-
     # the subroots are the leaves of one more tree
+    tops = durable(tops.withColumn("all", F.lit("")))
     upper = durable(
-        placed(tops.select(F.lit("").alias("all"), F.col("group").alias("name"), "node"), "all", ["name"])
+        placed(tops.select("all", F.col("group").alias("name"), "node"), "all", ["name"])
         .select(F.col("all").alias("group"), "index", "size", "node", "name"))
     above, root = levels(upper, arity)
     ends = paths(above, root, root.select("group", F.lit("").cast("binary").alias("path")), arity, level_sizes(upper, arity))[0]
