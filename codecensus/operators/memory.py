@@ -56,44 +56,59 @@ def recent_failures(events: DataFrame, n: int = rules.KEEP_FAILURES) -> DataFram
     return top_rows(failed, ["repo_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
 
 
+def decisions_of(events: DataFrame) -> DataFrame:
+    """(repo_id, ts, event_id, nth, decision, outcome): every decision, in order of time, event and place in its event.
+
+    An event carries one ``decision`` or, where the table has that column, a list ``decisions``."""
+    kind = F.col("kind")
+    single = F.when(F.col("decision").isNotNull(), F.array("decision"))
+    listed = F.coalesce("decisions", single) if "decisions" in events.columns else single
+    return events.where(kind.isin("success", "decision")).select(
+        "repo_id", "ts", "event_id", F.when(kind == "success", "success").otherwise("pending").alias("outcome"),
+        F.posexplode(listed).alias("nth", "decision"),
+    )
+
+
 def recent_decisions(events: DataFrame, n: int = rules.KEEP_DECISIONS) -> DataFrame:
     """Kept decisions per repository, newest first, with outcome and its symbol.
 
-    The list is cut to ``n`` only when a success adds to it; pending decisions taken since the
-    last success stay, however many there are.  So the kept rows are everything after that
-    success plus the n last up to it.
+    The list is cut to ``n`` only when a success adds to it, after all its decisions were added; pending
+    decisions taken since the last success stay, however many there are.  So the kept rows are everything
+    after that success plus the n last up to it.
     """
-    kind = F.col("kind")
-    rows = events.where(kind.isin("success", "decision") & F.col("decision").isNotNull()).select(
-        "repo_id", "ts", "event_id", "decision",
-        F.when(kind == "success", "success").otherwise("pending").alias("outcome"),
-    )
+    rows = decisions_of(events)
     last_cut = rows.where(F.col("outcome") == "success").groupBy("repo_id").agg(
         F.max(at()).alias("_cut")
     )
     split = rows.join(last_cut, "repo_id", "left").withColumn(
         "_after", F.col("_cut").isNull() | (at() > F.col("_cut"))
     ).drop("_cut")
-    newest = [F.col("ts").desc(), F.col("event_id").desc()]
-    kept = top_rows(split.where(~F.col("_after")), ["repo_id"], newest, n).drop("rank")
-    return split.where("_after").unionByName(kept).drop("_after").withColumn(
+    kept = top_rows(split.where(~F.col("_after")), ["repo_id"], newest_first(), n).drop("rank")
+    out = split.where("_after").unionByName(kept).drop("_after").withColumn(
         "symbol", F.when(F.col("outcome") == "success", "✓").otherwise("○")
     )
+    # the place in a list says nothing where events carry one decision each
+    return out if "decisions" in events.columns else out.drop("nth")
+
+
+def newest_first() -> list[Column]:
+    return [F.col(c).desc() for c in ("ts", "event_id", "nth")]
 
 
 def shown_decisions(events: DataFrame, n: int = 5) -> DataFrame:
     """Last n decisions of either outcome, for display."""
-    kind = F.col("kind")
-    rows = events.where(kind.isin("success", "decision") & F.col("decision").isNotNull()).select(
-        "repo_id", "ts", "event_id", "decision",
-        F.when(kind == "success", "✓").otherwise("○").alias("symbol"),
+    rows = decisions_of(events).select(
+        "repo_id", "ts", "event_id", "nth", "decision",
+        F.when(F.col("outcome") == "success", "✓").otherwise("○").alias("symbol"),
     )
-    return top_rows(rows, ["repo_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
+    out = top_rows(rows, ["repo_id"], newest_first(), n)
+    return out if "decisions" in events.columns else out.drop("nth")
 
 
 def success_history(events: DataFrame, n: int = rules.KEEP_HISTORY) -> DataFrame:
     """Last n successes per repository, newest first."""
-    won = events.where(F.col("kind") == "success").select("repo_id", "ts", "event_id", "decision")
+    lists = ["decisions"] if "decisions" in events.columns else []
+    won = events.where(F.col("kind") == "success").select("repo_id", "ts", "event_id", "decision", *lists)
     return top_rows(won, ["repo_id"], [F.col("ts").desc(), F.col("event_id").desc()], n)
 
 
@@ -241,8 +256,9 @@ def memory_text(events: DataFrame, failures: int = 5, decisions: int = 5) -> Dat
         "repo_id",
         F.concat(
             F.format_string(
-                "ATTEMPTS\n  - total %d, successful %d, failed %d\n",
+                "ATTEMPTS\n  - total %d, successful %d, failed %d\n  - last %s\n",
                 "total_attempts", "successful_attempts", "failed_attempts",
+                F.date_format("last_run", "yyyy-MM-dd'T'HH:mm:ss"),
             ),
             section("FAILURES", "_f"), section("PATTERNS", "_p"), section("DEPENDENCIES", "_d"),
             section("DECISIONS", "_c"), stack,

@@ -143,6 +143,12 @@ def parse_edit_responses(responses: DataFrame, text: str = "text") -> DataFrame:
 DEFAULT_ANALYSIS = {
     "summary": "Repository uses {backend} backend with {database} database and {frontend} "
                "frontend. The codebase contains {files} files with {endpoints} API endpoints.",
+    "understanding": (
+        ("purpose", "A web application using {backend} for backend logic."),
+        ("architecture", "Backend: {backend}, Frontend: {frontend}, Database: {database}."),
+        ("data_flow", "Standard request-response pattern through API endpoints."),
+    ),
+    "impact": "Significant performance and maintainability improvements",
     "drawbacks": (
         ("d1", "Legacy Framework",
          "Using {backend} which may lack modern async capabilities and community support.",
@@ -155,22 +161,22 @@ DEFAULT_ANALYSIS = {
     ),
     "workflow": (
         ("Phase 1 - Discovery", "Deep Scan & Analysis",
-         "Scan all files, detect tech stack, identify dependencies", "complete"),
+         "Scan all files, detect tech stack, identify dependencies", "complete", "Complete", "None"),
         ("Phase 2 - Planning", "Migration Strategy",
-         "Define what to preserve, what to modernize, and migration order", "pending"),
+         "Define what to preserve, what to modernize, and migration order", "pending", "~5 min", "Phase 1"),
         ("Phase 3 - Backend", "Backend Modernization",
-         "Upgrade backend framework while preserving API contracts", "pending"),
+         "Upgrade backend framework while preserving API contracts", "pending", "~15 min", "Phase 2"),
         ("Phase 4 - Frontend", "Frontend Rebuild",
-         "Modernize UI with component-based framework", "pending"),
+         "Modernize UI with component-based framework", "pending", "~15 min", "Phase 3"),
         ("Phase 5 - Testing", "Sandbox Validation",
-         "Test all endpoints and UI in isolated sandbox", "pending"),
+         "Test all endpoints and UI in isolated sandbox", "pending", "~5 min", "Phase 4"),
         ("Phase 6 - Deploy", "Create PR & Deploy",
-         "Commit changes and create pull request", "pending"),
+         "Commit changes and create pull request", "pending", "~2 min", "Phase 5"),
     ),
     "recommendations": (
-        ("Backend", "FastAPI / Next.js API Routes", "Modern async support, better performance", "high"),
-        ("Frontend", "React / Next.js", "Component-based, SSR support", "high"),
-        ("Database", "Keep current + add Prisma ORM", "Type-safe queries, auto migrations", "medium"),
+        ("Backend", "FastAPI / Next.js API Routes", "Modern async support, better performance", "high", "{backend}", "medium"),
+        ("Frontend", "React / Next.js", "Component-based, SSR support", "high", "{frontend}", "high"),
+        ("Database", "Keep current + add Prisma ORM", "Type-safe queries, auto migrations", "medium", "{database}", "medium"),
     ),
     "steps": (
         ("1", "Deep Scan", "Analyze all files and dependencies", "complete"),
@@ -186,6 +192,8 @@ DEFAULT_ANALYSIS = {
 }
 
 ROW = "struct<section:string,pos:int,key:string,title:string,detail:string,level:string>"
+#: further fields of some sections
+FURTHER = ("category", "current", "effort", "duration", "dependencies")
 
 
 def analysis_json(text: Column) -> Column:
@@ -203,9 +211,9 @@ def analysis_json(text: Column) -> Column:
 def recommendation_rows(
     answers: DataFrame, stack: DataFrame | None = None, text: str = "text"
 ) -> DataFrame:
-    """Analysis answers as rows of (section, pos, key, title, detail, level, parsed).
+    """Analysis answers as rows of (section, pos, key, title, detail, level, parsed) and ``FURTHER``.
 
-    Sections: summary, drawback, workflow, recommendation, step, risk.  An answer that is not a
+    Sections: summary, understanding, drawback, workflow, recommendation, step, risk, impact.  An answer that is not a
     JSON object gives the default rows, filled from ``stack`` (one row per repository).
     """
     keep = [c for c in answers.columns if c != text]
@@ -227,43 +235,52 @@ def recommendation_rows(
             out = F.replace(out, F.lit("{" + name + "}"), value)
         return out
 
-    def row(section, pos, key, title, detail, level):
+    def row(section, pos, key, title, detail, level, **further):
         return F.struct(
             F.lit(section).alias("section"), pos.cast("int").alias("pos"), key.cast("string").alias("key"),
             title.alias("title"), detail.alias("detail"), level.alias("level"),
+            *[further.get(name, none).cast("string").alias(name) for name in FURTHER],
         )
 
-    def each(field, section, key, title, detail, level):
+    def each(field, section, key, title, detail, level, *further):
         return F.transform(
             F.coalesce(doc[field], F.array().cast(shape[field].dataType)),
-            lambda x, i: row(section, i, x[key], x[title], x[detail], x[level]),
+            lambda x, i: row(section, i, x[key], x[title], x[detail], x[level], **{name: x[name] for name in further}),
         )
 
     lit = F.lit
     none = F.lit(None).cast("string")
+    about = doc["project_understanding"]
+    said = F.filter(
+        F.array(*[row("understanding", lit(i), lit(name), none, about[name], none) for i, (name, _) in enumerate(DEFAULT_ANALYSIS["understanding"])]),
+        lambda x: x["detail"].isNotNull())
     read = F.concat(
         F.array(row("summary", lit(0), none, none, doc["summary"], doc["health_score"].cast("string"))),
-        each("drawbacks", "drawback", "id", "title", "description", "severity"),
-        each("workflow_table", "workflow", "phase", "task", "description", "status"),
-        each("recommendations", "recommendation", "category", "recommended", "reason", "priority"),
+        said,
+        each("drawbacks", "drawback", "id", "title", "description", "severity", "category"),
+        each("workflow_table", "workflow", "phase", "task", "description", "status", "duration", "dependencies"),
+        each("recommendations", "recommendation", "category", "recommended", "reason", "priority", "current", "effort"),
         each("workflow_steps", "step", "step", "title", "description", "status"),
         F.transform(
             F.coalesce(doc["risks"], F.array().cast("array<string>")),
             lambda x, i: row("risk", i, none, none, x, none),
         ),
+        F.filter(F.array(row("impact", lit(0), none, none, doc["estimated_impact"], none)), lambda x: x["detail"].isNotNull()),
     )
     d = DEFAULT_ANALYSIS
     default = F.array(
         row("summary", lit(0), none, none, fill(d["summary"]), lit(str(d["health_score"]))),
-        *[row("drawback", lit(i), lit(k), lit(t), fill(x), lit(s))
-          for i, (k, t, x, s, _) in enumerate(d["drawbacks"])],
-        *[row("workflow", lit(i), lit(p), lit(t), lit(x), lit(s))
-          for i, (p, t, x, s) in enumerate(d["workflow"])],
-        *[row("recommendation", lit(i), lit(c), lit(r), lit(x), lit(p))
-          for i, (c, r, x, p) in enumerate(d["recommendations"])],
+        *[row("understanding", lit(i), lit(k), none, fill(x), none) for i, (k, x) in enumerate(d["understanding"])],
+        *[row("drawback", lit(i), lit(k), lit(t), fill(x), lit(s), category=lit(c))
+          for i, (k, t, x, s, c) in enumerate(d["drawbacks"])],
+        *[row("workflow", lit(i), lit(p), lit(t), lit(x), lit(s), duration=lit(u), dependencies=lit(n))
+          for i, (p, t, x, s, u, n) in enumerate(d["workflow"])],
+        *[row("recommendation", lit(i), lit(c), lit(r), lit(x), lit(p), current=fill(now), effort=lit(e))
+          for i, (c, r, x, p, now, e) in enumerate(d["recommendations"])],
         *[row("step", lit(i), lit(n), lit(t), lit(x), lit(s))
           for i, (n, t, x, s) in enumerate(d["steps"])],
         *[row("risk", lit(i), none, none, lit(x), none) for i, x in enumerate(d["risks"])],
+        row("impact", lit(0), none, none, lit(d["impact"]), none),
     )
     return known.withColumn("parsed", ok).select(
         *keep, "parsed", F.inline(F.when(F.col("parsed"), read).otherwise(default)),

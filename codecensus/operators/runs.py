@@ -82,18 +82,24 @@ def run_errors(run_logs: DataFrame) -> DataFrame:
 def run_outcomes(run_logs: DataFrame) -> DataFrame:
     """One row per run: attempts, retries, error types in order, URLs and status of the last log.
 
-    A run has at most ``MAX_ATTEMPTS`` attempts.
+    A run has at most ``MAX_ATTEMPTS`` attempts.  Two columns may come with the logs: ``fallback``, true where the
+    attempt gave its built-in answer, makes the run's status that of a fallback if its last attempt has it;
+    ``exception``, the text of what ended the run, gives the run one error of type EXCEPTION, no retries, no URLs and
+    the status of an error, whatever its logs say.
     """
+    none = F.lit(None)
+    flagged = F.coalesce(F.col("fallback"), F.lit(False)) if "fallback" in run_logs.columns else F.lit(False)
+    ended = F.col("exception") if "exception" in run_logs.columns else none.cast("string")
     # what the last log says is read in every row, so that no log travels through the shuffle
     text = F.coalesce("log", F.lit(""))
-    marked = classify_errors(run_logs).select(
+    marked = classify_errors(run_logs.withColumns({"_flagged": flagged, "_ended": ended})).select(
         "repo_id", "run_id", "attempt", "is_error", "error_type",
         F.struct(
             F.regexp_extract(text, r"\[PREVIEW_URL\] (https://[^\s]+)", 1).alias("preview_url"),
             F.regexp_extract(text, r"\[BACKEND_URL\] (https://[^\s]+)", 1).alias("backend_url"),
-            F.when(contains_any(text, rules.FALLBACK_MARKERS), rules.STATUS_FALLBACK)
+            F.when(F.col("_flagged") | contains_any(text, rules.FALLBACK_MARKERS), rules.STATUS_FALLBACK)
             .otherwise(rules.STATUS_OK).alias("status"),
-        ).alias("_says"),
+        ).alias("_says"), F.col("_ended").isNotNull().alias("_ended"),
     )
     last = F.max_by("_says", "attempt")
     return (
@@ -105,10 +111,18 @@ def run_outcomes(run_logs: DataFrame) -> DataFrame:
                 F.array_sort(F.collect_list(F.when(F.col("is_error"), F.struct("attempt", "error_type")))),
                 lambda x: x["error_type"],
             ).alias("error_types"),
-            last.alias("_last"),
+            last.alias("_last"), F.bool_or("_ended").alias("_ended"),
         )
-        .withColumn("retries", F.least(F.col("errors"), F.lit(rules.MAX_ATTEMPTS - 1).cast("bigint")))
-        .select("*", "_last.*").drop("_last")
+        .withColumns({
+            "errors": F.when(F.col("_ended"), F.lit(1).cast("bigint")).otherwise(F.col("errors")),
+            "error_types": F.when(F.col("_ended"), F.array(F.lit(rules.EXCEPTION))).otherwise(F.col("error_types")),
+            "_last": F.when(F.col("_ended"), F.struct(
+                F.lit("").alias("preview_url"), F.lit("").alias("backend_url"), F.lit(rules.STATUS_ERROR).alias("status"),
+            )).otherwise(F.col("_last")),
+        })
+        .withColumn("retries", F.when(F.col("_ended"), F.lit(0).cast("bigint")).otherwise(
+            F.least(F.col("errors"), F.lit(rules.MAX_ATTEMPTS - 1).cast("bigint"))))
+        .select("*", "_last.*").drop("_last", "_ended")
     )
 
 

@@ -956,32 +956,43 @@ def _(spark, d):
     return responses.parse_edit_responses(c.select(F.concat_ws("-", "conv_id", "turn").alias("response_id"), text.alias("text")))
 
 
+def default_analysis_rows():
+    """(section, pos, detail, further fields) of an answer that cannot be read, as SQL values."""
+    d, fill = responses.DEFAULT_ANALYSIS, lambda t: t.format(**responses.DEFAULT_ANALYSIS["unknown"])
+    rows = [("summary", 0, fill(d["summary"]), "")]
+    rows += [("understanding", i, fill(x), "") for i, (_, x) in enumerate(d["understanding"])]
+    rows += [("drawback", i, fill(x[2]), x[4]) for i, x in enumerate(d["drawbacks"])]
+    rows += [("workflow", i, x[2], f"{x[4]}|{x[5]}") for i, x in enumerate(d["workflow"])]
+    rows += [("recommendation", i, x[2], f"{fill(x[4])}|{x[5]}") for i, x in enumerate(d["recommendations"])]
+    rows += [("step", i, x[2], "") for i, x in enumerate(d["steps"])] + [("risk", i, x, "") for i, x in enumerate(d["risks"])]
+    rows += [("impact", 0, d["impact"], "")]
+    return ", ".join(f"({q(a)}, {b}, {q(c)}, {q(e)})" for a, b, c, e in rows)
+
+
 @query("recommendation_rows", f"""
-    SELECT repo_id, parsed, section, CAST(pos AS INTEGER) AS pos, detail FROM (
-      SELECT conv_id || '-' || turn AS repo_id, true AS parsed, unnest(['summary', 'drawback', 'risk', 'risk']) AS section,
-             unnest([0, 0, 0, 1]) AS pos, unnest([text, 'd:' || role, 'r1', role]) AS detail FROM conversations WHERE role <> 'system'
+    SELECT repo_id, parsed, section, CAST(pos AS INTEGER) AS pos, detail, further FROM (
+      SELECT conv_id || '-' || turn AS repo_id, true AS parsed, unnest(['summary', 'understanding', 'drawback', 'workflow', 'recommendation', 'risk', 'risk', 'impact']) AS section,
+             unnest([0, 2, 0, 0, 0, 0, 1, 0]) AS pos, unnest([text, 'flow ' || role, 'd:' || role, 'w', 'because ' || turn, 'r1', role, text || '!']) AS detail,
+             unnest(['', '', 'c' || turn, turn || ' h|none', role || '|low', '', '', '']) AS further FROM conversations WHERE role <> 'system'
       UNION ALL
-      SELECT conv_id || '-' || turn, false, section, pos, detail FROM conversations, (
-        SELECT unnest({sql_list(['summary'] + ['drawback'] * 3 + ['workflow'] * 6 + ['recommendation'] * 3 + ['step'] * 5 + ['risk'] * 2)}) AS section,
-               unnest([0, 0, 1, 2, 0, 1, 2, 3, 4, 5, 0, 1, 2, 0, 1, 2, 3, 4, 0, 1]) AS pos,
-               unnest({{}}) AS detail) WHERE role = 'system')""".format(sql_list(
-    [t.format(**responses.DEFAULT_ANALYSIS["unknown"]) for t in (
-        responses.DEFAULT_ANALYSIS["summary"],
-        *[x[2] for x in responses.DEFAULT_ANALYSIS["drawbacks"]],
-        *[x[2] for x in responses.DEFAULT_ANALYSIS["workflow"]],
-        *[x[2] for x in responses.DEFAULT_ANALYSIS["recommendations"]],
-        *[x[2] for x in responses.DEFAULT_ANALYSIS["steps"]],
-        *responses.DEFAULT_ANALYSIS["risks"])])))
+      SELECT conv_id || '-' || turn, false, section, pos, detail, further FROM conversations, (VALUES {default_analysis_rows()}) AS v(section, pos, detail, further)
+      WHERE role = 'system')""")
 def _(spark, d):
     c = views.table(spark, d, "conversations")
+    turn = F.col("turn").cast("string")
     doc = F.to_json(F.struct(
         F.col("text").alias("summary"), F.lit(7).alias("health_score"),
-        F.array(F.struct(F.lit("d1").alias("id"), F.concat(F.lit("d:"), "role").alias("description"))).alias("drawbacks"),
-        F.array(F.lit("r1"), F.col("role")).alias("risks")))
+        F.struct(F.concat(F.lit("flow "), "role").alias("data_flow")).alias("project_understanding"),
+        F.array(F.struct(F.lit("d1").alias("id"), F.concat(F.lit("d:"), "role").alias("description"), F.concat(F.lit("c"), turn).alias("category"))).alias("drawbacks"),
+        F.array(F.struct(F.lit("w").alias("description"), F.concat(turn, F.lit(" h")).alias("duration"), F.lit("none").alias("dependencies"))).alias("workflow_table"),
+        F.array(F.struct(F.concat(F.lit("because "), turn).alias("reason"), F.col("role").alias("current"), F.lit("low").alias("effort"))).alias("recommendations"),
+        F.array(F.lit("r1"), F.col("role")).alias("risks"), F.concat("text", F.lit("!")).alias("estimated_impact")))
     text = F.when(F.col("role") == "system", F.col("text")).when(F.col("role") == "user", doc).otherwise(
         F.concat(F.lit("```json\n"), doc, F.lit("\n```")))
-    return responses.recommendation_rows(c.select(F.concat_ws("-", "conv_id", "turn").alias("repo_id"), text.alias("text"))).select(
-        "repo_id", "parsed", "section", "pos", "detail")
+    rows = responses.recommendation_rows(c.select(F.concat_ws("-", "conv_id", "turn").alias("repo_id"), text.alias("text")))
+    # a recommendation's category is its key as well
+    further = F.concat_ws("|", F.when(F.col("section") == "drawback", F.col("category")), "current", "effort", "duration", "dependencies")
+    return rows.select("repo_id", "parsed", "section", "pos", "detail", further.alias("further"))
 
 
 def s_images(kind, pattern, context, alt):
@@ -1159,6 +1170,22 @@ def _(spark, d):
     return runs.run_outcomes(views.run_logs(spark, d)).withColumn("error_types", F.array_join("error_types", ","))
 
 
+@query("run_outcomes_flagged", with_views(
+    r"""SELECT repo_id, run_id, attempts, CASE WHEN ended THEN 1 ELSE errors END AS errors, CASE WHEN ended THEN 'EXCEPTION' ELSE error_types END AS error_types,
+          CASE WHEN ended THEN 0 ELSE least(errors, 3) END AS retries,
+          CASE WHEN ended THEN 'Error' WHEN fell OR contains(l, 'Sandbox Error') OR contains(l, 'BUILD FAILED') OR contains(l, 'FATAL ERROR') THEN 'Fallback' ELSE 'Resurrected' END AS status FROM (
+          SELECT repo_id, run_id, count(*) AS attempts, count(*) FILTER (is_error) AS errors, coalesce(string_agg(error_type, ',' ORDER BY attempt) FILTER (is_error), '') AS error_types,
+                 arg_max(log, attempt) AS l, arg_max(CAST(substr(run_id, 2) AS BIGINT) % 5 = attempt % 5, attempt) AS fell,
+                 bool_or(CAST(substr(run_id, 2) AS BIGINT) % 7 = attempt) AS ended FROM ef GROUP BY 1, 2)""", "v_run_logs", more=ERR_CTE))
+def _(spark, d):
+    number = F.substring("run_id", 2, 20).cast("bigint")
+    logs = views.run_logs(spark, d).withColumns({
+        "fallback": number % 5 == F.col("attempt") % 5,
+        "exception": F.when(number % 7 == F.col("attempt"), F.concat(F.lit("broke off in "), "run_id"))})
+    return runs.run_outcomes(logs).select(
+        "repo_id", "run_id", "attempts", "errors", F.array_join("error_types", ",").alias("error_types"), "retries", "status")
+
+
 @query("error_context", with_views(
     """SELECT repo_id, run_id, string_agg('### Error ' || n || ' (Attempt ' || attempt || ') - Type: ' || error_type || chr(10) || '```' || chr(10) || error_message[1:1000] || chr(10) || '```' || chr(10),
          chr(10) ORDER BY attempt) AS text FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, run_id ORDER BY attempt) AS n FROM ef WHERE is_error) GROUP BY 1, 2""", "v_run_logs", more=ERR_CTE))
@@ -1225,6 +1252,24 @@ def _(spark, d):
     return memory.success_history(views.attempts(spark, d)).drop("ts")
 
 
+@query("recent_decision_lists", with_views(
+    f"""SELECT repo_id, event_id, CAST(nth AS INTEGER) AS nth, decision, CASE kind WHEN 'success' THEN 'success' ELSE 'pending' END AS outcome
+       FROM ranked WHERE later OR place <= {rules.KEEP_DECISIONS}""", "v_attempts", more="""
+       each_one AS (SELECT repo_id, ts, event_id, kind, unnest([0, 1, 2]) AS nth, unnest(['decision ' || k, 'choice ' || (event_id % 9), 'way ' || (k % 4)]) AS decision
+                    FROM v_attempts WHERE kind IN ('success', 'decision')),
+       own AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, event_id DESC, nth DESC) AS r,
+                      max(CASE WHEN kind = 'success' THEN {'t': ts, 'e': event_id} END) OVER (PARTITION BY repo_id) AS cut
+               FROM each_one WHERE kind = 'success' OR nth = 0),
+       ranked AS (SELECT *, cut IS NULL OR {'t': ts, 'e': event_id} > cut AS later,
+                         row_number() OVER (PARTITION BY repo_id, cut IS NULL OR {'t': ts, 'e': event_id} > cut ORDER BY r) AS place FROM own)"""))
+def _(spark, d):
+    """Three decisions with every success."""
+    k = F.regexp_extract("decision", r"\d+", 0).cast("int")
+    events = views.attempts(spark, d).withColumn("decisions", F.when(F.col("kind") == "success", F.array(
+        "decision", F.concat(F.lit("choice "), (F.col("event_id") % 9).cast("string")), F.concat(F.lit("way "), (k % 4).cast("string")))))
+    return memory.recent_decisions(events).select("repo_id", "event_id", "nth", "decision", "outcome")
+
+
 @query("success_patterns", with_views(
     """SELECT repo_id, pattern, first_seen, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY f DESC) AS rank FROM (
          SELECT repo_id, pattern, min({'t': ts, 'e': event_id, 'i': i}) AS f, min(ts) AS first_seen FROM (
@@ -1285,11 +1330,11 @@ def _(spark, d):
 
 
 @query("memory_text", with_views(
-    """SELECT repo_id, 'ATTEMPTS' || chr(10) || '  - total ' || ta || ', successful ' || sa || ', failed ' || fa || chr(10)
+    """SELECT repo_id, 'ATTEMPTS' || chr(10) || '  - total ' || ta || ', successful ' || sa || ', failed ' || fa || chr(10) || '  - last ' || strftime(lr, '%Y-%m-%dT%H:%M:%S') || chr(10)
          || coalesce('FAILURES' || chr(10) || ff || chr(10), '') || coalesce('PATTERNS' || chr(10) || pp || chr(10), '')
          || coalesce('DEPENDENCIES' || chr(10) || de || chr(10), '') || coalesce('DECISIONS' || chr(10) || cc || chr(10), '')
          || CASE WHEN be IS NOT NULL THEN 'STACK' || chr(10) || '  - ' || concat_ws(' / ', be, fe) || chr(10) ELSE '' END AS memory_text
-       FROM (SELECT repo_id, count(*) FILTER (kind = 'start') AS ta, count(*) FILTER (kind = 'success') AS sa, count(*) FILTER (kind = 'failure') AS fa,
+       FROM (SELECT repo_id, max(ts) FILTER (kind = 'start') AS lr, count(*) FILTER (kind = 'start') AS ta, count(*) FILTER (kind = 'success') AS sa, count(*) FILTER (kind = 'failure') AS fa,
                (arg_max({'v': backend}, {'t': ts, 'e': event_id}) FILTER (has_stack)).v AS be, (arg_max({'v': frontend}, {'t': ts, 'e': event_id}) FILTER (has_stack)).v AS fe
              FROM v_attempts GROUP BY 1)
        LEFT JOIN (SELECT repo_id, string_agg('  - ' || error_type || ': ' || error_message[1:100] || ' | ' || lesson, chr(10) ORDER BY r DESC) AS ff FROM (

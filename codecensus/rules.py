@@ -289,6 +289,8 @@ MAX_ATTEMPTS = 4
 FALLBACK_MARKERS = ("Sandbox Error", "BUILD FAILED", "FATAL ERROR")
 STATUS_OK = "Resurrected"
 STATUS_FALLBACK = "Fallback"
+STATUS_ERROR = "Error"
+EXCEPTION = "EXCEPTION"
 ERROR_MESSAGE_IN_CONTEXT = 1000
 
 # --- fixed values: retention of the attempt memory ---------------------------------------------
