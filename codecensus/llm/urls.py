@@ -2,7 +2,7 @@
 
 A URL becomes a set of tokens (host labels, host endings, path parts, query names). FP-growth over
 the token sets of labelled pages, each with an item for its label, finds combinations; those that
-imply the unwanted label with enough support, confidence and lift become rules, and a rule that a more general
+imply the unwanted label with enough support, confidence and lift, and more often than chance explains, become rules, and a rule that a more general
 rule of at least its confidence contains is pruned. Rules are matched by inverted index: different sets of URL tokens meet
 each rule at its rarest token, and a rule whose tokens are all there fires. Mining reads every labelled page; the number of rules is bounded by ``min_support``, not by the input.
 
@@ -14,6 +14,8 @@ mined rules, all else is allowed; null labels count as wanted; repeated pages ea
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,12 +92,17 @@ def with_rarest(rules: DataFrame, keys) -> DataFrame:
     return rules.join(rarest, list(keys))
 
 
-def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0) -> DataFrame:
-    """(rule_id, tokens, confidence, lift, support) from rows of ``tokens`` and ``unwanted``.
+def class_rules(
+    labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_lift: float = 2.0,
+    max_chance: float | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(rule_id, tokens, confidence, lift, support), whose tokens are names of classes of tokens that stand on the same
+    labelled pages, and (token, name) of the classes; from rows of ``tokens`` and ``unwanted``.
 
     A rule must raise the share of unwanted pages ``min_lift`` times, or lower that of the others as many times; the first
-    alone is out of reach where more than 1 / ``min_lift`` of the pages are unwanted. Tokens of the same pages are mined
-    as one and put in for each other afterwards, which gives the rules that mining all of them and pruning gives."""
+    alone is out of reach where more than 1 / ``min_lift`` of the pages are unwanted. With ``max_chance`` it must also be no
+    chance: n pages of which a share c is unwanted, where the share of all is p, come about with a probability of at most
+    exp(-n KL(c, p)) (Chernoff); that, times the number of combinations that were tried, may not exceed ``max_chance``."""
     rows = labelled.select(F.array_sort("tokens").alias("tokens"), F.coalesce("unwanted", F.lit(False)).alias("unwanted"))
     rows = durable(rows.groupBy("tokens", "unwanted").agg(F.count(F.lit(1)).alias("_pages")))
     names = same_pages(rows.select("tokens").distinct())
@@ -112,6 +119,7 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     rules = durable(
         model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == UNWANTED))
         .where((F.col("lift") >= min_lift) | ((F.col("lift") > 1) & ((1 - F.col("confidence")) * min_lift <= 1 - base)))
+        .where(F.lit(True) if max_chance is None else no_chance(baskets.count(), tried(model), max_chance))
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
         .withColumn("rule_id", F.xxhash64("tokens")))
     # most rules have a rule of one token less that covers them; the rest is compared by its rarest token
@@ -124,8 +132,27 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
         F.col("tokens").alias("_tokens"), F.col("confidence").alias("_confidence"), "_rare")
     wider = (F.size("_tokens") < F.size("tokens")) & (F.col("_confidence") >= F.col("confidence"))
     covered = contained(rules, general, wider).select("rule_id").distinct()
-    rules = durable(rules.join(covered, "rule_id", "left_anti"))
-    # every token in place of its name, in all combinations
+    return durable(rules.join(covered, "rule_id", "left_anti")), names
+
+
+def tried(model) -> int:
+    """Combinations whose rule was looked at: those that are frequent together with the label."""
+    return max(1, model.freqItemsets.where(F.array_contains("items", UNWANTED)).count() - 1)
+
+
+def no_chance(pages: int, combinations: int, max_chance: float) -> Column:
+    """Whether confidence, lift and support of a rule are beyond chance."""
+    c, p = F.col("confidence"), F.col("confidence") / F.col("lift")
+    n = F.col("support") * pages / c
+    rest = F.when(c < 1, (1 - c) * F.ln((1 - c) / (1 - p))).otherwise(0.0)
+    return n * (c * F.ln(c / p) + rest) >= math.log(combinations / max_chance)
+
+
+def mined_rules(labelled: DataFrame, **mining) -> DataFrame:
+    """The rules of :func:`class_rules` with every token in place of its class, in all combinations: for reading. URLs are
+    matched with the classes, whose number does not multiply."""
+    rules, names = class_rules(labelled, **mining)
+    empty = F.array().cast("array<string>")
     members = names.groupBy("name").agg(F.array_sort(F.collect_list("token")).alias("_members"))
     ways = rules.select("rule_id", F.explode("tokens").alias("name")).join(members, "name").groupBy("rule_id").agg(
         F.collect_list("_members").alias("_ways"))
@@ -137,13 +164,17 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     return out.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "lift", "support")
 
 
-def matched_rules(urls: DataFrame, rules: DataFrame, key: str = "url") -> DataFrame:
+def matched_rules(urls: DataFrame, rules: DataFrame, key: str = "url", names: DataFrame | None = None) -> DataFrame:
     """(key, rules): for each different URL the number of mined rules whose tokens it holds. URLs of equal tokens are
-    matched once."""
+    matched once. With ``names`` (token, name) a URL holds a name if it holds any of its tokens."""
     index = with_rarest(durable(rules), ["rule_id"]).select(F.col("tokens").alias("_tokens"), "_rare")
-    urls = urls.select(key, F.array_sort("tokens").alias("tokens"))
-    found = contained(urls.select("tokens").distinct(), index).groupBy("tokens").agg(F.count(F.lit(1)).alias("rules"))
-    return urls.join(found, "tokens").select(key, "rules")
+    urls = urls.select(key, F.array_sort("tokens").alias("_set"))
+    sets = urls.select("_set").distinct().withColumn("tokens", F.col("_set"))
+    if names is not None:
+        sets = sets.select("_set", F.explode("tokens").alias("token")).join(names, "token").groupBy("_set").agg(
+            F.collect_set("name").alias("tokens"))
+    found = contained(sets, index).groupBy("_set").agg(F.count(F.lit(1)).alias("rules"))
+    return urls.join(found, "_set").select(key, "rules")
 
 
 def judged(pages: DataFrame, labels: DataFrame, rules=RULES, carry=("page_id",), **mining) -> DataFrame:
@@ -155,7 +186,8 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, carry=("page_id",),
         F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("unwanted"))
     labelled = urls.join(label, "page_id").select(
         tokens(F.col("host"), F.col("path"), F.col("url")).alias("tokens"), "unwanted")
-    fired = matched_rules(different, mined_rules(labelled, **mining))
+    rules_found, names = class_rules(labelled, **mining)
+    fired = matched_rules(different, rules_found, names=names)
     rows = pages.select(*carry, F.col("url").alias("_url"))
     out = rows.join(fired.withColumnRenamed("url", "_url"), "_url", "left")
     host, path = host_of(F.col("_url")), path_of(F.col("_url"))
@@ -168,4 +200,4 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES, carry=("page_id",),
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), max_chance=0.05)

@@ -93,3 +93,22 @@ def test_whole_host_labels_are_tokens(spark):
     row = spark.createDataFrame([("http://bad-pills.org/",)], "url string")
     got = row.select(urls.tokens(urls.host_of(row.url), urls.path_of(row.url), row.url)).first()[0]
     assert set(got) == {"host=bad-pills", "host=org", "word=bad", "word=pills", "word=org"}
+
+
+def test_chance_makes_no_rules(spark):
+    """Labels that do not depend on the tokens give no rule; a real dependency on as few pages as it takes does."""
+    import random
+
+    rng = random.Random(5)
+    rows = [([f"h{rng.randrange(40)}", f"p{rng.randrange(60)}", f"q{rng.randrange(9)}"], rng.random() < 0.4) for _ in range(800)]
+    schema = "tokens array<string>, unwanted boolean"
+    assert urls.mined_rules(spark.createDataFrame(rows, schema)).count() > 20
+    assert urls.mined_rules(spark.createDataFrame(rows, schema), max_chance=0.05).count() == 0
+    rows += [([f"h{i}", "spam", "spam2"], True) for i in range(16)]
+    got = urls.mined_rules(spark.createDataFrame(rows, schema), max_chance=0.05).collect()
+    assert {tuple(r.tokens) for r in got} == {("spam",), ("spam2",)}
+    # pages held out: everything that the rules block is unwanted, which 40 % of all pages are
+    rules, names = urls.class_rules(spark.createDataFrame(rows, schema), max_chance=0.05)
+    held = [(f"u{i}", [f"h{i % 40}", "spam2" if i % 4 == 0 else f"p{i % 60}"]) for i in range(80)]
+    found = urls.matched_rules(spark.createDataFrame(held, "url string, tokens array<string>"), rules, names=names)
+    assert {r.url for r in found.collect()} == {f"u{i}" for i in range(0, 80, 4)}
