@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
 Base kinds (email, ip, card, phone) are kept whenever their check holds. The method adds kinds of its own: bank account
-numbers confirmed by mod-97, shorter card numbers confirmed by Luhn, and phone-like or identity numbers without a
-sign of their own; these start at the score their pattern and checksum earn, words within ``reach`` characters before raise
-or lower it, and those that reach ``threshold`` become spans. Added spans never replace base ones.
+numbers confirmed by mod-97, shorter card numbers confirmed by Luhn, phone-like or identity numbers without a
+sign of their own, access key ids by their shape, and secrets: values behind ``=`` or ``:`` with letters, digits and many
+different characters. These start at the score their pattern and check earn, words within ``reach`` characters on either
+side raise or lower it, and those that reach ``threshold`` become spans. Added spans never replace base ones.
 
 A pattern runs over a text twice: its matches, and the gaps between them; the lengths of both give the places. Patterns
 are written so that a failed start never rescans a long run. DataFrame functions only, one scan, no shuffle.
@@ -14,6 +15,8 @@ Defined cases: null text -- empty, no spans; repeated rows each give a row; an e
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +32,22 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-
 SHORT_CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}(?![\x20-]?[0-9])"
 LOCAL_PHONE = r"(?<![0-9A-Za-z+(.-])(?<![0-9]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])(?![\x20.-][0-9])"
 IDENTITY = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
+ACCESS_KEY = r"(?<![A-Za-z0-9])A(?:KIA|SIA|GPA|ROA|IDA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+SECRET = r"""(?<![A-Za-z0-9+/_-])(?<=[:=][\x20]{0,2}["']{0,1})[A-Za-z0-9+/_-]{12,256}+(?![A-Za-z0-9+/_-])"""
 
-# fixed values: words before a span that speak for or against its kind
+# fixed values: words near a span that speak for or against its kind
 SPEAKS_FOR = {
     "iban": "iban|account|konto|cuenta|compte|bank",
     "short_card": "card|visa|amex|credit|karte|tarjeta|carte",
     "local_phone": "phone|tel|call|mobile|fax|telefon|telefono",
     "identity": "ssn|social security|identity|tax id",
+    "access_key": "aws|access|key|credential",
+    "secret": "passw|pwd|secret|token|api.?key|access.?key|credential|bearer|private|auth",
 }
 SPEAKS_AGAINST = "order|invoice|isbn|version|item|serial|part no"
 
 # fixed values: score of pattern and checksum, and what nearby words add or take
-PRIOR = {"iban": 0.7, "short_card": 0.5, "local_phone": 0.5, "identity": 0.4}
+PRIOR = {"iban": 0.7, "short_card": 0.5, "local_phone": 0.5, "identity": 0.4, "access_key": 0.95, "secret": 0.45}
 STEP_UP, STEP_DOWN = 0.3, 0.3
 
 
@@ -67,6 +74,8 @@ def mod97(match: Column) -> Column:
     return rest == 1
 
 
+#: different characters that a secret has at least
+MIXED = 7
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
@@ -81,6 +90,9 @@ def valid(kind: str, match: Column) -> Column:
         return luhn(match)
     if kind == "iban":
         return mod97(match)
+    if kind == "secret":
+        different = F.size(F.array_distinct(F.split(match, "")))
+        return match.rlike("[A-Za-z]") & match.rlike("[0-9]") & (different >= MIXED)
     return F.lit(True)
 
 
@@ -96,6 +108,8 @@ ADDED = {
     "short_card": (SHORT_CARD, lambda text: text.rlike("[0-9]")),
     "local_phone": (LOCAL_PHONE, lambda text: text.rlike("[0-9][0-9][0-9]")),
     "identity": (IDENTITY, lambda text: text.rlike("[0-9]-[0-9]")),
+    "access_key": (ACCESS_KEY, lambda text: text.rlike("A(?:KIA|SIA|GPA|ROA|IDA)[A-Z0-9]")),
+    "secret": (SECRET, lambda text: text.rlike("[:=][\\x20]{0,2}[\"']?[A-Za-z0-9+/_-]{12}")),
 }
 
 
@@ -132,12 +146,13 @@ def spans(df: DataFrame, kind: str, text: str, pattern: str, guard) -> DataFrame
 
 
 def scored(kind: str, text: str, reach: int) -> Column:
-    """Spans of an added kind with their scores after a look at the words before them."""
+    """Spans of an added kind with their scores after a look at the words on both sides of them."""
     def look(x: Column) -> Column:
-        before = lower_az(F.substring(F.col(text), F.greatest(x["start"] - reach + 1, F.lit(1)),
-                                      F.least(F.lit(reach), x["start"])))
-        score = (F.lit(PRIOR[kind]) + F.when(before.rlike(SPEAKS_FOR[kind]), STEP_UP).otherwise(0.0)
-                 - F.when(before.rlike(SPEAKS_AGAINST), STEP_DOWN).otherwise(0.0))
+        before = F.substring(F.col(text), F.greatest(x["start"] - reach + 1, F.lit(1)), F.least(F.lit(reach), x["start"]))
+        after = F.substring(F.col(text), x["end"] + 1, F.lit(reach))
+        near = lower_az(F.concat(before, F.lit("\n"), after))
+        score = (F.lit(PRIOR[kind]) + F.when(near.rlike(SPEAKS_FOR[kind]), STEP_UP).otherwise(0.0)
+                 - F.when(near.rlike(SPEAKS_AGAINST), STEP_DOWN).otherwise(0.0))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"), score.alias("score"))
 
     return F.transform(kind, look)
@@ -181,4 +196,6 @@ def span_rows(docs: DataFrame, carry=("doc_id",), **options) -> DataFrame:
 def op1(spark, sf_dir: str) -> DataFrame:
     rows = found(documents(spark, sf_dir))
     counts = [F.coalesce(F.when(F.col(k).isNotNull(), F.size(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE]
-    return rows.select("doc_id", *counts, F.sha2(joined(BASE), 256).alias("base_sha256"), joined([*BASE, *ADDED]).alias("spans"))
+    every = [F.coalesce(F.when(F.col(k).isNotNull(), F.size(k)), F.lit(0)) for k in (*BASE, *ADDED)]
+    n_spans = reduce(Column.__add__, every).cast("long").alias("n_spans")
+    return rows.select("doc_id", *counts, n_spans, F.sha2(joined(BASE), 256).alias("base_sha256"), joined([*BASE, *ADDED]).alias("spans"))
