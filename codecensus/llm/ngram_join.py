@@ -47,6 +47,8 @@ LEADERS = 8
 # segments of more classes than this are counted by matrix products
 SMALL = 64
 PORTION_ROWS = 50_000
+#: fragments of the hash order at least, so that small inputs are spread too
+FRAGMENTS = 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -474,10 +476,10 @@ def class_components(docs: DataFrame, table: DataFrame, per_fragment: int, round
         .select(F.col("s1").alias("label"), "n", "_key"))
     total = table.agg(F.sum("n")).first()[0] or 0
     # a prefix has three eighths of a set
-    found = candidates(docs, max(4, -(-3 * total // (8 * per_fragment))))
+    found = candidates(docs, max(FRAGMENTS, -(-3 * total // (8 * per_fragment))))
     chosen = table_of(classes.join(found, "label").where(F.col("shared") >= least_shared()).drop("shared"))
     kept = chosen.agg(F.sum("n")).first()[0] or 0
-    fragments = max(4, -(-kept // per_fragment))
+    fragments = max(FRAGMENTS, -(-kept // per_fragment))
     hashed = table_of(fragment_table(docs, chosen, fragments))
 
     def sharing(table, classes):
