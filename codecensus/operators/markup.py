@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.paths import basename, contains_any, ends_with_any, lookup, strip
+from ..functions.places import let, sums_before
 from .selection import is_placeholder
 
 RUN = ("repo_id", "run_id")
@@ -15,53 +16,36 @@ RUN = ("repo_id", "run_id")
 def _matches(text: Column, pattern: str, context: int, kind: str) -> Column:
     """All matches with offset and line.
 
-    The text between two matches is what ``split`` returns, so running sums over the lengths of
-    gaps and matches give exact offsets without a search per match.  Each regular expression
-    runs once per row: lambdas below touch array elements only.
+    The text between two matches is what ``split`` returns, so running sums over the lengths of gaps and
+    matches give exact offsets without a search per match.  The pattern reads the text twice, for the matches and for
+    the gaps; what a match captures is read from the match.
     """
     zero = F.lit(0).cast("bigint")
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("src"),
-        F.split(text, pattern, -1).alias("gap"),
-    )
 
     def newlines(s):
         return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
-    def entry(m, src, start, line, end, end_line):
-        return F.struct(
-            m.alias("m"), src.alias("src"), start.cast("bigint").alias("start"),
-            line.cast("bigint").alias("line"), end.cast("bigint").alias("end"),
-            end_line.cast("bigint").alias("end_line"),
-        )
-
-    def add(acc, x):
-        last = F.element_at(acc, -1)
-        start, line = last["end"] + F.length(x["gap"]), last["end_line"] + newlines(x["gap"])
-        return F.array_append(acc, entry(
-            x["m"], x["src"], start, line, start + F.length(x["m"]), line + newlines(x["m"])
-        ))
-
-    none = F.lit(None).cast("string")
-    placed = F.aggregate(
-        # the text behind the last match has no match of its own
-        F.filter(found, lambda x: x["m"].isNotNull()),
-        F.array(entry(none, none, zero, zero, zero, zero)), add,
-        lambda acc: F.filter(acc, lambda x: x["m"].isNotNull()),
-    )
-
-    def row(x):
-        lo = F.greatest(x["start"] - context, zero)
-        around = F.substring(text, (lo + 1).cast("int"), (x["end"] + context - lo).cast("int"))
+    def row(x, start, line):
+        lo = F.greatest(start - context, zero)
+        end = start + F.length(x["m"])
+        around = F.substring(text, (lo + 1).cast("int"), (end + context - lo).cast("int"))
         alt = F.regexp_extract(x["m"], "(?i)" + rules.ALT_TEXT, 1) if kind == "img_tag" else F.lit("")
         return F.struct(
-            F.lit(kind).alias("type"), x["src"].alias("src"), alt.alias("alt"),
-            (x["line"] + 1).cast("int").alias("line"), strip(around).alias("context"),
-            x["m"].alias("full_match"), x["start"].alias("offset"),
+            F.lit(kind).alias("type"), F.regexp_extract(x["m"], pattern, 1).alias("src"), alt.alias("alt"),
+            (line + 1).cast("int").alias("line"), strip(around).alias("context"),
+            x["m"].alias("full_match"), start.cast("bigint").alias("offset"),
         )
 
-    return F.transform(placed, row)
+    def placed(found):
+        lengths = F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["m"]))
+        breaks = F.transform(found, lambda x: newlines(x["gap"]) + newlines(x["m"]))
+        return let(sums_before(lengths), lambda starts: let(sums_before(breaks), lambda lines: F.transform(
+            found, lambda x, i: row(x, F.get(starts, i) + F.length(x["gap"]), F.get(lines, i) + newlines(x["gap"])))))
+
+    found = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
+    # the text behind the last match has no match of its own
+    return let(F.filter(found, lambda x: x["m"].isNotNull()), placed)
 
 
 def image_refs(artifacts: DataFrame, by=("repo_id",)) -> DataFrame:
