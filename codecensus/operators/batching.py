@@ -17,6 +17,8 @@ from ..functions.scale import BUCKET, bucket_of, durable, positions_by_number, p
 from .matching import match_plan_paths, model_budget, remaining_files
 from .profile import analysis_payload
 
+#: segments whose step functions are composed in one place
+FAN = 1024
 DEFAULT_BUDGET = rules.MODEL_LIMITS[rules.DEFAULT_MODEL][1]
 
 
@@ -30,7 +32,7 @@ STEP = (
 
 def pack_by_budget(
     files: DataFrame, keys, budget=DEFAULT_BUDGET, order: str = "file_ord", size: str = "chars",
-    bucket: int = BUCKET,
+    bucket: int = BUCKET, fan: int = FAN,
 ) -> DataFrame:
     """Add ``part``, the 1-based bin of a greedy in-order split at ``budget``, and ``parts``.
 
@@ -40,10 +42,11 @@ def pack_by_budget(
 
     A group of more than ``bucket`` files is cut into segments of ``bucket`` order numbers.
     What a segment does to packing is a step function of the characters in the bin that is open
-    before it: how many bins it opens and what it leaves open.  These functions are computed per
-    segment in parallel and chained per group (a few numbers per segment), and every segment is
-    then packed by itself from the state it starts in.  The result is that of one sequential
-    pass, but no task ever holds more than one segment of files.
+    before it: how many bins it opens and what it leaves open.  Step functions compose to step functions: those of
+    each segment are computed in parallel, those of ``fan`` neighbours are composed into one, and only these
+    (one per ``fan * bucket`` files) are followed from the start of the group to its end.  The states found
+    go back down, and every segment is packed by itself from the state it starts in.  The result is that of one
+    sequential pass, but no task ever holds more than one segment of files or ``fan`` functions.
     """
     keys = list(keys)
     limit = budget if isinstance(budget, Column) else F.lit(budget)
@@ -74,13 +77,7 @@ def pack_by_budget(
     steps = segments(
         seg.where("_large"), F.struct("_item.o", "_item.n")
     ).select(*keys, "_seg", F.pandas_udf(_segment_step, STEP)(F.col("_items.n"), F.col("_limit")).alias("_step"))
-    key_ddl = ", ".join(
-        f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema.fields
-    )
-    starts = steps.select(*keys, "_seg", "_step.*").groupBy(*keys).applyInPandas(
-        _chain(keys),
-        f"{key_ddl}, _seg bigint, _open boolean, _carry bigint, _part bigint, _parts bigint",
-    )
+    starts = _starts(steps, keys, fan)
     zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     packed = (
         segments(seg, F.col("_item")).join(starts, [*keys, "_seg"], "left")
@@ -129,29 +126,88 @@ def _next_bin(ends, before, cap):
     )
 
 
-def _chain(keys):
-    """Carry the open bin from segment to segment of one group."""
-    def chain(pdf):
-        pdf = pdf.sort_values("_seg")
-        rows = []
-        is_open, carry, part = False, 0, 1
-        columns = ("bounds", "opened", "left", "total", "fresh_opened", "fresh_left")
-        for bounds, opened, left, total, fresh_opened, fresh_left in zip(*(pdf[c] for c in columns)):
-            rows.append((is_open, carry, part))
-            if not is_open:
-                is_open, carry, part = True, int(fresh_left), int(fresh_opened)
-                continue
-            j = int(np.searchsorted(-np.asarray(bounds), -carry, side="right"))
-            if j == len(bounds):
-                carry += int(total)
+def _follow(bounds, opened, left, total, carry: np.ndarray):
+    """What a step function does to open bins of ``carry`` characters: what it leaves open and how many bins it opens."""
+    at = np.searchsorted(-bounds, -carry, side="right")
+    fits = at == len(bounds)  # everything goes into the open bin
+    at = np.minimum(at, len(bounds) - 1)
+    return np.where(fits, carry + total, left[at]), np.where(fits, 0, opened[at])
+
+
+def _arrays(step):
+    return (*(np.asarray(step[c], dtype=np.int64) for c in ("bounds", "opened", "left")), int(step["total"]))
+
+
+def _composed(lists: pd.Series) -> pd.DataFrame:
+    """One step function that does what those of a list do in turn."""
+    def one(steps):
+        bounds, opened, left, total = _arrays(steps[0])
+        fresh_opened, fresh_left = int(steps[0]["fresh_opened"]), int(steps[0]["fresh_left"])
+        for step in steps[1:]:
+            after = _arrays(step)
+            # bins that meet a step of the first function: the second one takes what is left
+            new_left, more = _follow(*after, left)
+            new_opened = opened + more
+            # bins that take all of the first segment meet the second one fuller by that much; the first negative
+            # bound closes the list
+            shifted = after[0] - total
+            begin = int(np.searchsorted(-shifted, -bounds[-1], side="right"))
+            some = np.arange(begin, len(shifted)) if bounds[-1] >= 0 else np.zeros(0, np.int64)
+            some = some[np.r_[True, shifted[some][:-1] >= 0]] if len(some) else some
+            bounds = np.r_[bounds, shifted[some]]
+            left, opened = np.r_[new_left, after[2][some]], np.r_[new_opened, after[1][some]]
+            total += after[3]
+            fresh = _follow(*after, np.array([fresh_left]))
+            fresh_left, fresh_opened = int(fresh[0][0]), fresh_opened + int(fresh[1][0])
+            # neighbouring steps to the same state are one
+            keep = np.r_[(left[1:] != left[:-1]) | (opened[1:] != opened[:-1]), True]
+            bounds, left, opened = bounds[keep], left[keep], opened[keep]
+        return {
+            "bounds": bounds.tolist(), "opened": opened.tolist(), "left": left.tolist(), "total": total,
+            "fresh_opened": fresh_opened, "fresh_left": fresh_left,
+        }
+
+    return pd.DataFrame([one(x) for x in lists])
+
+
+STATES = "array<struct<_open:boolean,_carry:bigint,_part:bigint>>"
+
+
+def _states(lists: pd.Series, is_open: pd.Series, carry: pd.Series, part: pd.Series) -> pd.Series:
+    """The states before each step function of a list, and that after the last one."""
+    def one(steps, opened, held, number):
+        out = [(bool(opened), int(held), int(number))]
+        for step in steps:
+            opened, held, number = out[-1]
+            if opened:
+                left, more = _follow(*_arrays(step), np.array([held]))
+                out.append((True, int(left[0]), number + int(more[0])))
             else:
-                carry, part = int(left[j]), part + int(opened[j])
-        out = pdf[[*keys, "_seg"]].copy()
-        out["_open"], out["_carry"], out["_part"] = zip(*rows)
-        out["_parts"] = part
-        return out
+                out.append((True, int(step["fresh_left"]), int(step["fresh_opened"])))
+        return [dict(zip(("_open", "_carry", "_part"), x)) for x in out]
+
+    return pd.Series([one(*row) for row in zip(lists, is_open, carry, part)])
+
+
+def _starts(steps: DataFrame, keys, fan: int) -> DataFrame:
+    """(keys, _seg, _open, _carry, _part, _parts): the state each segment starts in, and the bins of its group."""
+    compose, follow = F.pandas_udf(_composed, STEP), F.pandas_udf(_states, STATES)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+
+    def listed(rows, by, number):
+        return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(number, "_step"))).alias("_list"))
+
+    def down(rows, extra):
+        pairs = F.arrays_zip(F.col("_list").alias("list"), F.slice("_states", F.lit(1), F.size("_list")).alias("state"))
+        return rows.select(*keys, *extra, F.explode(pairs).alias("_x"))
 
-    return chain
+    blocks = listed(steps.withColumn("_block", F.expr(f"_seg div {fan}")), [*keys, "_block"], "_seg")
+    whole = listed(blocks.select(*keys, "_block", compose("_list._step").alias("_step")), keys, "_block")
+    top = whole.withColumn("_states", follow("_list._step", F.lit(False), zero, one))
+    top = down(top, [F.element_at("_states", -1)["_part"].alias("_parts")]).select(
+        *keys, "_parts", "_x.list._block", "_x.state.*")
+    inside = blocks.join(top, [*keys, "_block"]).withColumn("_states", follow("_list._step", "_open", "_carry", "_part"))
+    return down(inside, ["_parts"]).select(*keys, "_parts", "_x.list._seg", "_x.state.*")
 
 
 def _pack_segment(

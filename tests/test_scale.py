@@ -44,6 +44,33 @@ def test_packing_equals_sequential(spark, bucket, budget):
     assert all(r.parts == last[r.repo_id] for r in got) and len(got) == len(data)
 
 
+def test_composed_steps_follow_each_other():
+    """A composition does to every open bin what its parts do in turn."""
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(3)
+    for _ in range(300):
+        cap = rng.choice([0, 5, 17, 60])
+        segments = [[rng.choice([0, 0, 1, 2, 5, 8, 30]) for _ in range(rng.randrange(1, 9))] for _ in range(rng.randrange(1, 7))]
+        steps = batching._segment_step(pd.Series([np.array(x) for x in segments]), pd.Series([cap] * len(segments)))
+        steps = steps.to_dict("records")
+        whole = batching._composed(pd.Series([steps])).to_dict("records")
+        for state in [(False, 0, 1), *((True, c, 3) for c in range(cap + 40))]:
+            ends = [batching._states(pd.Series([x]), *[pd.Series([v]) for v in state])[0][-1] for x in (steps, whole)]
+            assert ends[0] == ends[1]
+
+
+@pytest.mark.parametrize("fan", [2, 5])
+def test_packing_with_composed_segments(spark, fan):
+    rng = random.Random(fan)
+    sizes = [rng.choice([0, 1, 2, 3, 5, 8, 30, 60]) for _ in range(300)]
+    df = spark.createDataFrame([("hot", i, n, f"p{i}") for i, n in enumerate(sizes)] + [("b", 0, 3, "x")],
+                               "repo_id string, file_ord bigint, chars bigint, path string")
+    got = batching.pack_by_budget(df, ["repo_id"], 40, bucket=4, fan=fan).where("repo_id = 'hot'").orderBy("file_ord").collect()
+    assert [r.part for r in got] == one_by_one(sizes, 40) and {r.parts for r in got} == {got[-1].part}
+
+
 def test_positions(spark):
     rng = random.Random(5)
     nums = {g: sorted(rng.sample(range(5000), n)) for g, n in (("hot", 900), ("b", 3))}
