@@ -80,7 +80,8 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
     for offset in range(1, arity):
         other = nodes.select("group", F.col("index").alias("_at"), F.col("node").alias(f"sibling_{offset}"))
         keyed = out.withColumn("_at", sibling_index(arity, offset))
-        out = keyed.join(other, ["group", "_at"], "left").drop("_at")
+        # no hash tables of whole levels on the driver
+        out = keyed.join(other.hint("merge"), ["group", "_at"], "left").drop("_at")
     return out
 
 
@@ -111,12 +112,13 @@ def gathered(nodes: DataFrame, rows: int) -> DataFrame:
     return nodes.coalesce(1) if rows <= FEW else nodes
 
 
-def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
+def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame, list[int]]:
     """The levels of all groups' trees from the leaves up, (group, index, size, node, path) with ``path`` the raw siblings;
-    and the tops (group, level, node). ``leaves`` has group, index, size, node; other columns stay on the lowest
-    level. Groups leave when one node remains."""
+    the tops (group, level, node); and the number of nodes per level. ``leaves`` has group, index, size, node; other
+    columns stay on the lowest level. Groups leave when one node remains."""
     made, tops, nodes = [], [], leaves
-    for rows in level_sizes(leaves, arity):
+    sizes = level_sizes(leaves, arity)
+    for rows in sizes:
         tops.append(nodes.where("size = 1").select("group", F.lit(len(made)).alias("level"), "node"))
         met = with_siblings(gathered(nodes.where("size > 1"), rows), arity)
         level = durable(met.withColumn("path", siblings(arity)).drop(*[f"sibling_{k}" for k in range(1, arity)]))
@@ -126,7 +128,7 @@ def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
             "group", F.expr(f"index div {arity}").alias("index"), F.expr(f"(size + {arity - 1}) div {arity}").alias("size"),
             digest(as_hex(F.col("node")), as_hex(F.col("path"))).alias("node"))
     tops.append(nodes.where("size = 1").select("group", F.lit(len(made)).alias("level"), "node"))
-    return made, reduce(DataFrame.unionByName, tops)
+    return made, reduce(DataFrame.unionByName, tops), sizes
 
 
 def paths(made: list[DataFrame], tops: DataFrame, above: DataFrame, arity: int, rows: list[int]) -> list[DataFrame]:
@@ -143,7 +145,7 @@ def paths(made: list[DataFrame], tops: DataFrame, above: DataFrame, arity: int,
         keyed = made[level].withColumn("_up", F.expr(f"index div {arity}"))
         if rows[level] <= FEW:
             keyed, parents = keyed.coalesce(1), parents.coalesce(1)
-        inner = keyed.join(parents, ["group", "_up"]).withColumn("path", F.concat("path", "above")).drop("_up", "above")
+        inner = keyed.join(parents.hint("merge"), ["group", "_up"]).withColumn("path", F.concat("path", "above")).drop("_up", "above")
         out.insert(0, inner)
         upper = ending(level).unionByName(inner.select("group", "index", "path"))
         if level and level % STEP == 0:
@@ -191,21 +193,21 @@ def manifest(
         named.alias("group"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{order}`").alias("order"),
         leaf(columns).alias("node"), F.when(differs, leaf(columns, changed)).alias("other"))
     leaves = durable(placed(rows, "group", ["order", "node"]).drop("order"))
-    made, tops = levels(leaves, arity)
+    made, tops, sizes = levels(leaves, arity)
     # the subroots are the leaves of one more tree
     tops = durable(tops.withColumn("all", F.lit("")))
     upper = durable(
         placed(tops.select("all", F.col("group").alias("name"), "node"), "all", ["name"])
         .select(F.col("all").alias("group"), "index", "size", "node", "name"))
-    above, root = levels(upper, arity)
-    ends = paths(above, root, root.select("group", F.lit("").cast("binary").alias("path")), arity, level_sizes(upper, arity))[0]
+    above, root, top_sizes = levels(upper, arity)
+    ends = paths(above, root, root.select("group", F.lit("").cast("binary").alias("path")), arity, top_sizes)[0]
     if not above:  # one group, or none: its subroot is the root
         ends = upper.join(ends, ["group", "index"])
     ends = durable(ends.join(root.select("group", F.col("node").alias("root")), "group").select(
         F.col("name").alias("group"), F.col("index").alias("top_index"), F.col("size").alias("top_size"),
         F.col("node").alias("subroot"), "root", "path"))
 
-    *whole, _ = paths(made, tops, ends.select("group", "path"), arity, level_sizes(leaves, arity))
+    *whole, _ = paths(made, tops, ends.select("group", "path"), arity, sizes)
     found = leaves.where("size = 1").join(ends.select("group", "path"), "group")
     if whole:
         found = whole[0].unionByName(found.select(whole[0].columns))
