@@ -52,7 +52,7 @@ FRAGMENTS = 16
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def portions(batches, column: str = "text"):
+def portions(batches, column: str = "text", portion: int = PORTION):
     """(batch, first row, texts as bytes) in portions of bounded size, so that arrays stay small."""
     for batch in batches:
         values = batch.column(column)
@@ -61,7 +61,7 @@ def portions(batches, column: str = "text"):
             text = (values[row].as_py() or "").encode()
             texts.append(text)
             size += len(text)
-            if size >= PORTION or len(texts) >= PORTION_ROWS:
+            if size >= portion or len(texts) >= PORTION_ROWS:
                 yield batch, first, texts
                 texts, size, first = [], 0, row + 1
         if texts:

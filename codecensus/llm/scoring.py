@@ -39,6 +39,8 @@ from codecensus.llm.common import documents, hashed_words, mixed, table, text_of
 from codecensus.llm.ngram_join import fragment_of, portions
 
 K = 5
+#: bytes of text whose bigrams are sorted and sent together
+SENT_AT_ONCE = 6_000_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 UNKNOWN = np.uint64(0)
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -164,7 +166,8 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Bigrams of every portion of texts, sorted and packed, one row per bucket."""
     def emit(batches):
         task = TaskContext.get().partitionId()
-        for number, (batch, first, texts) in enumerate(portions(batches)):
+        # the larger a portion, the fewer times a word's hash is sent
+        for number, (batch, first, texts) in enumerate(portions(batches, portion=SENT_AT_ONCE)):
             part = batch.slice(first, len(texts))
             held = np.array(part.column("held").to_pylist(), bool)
             words, counts = hashed_words(texts)
@@ -392,7 +395,7 @@ def _finish(model: dict):
     return finish
 
 
-def scored(docs: DataFrame, held_out, per_bucket: int = 2_000_000) -> DataFrame:
+def scored(docs: DataFrame, held_out, per_bucket: int = 3_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text; the model learns from
     the rows where ``held_out`` (a column) is false. ``per_bucket``: tokens that a bucket is planned for."""
     rows = docs.select("doc_id", text_of().alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
