@@ -18,19 +18,19 @@ from codecensus.sources import corpus, memory_store
 SHOP = "https://github.com/example/shop"
 SHOP_KEY = hashlib.md5(SHOP.encode()).hexdigest()[:16]
 
-LEGACY = {
-    "backend/api.py": (
-        "\nfrom flask import Flask, jsonify\nfrom flask_cors import CORS\n\napp = Flask(__name__)\n"
-        "@app.route('/api/status', methods=['GET'])\ndef get_status():\n    return jsonify({})\n"
-        "if __name__ == '__main__':\n    app.run(port=5000, debug=True)\n"
+# a small shop: routes by the plain decorator only, a local address in a script, linked style and scripts
+BOOKS = {
+    "service/books.py": (
+        "import flask\nfrom flask_cors import cross_origin\n\nshop = app = flask.Flask('books')\nSHELF = {1: 'Walden'}\n\n\n"
+        "@app.route('/books/<int:number>')\n@cross_origin()\ndef book(number):\n    return {'title': SHELF.get(number)}\n"
     ),
-    "backend/requirements.txt": "\nflask==2.0.1\nflask-cors==3.0.10\n",
-    "frontend/index.html": (
-        '\n<!DOCTYPE html>\n<html>\n<head>\n<script src="https://code.jquery.com/jquery-3.6.0.min.js"></script>\n'
-        '<link rel="stylesheet" href="style.css">\n</head>\n<body>\n<script src="app.js"></script>\n</body>\n</html>\n'
+    "service/requirements.txt": "# web\nflask==1.1.4\nflask-cors==3.0.8  # other hosts\n",
+    "site/shelf.html": (
+        '<html><head><link href="look.css" rel="stylesheet"><script src="https://cdn.example.org/dates.js"></script></head>\n'
+        '<body><ul id="list"></ul><script src="list.js" defer></script></body></html>\n'
     ),
-    "frontend/style.css": "\nbody { color: #333; }\n",
-    "frontend/app.js": '\n$(document).ready(function() {\n const API_URL = "http://localhost:5000/api";\n});\n',
+    "site/look.css": "ul { list-style: square }\n",
+    "site/list.js": "fetch('http://localhost:5000/books/1').then(r => r.json()).then(show)\n",
 }
 
 
@@ -48,31 +48,30 @@ def artifacts_of(spark, tree, repo="r", run="1"):
     )
 
 
-def test_legacy_repository(spark, rows):
-    files = corpus_of(spark, LEGACY)
+def test_small_repository(spark, rows):
+    files = corpus_of(spark, BOOKS)
     assert rows(profile.stack_profile(files)) == [("r", "Flask", None, None)]
     langs = {r.path: r.language for r in profile.with_language(files).collect()}
     assert list(langs.values()) == ["python", "text", "html", "css", "javascript"]
     found = profile.repo_findings(files)
-    assert rows(found.where("kind = 'endpoint'")) == []  # only @app.route
+    assert rows(found.where("kind = 'endpoint'")) == []  # the plain decorator is none
     assert [r[1] for r in rows(found.where("kind = 'can_modernize'"), "file_ord", "value")] == [
-        "backend/requirements.txt", "frontend/style.css"]
-    assert rows(found.where("kind = 'must_preserve'"), "value") == [("API endpoints in backend/api.py",)]
+        "service/requirements.txt", "site/look.css"]
+    assert rows(found.where("kind = 'must_preserve'"), "value") == [("API endpoints in service/books.py",)]
     imports = profile.python_imports(files)
     assert rows(imports, "root") == [("flask",), ("flask_cors",)]
     merged = profile.merge_dependencies(
         profile.package_lookup(imports), profile.declared_python_deps(files), files)
     assert dict(rows(merged, "package", "spec")) == {
-        "flask": "flask==2.0.1", "flask-cors": "flask-cors==3.0.10", "uvicorn": "uvicorn",
+        "flask": "flask==1.1.4", "flask-cors": "flask-cors==3.0.8", "uvicorn": "uvicorn",
         "fastapi": "fastapi", "python-multipart": "python-multipart", "bcrypt": "bcrypt==4.0.1"}
-    links = markup.asset_links(artifacts_of(spark, LEGACY))
+    links = markup.asset_links(artifacts_of(spark, BOOKS))
     assert rows(links, "ref", "target") == [
-        ("app.js", "frontend/app.js"), ("https://code.jquery.com/jquery-3.6.0.min.js", None),
-        ("style.css", "frontend/style.css")]
-    fixed = markup.rewrite_local_urls(artifacts_of(spark, LEGACY), "https://x.example.org")
-    assert rows(fixed.where("changed"), "filename") == [("frontend/app.js",)]
-    page = markup.inline_assets(artifacts_of(spark, LEGACY), links).collect()[0].content
-    assert "<style>\n\nbody { color: #333; }\n\n</style>" in page and "jquery-3.6.0.min.js" in page
+        ("https://cdn.example.org/dates.js", None), ("list.js", "site/list.js"), ("look.css", "site/look.css")]
+    fixed = markup.rewrite_local_urls(artifacts_of(spark, BOOKS), "https://x.example.org")
+    assert rows(fixed.where("changed"), "filename") == [("site/list.js",)]
+    page = markup.inline_assets(artifacts_of(spark, BOOKS), links).collect()[0].content
+    assert "<style>\nul { list-style: square }\n\n</style>" in page and "cdn.example.org/dates.js" in page
 
 
 PATHS = [".env", "a/.env.local", "x.", "a.b/c", "a/..x", "...", "..a.b", "/f", "//f.py", "a//b.c", "a/", "Dockerfile",
@@ -105,7 +104,7 @@ def test_eligibility_reasons(spark):
 
 
 def test_eligibility_reads_no_contents(spark, tmp_path):
-    corpus_of(spark, LEGACY).write.parquet(str(tmp_path / "f"))
+    corpus_of(spark, BOOKS).write.parquet(str(tmp_path / "f"))
     df = selection.eligible_files(spark.read.parquet(str(tmp_path / "f"))).select("path", "eligible")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "content" not in re.search(r"ReadSchema: (.*)", plan).group(1)
