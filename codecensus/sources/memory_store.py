@@ -38,7 +38,8 @@ def with_defaults(repos: DataFrame, stored: DataFrame) -> DataFrame:
     empty["tech_stack"] = F.struct(*[
         none.alias(f.name) for f in shape["tech_stack"].dataType.fields
     ])
-    wanted = repos.select("repo_url", repo_key(F.col("repo_url")).alias("repo_id")).dropDuplicates(["repo_id"])
+    # spellings of one address are one repository; the first of them in order names it
+    wanted = repos.groupBy(repo_key(F.col("repo_url")).alias("repo_id")).agg(F.min("repo_url").alias("repo_url"))
     return wanted.join(stored.drop("repo_url"), "repo_id", "left").select(*[
         F.coalesce(F.col(f.name), empty[f.name]).alias(f.name) if f.name in empty else F.col(f.name)
         for f in shape.fields
