@@ -126,26 +126,62 @@ def _begin(summary):
 
 
 class AttemptMemory(StatefulProcessor):
-    """State of one repository: its summary as text."""
+    """State of one repository.
+
+    What is capped (counters, stack, failures, history, patterns) is one small value. Issues, one per package without a
+    limit, are a map that is written for the packages of a batch only; decisions, which pile up until a success cuts
+    them, are a list that is appended to, and rewritten only by a success or by one that arrives out of order.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("memory", "summary string")
+        self.core = handle.getValueState("core", "summary string")
+        self.issues = handle.getMapState("issues", "package string", "at string, issue string")
+        self.decisions = handle.getListState("decisions", "row string")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        held = json.loads(self.state.get()[0]) if self.state.exists() else EMPTY
+        held = json.loads(self.core.get()[0]) if self.core.exists() else {**EMPTY, "last_decision": []}
+        last = held.pop("last_decision")
+        decided = []
         for pdf in rows:
             for part in sorted(map(json.loads, pdf["summary"]), key=_begin):
-                held = merge(held, part)
-        text = json.dumps(held)
-        self.state.update((text,))
+                for issue in part["issues"]:
+                    self._report(issue)
+                decided += part["decisions"]
+                held = merge(held, {**part, "issues": [], "decisions": []})
+        if decided:
+            last = self._decide(sorted(decided, key=_at), last)
+        self.core.update((json.dumps({**held, "last_decision": last}),))
+        issues = [{"at": json.loads(v[0]), "package": k[0], "issue": v[1]} for k, v in self.issues.iterator()]
+        decisions = [json.loads(r[0]) for r in self.decisions.get()]
+        text = json.dumps({**held, "issues": sorted(issues, key=_at), "decisions": sorted(decisions, key=_at)})
         yield pd.DataFrame({"repo_id": [key[0]], "summary": [text]})
 
+    def _report(self, issue: dict) -> None:
+        """The first issue of a package stays."""
+        name = (issue["package"],)
+        if not self.issues.containsKey(name) or json.loads(self.issues.getValue(name)[0]) > issue["at"]:
+            self.issues.updateValue(name, (json.dumps(issue["at"]), issue["issue"]))
+
+    def _decide(self, decided: list[dict], last: list) -> list:
+        """Add decisions; gives the time of the latest one."""
+        if all(d["outcome"] != "success" for d in decided) and decided[0]["at"] > last:
+            self.decisions.appendList([(json.dumps(d),) for d in decided])
+            return decided[-1]["at"]
+        known = [json.loads(r[0]) for r in self.decisions.get()]
+        whole = merge({**EMPTY, "decisions": known}, {**EMPTY, "decisions": decided})["decisions"]
+        self.decisions.put([(json.dumps(d),) for d in whole])
+        return whole[-1]["at"]
+
     def close(self) -> None:
         pass
 
 
+def _at(row: dict) -> list:
+    return row["at"]
+
+
 def attempt_memory_stream(events: DataFrame) -> DataFrame:
     """Updated memory of every repository a micro-batch touches: (repo_id, memory struct).
 
