@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,11 +29,16 @@ def table(df: DataFrame) -> DataFrame:
     """
     out = durable(df)
     del df
-    gc.collect()
-    out.sparkSession.sparkContext._jvm.System.gc()
+    release(out.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect what it no longer needs, so that Spark removes the shuffle files behind it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one in ``spark.checkpoint.dir``, or in the warehouse where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
@@ -121,17 +127,27 @@ def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(counts)
 
 
+@lru_cache(maxsize=1)
+def _common_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(2 * HASHED_AT_ONCE)
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse."""
+    out = []
+    for base in (_MULTIPLIER, _INVERSE):
+        steps = np.full(size + 1, base)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
 def _word_values(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of all words at once: prefix sums of byte values times powers of an odd number, taken apart at the word ends."""
-    steps = np.ones(len(raw) + 1, np.uint64)
-    steps[1:] = _MULTIPLIER
-    power = np.multiply.accumulate(steps)
+    power, back = _common_powers() if len(raw) <= 2 * HASHED_AT_ONCE else _powers(len(raw))
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * power[:-1], out=total[1:])
+    np.cumsum(_BYTE[raw] * power[:len(raw)], out=total[1:])
     value = total[end] - total[start]
-    del total
-    steps[1:] = _INVERSE
-    back = np.multiply.accumulate(steps)
     return mixed(value * back[start] + (end - start).astype(np.uint64))
 
 
