@@ -26,8 +26,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codecensus.functions.scale import durable, positions_by_range
+from codecensus.functions.scale import positions_by_range
 from codecensus.llm.common import documents
+from codecensus.llm.common import table as table_of
 
 #: levels with no more nodes than this, all groups together, are one partition
 FEW = 8192
@@ -121,7 +122,7 @@ def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame, l
     for rows in sizes:
         tops.append(nodes.where("size = 1").select("group", F.lit(len(made)).alias("level"), "node"))
         met = with_siblings(gathered(nodes.where("size > 1"), rows), arity)
-        level = durable(met.withColumn("path", siblings(arity)).drop(*[f"sibling_{k}" for k in range(1, arity)]))
+        level = table_of(met.withColumn("path", siblings(arity)).drop(*[f"sibling_{k}" for k in range(1, arity)]))
         made.append(level)
         # the row in slot zero has the rest of its run behind it
         nodes = level.where(slot(arity) == 0).select(
@@ -134,7 +135,7 @@ def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame, l
 def paths(made: list[DataFrame], tops: DataFrame, above: DataFrame, arity: int, rows: list[int]) -> list[DataFrame]:
     """Per level (group, index, path) with the whole path to the root, the lowest one with all columns of the leaves; groups
     of one row are in the last entry. ``above``: (group, path) of the tops; ``rows``: nodes per level."""
-    ends = durable(tops.join(above, "group").select("group", "level", F.col("path").alias("above")))
+    ends = table_of(tops.join(above, "group").select("group", "level", F.col("path").alias("above")))
 
     def ending(level: int) -> DataFrame:
         return ends.where(F.col("level") == level).select("group", F.lit(0).cast("long").alias("index"), F.col("above").alias("path"))
@@ -150,7 +151,7 @@ def paths(made: list[DataFrame], tops: DataFrame, above: DataFrame, arity: int,
         upper = ending(level).unionByName(inner.select("group", "index", "path"))
         if level and level % STEP == 0:
             # a plan over all levels would grow with the logarithm of the rows
-            upper = durable(upper)
+            upper = table_of(upper)
     return [*out, ending(0)]
 
 
@@ -192,18 +193,18 @@ def manifest(
     rows = docs.select(
         named.alias("group"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{order}`").alias("order"),
         leaf(columns).alias("node"), F.when(differs, leaf(columns, changed)).alias("other"))
-    leaves = durable(placed(rows, "group", ["order", "node"]).drop("order"))
+    leaves = table_of(placed(rows, "group", ["order", "node"]).drop("order"))
     made, tops, sizes = levels(leaves, arity)
     # the subroots are the leaves of one more tree
-    tops = durable(tops.withColumn("all", F.lit("")))
-    upper = durable(
+    tops = table_of(tops.withColumn("all", F.lit("")))
+    upper = table_of(
         placed(tops.select("all", F.col("group").alias("name"), "node"), "all", ["name"])
         .select(F.col("all").alias("group"), "index", "size", "node", "name"))
     above, root, top_sizes = levels(upper, arity)
     ends = paths(above, root, root.select("group", F.lit("").cast("binary").alias("path")), arity, top_sizes)[0]
     if not above:  # one group, or none: its subroot is the root
         ends = upper.join(ends, ["group", "index"])
-    ends = durable(ends.join(root.select("group", F.col("node").alias("root")), "group").select(
+    ends = table_of(ends.join(root.select("group", F.col("node").alias("root")), "group").select(
         F.col("name").alias("group"), F.col("index").alias("top_index"), F.col("size").alias("top_size"),
         F.col("node").alias("subroot"), "root", "path"))
 
