@@ -723,11 +723,11 @@ def _(spark, d):
     return matching.locate_content(picks, arts)
 
 
-# a document's last line is the source that is looked for
+# what stands behind a document's last blank is the source that is looked for
 @query("locate_first_source", with_views(
     """SELECT repo_id, sel_id, filename FROM (
          SELECT s.repo_id, s.sel_id, a.filename, row_number() OVER (PARTITION BY s.repo_id, s.sel_id ORDER BY a.file_ord) AS rn
-         FROM (SELECT 'b' || (doc_id // 20) AS repo_id, doc_id AS sel_id, string_split(text, chr(10))[-1] AS needle FROM documents) s
+         FROM (SELECT 'b' || (doc_id // 20) AS repo_id, doc_id AS sel_id, string_split(text, ' ')[-1] AS needle FROM documents) s
          JOIN v_blocks b ON b.repo_id = s.repo_id AND contains(b.content, s.needle)
          JOIN (SELECT repo_id, file_ord, path AS filename FROM v_blocks) a ON a.repo_id = b.repo_id AND a.file_ord = b.file_ord
          WHERE needle <> '') WHERE rn = 1""", "v_blocks"))
@@ -736,7 +736,7 @@ def _(spark, d):
     none = F.lit("")
     picks = docs.select(
         F.concat(F.lit("b"), F.floor(F.col("doc_id") / 20).cast("string")).alias("repo_id"), F.col("doc_id").alias("sel_id"),
-        none.alias("text"), none.alias("element_id"), F.substring_index("text", "\n", -1).alias("src"))
+        none.alias("text"), none.alias("element_id"), F.substring_index("text", " ", -1).alias("src"))
     arts = views.blocks(spark, d).withColumnRenamed("path", "filename")
     return matching.locate_content(picks, arts, first_src_only=True)
 
