@@ -143,9 +143,9 @@ def locate_content(selections: DataFrame, artifacts: DataFrame, first_src_only:
     ``selections`` carries (repo_id, sel_id, text, element_id, src).  Texts of 3 to 199
     characters are searched by their first 30 characters, which every longer match contains;
     ids in three spellings; sources as they are.  Python and PowerShell files never match.
-    Contents stay where they are: they give the positions of those byte grams that some needle
-    needs, and a needle is found where all its grams stand in line (``functions.grams``).  Rows
-    are dealt by gram, so a repository with most of the files is spread.
+    Contents stay where they are: they give the places where a needle of their repository may
+    begin, with the bytes that are compared (``functions.grams``).  Rows are dealt by the hash of
+    a needle's first bytes, so a repository with most of the files is spread.
 
     ``first_src_only`` gives the first artifact by order that contains the source instead.
     """

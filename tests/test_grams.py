@@ -6,6 +6,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from codecensus.functions import grams
 from codecensus.functions.grams import occurrences
 
 
@@ -36,3 +39,18 @@ def test_nothing(spark):
     df = spark.createDataFrame([("r", 1, "some content")], "repo_id string, ord int, content string")
     nd = spark.createDataFrame([("r", "content")], "repo_id string, needle string")
     assert occurrences(nd.limit(0), df, ["repo_id"]).count() == occurrences(nd, df.limit(0), ["repo_id"]).count() == 0
+
+
+def test_strings_of_other_keys_give_no_rows(spark):
+    """The table of what is looked for grows with the strings and knows their keys: texts give little else than hits."""
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    texts = [("r", i, draw(3000)) for i in range(20)]
+    lines = [texts[i % 20][2][k:k + 30] for i, k in enumerate(range(0, 2900, 5))]
+    needles = [("q", n) for n in lines * 5] + [("q", draw(30)) for _ in range(20_000)] + [("r", n) for n in lines]
+    df = spark.createDataFrame(texts, "repo_id string, ord int, content string")
+    nd = spark.createDataFrame(needles, "repo_id string, needle string").distinct().withColumn("salt", F.xxhash64("repo_id"))
+    pieces = grams.needle_pieces(nd, "salt")
+    assert pieces.count() == nd.count()
+    rows = grams.text_pieces(df.withColumn("salt", F.xxhash64("repo_id")), "content", "salt", *grams.wanted_slots(pieces)).count()
+    assert len(lines) <= rows <= 1.5 * len(lines)
