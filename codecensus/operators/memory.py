@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .. import rules
-from ..functions.fifo import push, thin
+from ..functions.fifo import push
 from ..functions.scale import BUCKET, bucket_of, durable, positions_by_range, top_rows
 from .runs import lesson
 
@@ -145,33 +146,32 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
     replayed at once, each from the list its predecessor ended with in the round before (the
     first round guesses an empty one), until no segment starts from a different list than it
     last did.  That state is the one a single pass would reach.  A repository of one segment
-    needs one round; lists of this kind forget their start quickly, so others need few.
+    needs one round; lists of this kind forget their start quickly, so others need few.  A task
+    holds one segment at a time, as columns; events are written once and read by the segments
+    that are replayed, only starts and ends are written again.
     """
     flat = rows.select(
         "repo_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         F.col("event_id").cast("bigint").alias("event_id"), "patterns",
     )
-    placed = positions_by_range(flat, ["repo_id"], ["micros", "event_id"])
+    events = durable(
+        positions_by_range(flat, ["repo_id"], ["micros", "event_id"])
+        .withColumn("_seg", bucket_of("position", bucket))
+        .select("repo_id", "_seg", "position", "micros", "event_id", "patterns")
+    )
     empty = F.array().cast(HELD)
 
-    def run(start: pd.Series, seq: pd.Series) -> pd.Series:
-        return pd.Series([push(a, b, n, _name, _event) for a, b in zip(start, seq)])
-
-    def drop(seq: pd.Series) -> pd.Series:
-        return pd.Series([
-            thin(({"micros": r["micros"], "event_id": r["event_id"], "pattern": p} for r in x for p in r["patterns"]),
-                 _name, _event) for x in seq
-        ])
-
-    replay, thinned = F.pandas_udf(run, HELD), F.pandas_udf(drop, HELD)
-    state = durable(
-        placed.withColumn("_seg", bucket_of("position", bucket))
-        .groupBy("repo_id", "_seg")
-        .agg(F.array_sort(F.collect_list(F.struct("position", "micros", "event_id", "patterns"))).alias("_rows"))
-        .select("repo_id", "_seg", thinned("_rows").alias("_seq"))
-        .withColumn("_start", empty)
-        .withColumn("_end", replay("_start", "_seq"))
-    )
+    def run(starts: pa.Table, segment: pa.Table) -> pa.Table:
+        begin = starts.column("_start")[0].as_py()
+        end = push(begin, _offered(segment.sort_by("position")), n, _name, _event)
+        return starts.append_column("_end", pa.array([end], starts.schema.field("_start").type))
+
+    def replayed(starts: DataFrame, moved: DataFrame) -> DataFrame:
+        out = StructType([*starts.schema.fields, StructField("_end", starts.schema["_start"].dataType)])
+        return starts.groupBy("repo_id", "_seg").cogroup(moved.groupBy("repo_id", "_seg")).applyInArrow(run, out)
+
+    state = durable(replayed(
+        events.select("repo_id", "_seg").distinct().withColumn("_start", empty), events))
     while True:
         before = state.select("repo_id", (F.col("_seg") + 1).alias("_seg"), F.col("_end").alias("_given"))
         linked = state.join(before, ["repo_id", "_seg"], "left").withColumn(
@@ -180,10 +180,11 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
         moved = F.col("_given") != F.col("_start")
         if linked.where(moved).isEmpty():
             break
-        again = linked.where(moved).select(
-            "repo_id", "_seg", "_seq", F.col("_given").alias("_start")
-        ).withColumn("_end", replay("_start", "_seq"))
-        state = durable(again.unionByName(linked.where(~moved).drop("_given")))
+        again = linked.where(moved).select("repo_id", "_seg", F.col("_given").alias("_start"))
+        state = durable(
+            replayed(again, events.join(again.select("repo_id", "_seg"), ["repo_id", "_seg"], "left_semi"))
+            .unionByName(linked.where(~moved).drop("_given"))
+        )
     last = state.groupBy("repo_id").agg(F.max_by("_end", "_seg").alias("_end"))
     return last.select("repo_id", F.posexplode(F.reverse("_end")).alias("_p", "_x")).select(
         "repo_id", "_x.pattern", F.timestamp_micros("_x.micros").cast(rows.schema["ts"].dataType).alias("first_seen"),
@@ -191,6 +192,14 @@ def _replayed(rows: DataFrame, n: int, bucket: int) -> DataFrame:
     )
 
 
+def _offered(segment: pa.Table):
+    """The patterns of a segment's events in order."""
+    for batch in segment.to_batches(max_chunksize=1024):
+        for micros, event_id, patterns in zip(*(batch.column(c).to_pylist() for c in ("micros", "event_id", "patterns"))):
+            for p in patterns:
+                yield {"micros": micros, "event_id": event_id, "pattern": p}
+
+
 def _name(x):
     return x["pattern"]
 

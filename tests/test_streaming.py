@@ -254,3 +254,17 @@ def test_log_cursor_reaches_the_scan(spark, tmp_path, since):
     df = log_since(spark.read.parquet(str(tmp_path / "l")), since)
     assert "GreaterThan(ts" in df._jdf.queryExecution().executedPlan().toString()
     assert [r.event_id for r in df.collect()] == [2]
+
+
+def test_a_segment_is_offered_piece_by_piece():
+    """A replay makes Python objects for a small part of its segment at a time."""
+    import types
+
+    import pyarrow as pa
+
+    from codecensus.operators import memory
+
+    table = pa.table({"micros": range(5000), "event_id": range(5000), "patterns": [[str(i), "x"] for i in range(5000)]})
+    offered = memory._offered(table)
+    assert isinstance(offered, types.GeneratorType) and next(offered) == {"micros": 0, "event_id": 0, "pattern": "0"}
+    assert [r["pattern"] for r in offered] == ["x", *[v for i in range(1, 5000) for v in (str(i), "x")]]
