@@ -115,3 +115,17 @@ def test_hot_repository(spark):
     assert total == df.count()
     packed = batching.directory_batches(hot.withColumn("chars", F.col("size")), 5000, bucket=16)
     assert packed.count() == total and packed.select("repo_id", "path").distinct().count() == total
+
+
+def test_digests_of_documents(spark, monkeypatch):
+    """The lists of a repository, which stand in each of its documents, are not joined to each of them."""
+    monkeypatch.setattr(batching, "CELL", 2000)
+    code = views.code(spark, "/root/testdata/sf0.001")
+    batches = batching.directory_batches(code.withColumn("chars", F.col("size")), 5000)
+    memory_text = code.select("repo_id").distinct().withColumn("memory_text", F.concat(F.lit("höher "), "repo_id"))
+    for more in ({}, {"memory": memory_text}):
+        texts = batching.batch_documents(batches, code, profile.repo_findings(code), **more)
+        want = texts.withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
+        got = batching.batch_documents(batches, code, profile.repo_findings(code), digests=True, **more)
+        found = {tuple(r) for r in got.select(*sorted(got.columns)).collect()}
+        assert found == {tuple(r) for r in want.select(*sorted(got.columns)).collect()} and len(found) > 20
