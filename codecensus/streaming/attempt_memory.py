@@ -114,10 +114,11 @@ def _partials(batches):
     import pandas as pd
 
     for pdf in batches:
-        rows = [
-            (repo, json.dumps(summarise(g.to_dict("records"))))
-            for repo, g in pdf.groupby("repo_id", sort=False)
-        ]
+        groups = {}
+        for r in pdf.to_dict("records"):
+            if r["repo_id"] is not None:
+                groups.setdefault(r["repo_id"], []).append(r)
+        rows = [(repo, json.dumps(summarise(g))) for repo, g in groups.items()]
         yield pd.DataFrame(rows, columns=["repo_id", "summary"])
 
 
@@ -141,38 +142,46 @@ class AttemptMemory(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        held = json.loads(self.core.get()[0]) if self.core.exists() else {**EMPTY, "last_decision": []}
+        known = self.core.exists()
+        held = json.loads(self.core.get()[0]) if known else {**EMPTY, "last_decision": []}
         last = held.pop("last_decision")
-        decided = []
+        decided, reported = [], {}
         for pdf in rows:
             for part in sorted(map(json.loads, pdf["summary"]), key=_begin):
                 for issue in part["issues"]:
-                    self._report(issue)
+                    first = reported.setdefault(issue["package"], issue)
+                    if first["at"] > issue["at"]:
+                        reported[issue["package"]] = issue
                 decided += part["decisions"]
                 held = merge(held, {**part, "issues": [], "decisions": []})
+        for issue in reported.values():
+            self._report(issue, known)
+        issues, decisions = list(reported.values()), []
         if decided:
-            last = self._decide(sorted(decided, key=_at), last)
+            decisions = self._decide(sorted(decided, key=_at), last, known)
+            last = decisions[-1]["at"]
         self.core.update((json.dumps({**held, "last_decision": last}),))
-        issues = [{"at": json.loads(v[0]), "package": k[0], "issue": v[1]} for k, v in self.issues.iterator()]
-        decisions = [json.loads(r[0]) for r in self.decisions.get()]
+        if known:  # a repository's first rows are all there is
+            issues = [{"at": json.loads(v[0]), "package": k[0], "issue": v[1]} for k, v in self.issues.iterator()]
+            decisions = [json.loads(r[0]) for r in self.decisions.get()]
         text = json.dumps({**held, "issues": sorted(issues, key=_at), "decisions": sorted(decisions, key=_at)})
         yield pd.DataFrame({"repo_id": [key[0]], "summary": [text]})
 
-    def _report(self, issue: dict) -> None:
+    def _report(self, issue: dict, known: bool) -> None:
         """The first issue of a package stays."""
         name = (issue["package"],)
-        if not self.issues.containsKey(name) or json.loads(self.issues.getValue(name)[0]) > issue["at"]:
+        if not (known and self.issues.containsKey(name)) or json.loads(self.issues.getValue(name)[0]) > issue["at"]:
             self.issues.updateValue(name, (json.dumps(issue["at"]), issue["issue"]))
 
-    def _decide(self, decided: list[dict], last: list) -> list:
-        """Add decisions; gives the time of the latest one."""
+    def _decide(self, decided: list[dict], last: list, known: bool) -> list[dict]:
+        """Add decisions; gives those that were added, or all where the list was written anew."""
         if all(d["outcome"] != "success" for d in decided) and decided[0]["at"] > last:
             self.decisions.appendList([(json.dumps(d),) for d in decided])
-            return decided[-1]["at"]
-        known = [json.loads(r[0]) for r in self.decisions.get()]
-        whole = merge({**EMPTY, "decisions": known}, {**EMPTY, "decisions": decided})["decisions"]
+            return decided
+        held = [json.loads(r[0]) for r in self.decisions.get()] if known else []
+        whole = merge({**EMPTY, "decisions": held}, {**EMPTY, "decisions": decided})["decisions"]
         self.decisions.put([(json.dumps(d),) for d in whole])
-        return whole[-1]["at"]
+        return whole
 
     def close(self) -> None:
         pass

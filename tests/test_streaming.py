@@ -268,3 +268,38 @@ def test_a_segment_is_offered_piece_by_piece():
     offered = memory._offered(table)
     assert isinstance(offered, types.GeneratorType) and next(offered) == {"micros": 0, "event_id": 0, "pattern": "0"}
     assert [r["pattern"] for r in offered] == ["x", *[v for i in range(1, 5000) for v in (str(i), "x")]]
+
+
+class _State:
+    """A state that only takes values: any other call fails."""
+
+    def __init__(self):
+        self.said = []
+
+    def exists(self):
+        return False
+
+    def update(self, value):
+        self.said.append(value)
+
+    updateValue = lambda self, *pair: self.said.append(pair)
+    appendList = put = update
+
+
+def test_first_rows_of_a_repository_read_no_state():
+    """Every read of the state is a call to the JVM; what a repository's first rows bring is all there is."""
+    import json
+
+    import pandas as pd
+
+    blank = {"stack": None, "error_type": None, "error_message": None, "context": None, "lesson": None, "patterns": None}
+    kinds = ["dependency", "decision", "success", "dependency"]
+    events = [{**blank, "micros": 9 - i, "event_id": i, "kind": k, "package": "p" if k == "dependency" else None, "issue": f"i{i}",
+               "decision": f"d{i}" if k != "dependency" else None} for i, k in enumerate(kinds * 2)]
+    memory = attempt_memory.AttemptMemory()
+    memory.core, memory.issues, memory.decisions = _State(), _State(), _State()
+    rows = pd.DataFrame({"summary": [json.dumps(attempt_memory.summarise(part)) for part in (events[:3], events[3:])]})
+    got = json.loads(next(memory.handleInputRows(("r",), iter([rows]), None))["summary"][0])
+    want = attempt_memory.summarise(events)
+    assert {k: got[k] for k in ("issues", "decisions", "successes")} == {k: want[k] for k in ("issues", "decisions", "successes")}
+    assert len(memory.issues.said) == 1 and len(memory.decisions.said) == 1
