@@ -7,9 +7,10 @@ Every level is a self-join by sibling shift: a node meets the node at its comput
 tree; otherwise one join per slot offset, modulo ``arity``), after which a row knows its whole run, and the rows in slot zero
 emit the parents. A level has 1/``arity`` of the rows of the one below, so all of them together cost about twice the
 leaves; the keys (group, index) are unique, so a group that holds most rows is spread like any other. Levels are written
-to the shared folder; those of at most ``FEW`` nodes, whose number is counted beforehand, stay in one partition and need no
-exchange. Proofs are made from the top down: a node's path is its siblings and then its parent's path. A path is the
-raw siblings from bottom to top; index and size of a level tell on which side they stand.
+to the shared folder. From the first level of at most ``FEW`` nodes on, all groups together, no more joins are made, since jobs, and
+what the driver keeps of each, would go on growing with levels of a few rows: a group's remaining nodes become one row, in which
+the same sibling index finds the sibling in an array. Proofs are made from the top down: a node's path is its siblings and then
+its parent's path. A path is the raw siblings from bottom to top; index and size of a level tell on which side they stand.
 
 Digests are SHA-256, inputs concatenated, digests as lowercase hex text. A field is ``-`` if null, else its number of
 UTF-8 bytes, ``:`` and the value.
@@ -30,8 +31,10 @@ from codecensus.functions.scale import positions_by_range
 from codecensus.llm.common import documents
 from codecensus.llm.common import table as table_of
 
-#: levels with no more nodes than this, all groups together, are one partition
+#: from a level with no more nodes than this on, all groups together, the rest of a group's tree is one row
 FEW = 8192
+#: level of the tops of these trees
+WITHIN = -1
 #: no more groups than this (some 150 bytes each) are broadcast
 FEW_GROUPS = 100_000
 #: levels whose paths are made in one job
@@ -39,6 +42,10 @@ STEP = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
+def nothing() -> Column:
+    return F.lit("").cast("binary")
+
+
 def field(value: Column) -> Column:
     text = value.cast("string")
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
@@ -88,11 +95,10 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
 
 def siblings(arity: int) -> Column:
     """Raw siblings of a row from left to right."""
-    empty = F.lit("").cast("binary")
     # slot s stands (s - own) further
     return F.concat(*[
         F.coalesce(*[F.when((slot(arity) + offset) % arity == place, F.col(f"sibling_{offset}"))
-                     for offset in range(1, arity)], empty)
+                     for offset in range(1, arity)], nothing())
         for place in range(arity)])
 
 
@@ -109,19 +115,47 @@ def level_sizes(leaves: DataFrame, arity: int) -> list[int]:
     return out
 
 
-def gathered(nodes: DataFrame, rows: int) -> DataFrame:
-    return nodes.coalesce(1) if rows <= FEW else nodes
+def trees(nodes: DataFrame, arity: int) -> DataFrame:
+    """(group, levels): the nodes of each group's tree, level by level from ``nodes`` up to the top."""
+    rows = nodes.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("index", "node"))).alias("_nodes"))
+
+    def add(made: Column, _: Column) -> Column:
+        below = F.element_at(made, -1)
+        runs = F.sequence(F.lit(0), F.ceil(F.size(below) / arity).cast("int") - 1)
+        return F.concat(made, F.array(F.transform(runs, lambda run: digest(as_hex(F.concat(*[
+            F.coalesce(F.get(below, run * arity + place), nothing()) for place in range(arity)]))))))
+
+    steps = F.sequence(F.lit(1), depth(F.size("_nodes"), arity))
+    return rows.select("group", F.aggregate(steps, F.array(F.col("_nodes.node")), add).alias("levels"))
+
+
+def paths_within(grown: DataFrame, arity: int) -> DataFrame:
+    """(group, index, path) of the lowest nodes of :func:`trees`, ``path`` up to the group's top."""
+    made = F.col("levels")
+
+    def add(state: Column, level: Column) -> Column:
+        own = state["at"] % arity
+        run = [F.coalesce(F.get(F.get(made, level), state["at"] - own + place), nothing()) for place in range(arity)]
+        others = F.concat(*[F.when(own == place, nothing()).otherwise(node) for place, node in enumerate(run)])
+        return F.struct(F.concat(state["path"], others).alias("path"), F.floor(state["at"] / arity).cast("int").alias("at"))
+
+    below = F.sequence(F.lit(0), F.size(made) - 2)
+    found = F.transform(
+        F.sequence(F.lit(0), F.size(made[0]) - 1),
+        lambda i: F.aggregate(below, F.struct(nothing().alias("path"), i.alias("at")), add)["path"])
+    return grown.select("group", F.posexplode(found).alias("index", "path")).withColumn("index", F.col("index").cast("long"))
 
 
-def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame, list[int]]:
-    """The levels of all groups' trees from the leaves up, (group, index, size, node, path) with ``path`` the raw siblings;
-    the tops (group, level, node); and the number of nodes per level. ``leaves`` has group, index, size, node; other
-    columns stay on the lowest level. Groups leave when one node remains."""
-    made, tops, nodes = [], [], leaves
+def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame | None, DataFrame]:
+    """The levels of all groups' trees from the leaves up as long as they have more than ``FEW`` nodes, (group, index, size, node,
+    path) with ``path`` the raw siblings; the trees above them (None: there are none); and the tops (group, level, node).
+    ``leaves`` has group, index, size, node; other columns stay on the lowest level. Groups leave when one node remains."""
+    made, within, tops, nodes = [], None, [], leaves
     sizes = level_sizes(leaves, arity)
-    for rows in sizes:
+    large = sum(rows > FEW for rows in sizes)
+    for _ in range(large):
         tops.append(nodes.where("size = 1").select("group", F.lit(len(made)).alias("level"), "node"))
-        met = with_siblings(gathered(nodes.where("size > 1"), rows), arity)
+        met = with_siblings(nodes.where("size > 1"), arity)
         level = table_of(met.withColumn("path", siblings(arity)).drop(*[f"sibling_{k}" for k in range(1, arity)]))
         made.append(level)
         # the row in slot zero has the rest of its run behind it
@@ -129,30 +163,35 @@ def levels(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame, l
             "group", F.expr(f"index div {arity}").alias("index"), F.expr(f"(size + {arity - 1}) div {arity}").alias("size"),
             digest(as_hex(F.col("node")), as_hex(F.col("path"))).alias("node"))
     tops.append(nodes.where("size = 1").select("group", F.lit(len(made)).alias("level"), "node"))
-    return made, reduce(DataFrame.unionByName, tops), sizes
+    if large < len(sizes):
+        within = table_of(trees(nodes.where("size > 1"), arity))
+        tops.append(within.select("group", F.lit(WITHIN).alias("level"), F.element_at("levels", -1)[0].alias("node")))
+    return made, within, reduce(DataFrame.unionByName, tops)
 
 
-def paths(made: list[DataFrame], tops: DataFrame, above: DataFrame, arity: int, rows: list[int]) -> list[DataFrame]:
-    """Per level (group, index, path) with the whole path to the root, the lowest one with all columns of the leaves; groups
-    of one row are in the last entry. ``above``: (group, path) of the tops; ``rows``: nodes per level."""
+def paths(leaves: DataFrame, made: list[DataFrame], within: DataFrame | None, tops: DataFrame, above: DataFrame, arity: int) -> DataFrame:
+    """``leaves`` with the whole path to the root. ``above``: (group, path) of the tops; the others as by :func:`levels`."""
     ends = table_of(tops.join(above, "group").select("group", "level", F.col("path").alias("above")))
 
     def ending(level: int) -> DataFrame:
         return ends.where(F.col("level") == level).select("group", F.lit(0).cast("long").alias("index"), F.col("above").alias("path"))
 
-    out, upper = [], ending(len(made))
+    upper = ending(len(made))
+    if within is not None:
+        inner = paths_within(within, arity).join(ends.where(F.col("level") == WITHIN).drop("level").hint("merge"), "group")
+        upper = upper.unionByName(inner.select("group", "index", F.concat("path", "above").alias("path")))
+    if not made:
+        return leaves.join(upper.hint("merge"), ["group", "index"])
     for level in range(len(made) - 1, -1, -1):
         parents = upper.select("group", F.col("index").alias("_up"), F.col("path").alias("above"))
         keyed = made[level].withColumn("_up", F.expr(f"index div {arity}"))
-        if rows[level] <= FEW:
-            keyed, parents = keyed.coalesce(1), parents.coalesce(1)
         inner = keyed.join(parents.hint("merge"), ["group", "_up"]).withColumn("path", F.concat("path", "above")).drop("_up", "above")
-        out.insert(0, inner)
         upper = ending(level).unionByName(inner.select("group", "index", "path"))
         if level and level % STEP == 0:
             # a plan over all levels would grow with the logarithm of the rows
             upper = table_of(upper)
-    return [*out, ending(0)]
+    alone = leaves.where("size = 1").join(ending(0), ["group", "index"])
+    return inner.unionByName(alone.select(inner.columns))
 
 
 def depth(size: Column, arity: int) -> Column:
@@ -194,24 +233,19 @@ def manifest(
         named.alias("group"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col(f"`{order}`").alias("order"),
         leaf(columns).alias("node"), F.when(differs, leaf(columns, changed)).alias("other"))
     leaves = table_of(placed(rows, "group", ["order", "node"]).drop("order"))
-    made, tops, sizes = levels(leaves, arity)
+    made, within, tops = levels(leaves, arity)
     # the subroots are the leaves of one more tree
     tops = table_of(tops.withColumn("all", F.lit("")))
     upper = table_of(
         placed(tops.select("all", F.col("group").alias("name"), "node"), "all", ["name"])
         .select(F.col("all").alias("group"), "index", "size", "node", "name"))
-    above, root, top_sizes = levels(upper, arity)
-    ends = paths(above, root, root.select("group", F.lit("").cast("binary").alias("path")), arity, top_sizes)[0]
-    if not above:  # one group, or none: its subroot is the root
-        ends = upper.join(ends, ["group", "index"])
+    *above, root = levels(upper, arity)
+    ends = paths(upper, *above, root, root.select("group", nothing().alias("path")), arity)
     ends = table_of(ends.join(root.select("group", F.col("node").alias("root")), "group").select(
         F.col("name").alias("group"), F.col("index").alias("top_index"), F.col("size").alias("top_size"),
         F.col("node").alias("subroot"), "root", "path"))
 
-    *whole, _ = paths(made, tops, ends.select("group", "path"), arity, sizes)
-    found = leaves.where("size = 1").join(ends.select("group", "path"), "group")
-    if whole:
-        found = whole[0].unionByName(found.select(whole[0].columns))
+    found = paths(leaves, made, within, tops, ends.select("group", "path"), arity)
     tree = ends.drop("path")
     found = found.join(F.broadcast(tree) if tops.count() <= FEW_GROUPS else tree, "group")
     places = [(F.col("index"), F.col("size")), (F.col("top_index"), F.col("top_size"))]

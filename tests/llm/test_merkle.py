@@ -97,3 +97,25 @@ def test_one_group_one_row_no_row(spark, frame, edge):
         docs = frame(rows)
         assert sorted(manifest(docs, 2), key=repr) == sorted(plain([r.asDict() for r in docs.collect()], 2, hit), key=repr)
     assert manifest(spark.createDataFrame([], edge.schema), 2) == []
+
+
+@pytest.mark.parametrize("few", [4])
+def test_small_levels_are_one_row(spark, monkeypatch, few):
+    monkeypatch.setattr(merkle, "FEW", few)
+    rows = [(i, f"t{i}", g, "s", i) for g, n in (("a", 1), ("b", 6), (None, 9), ("hot", 50)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for arity in (3,):
+        assert sorted(manifest(docs, arity)) == sorted(plain([r.asDict() for r in docs.collect()], arity, hit))
+
+
+def test_tables_do_not_grow_with_small_levels(spark, monkeypatch):
+    """What the driver keeps grows with the tables that are written one after the other."""
+    made, write = [], merkle.table_of
+    monkeypatch.setattr(merkle, "table_of", lambda df: made.append(1) or write(df))
+    counts = []
+    for n in (40, 4000):
+        docs = spark.range(n).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+        del made[:]
+        merkle.manifest(docs).count()
+        counts.append(len(made))
+    assert counts[0] == counts[1] < 12
