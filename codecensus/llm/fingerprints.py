@@ -1,13 +1,14 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is its words with their counts as weights. Sample i gives every word two Gamma(2, 1) numbers r, c and a
-uniform b, all cut from one hash of (word, i), the Gammas from products of two uniforms of 4096 steps; a word of weight w gets t = floor(ln w / r + b) and the rank
-ln a = ln c - r (t - b + 1), and the smallest rank of a text is its sample i. Two texts share a sample with the
-probability of their generalised Jaccard similarity, sum of min over sum of max of the weights. A rank names its word
-and t, so a fingerprint keeps 32 bits of the rank's hash per sample, and the likeness of two fingerprints is the share
-of equal samples; its standard deviation is at most 0.5 / sqrt(samples), 0.044 for the 128 of the query.
-
-DataFrame functions only. A text and an edited form of it are sampled together: their common words are drawn once. Texts
+A text is its words with their counts as weights. Counts are whole numbers, so a word of weight w stands for the units
+(word, 1) to (word, w), which every text with at least that weight has too; sample i gives every unit a hash, and the smallest of a text is
+its sample i. It is uniform over the text's weight and consistent between texts: two texts share a sample exactly with the
+probability of their generalised Jaccard similarity, sum of min over sum of max of the weights. (Weights that are no whole
+numbers would need logarithms, three for each word and sample, which took most of the time; a text has as many units as words.)
+A fingerprint keeps 32 bits of the hash per sample, and the likeness of two fingerprints is the share of equal samples; its
+standard deviation is at most 0.5 / sqrt(samples), 0.044 for the 128 of the query.
+
+DataFrame functions only. A text and an edited form of it are sampled together: the units that both have are drawn once. Texts
 are shuffled once by key (and the parts that go into neighbours' edited texts); counting words and taking minima need no
 exchange after that, since a document's words stay in its partition.
 
@@ -18,37 +19,17 @@ result; other columns do not matter.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codecensus.functions.scale import durable, positions_by_range
-from codecensus.llm.common import WORD, documents, row_key, text_of
+from codecensus.llm.common import WORD, documents, row_key, table, text_of
 
 SAMPLES = 32
 #: samples of the query
 QUERY_SAMPLES = 128
 #: samples drawn side by side in one row; more rows instead keep the generated code small
-SIDE = 4
-#: bits per uniform number
-BITS = 12
-STEPS = 1 << BITS
-
-
-def draws(word: Column, number: Column) -> tuple[Column, Column, Column]:
-    """r and ln c (r, c: Gamma(2, 1), as sums of two exponentials) and b (uniform) for a word and a sample, from one hash."""
-    h = F.xxhash64(word, number)
-
-    def odd(i: int) -> Column:
-        """An odd number below 2 * STEPS: the middle of one of STEPS steps."""
-        return (F.shiftrightunsigned(h, BITS * i).bitwiseAND(F.lit(STEPS - 1)) * 2 + 1).cast("double")
-
-    # the logarithm of a product of two uniforms
-    top = 2 * math.log(2 * STEPS)
-    r, c = F.lit(top) - F.ln(odd(0) * odd(1)), F.lit(top) - F.ln(odd(2) * odd(3))
-    b = (F.shiftrightunsigned(h, 4 * BITS).cast("double") + 0.5) * 2.0**-(64 - 4 * BITS)
-    return r, F.ln(c), b
+SIDE = 8
 
 
 def _short(sample: Column) -> Column:
@@ -66,28 +47,26 @@ def sampled(texts: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     words = F.concat(*[
         F.transform(F.regexp_extract_all(F.col(k), F.lit(WORD), F.lit(0)), tagged(a, b)) for k, a, b in kinds])
-    weights = (
+    common, most = F.least("first", "second"), F.greatest("first", "second")
+    units = (
         texts.select("_key", F.explode(words).alias("_w")).select("_key", "_w.*")
         .groupBy("_key", "word").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
-        # null where the text lacks the word: the rank is null and the minimum passes over it
-        .select("_key", "word", F.when(F.col("first") > 0, F.ln("first")).alias("f"),
-                F.when(F.col("second") > 0, F.ln("second")).alias("s"),
-                F.explode(F.sequence(F.lit(0), F.lit(samples // SIDE - 1))).alias("_part"))
+        .select("_key", "word", common.alias("common"), (F.col("first") > F.col("second")).alias("more"),
+                F.explode(F.sequence(F.lit(1).cast("long"), most)).alias("unit"))
+        # whose the unit is: of both texts, of the first or of the second
+        .select("_key", F.when(F.col("unit") <= F.col("common"), 0).when(F.col("more"), 1).otherwise(2).alias("whose"),
+                F.xxhash64("word", "unit").alias("unit"))
+        .select("_key", "whose", "unit", F.explode(F.sequence(F.lit(0), F.lit(samples // SIDE - 1))).alias("_part"))
     )
-    # what does not depend on the weight is drawn once for both texts
-    drawn = {}
-    for i in range(SIDE):
-        r, c, b = draws(F.col("word"), F.col("_part") * SIDE + i)
-        drawn |= {f"r{i}": r, f"c{i}": c, f"b{i}": b}
-    rows = weights.select("_key", "_part", "f", "s", *[v.alias(k) for k, v in drawn.items()])
 
-    def rank(i: int, log_weight: str) -> Column:
-        r, b = F.col(f"r{i}"), F.col(f"b{i}")
-        t = F.floor(F.col(log_weight) / r + b).cast("double")
-        return F.col(f"c{i}") - r * (t - b + 1)
+    def drawn(i: int) -> Column:
+        return F.xxhash64(F.col("unit").bitwiseXOR((F.col("_part") * SIDE + i).cast("long")))
 
-    parts = rows.groupBy("_key", "_part").agg(*[
-        F.min(rank(i, name)).alias(f"{name}{i}") for i in range(SIDE) for name in ("f", "s")])
+    least = units.groupBy("_key", "_part", "whose").agg(*[F.min(drawn(i)).alias(f"m{i}") for i in range(SIDE)])
+    owns = {"f": F.col("whose") != 2, "s": F.col("whose") != 1}
+    # null where a text has no word
+    parts = least.groupBy("_key", "_part").agg(*[
+        F.min(F.when(own, F.col(f"m{i}"))).alias(f"{name}{i}") for i in range(SIDE) for name, own in owns.items()])
 
     def side(name: str) -> Column:
         return F.array(*[_short(F.col(f"{name}{i}")) for i in range(SIDE)])
@@ -136,7 +115,7 @@ def fingerprinted(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.concat(F.substring("_stay", F.col("_edge") + 1, F.length("_stay")), "_head").alias("only_second"))
     drawn = sampled(whole.select("_key", "both", "only_first", "only_second"), samples)
     none = F.array_repeat(F.lit(-1), samples)
-    prints = durable(
+    prints = table(
         whole.select("_key", "n_chars", "edited_sha256").join(drawn, "_key", "left")
         .withColumn("first", F.coalesce("first", none)).withColumn("second", F.coalesce("second", none)))
     following = prints.select("_key", F.col("first").alias("next")).join(pairs.drop("_wanted"), "_key")

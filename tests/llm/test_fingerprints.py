@@ -72,3 +72,15 @@ def test_error_of_the_query(spark, small):
     deviation = (sum(x * x for x in off) / len(off)) ** 0.5
     print(f"{len(off)} pairs: deviation {deviation:.4f}, largest {max(map(abs, off)):.4f}")
     assert deviation < 0.045 and max(map(abs, off)) < 0.21
+
+
+def test_samples_need_no_logarithms(spark, capsys):
+    """What runs for every word and sample is one hash, drawn once for both texts."""
+    texts = spark.createDataFrame([("k", "a a b", "c", "a d")], "_key string, both string, only_first string, only_second string")
+    fingerprints.sampled(texts).explain()
+    plan = capsys.readouterr().out.lower()
+    assert "xxhash64" in plan and "ln(" not in plan
+    same, none = "r s t " * 9, ""
+    rows = [("x", same, none, none), ("y", none, same, same), ("z", none, none, none)]
+    got = {r["_key"]: r for r in fingerprints.sampled(spark.createDataFrame(rows, texts.schema)).collect()}
+    assert set(got) == {"x", "y"} and got["x"]["first"] == got["x"]["second"] == got["y"]["first"] == got["y"]["second"]
