@@ -41,6 +41,8 @@ from codecensus.llm.ngram_join import fragment_of, portions
 K = 5
 #: bytes of text whose bigrams are sorted and sent together
 SENT_AT_ONCE = 6_000_000
+#: bigrams of a bucket that are settled together, but for a history with more
+SETTLED_AT_ONCE = 500_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 UNKNOWN = np.uint64(0)
 _STEP = np.uint64(0xA0761D6478BD642F)
@@ -201,6 +203,13 @@ def _count_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1:K + 2]
 
 
+def _emptied(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array; the list no longer holds them."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
     """Step at the history's bucket."""
     def settle(group: pa.Table) -> pa.Table:
@@ -216,9 +225,29 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
             train.append(np.unpackbits(_read(r["train"], np.uint8)).astype(bool)[place])
             text.append(place + (i << 16))
             n.append(_read(r["n"], "<u4"))
-        v, w, text, n, train = map(np.concatenate, (v, w, text, n, train))
-        order = np.lexsort((w, v))
-        v, w, text, n, train = v[order], w[order], text[order], n[order].astype(np.int64), train[order]
+        columns = [_emptied(x) for x in (v, w, text, n, train)]
+        order = np.lexsort((columns[1], columns[0]))
+        for i, x in enumerate(columns):
+            columns[i] = x[order]
+        del order, x
+        who, inverse = np.unique(columns[2], return_inverse=True)
+        base, logs, known, small = np.zeros(len(who)), np.zeros(len(who)), np.zeros(len(who)), np.zeros((len(who), K))
+        # a history stays whole; what is computed beside the sorted arrays grows with a slice only
+        runs = _starts(columns[0])
+        cuts = runs[np.unique(np.searchsorted(runs, np.arange(0, len(inverse), SETTLED_AT_ONCE)).clip(max=len(runs) - 1))]
+        for begin, end in zip(cuts, [*cuts[1:], len(inverse)]):
+            sums = histories(out, batches, *[x[begin:end] for x in columns], inverse[begin:end], len(who))
+            for total, x in zip((base, logs, known, small), sums):
+                total += x
+        cuts = _starts(who >> 16)
+        for begin, end in zip(cuts, [*cuts[1:], len(who)]):
+            out.append(_row(SUMS, 0, batches[who[begin] >> 16], (who[begin:end] & 0xFFFF).astype("<u2"), base[begin:end], logs[begin:end],
+                            known[begin:end].astype("<u4"), small[begin:end].astype("<u4")))
+        return _table(out)
+
+    def histories(out, batches, v, w, text, n, train, inverse, texts):
+        """Adds what the histories in ``v`` have to tell to ``out``; returns their sums per text."""
+        n = n.astype(np.int64)
         kinds = _starts(v, w)
         size = np.diff(np.append(kinds, len(v)))
         both = np.add.reduceat(n * train, kinds)
@@ -233,15 +262,11 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         c, r = np.repeat(tc, size), np.repeat(both, size)
         word = v != START
         seen = r > 0
-        who, inverse = np.unique(text, return_inverse=True)
-        add = lambda x: np.bincount(inverse, weights=x, minlength=len(who))
+        add = lambda x: np.bincount(inverse, weights=x, minlength=texts)
         base, known = add(n * np.log10(c + 1.0) * word), add(n * (c > 0) * word)
         logs = add(np.where(seen, n * (np.log10(np.maximum(r, 1)) - np.log10(c + 1.0)), 0.0))
         small = np.stack([add(n * (r == k)) for k in range(1, K + 1)], axis=1)
-        cuts = _starts(who >> 16)
-        for begin, end in zip(cuts, [*cuts[1:], len(who)]):
-            out.append(_row(SUMS, 0, batches[who[begin] >> 16], (who[begin:end] & 0xFFFF).astype("<u2"), base[begin:end], logs[begin:end],
-                            known[begin:end].astype("<u4"), small[begin:end].astype("<u4")))
+        del r, word
         # numbers that the whole model needs
         own = ~is_hot & (count > 0)
         out.append(_row(STATS, 0, 0, np.concatenate([_count_of_counts(both[both > 0]), _count_of_counts(count[own]), [own.sum()]]).astype(np.int64)))
@@ -268,7 +293,7 @@ def _settle(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         for d in np.unique(to):
             at = np.flatnonzero(active)[to == d]
             out.append(_row(HISTORY, d, 0, names[at], count[at], few[at], rest[at]))
-        return _table(out)
+        return base, logs, known, small
 
     return settle
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,27 @@ def test_discounts_stay_good_turing():
     # only without types seen once or twice is there no estimate
     for n in ([0, 4, 1, 1, 1, 1], [4, 0, 1, 1, 1, 1], [0] * 6):
         assert scoring.discounts(n) == pytest.approx([0.5, 0.75, 5 / 6, 0.875, 0.9])
+
+
+def test_a_bucket_is_settled_in_slices(spark, small, monkeypatch):
+    """Slices of histories tell the same as the whole bucket, with less memory beside the sorted bigrams."""
+    import tracemalloc
+
+
+    docs = small.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 7 == 2).alias("held"))
+    hot = np.sort(np.array([scoring.START, scoring.END]))
+    group = scoring._bigrams(docs.coalesce(1), hot, 1).toArrow()
+    found, peak = {}, {}
+    for size in (10**9, 2_000):
+        monkeypatch.setattr(scoring, "SETTLED_AT_ONCE", size)
+        tracemalloc.start()
+        rows = scoring._settle(1, hot, np.array([180, 180]))(group).to_pylist()
+        peak[size] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        stats = sum(scoring._read(r["a"], np.int64) for r in rows if r["kind"] == scoring.STATS)
+        sums = [np.concatenate([scoring._read(r[k], np.float64) for r in rows if r["kind"] == scoring.SUMS]) for k in "bc"]
+        names = np.concatenate([scoring._read(r["a"], np.uint64) for r in rows if r["kind"] == scoring.WORDS])
+        found[size] = stats.tolist(), np.round(np.concatenate(sums), 6).tolist(), sorted(names.tolist())
+    whole, sliced = found.values()
+    assert whole[0] == sliced[0] and whole[2] == sliced[2] and whole[1] == pytest.approx(sliced[1])
+    assert peak[2_000] < 0.8 * peak[10**9]
