@@ -18,6 +18,9 @@ null id is carried; an empty table gives an empty result; columns in ``carry`` a
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -44,28 +47,81 @@ def _encoder(vocabulary: str):
     return Tokenizer.from_file(vocabulary)
 
 
+#: the parts of a vocabulary file that say how text is cut, for which words of Latin letters, digits and signs can be cut here
+_CUT = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
+#: visible characters below U+0100; of these no two combine, and none is a blank to one side only
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\xff]+")
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else one from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds:
     """Ids (little-endian 32 bit) of texts under a vocabulary that drops white space, so that words between
-    white space are encoded alone; the words seen last are remembered in two generations, ``MEMO`` at most."""
+    white space are encoded alone; the words seen last are remembered in two generations, ``MEMO`` at most.
+
+    A new word of plain characters is cut as the vocabulary says, and only its parts are given to the vocabulary's model:
+    regular expressions and alignments took the encoder most of its time. Any other word is encoded whole.
+    """
 
     def __init__(self, vocabulary: str):
         self.encoder = _encoder(vocabulary)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
+        rules = json.loads(self.encoder.to_str())
+        self.cut_here = (rules["normalizer"], rules["pre_tokenizer"]) == _CUT
+        self.model, self.names = self.encoder.model, _byte_names()
+        self.sign = lru_cache(maxsize=10_000)(self.part)
 
     def learn(self, words: set[bytes]) -> None:
-        new = []
-        for word in words:
-            if word not in self.known:
-                ids = self.before.get(word)
-                if ids is None:
-                    new.append(word)
-                else:
-                    self.known[word] = ids
+        new = words.difference(self.known)
+        again = new.intersection(self.before)
+        self.known.update(zip(again, map(self.before.__getitem__, again)))
+        new -= again
         if not new:
             return
         if len(self.known) + len(new) > MEMO // 2:
             self.before, self.known = self.known, {w: self.known[w] for w in words if w in self.known}
+        rest = []
+        for word in new:
+            ids = self.plain(word) if self.cut_here else None
+            if ids is None:
+                rest.append(word)
+            else:
+                self.known[word] = ids
+        self.encode(rest)
+
+    def plain(self, word: bytes) -> bytes | None:
+        """Ids of a word of plain characters; None for others and where an added token may stand."""
+        text = word.decode()
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return None
+        text = text.lower()
+        if text.isalpha():
+            return self.part(text)
+        # digits and signs come again and again
+        return b"".join([self.part(x) if x.isalpha() else self.sign(x) for x in _PARTS.findall(text)])
+
+    def part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.names)
+        ids = [token.id for token in self.model.tokenize(part)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, new: list[bytes]) -> None:
         for at in range(0, len(new), 5_000):
             part = [w.decode() for w in new[at:at + 5_000]]
             # one encoding for many words: white space separates them and leaves no token

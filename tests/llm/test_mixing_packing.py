@@ -125,3 +125,17 @@ def test_every_capacity_holds(rule):
 
 def test_packing_nothing(spark, small):
     assert packing.pack_documents(spark.createDataFrame([], small.schema)).count() == 0
+
+
+def test_plain_words_do_not_pass_the_encoder():
+    """Words of Latin letters, digits and signs get the encoder's ids without its regular expressions."""
+    words = packing.WordIds(packing.default_vocabulary())
+    plain = ["bomente.", "selluedo&&&", "it's", "'llama", "größe", "ÀÉ'Re", "x2²y", "¿qué?", "a-b_c", "12,5%", "µ", "l'été", "don't'"]
+    assert words.cut_here
+    for word in plain:
+        assert words.plain(word.encode()) == np.array(words.encoder.encode(word).ids, "<u4").tobytes(), word
+    for word in ("e\u0301", "a\xa0b", "x<|endoftext|>", "\u0130", "a\x01"):
+        assert words.plain(word.encode()) is None
+    words.encode = lambda rest: [][0] if rest else None
+    words.learn({w.lower().encode() for w in plain})
+    assert len(words.known) == len(plain)
