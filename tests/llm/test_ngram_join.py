@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
+import time
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from codecensus.llm import ngram_join
@@ -119,3 +124,45 @@ def test_dense_segments_with_near_misses(spark):
     ).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)
     assert len({r.component_id for r in got}) > 10
+
+
+def test_a_fragment_is_counted_in_little_memory():
+    rng = np.random.default_rng(1)
+    shingle = rng.integers(0, 2**40, 400_000, dtype=np.uint64)
+    shingle = np.concatenate([shingle, shingle[:100_000], rng.integers(0, 2**40, 500_000, dtype=np.uint64)])
+    names = np.arange(10_000, dtype=np.int64) * 7919 - 40_000_000
+    size = np.full(10_000, 100, "<u4")
+    rows = pa.table({"frag": pa.array([0], pa.int32()), "label": [names.tobytes()], "size": [size.tobytes()],
+                     "lead": [(size // 50).tobytes()], "shingle": [shingle.tobytes()]})
+    tracemalloc.start()
+    got = dict(zip(*ngram_join.shared_here(rows).to_pydict().values()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    holders = defaultdict(set)
+    for k, x in enumerate(shingle.tolist()):
+        holders[x].add(k // 100)
+    want = defaultdict(int)
+    for k, x in enumerate(shingle.tolist()):
+        if k % 100 > 1 and len(holders[x]) > 1:
+            want[int(names[k // 100])] += 1
+    assert got == want
+    # eight bytes a posting are its shingle
+    assert peak < 45 * len(shingle)
+
+
+def test_components_leave_no_shuffle_files(spark, frame):
+    def shuffled():
+        # Spark removes them shortly after a query's end
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString()
+        return set(re.findall(r"shuffle_\d+_", files))
+
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = frame([(i, f"{text} {i % 7}", "a") for i in range(40)], extra=False)
+    sets = ngram_join.table_of(ngram_join.sets(docs))
+    before = shuffled()
+    assert ngram_join.class_components(docs, sets, 1000).count() == 7
+    until = time.time() + 10
+    # the count itself leaves one
+    while len(left := shuffled() - before) > 1 and time.time() < until:
+        time.sleep(0.2)
+    assert len(left) <= 1
