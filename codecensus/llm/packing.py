@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from codecensus.functions.scale import durable
-from codecensus.llm.common import documents
+from codecensus.llm.common import documents, written
 
 CAPACITY = 4096
-#: words whose ids a worker remembers, half of them since the last change of generation
+#: words whose ids a worker remembers unless told otherwise, half of them since the last change of generation
 MEMO = 300_000
+#: and in op7, which has its executors to itself: some 200 bytes a word
+MANY = 1_500_000
 #: characters whose words are looked up at once
 PORTION = 1_000_000
 
@@ -71,14 +72,14 @@ def _byte_names() -> dict[int, str]:
 
 class WordIds:
     """Ids (little-endian 32 bit) of texts under a vocabulary that drops white space, so that words between
-    white space are encoded alone; the words seen last are remembered in two generations, ``MEMO`` at most.
+    white space are encoded alone; the words seen last are remembered in two generations, ``memo`` at most.
 
     A new word of plain characters is cut as the vocabulary says, and only its parts are given to the vocabulary's model:
     regular expressions and alignments took the encoder most of its time. Any other word is encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
-        self.encoder = _encoder(vocabulary)
+    def __init__(self, vocabulary: str, memo: int | None = None):
+        self.encoder, self.memo = _encoder(vocabulary), memo or MEMO
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         rules = json.loads(self.encoder.to_str())
@@ -93,7 +94,7 @@ class WordIds:
         new -= again
         if not new:
             return
-        if len(self.known) + len(new) > MEMO // 2:
+        if len(self.known) + len(new) > self.memo // 2:
             self.before, self.known = self.known, {w: self.known[w] for w in words if w in self.known}
         rest = []
         for word in new:
@@ -112,8 +113,8 @@ class WordIds:
         text = text.lower()
         if text.isalpha():
             return self.part(text)
-        # digits and signs come again and again
-        return b"".join([self.part(x) if x.isalpha() else self.sign(x) for x in _PARTS.findall(text)])
+        # digits and signs come again and again, and letters may be known as a word
+        return b"".join([self.known.get(x.encode()) or self.part(x) if x.isalpha() else self.sign(x) for x in _PARTS.findall(text)])
 
     def part(self, part: str) -> bytes:
         if not part.isascii():
@@ -151,13 +152,13 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def _word_ids(vocabulary: str) -> WordIds:
+def _word_ids(vocabulary: str, memo: int | None) -> WordIds:
     """One memo per worker process, whatever the number of tasks it runs."""
-    return WordIds(vocabulary)
+    return WordIds(vocabulary, memo)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1, carry=("doc_id",),
-           keep_ids: bool = False) -> DataFrame:
+           keep_ids: bool = False, memo: int | None = None) -> DataFrame:
     """(carry..., piece, start, length, ids_crc32[, ids]) of every piece of every document."""
     rows = docs.select(*carry, F.col("text").alias("_text"))
     made = "piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
@@ -165,7 +166,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        encoder = _word_ids(vocabulary)
+        encoder = _word_ids(vocabulary, memo)
         for batch in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, raw in enumerate(encoder.batch(batch.column("_text"))):
@@ -231,7 +232,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, max_docs: int = 4096, max_c
            group_rows: int = 8192, weights=(1.0, 0.1, 0.1), rule: str = "norm") -> DataFrame:
     """``cut`` (with a ``length``) and the sequence_id and offset of every row."""
     # the number gives equal rows places of their own, and is fixed once it is written
-    numbered = durable(cut.withColumn("_id", F.monotonically_increasing_id()))
+    numbered = written(cut.withColumn("_id", F.monotonically_increasing_id()), slim=True)
     groups = max(1, -(-numbered.count() // group_rows))
     dealt = numbered.withColumn("_group", F.pmod(F.xxhash64("_id"), F.lit(groups)))
     schema = StructType([*cut.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
@@ -255,10 +256,10 @@ def default_vocabulary() -> str:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, carry=("doc_id",), keep_ids: bool = False,
-                   **limits) -> DataFrame:
+                   memo: int | None = None, **limits) -> DataFrame:
     capacity = limits.get("capacity", CAPACITY)
-    return packed(pieces(docs, vocabulary or default_vocabulary(), capacity, carry=carry, keep_ids=keep_ids), **limits)
+    return packed(pieces(docs, vocabulary or default_vocabulary(), capacity, carry=carry, keep_ids=keep_ids, memo=memo), **limits)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    return pack_documents(documents(spark, sf_dir), memo=MANY)

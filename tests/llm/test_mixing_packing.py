@@ -7,6 +7,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codecensus.llm import mixing, packing
@@ -139,3 +140,21 @@ def test_plain_words_do_not_pass_the_encoder():
     words.encode = lambda rest: [][0] if rest else None
     words.learn({w.lower().encode() for w in plain})
     assert len(words.known) == len(plain)
+
+
+def test_op7_remembers_more_words():
+    few, many = (packing.WordIds(packing.default_vocabulary(), n) for n in (None, packing.MANY))
+    new = [f"{n}x".encode() for n in range(520_000)]
+    learnt = []
+    for words in (few, many):
+        made = []
+        words.plain = lambda w, made=made: made.append(w) or b"ids"
+        for _ in range(2):
+            for at in range(0, len(new), 50_000):
+                words.learn(set(new[at:at + 50_000]))
+        learnt.append(len(made))
+        del words.plain
+    assert learnt == [2 * len(new), len(new)]
+    text = pa.array(["Abc. abc abc, x.y Caf\xe9! caf\xe9 can't CAN'T"] * 2)
+    want = np.array(few.encoder.encode(text[0].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+    assert list(few.batch(text)) == list(many.batch(text)) == [want] * 2
