@@ -150,6 +150,66 @@ def test_a_fragment_is_counted_in_little_memory():
     assert peak < 45 * len(shingle)
 
 
+def traced(function, *tables):
+    """The result, and the most bytes of arrays that were there at a time."""
+    tracemalloc.start()
+    out = function(*tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_labels_of_one_posting_are_counted_in_little_memory():
+    """As in a large table: of a text, a fragment holds one shingle or two."""
+    rng = np.random.default_rng(3)
+    count = 400_000
+    names, shingle = rng.permutation(count).astype(np.int64) - 7, rng.integers(0, 2**40, count, dtype=np.uint64)
+    shingle[::5] = shingle[1::5]
+    rows = pa.table({"frag": pa.array([0] * 400, pa.int32())} | {c: pa.array([x.tobytes() for x in np.split(v, 400)], pa.binary()) for c, v in (
+        ("label", names), ("size", np.ones(count, "<u4")), ("lead", np.zeros(count, "<u4")), ("shingle", shingle))})
+    # batches that begin within others, as Spark's readers may give them
+    rows = pa.concat_tables([rows.slice(0, 130), rows.slice(130, 270)])
+    got, peak = traced(ngram_join.shared_here, rows)
+    value, at, often = np.unique(shingle, return_inverse=True, return_counts=True)
+    assert sorted(got["label"].to_pylist()) == sorted(names[often[at] > 1].tolist())
+    assert set(got["shared"].to_pylist()) == {1}
+    # 24 bytes a posting are the rows
+    assert peak < 60 * count
+
+
+def segments_of(rng, classes, groups, segments):
+    """A row of segments of random groups, and what is known of their classes."""
+    member = [np.sort(rng.choice(classes, rng.integers(2, 9), replace=False)) for _ in range(groups)]
+    label = np.sort(rng.choice(10**6, classes, replace=False)).astype(np.int64) - 10**5
+    flat = np.concatenate(member)
+    row = ngram_join._group_row(3, label[flat], np.array([len(m) for m in member]), rng.integers(0, segments, groups, dtype=np.uint64))
+    label = np.frombuffer(row["label"][0].as_py(), np.int64)
+    s = np.frombuffer(row["shared"][0].as_py(), "<u4").astype(np.int64)
+    known = pa.table({"label": label, "n": s + 1, "s": s, "c": label})
+    return row, known.filter(pa.array(rng.random(len(label)) < 0.9))
+
+
+@pytest.mark.parametrize("small", [64, 4])  # 4: nearly all by matrix products
+def test_segments_are_counted_some_at_a_time(monkeypatch, small):
+    row, known = segments_of(np.random.default_rng(5), 60, 900, 40)
+    monkeypatch.setattr(ngram_join, "SMALL", small)
+    whole = [ngram_join.overlaps(salt, leaders)(row, known).to_pydict() for salt, leaders in ((0, 3), (2, None))]
+    assert len(whole[1]["a"]) > 100
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 70)
+    monkeypatch.setattr(ngram_join, "DENSE", 900)
+    assert [ngram_join.overlaps(salt, leaders)(row, known).to_pydict() for salt, leaders in ((0, 3), (2, None))] == whole
+
+
+def test_a_common_passage_is_counted_in_little_memory():
+    classes = 6000
+    label = np.arange(classes, dtype=np.int64)
+    row = ngram_join._group_row(0, np.tile(label, 9), np.full(9, classes), np.zeros(9, np.uint64))
+    known = pa.table({"label": label, "n": np.full(classes, 30), "s": np.full(classes, 16), "c": label})
+    got, peak = traced(ngram_join.overlaps(3, None), row, known)
+    assert got.num_rows == 0
+    assert peak < 70_000_000
+
+
 def test_components_leave_no_shuffle_files(spark, frame):
     def shuffled():
         # Spark removes them shortly after a query's end
