@@ -74,6 +74,14 @@ def without_repeats(rows):
     return out
 
 
+def test_lines_are_taken_out_once_a_row(frame):
+    """A filter on what remains does not bring a second copy of the function."""
+    out = line_dedup.kept_documents(frame([(1, "a\nb\nc\nd", "s"), (2, "x\na\nb\nc", "s"), (3, "a\nb\nc", "s")]))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, "a\nb\nc\nd", 7), (2, "x", 1)]
+
+
 def test_line_dedup(frame, small, spark):
     passage = "p one\nP   two \np three\np four"
     rows = [*EDGE, (20, f"head\n{passage}\ntail", "a"), (21, f"{passage.upper()}\n\nend", "b"), (22, passage, "b"),

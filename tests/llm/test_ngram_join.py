@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 import re
 import time
 import tracemalloc
+import weakref
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from codecensus.llm import ngram_join
+from codecensus.llm import common, ngram_join
 from tests.llm.test_filters import split_words
 
 
@@ -165,8 +167,9 @@ def test_labels_of_one_posting_are_counted_in_little_memory():
     count = 400_000
     names, shingle = rng.permutation(count).astype(np.int64) - 7, rng.integers(0, 2**40, count, dtype=np.uint64)
     shingle[::5] = shingle[1::5]
-    rows = pa.table({"frag": pa.array([0] * 400, pa.int32())} | {c: pa.array([x.tobytes() for x in np.split(v, 400)], pa.binary()) for c, v in (
-        ("label", names), ("size", np.ones(count, "<u4")), ("lead", np.zeros(count, "<u4")), ("shingle", shingle))})
+    columns = {"label": names, "size": np.ones(count, "<u4"), "lead": np.zeros(count, "<u4"), "shingle": shingle}
+    rows = pa.table({"frag": pa.array([0] * 400, pa.int32())} | {
+        c: pa.array([x.tobytes() for x in np.split(v, 400)], pa.binary()) for c, v in columns.items()})
     # batches that begin within others, as Spark's readers may give them
     rows = pa.concat_tables([rows.slice(0, 130), rows.slice(130, 270)])
     got, peak = traced(ngram_join.shared_here, rows)
@@ -226,3 +229,39 @@ def test_components_leave_no_shuffle_files(spark, frame):
     while len(left := shuffled() - before) > 1 and time.time() < until:
         time.sleep(0.2)
     assert len(left) <= 1
+
+
+def test_memory_is_given_back_when_nothing_is_held(monkeypatch):
+    """Workers take turns and live on: each counts with what its last task has left."""
+    class Held:
+        pass
+
+    refs, left = [], []
+    monkeypatch.setattr(common, "give_back", lambda: left.append(refs[-1]()))
+
+    def held():
+        out = Held()
+        refs.append(weakref.ref(out))
+        return out
+
+    @common.trimmed_map
+    def of_batches(batches):
+        own = held()
+        for batch in batches:
+            yield batch, own is None
+
+    @common.trimmed
+    def of_group(table):
+        own = held()
+        return table, own is None
+
+    @common.trimmed
+    def of_two(first, second):
+        own = held()
+        return first, second, own is None
+
+    assert list(of_batches(iter("ab"))) == [("a", False), ("b", False)]
+    assert of_group("a") == ("a", False) and of_two("a", "b") == ("a", "b", False)
+    assert left == [None] * 3
+    # Spark goes by the number of arguments
+    assert [len(inspect.getfullargspec(f).args) for f in (of_group, of_two)] == [1, 2]
